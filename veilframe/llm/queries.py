@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pii, quality, toxicity
+from . import language, mixing, pii, quality, toxicity, urls
 from ._common import crc_mod, table
 
 
@@ -14,6 +14,33 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"), pii.train())
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document so that sources weigh 1, 2, 3, ..., none above 3 times its size."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select(F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitting rule and the verdict for every page."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r(h, q, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+m AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
+  FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.q)
+  GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text; rows without an id are never learned from and count as held out."""
     docs = table(spark, sf_dir, "documents")
@@ -41,5 +68,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_quality, op7_language, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_mixing, op4_quality, op5_url_rules, op7_language, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op5_url_rules": OP5_SQL}
