@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, pii, quality, toxicity, urls
+from . import imatch, language, mixing, pii, quality, toxicity, urls
 from ._common import crc_mod, table
 
 
@@ -59,6 +59,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edit, and how near the edit and the next document are."""
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text; rows without an id are never learned from and count as held out."""
     docs = table(spark, sf_dir, "documents")
@@ -68,5 +73,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_mixing, op4_quality, op5_url_rules, op7_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_mixing, op4_quality, op5_url_rules, op7_language, op8_imatch, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op5_url_rules": OP5_SQL}
