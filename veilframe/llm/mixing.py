@@ -175,3 +175,16 @@ def mix(docs: DataFrame, key_cols: list[str], weights: tuple[float, ...] = (1, 2
     for part in out[1:]:
         result = result.unionByName(part)
     return result
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mixture itself: every row of docs as many times as it is taken, with ``copy_no`` from 1."""
+    names = [c for c in docs.columns if c != "copy_no"]
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\x00"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+    keyed = docs.select(*names, key.alias("_k"))
+    taken = mix(keyed, ["_k"], text_col=text_col, **options)
+    # rows alike in id and text share a key: the n-th of them gets the n-th decision
+    lists = taken.groupBy(F.col("key._k").alias("_k")).agg(F.sort_array(F.collect_list("copies")).alias("_copies")).where(F.array_max("_copies") > 0)
+    nth = F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0)))
+    joined = keyed.join(lists, "_k").withColumn("_n", nth).withColumn("_c", F.element_at("_copies", F.col("_n")))
+    return joined.where("_c > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("copy_no"))

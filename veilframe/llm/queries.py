@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, language, mixing, pii, quality, toxicity, urls
+from . import dart, decontaminate, imatch, language, mixing, pii, quality, substring, toxicity, urls
 from ._common import crc_mod, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a copy of a benchmark item, edited or not, with the item, score and place."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every whole text; base spans by rule, more by the semi-Markov model."""
     return pii.detect(table(spark, sf_dir, "documents"), pii.train())
@@ -50,6 +55,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the words of 20-word windows that begin earlier as well."""
+    kept = substring.strip(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM g) WHERE n > 1),
+k AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 20)))) AS gone FROM r GROUP BY doc_id),
+c AS (SELECT d.doc_id, d.w, coalesce(k.gone, []) AS gone FROM d LEFT JOIN k USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE list_where(w, list_transform(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))) END, ' ')) AS kept_sha256
+FROM c
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; rejected marks narrow margins, whose best guess is returned all the same."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +87,11 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document, named by its smallest id."""
+    return dart.find(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every whole text; rows without an id are never learned from and count as held out."""
     docs = table(spark, sf_dir, "documents")
@@ -73,5 +101,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_mixing, op4_quality, op5_url_rules, op7_language, op8_imatch, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op5_url_rules": OP5_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity)
+}
+#: The others draw on hashes, models or connected components and are tested against plain versions instead.
+ORACLE_SQL = {"op5_url_rules": OP5_SQL, "op6_substring": OP6_SQL}
