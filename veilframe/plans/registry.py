@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import mask, rules
+from . import relational  # noqa: F401 - registers
+from .base import ORACLE_SQL, QUERIES, table
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Masked documents and how much was masked, under all packs."""
+    done = mask.mask_documents(table(spark, sf_dir, "documents"), rules.compose(rules.PACKS))
+    return done.select("doc_id", "masked", "n_masked")
