@@ -71,7 +71,8 @@ class Words:
     hash: np.ndarray
 
 
-def split(texts: pa.Array, hashed: bool = True) -> Words:
+def split(texts: pa.Array, hashed: bool = True, trim: np.ndarray | None = None) -> Words:
+    """trim: bytes to leave out at the ends of words (a table of 256); words of nothing else go."""
     raw, off = buffers(texts)
     n = len(off) - 1
     inside = ~_BLANK[raw]
@@ -86,6 +87,14 @@ def split(texts: pa.Array, hashed: bool = True) -> Words:
     after = np.empty(raw.size, bool)
     after[-1], after[:-1] = False, inside[1:]
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    if trim is not None:
+        for edge_of, step in ((start, 1), (end, -1)):
+            loose = np.arange(start.size)
+            while loose.size:
+                loose = loose[(start[loose] < end[loose]) & trim[raw[np.clip(edge_of[loose] - (step < 0), 0, raw.size - 1)]]]
+                edge_of[loose] += step
+        left = start < end
+        start, end = start[left], end[left]
     doc = np.searchsorted(off, start, "right") - 1
     first = np.searchsorted(doc, np.arange(n + 1))
     return Words(doc, start, end, first, _span_hash(raw, start, end) if hashed else np.zeros(0, U64))

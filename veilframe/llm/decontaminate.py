@@ -29,14 +29,14 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ._words import U64, Words, as_strings, mix, ngrams, slices, split
 
-_ENDS = r"""[.,;:!?"'()\[\]{}<>«»“”‘’…*&$%#|-]+"""
+#: Signs that are no part of a word at its ends.
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b""".,;:!?"'()[]{}<>*&$%#|-""")] = True
 
 
-def normal(texts: pa.Array) -> pa.Array:
-    """Lower case; punctuation at word ends becomes blank, so that it neither makes nor breaks a match."""
-    low = pc.utf8_lower(texts)
-    low = pc.replace_substring_regex(low, rf"(^|\s){_ENDS}", r"\1 ")
-    return pc.replace_substring_regex(low, rf"{_ENDS}(\s|$)", r" \1")
+def read(texts: pa.Array) -> Words:
+    """The words by which texts are compared."""
+    return split(pc.utf8_lower(texts), trim=_SIGNS)
 
 
 @dataclass
@@ -48,10 +48,11 @@ class Items:
     seed: np.ndarray
     owner: np.ndarray
     n: int
+    _maybe: np.ndarray | None = None
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], n: int) -> Items:
-        w = split(normal(as_strings(pa.array(texts, pa.string()))))
+        w = read(as_strings(pa.array(texts, pa.string())))
         words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
         seed, owner = [], []
         for i, h in enumerate(words):
@@ -67,6 +68,16 @@ class Items:
         """The lengths of seeds: n, and those of shorter items."""
         return sorted({min(self.n, h.size) for h in self.words if h.size})
 
+    def maybe(self) -> np.ndarray:
+        """By the first 20 bits of a hash: whether a seed begins with them."""
+        if self._maybe is None:
+            self._maybe = np.zeros(1 << 20, bool)
+            self._maybe[(self.seed >> U64(44)).astype(np.int64)] = True
+        return self._maybe
+
+    def __getstate__(self):
+        return self.__dict__ | {"_maybe": None}
+
     def keep(self, rare: np.ndarray) -> Items:
         return Items(self.ids, self.words, self.seed[rare], self.owner[rare], self.n)
 
@@ -78,8 +89,10 @@ def _hits(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
         grams = ngrams(words.hash, m, seed=0 if m == items.n else m)
         if not grams.size:
             continue
-        k = np.searchsorted(items.seed, grams)
-        hit = np.flatnonzero(items.seed[np.minimum(k, items.seed.size - 1)] == grams) if items.seed.size else np.zeros(0, np.int64)
+        # few words begin a seed: most are ruled out by a look at a small table
+        hit = np.flatnonzero(items.maybe()[(grams >> U64(44)).astype(np.int64)])
+        k = np.searchsorted(items.seed, grams[hit])
+        hit = hit[items.seed[np.minimum(k, items.seed.size - 1)] == grams[hit]]
         hit = hit[words.doc[hit] == words.doc[hit + m - 1]]
         at.append(hit)
         found.append(grams[hit])
@@ -129,7 +142,7 @@ def passages(words: Words, items: Items) -> Iterator[tuple[int, int, int, int, i
     new = np.ones(at.size, bool)
     new[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1]) | (at[1:] - at[:-1] > size[which[1:]] + items.n)
     starts = np.flatnonzero(new)
-    for a, b in zip(starts, [*starts[1:], at.size], strict=True):
+    for a, b in zip(starts, np.append(starts, at.size)[1:], strict=True):
         i, r = int(which[a]), int(row[a])
         reach = int(size[i])
         yield r, i, max(int(words.first[r]), int(at[a]) - reach), min(int(words.first[r + 1]), int(at[b - 1]) + reach + items.n), int(b - a)
@@ -169,7 +182,7 @@ def _find_block(texts: DataFrame, items: Items, schema: StructType, least: int,
         for batch in batches:
             column = as_strings(batch.column(1))
             for lo, hi in slices(column):
-                words = split(normal(column.slice(lo, hi - lo)))
+                words = read(column.slice(lo, hi - lo))
                 at, found = _hits(words, items)
                 pair = np.unique(np.stack([words.doc[at].astype(U64), found]), axis=1) if at.size else np.zeros((2, 0), U64)
                 seed, times = np.unique(pair[1], return_counts=True)
@@ -189,7 +202,7 @@ def _find_block(texts: DataFrame, items: Items, schema: StructType, least: int,
             out = []
             column = as_strings(batch.column(1))
             for lo, hi in slices(column):
-                words = split(normal(column.slice(lo, hi - lo)))
+                words = read(column.slice(lo, hi - lo))
                 best: dict[tuple[int, int], tuple] = {}
                 for row, i, a, b, seeds in passages(words, rare):
                     score, s, e = smith_waterman(rare.words[i], words.hash[a:b])
