@@ -52,5 +52,25 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     if n <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), same, how).drop(*[f"_r_{c}" for c in on])
     left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, same & (F.col("_salt") == F.col("_r_salt")), how).drop("_salt", "_r_salt", *[f"_r_{c}" for c in on])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each context: they need not have it installed."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_veilframe_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    folder = tempfile.mkdtemp(prefix="veilframe-package-")
+    (path := Path(folder, "veilframe.zip")).write_bytes(content.getvalue())
+    context.addPyFile(str(path))
+    context._veilframe_shipped = True
