@@ -10,7 +10,7 @@ span exactly if some run that covers it begins earlier as well.
 
 Two passes over the texts prepare the index. The first counts seeds: of the short runs within each
 window, the one with the least hash, which two equal windows share. Seeds that occur twice go into a bit
-set of fixed size. The second hashes the windows whose seed has its bit set, to 128 bits; a bit that
+set of fixed size. The second hashes the windows whose seed has its bit set, to 96 bits; a bit that
 is set by chance costs a row and changes nothing. Runs repeated within a slice of texts are settled on the
 spot, so however often a passage occurs, each slice sends it once.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._words import U64, Words, as_strings, mix, ngrams, slices, split, whole
 
-SEED_WORDS = 6
+SEED_WORDS = 9
 BITS = 1 << 27
 _SEGMENT = 1 << 19
 
@@ -91,14 +91,15 @@ def _ranks(keys: list) -> np.ndarray:
 
 
 def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int) -> DataFrame:
-    """Windows that may repeat, one row for each and slice (known = 0), and runs of windows that repeat an earlier one of
-    their slice (known = 1, len of them), which need no more checking. docs: keys, text."""
+    """Windows that may repeat, one row for each and slice (known null), and runs of windows that repeat an earlier one
+    of their slice, which need no more checking (known: how many windows, and where they repeat). docs: keys, text."""
     fields = [docs.schema[k] for k in keys]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            known_type = [pa.field("len", pa.int32()), pa.field("ref", batch.column(0).type), pa.field("ref_start", pa.int32())]
             column = as_strings(batch.column(n_keys))
             all_keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True))
             for lo, hi in slices(column, 1 << 22):
@@ -124,19 +125,17 @@ def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int) ->
                 first = np.flatnonzero(opens)
                 f = np.flatnonzero(new)
                 who = np.concatenate([doc[f], d[first]])
-                ref = np.concatenate([doc[f], rd[first]])
                 take = lambda i, which: batch.column(i).take(pa.array(lo + which))
                 spread = mix(o[first].astype(U64) ^ mix(h1[o[first]], 90), 91)  # settled rows go anywhere
+                runs = [pa.array(np.diff(np.append(first, o.size)).astype(np.int32)), take(0, rd[first]), pa.array(rs[first].astype(np.int32))]
+                none = pa.nulls(f.size, pa.struct(known_type))
+                known = pa.concat_arrays([none, pa.StructArray.from_arrays(runs, fields=known_type)])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([h1[f], spread]).astype(np.int64)), pa.array(np.concatenate([h2[f], mix(spread, 1)]).astype(np.int64)), *[take(i, who) for i in range(n_keys)],
-                        pa.array(np.concatenate([start[f], s[first]]).astype(np.int32)), pa.array(np.concatenate([np.ones(f.size, np.int32), np.diff(np.append(first, o.size)).astype(np.int32)])),
-                        pa.array(np.concatenate([np.zeros(f.size, np.int8), np.ones(first.size, np.int8)])), take(0, ref), pa.array(np.concatenate([start[f], rs[first]]).astype(np.int32)),
-                    ],
-                    names=["h1", "h2", *keys, "start", "len", "known", "ref", "ref_start"],
+                    [pa.array(np.concatenate([h1[f], spread]).astype(np.int64)), pa.array((np.concatenate([h2[f], mix(spread, 1)]) << U64(32) | np.concatenate([start[f], s[first]]).astype(U64)).astype(np.int64)), *[take(i, who) for i in range(n_keys)], known],
+                    names=["h1", "h2_start", *keys, "known"],
                 )
 
-    return docs.select(*keys, "text").mapInArrow(run, f"h1 long, h2 long, {ddl}, start int, len int, known byte, ref {fields[0].dataType.simpleString()}, ref_start int")
+    return docs.select(*keys, "text").mapInArrow(run, f"h1 long, h2_start long, {ddl}, known struct<len:int,ref:{fields[0].dataType.simpleString()},ref_start:int>")
 
 
 def factors(start: np.ndarray, length: np.ndarray, ref: list, ref_start: np.ndarray, window: int) -> list[tuple[int, int, object, int]]:
@@ -156,11 +155,13 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """docs' rows as (id, text, f), f the factors found as an array of (start, len, ref, ref_start), null for none."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = ["id"]
-    if not texts.groupBy("id").count().where("count > 1").isEmpty():
+    if not texts.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         keys = ["id", "k2"]
         texts = texts.withColumn("k2", F.xxhash64("text"))
     bits = repeated_seeds(texts.select("text"), window)
-    found = windows(texts, keys, bits, window)
+    # the second half of the hash shares a word with the place, which keeps the rows that are dealt out short
+    found = windows(texts, keys, bits, window).repartition("h1")
+    found = found.withColumn("h2", F.shiftright("h2_start", 32)).withColumn("start", F.col("h2_start").bitwiseAND(0xFFFFFFFF).cast("int"))
     order = Window.partitionBy("h1", "h2").orderBy(*[F.col(k).asc_nulls_last() for k in keys], "start")
     # earliest: the smallest (id, start) of the window; rows that repeat each other share its place
     earliest = F.first(F.struct(*keys, "start")).over(order)
@@ -168,13 +169,13 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     same = F.col("start") == F.col("_e.start")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_e.{k}"))
-    dup = found.where((F.col("known") == 1) | ~same)
-    dup = dup.select(*keys, F.struct("start", "len", F.when(F.col("known") == 1, F.col("ref")).otherwise(F.col("_e.id")).alias("ref"), F.when(F.col("known") == 1, F.col("ref_start")).otherwise(F.col("_e.start")).alias("ref_start")).alias("f"))
+    dup = found.where(F.col("known").isNotNull() | ~same)
+    dup = dup.select(*keys, F.struct("start", F.coalesce("known.len", F.lit(1)).alias("len"), F.when(F.col("known").isNotNull(), F.col("known.ref")).otherwise(F.col("_e.id")).alias("ref"), F.coalesce("known.ref_start", "_e.start").alias("ref_start")).alias("f"))
     lists = dup.groupBy(*keys).agg(F.collect_list("f").alias("f"))
     lists = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], "f")
-    on = F.col("id").eqNullSafe(F.col("_id"))
+    on = F.col("id") == F.col("_id")  # keeps the partitions of the lists
     if len(keys) > 1:
-        on = on & (F.col("k2") == F.col("_k2"))
+        on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k2") == F.col("_k2"))
     return texts.join(lists, on, "left").select("id", "text", "f")
 
 
