@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import mask, rules
-from . import analysis, detection, functions, relational  # noqa: F401 - register
+from . import analysis, detection, functions, relational, sources, streams  # noqa: F401 - register
 from .base import ORACLE_SQL, QUERIES, table
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
