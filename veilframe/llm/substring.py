@@ -152,7 +152,7 @@ def factors(start: np.ndarray, length: np.ndarray, ref: list, ref_start: np.ndar
 
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """docs' rows as (id, text, f), f the factors found as an array of (start, len, ref, ref_start), null for none."""
+    """docs' rows as (id, text, f, g): f the windows found again, g the runs of such; null for none."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = ["id"]
     if not texts.groupBy("id").count().where("count > 1 or id is null").isEmpty():
@@ -170,31 +170,35 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_e.{k}"))
     dup = found.where(F.col("known").isNotNull() | ~same)
-    dup = dup.select(*keys, F.struct("start", F.coalesce("known.len", F.lit(1)).alias("len"), F.when(F.col("known").isNotNull(), F.col("known.ref")).otherwise(F.col("_e.id")).alias("ref"), F.coalesce("known.ref_start", "_e.start").alias("ref_start")).alias("f"))
-    lists = dup.groupBy(*keys).agg(F.collect_list("f").alias("f"))
-    lists = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], "f")
+    # place: the start and, below it, where the reference starts; single windows and runs in lists of their own, as most are single
+    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.coalesce("known.ref_start", "_e.start").cast("long"))
+    run = F.col("known").isNotNull()
+    dup = dup.select(*keys, F.when(~run, F.struct(F.col("_e.id").alias("ref"), place.alias("place"))).alias("f"), F.when(run, F.struct(F.col("known.ref").alias("ref"), place.alias("place"), F.col("known.len").alias("len"))).alias("g"))
+    lists = dup.groupBy(*keys).agg(F.collect_list("f").alias("f"), F.collect_list("g").alias("g"))
+    lists = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], "f", "g")
     on = F.col("id") == F.col("_id")  # keeps the partitions of the lists
     if len(keys) > 1:
         on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k2") == F.col("_k2"))
-    return texts.join(lists, on, "left").select("id", "text", "f")
-
-
-def _covered(batch: pa.RecordBatch, at: int) -> Iterator[tuple[list[tuple], int]]:
-    """For each row, its windows as (start, len, ref, ref_start) arrays."""
-    lists = batch.column(at)
-    flat = lists.flatten()
-    fields = [flat.field(i) for i in range(4)]
-    start, length, ref_start = (fields[i].to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-    counts = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
-    cuts = np.concatenate([[0], np.cumsum(counts)])
+    return texts.join(lists, on, "left").select("id", "text", "f", "g")
+
+
+def _covered(batch: pa.RecordBatch, at: int) -> Iterator[tuple]:
+    """For each row, its windows and runs as (start, len, ref, ref_start) arrays; columns f and g stand at ``at``."""
+    parts = []
+    for column in (batch.column(at), batch.column(at + 1)):
+        flat = column.flatten()
+        place = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        length = flat.field(2).to_numpy(zero_copy_only=False).astype(np.int64) if flat.type.num_fields > 2 else np.ones(place.size, np.int64)
+        counts = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
+        parts.append((place >> 32, length, flat.field(0), place & 0xFFFFFFFF, np.concatenate([[0], np.cumsum(counts)])))
     for i in range(batch.num_rows):
-        a, b = cuts[i], cuts[i + 1]
-        yield start[a:b], length[a:b], fields[2].slice(a, b - a), ref_start[a:b]
+        one, more = (tuple(x[p[4][i] : p[4][i + 1]] if isinstance(x, np.ndarray) else x.slice(p[4][i], p[4][i + 1] - p[4][i]) for x in p[:4]) for p in parts)
+        yield tuple(np.concatenate([x, y]) if isinstance(x, np.ndarray) else pa.concat_arrays([x, y]) for x, y in zip(one, more, strict=True))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """One row for each factor: id, first word, end word, the document and word where its text was first seen."""
-    parsed = parse(docs, id_col, text_col, window).where("f is not null").select("id", "f")
+    parsed = parse(docs, id_col, text_col, window).where("f is not null").select("id", "f", "g")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
