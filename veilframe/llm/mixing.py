@@ -51,8 +51,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
     after = full.rowsBetween(0, Window.unboundedFollowing)
     listed = listed.withColumn("_total", F.sum("source_size").over(whole))
     listed = listed.withColumn("_level", (F.col("_total") - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    listed = listed.withColumn("_level", F.min(F.when(F.col("_level") <= limit / F.col("weight") + _EPS, F.struct(limit / F.col("weight"), F.col("_level").alias("level")))).over(whole)["level"])
-    return listed.withColumn("target", F.least(limit, F.coalesce(F.col("_level") * F.col("weight"), limit))).select("source", "source_size", "weight", "target")
+    listed = listed.withColumn("_level", F.min(F.when(F.col("_level") <= limit / F.col("weight") + _EPS, F.struct(limit / F.col("weight"), (-F.col("_level")).alias("less")))).over(whole)["less"])
+    # of sources that reach their caps together, the first one's level counts
+    return listed.withColumn("target", F.least(limit, F.coalesce(-F.col("_level") * F.col("weight"), limit))).select("source", "source_size", "weight", "target")
 
 
 def _let(value: Column, body) -> Column:
