@@ -76,8 +76,8 @@ def _sheets(spark, d, write, fmt):
     def made(name: str) -> bytes:
         return write({name: [[None], ["a", "b"], [name, "x"], [None, "y"]], "empty": [[None]]})
 
-    r = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
-    m = _made(r, made, "r_regionkey", "long").withColumn("format", files.format_of(files.mime_of(F.col("content"))))
+    r = table(spark, d, "region").select("r_regionkey", "r_name")
+    m = _made(r, made, "r_regionkey", "int").withColumn("format", files.format_of(files.mime_of(F.col("content"))))
     return files.ingest(m.where(F.col("format") == fmt), keep="r_regionkey").select("r_regionkey", "text")
 
 
@@ -126,7 +126,7 @@ def src_11(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.concat(F.lit('"'), "n_name", F.lit('",'), F.col("n_regionkey").cast("string")).alias("value"))
     n.write.partitionBy("k").text(path)
     read = files.read_plain(spark, f"{path}/*/*", "csv")
-    return read.select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("long").alias("n_nationkey"), "text")
+    return read.select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("n_nationkey"), "text")
 
 
 @query("src_12_file_guard", "SELECT count(*) AS n FROM region")
