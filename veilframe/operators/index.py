@@ -75,9 +75,10 @@ def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def route(scored: DataFrame) -> DataFrame:
     """(doc_id, score) to search: those with strong scores, failing that medium ones, failing that none."""
-    best = scored.agg(F.max("score").alias("best"))
-    bar = F.when(F.col("best") >= STRONG, STRONG).when(F.col("best") >= MEDIUM, MEDIUM).otherwise(float("inf"))
-    return scored.crossJoin(F.broadcast(best)).where(F.col("score") >= bar).select("doc_id", "score")  # best is one row
+    best = scored.agg(F.max("score")).first()[0]
+    if best is None or best < MEDIUM:
+        return scored.select("doc_id", "score").limit(0)
+    return scored.where(F.col("score") >= (STRONG if best >= STRONG else MEDIUM)).select("doc_id", "score")
 
 
 def disambiguate(scored: DataFrame, edges: DataFrame) -> DataFrame:

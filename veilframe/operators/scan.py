@@ -143,12 +143,16 @@ def find_all(text: Column, pattern: str) -> Column:
     matches give their places. The pattern may have no groups; null gives null."""
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    steps = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
+    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value")))
+    zero = F.struct(F.lit(0).alias("at"), F.slice(none, 1, 0).alias("out"))
 
-    def place(v: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda t, g: t + g) + F.aggregate(F.slice(values, 1, i), F.lit(0), lambda t, w: t + F.length(w))
-        return F.struct(before.alias("start"), (before + F.length(v)).alias("end"), v.alias("value"))
+    def add(acc: Column, s: Column) -> Column:
+        start = acc["at"] + s["gap"]
+        end = start + F.length(s["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value")))).alias("out"))
 
-    return F.transform(values, place)
+    return F.aggregate(steps, zero, add)["out"]
 
 
 def title_case_segments(text: str) -> str:

@@ -75,18 +75,15 @@ def flt_09(spark, d):
     return dense(spark, d).where("score >= 0.35").select("q", "id", "score")
 
 
-#: The sparse list of the vectors' fusion: order by the first coordinate.
-_SPARSE = ", sp AS (SELECT a.vec_id AS q, b.vec_id AS id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.embedding[1] - b.embedding[1]), b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 15)"
+#: The other list of the fusion: nearest by the first eight coordinates.
+_HEAD = "list_transform(CAST(embedding[1:8] AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding[1:8] AS DOUBLE[]), CAST(embedding[1:8] AS DOUBLE[]))))"
+_SPARSE = f", u8 AS (SELECT vec_id, {_HEAD} AS e FROM embeddings), sp AS (SELECT a.vec_id AS q, b.vec_id AS id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.e, b.e), 5) DESC, b.vec_id) AS INTEGER) AS rank FROM u8 a, u8 b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 15)"
 _FUSED = DENSE + _SPARSE + ", fu AS (SELECT coalesce(dn.q, sp.q) AS q, coalesce(dn.id, sp.id) AS id, round(coalesce(0.5 / (60 + dn.rank), 0) + coalesce(0.5 / (60 + sp.rank), 0), 9) AS score FROM dn FULL JOIN sp ON dn.q = sp.q AND dn.id = sp.id)"
 
 
 def sparse(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).alias("x"))
-    q = cut(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("x").alias("qx")))
-    # the stated queries, a twentieth, are packed into one array and meet every row
-    packed = q.agg(F.collect_list(F.struct("q", "qx")).alias("qs"))
-    scored = e.crossJoin(F.broadcast(packed)).select(F.col("vec_id").alias("id"), "x", F.explode("qs").alias("s")).select("s.q", "id", (-F.abs(F.col("s.qx") - F.col("x"))).alias("score"))
-    return retrieve.top_rows(scored, "q", "score", "id", 15)
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
+    return retrieve.nearest(e, e.where("vec_id % 20 = 0"), 15, digits=5)
 
 
 def fused(spark, d):
