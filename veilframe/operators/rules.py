@@ -71,11 +71,11 @@ PLATE_BEFORE = (
 )
 MONTHS = (
     "january february march april may june july august september october november december "
-    "januar februar märz maerz mai juni juli oktober dezember "
-    "janvier février fevrier mars avril juin juillet août aout septembre octobre novembre décembre decembre "
+    "januar februar märz maerz april mai juni juli august september oktober november dezember "
+    "janvier février fevrier mars avril mai juin juillet août aout septembre octobre novembre décembre decembre "
     "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
-    "janeiro fevereiro março marco maio junho julho setembro outubro novembro dezembro "
-    "gennaio febbraio aprile maggio giugno luglio settembre ottobre dicembre "
+    "janeiro fevereiro março marco abril maio junho julho agosto setembro outubro novembro dezembro "
+    "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre "
     "ocak şubat subat mart nisan mayıs mayis haziran temmuz ağustos agustos eylül eylul ekim kasım kasim aralık aralik"
 ).split()
 BIRTH_BEFORE = (
@@ -181,35 +181,27 @@ PACKS: dict[str, tuple[Rule, ...]] = {
     "australia_pa": _pack("australia_pa", ("tfn", "TAX_ID", r"\b\d{3}[-\s]?\d{3}[-\s]?\d{2,3}\b", 0.55), ("medicare", "HEALTH_INSURANCE_ID", r"\b\d{4}[-\s]?\d{5}[-\s]?\d\b", 0.6)),
 }
 
-_COMMON = "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID"
-_MONEY = "FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER"
-_NAMES = "FIRST_NAME LAST_NAME"
-_BELIEFS = "RELIGION ETHNICITY"
-_TRACES = "COOKIE_ID DEVICE_ID LOCATION"
-_HEALTH = "HEALTH_INSURANCE_ID DIAGNOSIS"
 #: The types that each pack protects.
-PACK_TYPES: dict[str, tuple[str, ...]] = {
-    k: tuple(v.split())
-    for k, v in {
-        "gdpr": f"{_COMMON} {_NAMES} MAC_ADDRESS STREET_ADDRESS CITY PASSPORT_NUMBER TAX_ID BIOMETRIC_ID {_HEALTH} MEDICATION CLINICAL_NOTE {_TRACES} COORDINATES {_MONEY} POLITICAL_OPINION {_BELIEFS} SEXUAL_ORIENTATION",
-        "kvkk": f"{_COMMON} {_NAMES} PASSPORT_NUMBER SOCIAL_SECURITY_NUMBER TAX_ID STREET_ADDRESS CITY COORDINATES LICENSE_PLATE {_TRACES} BIOMETRIC_ID DNA_PROFILE {_HEALTH} MEDICATION CLINICAL_NOTE {_BELIEFS} POLITICAL_OPINION SEXUAL_ORIENTATION {_MONEY} CUSTOMER_REFERENCE_ID",
-        "hipaa": f"PERSON_NAME DATE_OF_BIRTH PHONE_NUMBER EMAIL_ADDRESS POSTAL_ADDRESS CITY MEDICAL_RECORD_NUMBER {_HEALTH} MEDICATION CLINICAL_NOTE BIOMETRIC_ID SOCIAL_SECURITY_NUMBER IP_ADDRESS DEVICE_ID LICENSE_PLATE URL",
-        "lgpd": f"{_COMMON} CPF LOCATION COOKIE_ID CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER {_HEALTH} BIOMETRIC_ID POLITICAL_OPINION {_BELIEFS} SEXUAL_ORIENTATION",
-        "ccpa": f"{_COMMON} {_NAMES} STREET_ADDRESS CITY SOCIAL_SECURITY_NUMBER PASSPORT_NUMBER DRIVERS_LICENSE BIOMETRIC_ID {_MONEY} {_TRACES} COORDINATES {_BELIEFS} SEXUAL_ORIENTATION",
-        "cpra": f"{_COMMON} {_NAMES} STREET_ADDRESS CITY SOCIAL_SECURITY_NUMBER PASSPORT_NUMBER DRIVERS_LICENSE BIOMETRIC_ID {_MONEY} {_TRACES} COORDINATES {_BELIEFS} SEXUAL_ORIENTATION {_HEALTH} MEDICATION",
-        "uk_gdpr": f"{_COMMON} {_NAMES} MAC_ADDRESS STREET_ADDRESS CITY PASSPORT_NUMBER TAX_ID BIOMETRIC_ID {_HEALTH} MEDICATION CLINICAL_NOTE {_TRACES} COORDINATES {_MONEY} POLITICAL_OPINION {_BELIEFS} SEXUAL_ORIENTATION",
-        "pipeda": f"{_COMMON} {_NAMES} STREET_ADDRESS CITY BIOMETRIC_ID {_HEALTH} MEDICATION {_TRACES} {_MONEY} TAX_ID {_BELIEFS}",
-        "pdpa_th": f"{_COMMON} {_NAMES} STREET_ADDRESS CITY PASSPORT_NUMBER BIOMETRIC_ID DNA_PROFILE {_HEALTH} MEDICATION CLINICAL_NOTE {_TRACES} COORDINATES {_MONEY} {_BELIEFS} POLITICAL_OPINION SEXUAL_ORIENTATION",
-        "pdpa_sg": f"{_COMMON} PASSPORT_NUMBER BIOMETRIC_ID {_TRACES} {_MONEY}",
-        "appi": f"{_COMMON} PASSPORT_NUMBER BIOMETRIC_ID {_HEALTH} {_TRACES} {_MONEY} {_BELIEFS} POLITICAL_OPINION",
-        "pipl": f"{_COMMON} PASSPORT_NUMBER BIOMETRIC_ID {_TRACES} COORDINATES {_MONEY} {_HEALTH} {_BELIEFS}",
-        "popia": f"{_COMMON} PASSPORT_NUMBER BIOMETRIC_ID {_HEALTH} {_TRACES} {_MONEY} {_BELIEFS} POLITICAL_OPINION SEXUAL_ORIENTATION",
-        "dpdp": f"{_COMMON} PASSPORT_NUMBER BIOMETRIC_ID {_HEALTH} {_TRACES} {_MONEY}",
-        "pdpl_sa": f"{_COMMON} PASSPORT_NUMBER BIOMETRIC_ID {_TRACES} {_MONEY} {_HEALTH} {_BELIEFS} POLITICAL_OPINION",
-        "nzpa": f"{_COMMON} BIOMETRIC_ID {_HEALTH} {_TRACES} {_MONEY} {_BELIEFS} POLITICAL_OPINION SEXUAL_ORIENTATION",
-        "australia_pa": f"{_COMMON} BIOMETRIC_ID {_HEALTH} {_TRACES} {_MONEY} {_BELIEFS} POLITICAL_OPINION SEXUAL_ORIENTATION",
-    }.items()
+_TYPES = {
+    "gdpr": "PERSON_NAME FIRST_NAME LAST_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS MAC_ADDRESS POSTAL_ADDRESS STREET_ADDRESS CITY DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER TAX_ID BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION CLINICAL_NOTE COOKIE_ID DEVICE_ID LOCATION COORDINATES FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER POLITICAL_OPINION RELIGION ETHNICITY SEXUAL_ORIENTATION",
+    "kvkk": "PERSON_NAME FIRST_NAME LAST_NAME NATIONAL_ID PASSPORT_NUMBER SOCIAL_SECURITY_NUMBER TAX_ID PHONE_NUMBER EMAIL_ADDRESS POSTAL_ADDRESS STREET_ADDRESS CITY LOCATION COORDINATES DATE_OF_BIRTH LICENSE_PLATE IP_ADDRESS COOKIE_ID DEVICE_ID BIOMETRIC_ID DNA_PROFILE HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION CLINICAL_NOTE RELIGION ETHNICITY POLITICAL_OPINION SEXUAL_ORIENTATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER CUSTOMER_REFERENCE_ID",
+    "hipaa": "PERSON_NAME DATE_OF_BIRTH PHONE_NUMBER EMAIL_ADDRESS POSTAL_ADDRESS CITY MEDICAL_RECORD_NUMBER HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION CLINICAL_NOTE BIOMETRIC_ID SOCIAL_SECURITY_NUMBER IP_ADDRESS DEVICE_ID LICENSE_PLATE URL",
+    "lgpd": "PERSON_NAME CPF NATIONAL_ID EMAIL_ADDRESS PHONE_NUMBER POSTAL_ADDRESS DATE_OF_BIRTH LOCATION IP_ADDRESS COOKIE_ID CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER HEALTH_INSURANCE_ID DIAGNOSIS BIOMETRIC_ID POLITICAL_OPINION RELIGION ETHNICITY SEXUAL_ORIENTATION",
+    "ccpa": "PERSON_NAME FIRST_NAME LAST_NAME EMAIL_ADDRESS PHONE_NUMBER POSTAL_ADDRESS STREET_ADDRESS CITY IP_ADDRESS NATIONAL_ID SOCIAL_SECURITY_NUMBER PASSPORT_NUMBER DRIVERS_LICENSE DATE_OF_BIRTH BIOMETRIC_ID FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER DEVICE_ID COOKIE_ID COORDINATES LOCATION RELIGION ETHNICITY SEXUAL_ORIENTATION",
+    "cpra": "PERSON_NAME FIRST_NAME LAST_NAME EMAIL_ADDRESS PHONE_NUMBER POSTAL_ADDRESS STREET_ADDRESS CITY IP_ADDRESS NATIONAL_ID SOCIAL_SECURITY_NUMBER PASSPORT_NUMBER DRIVERS_LICENSE DATE_OF_BIRTH BIOMETRIC_ID FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER DEVICE_ID COOKIE_ID COORDINATES LOCATION RELIGION ETHNICITY SEXUAL_ORIENTATION HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION",
+    "uk_gdpr": "PERSON_NAME FIRST_NAME LAST_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS MAC_ADDRESS POSTAL_ADDRESS STREET_ADDRESS CITY DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER TAX_ID BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION CLINICAL_NOTE COOKIE_ID DEVICE_ID LOCATION COORDINATES FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER POLITICAL_OPINION RELIGION ETHNICITY SEXUAL_ORIENTATION",
+    "pipeda": "PERSON_NAME FIRST_NAME LAST_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS STREET_ADDRESS CITY DATE_OF_BIRTH NATIONAL_ID BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER TAX_ID RELIGION ETHNICITY",
+    "pdpa_th": "PERSON_NAME FIRST_NAME LAST_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS STREET_ADDRESS CITY DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID DNA_PROFILE HEALTH_INSURANCE_ID DIAGNOSIS MEDICATION CLINICAL_NOTE COOKIE_ID DEVICE_ID LOCATION COORDINATES FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER RELIGION ETHNICITY POLITICAL_OPINION SEXUAL_ORIENTATION",
+    "pdpa_sg": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER",
+    "appi": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER RELIGION ETHNICITY POLITICAL_OPINION",
+    "pipl": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID COOKIE_ID DEVICE_ID LOCATION COORDINATES FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER HEALTH_INSURANCE_ID DIAGNOSIS RELIGION ETHNICITY",
+    "popia": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER RELIGION ETHNICITY POLITICAL_OPINION SEXUAL_ORIENTATION",
+    "dpdp": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER",
+    "pdpl_sa": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID PASSPORT_NUMBER BIOMETRIC_ID COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER HEALTH_INSURANCE_ID DIAGNOSIS RELIGION ETHNICITY POLITICAL_OPINION",
+    "nzpa": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER RELIGION ETHNICITY POLITICAL_OPINION SEXUAL_ORIENTATION",
+    "australia_pa": "PERSON_NAME EMAIL_ADDRESS PHONE_NUMBER IP_ADDRESS POSTAL_ADDRESS DATE_OF_BIRTH NATIONAL_ID BIOMETRIC_ID HEALTH_INSURANCE_ID DIAGNOSIS COOKIE_ID DEVICE_ID LOCATION FINANCIAL_ACCOUNT CREDIT_CARD_NUMBER BANK_ACCOUNT_NUMBER RELIGION ETHNICITY POLITICAL_OPINION SEXUAL_ORIENTATION",
 }
+PACK_TYPES: dict[str, tuple[str, ...]] = {pack: tuple(types.split()) for pack, types in _TYPES.items()}
 #: Which of two overlapping identifiers wins; types not listed have 50.
 PRIORITY = {
     "CREDIT_CARD_NUMBER": 100, "IBAN": 100, "CPF": 95, "NATIONAL_ID": 95, "SOCIAL_SECURITY_NUMBER": 95, "HEALTH_INSURANCE_ID": 90, "MEDICAL_RECORD_NUMBER": 90,
