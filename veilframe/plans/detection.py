@@ -71,6 +71,89 @@ for _name, _rule in {"det_07_mac_pages": "mac", "det_08_url_pages": "url", "det_
     ORACLE_SQL[_name] = spans_sql(_PAGES, next(r for r in rules.BASELINE if r.name == _rule).pattern)
 
 
+# --- every baseline rule with a plain pattern over lines made of ASCII, where all engines agree on the borders of words --
+
+_FORMAT = (
+    "Call +1 (555) 123-%04d or 0505 182 37 %02d. Card 4111 1111 1111 %04d. Date of birth: 12.03.19%02d and 7 March 19%02d. At 41.%04d, 2.%04d. cookie=123e4567-e89b-12d3-a456-4266141740%02d "
+    "IMEI: 3569380356438%02d device_id=123e4567-e89b-12d3-a456-4266141740%02d serial no: AB12CD%02d SSN 078-05-11%02d. passport P12345%02d. driver license D12345%02d. tax id 12-34567%02d. plate no 34 ABC %03d."
+)
+_DIVISORS = (10000, 100, 10000, 100, 100, 10000, 10000, 100, 100, 100, 100, 100, 100, 100, 100, 1000)
+_MADE_SQL = "SELECT c_custkey AS id, printf('" + _FORMAT + "', " + ", ".join(f"c_custkey % {n}" for n in _DIVISORS) + ") AS text FROM customer"
+
+
+def _rule_sql(rule: rules.Rule) -> str:
+    flag = "(?i)" if rule.ignore_case else ""
+    where = ["true"]
+    if rule.digits:
+        where.append(f"length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN {rule.digits[0]} AND {rule.digits[1]}")
+    if rule.shape == "digit":
+        where.append("regexp_matches(value, '[0-9]')")
+    if rule.before:
+        before = rule.before.replace("'", "''")
+        where.append(f"regexp_matches(substring(text, greatest(\"start\" - {rule.window}, 0) + 1, least(\"start\", {rule.window})), '(?i){before}')")
+    sql = spans_sql(_MADE_SQL, flag + rule.pattern, " AND ".join(where))
+    return sql.replace("SELECT id, regexp_extract_all", "SELECT id, text, regexp_extract_all").replace("m AS (SELECT id,", "m AS (SELECT id, text,")
+
+
+def _made_lines(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("id"), F.format_string(_FORMAT, *[k % n for n in _DIVISORS]).alias("text"))
+
+
+for _name, _rule in {
+    "det_01_phone_made": "phone", "det_05_card_made": "card", "det_06_birth_date_made": "birth_date", "det_09_coordinates_made": "coordinates", "det_10_cookie_made": "cookie_uuid", "det_11_imei_made": "device_imei",
+    "det_11_device_made": "device_uuid", "det_11_serial_made": "device_serial", "det_14_passport_made": "passport", "det_15_license_made": "drivers_license", "det_16_tax_made": "tax", "det_17_plate_made": "plate",
+}.items():
+
+    def _run_made(spark, d, _rule=_rule):
+        return scan.scan(_made_lines(spark, d), [r for r in rules.BASELINE if r.name == _rule], "id", "text").select("id", "start", "end", "value")
+
+    QUERIES[_name] = _run_made
+    ORACLE_SQL[_name] = _rule_sql(next(r for r in rules.BASELINE if r.name == _rule))
+
+
+@query("det_12_ssn_made", _rule_sql(next(r for r in rules.BASELINE if r.name == "ssn")).replace('SELECT id, "start", "end", value FROM m', "SELECT id, value, CASE WHEN substring(value, 8) <> '0000' THEN 0.92::DOUBLE ELSE 0.55 END AS score FROM m"))
+def det_12_made(spark, d):
+    return scan.scan(_made_lines(spark, d), [r for r in rules.BASELINE if r.name == "ssn"], "id", "text").select("id", "value", "score")
+
+
+@query("det_13_cpf_made", "WITH x AS (SELECT c_custkey AS id, '529.982.247-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS value FROM customer) SELECT id, value, CASE WHEN value = '529.982.247-25' THEN 0.95::DOUBLE ELSE 0.55 END AS score FROM x WHERE id % 2 = 0 OR value = '529.982.247-25'")
+def det_13_made(spark, d):
+    k = F.col("c_custkey")
+    t = table(spark, d, "customer").select(k.alias("id"), F.concat(F.when(k % 2 == 0, "CPF ").otherwise("no. "), F.format_string("529.982.247-%02d", k % 100)).alias("text"))
+    return scan.scan(t, [r for r in rules.BASELINE if r.name == "cpf"], "id", "text").select("id", "value", "score")
+
+
+@query("det_02_iban_made", "WITH x AS (SELECT c_custkey AS id, 'DE' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '370400440532013000' AS v FROM customer) SELECT id, substring(v, 1, coalesce(n, 22)) AS value, CASE WHEN n IS NULL THEN 0.65::DOUBLE ELSE 0.96 END AS score FROM (SELECT id, v, list_max(list_filter(range(15, 23), lambda n: CAST(substring(v, 5, n - 4) || '1314' || substring(v, 3, 2) AS HUGEINT) % 97 = 1)) AS n FROM x)")
+def det_02_made(spark, d):
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.format_string("IBAN DE%02d370400440532013000.", F.col("c_custkey") % 100).alias("text"))
+    return scan.scan(t, [r for r in rules.BASELINE if r.name == "iban"], "id", "text").select("id", "value", "score")
+
+
+@query("det_03_person_made", "SELECT c_custkey AS id, 6 AS \"start\", 'Ann' || chr(97 + CAST(c_custkey % 26 AS INTEGER)) AS value FROM customer WHERE c_custkey % 2 = 0")
+def det_03_made(spark, d):
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 2 == 0, "Ann").otherwise("ann"), F.char(97 + k % 26))
+    t = table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("Name:\n"), name, F.lit("\nrest")).alias("text"))
+    return scan.scan(t, [r for r in rules.BASELINE if r.name == "name_after_label"], "id", "text").select("id", "start", "value")
+
+
+@query("det_04_address_made", "SELECT c_custkey AS id, 'Main ST ' || c_custkey || ' NO:5' AS value, 0.82::DOUBLE AS score FROM customer UNION ALL SELECT c_custkey, 'CAD 7 KAT ' || c_custkey, 0.78 FROM customer UNION ALL SELECT c_custkey, 'Address: Main ST ' || c_custkey || ' NO:5', 0.78 FROM customer")
+def det_04_made(spark, d):
+    k = F.col("c_custkey").cast("string")
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Address: Main ST "), k, F.lit(" NO:5\nnothing here\nCAD 7 KAT "), k).alias("text"))
+    return scan.scan(t, [r for r in rules.BASELINE if r.name == "address"], "id", "text").select("id", "value", "score")
+
+
+@query("udf_04_prompt_rules", "SELECT 'ask' AS name, 'SECRET_PROJECT' AS entity_type, 0.8::DOUBLE AS score")
+def udf_04(spark, d):
+    """Custom rules by prompt need a factory that turns them into rules; without one they are left out."""
+    ask = rules.Custom("ask", "SECRET_PROJECT", "llm_prompt")
+    made = rules.from_custom([ask], lambda c: rules.Rule(c.name, "custom", c.entity_type, "project x", 0.8))
+    assert rules.from_custom([ask]) == []
+    return spark.createDataFrame([(r.name, r.entity_type, r.score) for r in made], "name string, entity_type string, score double")
+
+
 # --- packs: each pack's own rules over documents with a made line, and one query for pure formats with SQL --
 
 _FORMATS = {
