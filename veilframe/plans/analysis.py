@@ -267,7 +267,7 @@ def win_08(spark, d):
     return s.withColumn("p", p).groupBy("ledger").agg(F.count_if(F.col("prev_hash") != F.col("p")).alias("broken"))
 
 
-@query("fn_18_record_hash")
+@query("fn_18_record_hash", "SELECT event_id AS seq, sha256('{\"event_type\":\"' || event_type || '\",\"props\":\"' || replace(props, '\"', '\\\"') || '\"}') AS hash FROM events")
 def fn_18(spark, d):
     return ledger.bodies(events(spark, d).select(F.col("user_id").alias("ledger"), F.col("event_id").alias("seq"), "event_type", "props")).select("seq", F.sha2("body", 256).alias("hash"))
 
