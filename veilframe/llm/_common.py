@@ -29,3 +29,14 @@ def bounded_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, seed
     for value, n in counts:
         rate = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, 1.15 * per_stratum / n))).otherwise(rate)
     return df.withColumn("_u", draw(seed, F.col(key))).where(F.col("_u") < rate)
+
+
+#: Rows that cross to Python at once; long texts make large batches.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Keeps Arrow batches of the session to BATCH_ROWS rows, where its setting is larger: several tasks share an executor."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))

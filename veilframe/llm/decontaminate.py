@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ._common import bounded_batches
 from ._words import U64, Words, as_strings, mix, ngrams, slices, split
 
 #: Signs that are no part of a word at its ends.
@@ -165,6 +166,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row for each document and item of which it holds a copy, edited or not: ids, score (0 to 1), the
     best passage by word positions, and its seeds. A seed is rare if it is in at most
     max(floor, factor x the item's median) documents."""
+    bounded_batches(docs)
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("item_id", benchmark.schema[item_id_col].dataType), StructField("score", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType()), StructField("seeds", LongType())])
     texts = docs.select(id_col, text_col)
     parts = [_find_block(texts, Items.of(ids, items, n), schema, least, factor, floor, min_score) for ids, items in _blocks(benchmark, item_id_col, item_text_col, block_rows)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ._common import bounded_sample, crc_mod
+from ._common import bounded_batches, bounded_sample, crc_mod
 from ._words import as_strings, buffers
 
 UNDETERMINED = "und"
@@ -58,6 +58,8 @@ class CompressionModel:
     def sizes(self, text: bytes) -> np.ndarray:
         """Compressed bytes by language, summed over all blocks, without what every frame costs."""
         view, out = memoryview(text), np.zeros(len(self.langs), np.int64)
+        if not self.langs:
+            return out
         for at in range(0, len(text), self.block):
             part = view[at : at + self.block]
             out += [len(c.compress(part)) - 4 for c in self.coders()]
@@ -79,6 +81,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from rows with a language whose crc32(id) mod ``held_out_mod`` is not 0, at most
     ``rows_per_lang`` of each language (by hash) and ``dictionary_bytes`` of their text. The
     sample is cut on the executors, so the driver gets at most rows x bytes / rows of each."""
+    bounded_batches(docs)
     each = max(256, 2 * dictionary_bytes // rows_per_lang)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where((crc_mod(F.col("id"), held_out_mod) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -93,6 +96,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: CompressionModel, text_col: str = "text", min_margin: float = 0.002, lang_as: str = "lang_pred", score_as: str = "score", rejected_as: str = "rejected") -> DataFrame:
     """Adds the language, the margin and whether the row is rejected: no letter, or a margin below ``min_margin``."""
+    bounded_batches(docs)
     extra = [StructField(lang_as, StringType()), StructField(score_as, DoubleType()), StructField(rejected_as, BooleanType())]
     kept = [f for f in docs.schema.fields if f.name not in (lang_as, score_as, rejected_as)]
     at = next(i for i, f in enumerate(kept) if f.name == text_col)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ._common import bounded_batches
 from ._words import as_strings
 
 BASE = ("email", "ip", "card", "phone")
@@ -391,6 +392,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def detect(docs: DataFrame, model: SegmentModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, base counts by kind, SHA-256 of the base spans, all spans."""
+    bounded_batches(docs)
     schema = StructType([docs.schema[id_col], *[StructField(f"n_{k}", LongType()) for k in BASE], StructField("base_sha256", StringType()), StructField("spans", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,6 +409,7 @@ def detect(docs: DataFrame, model: SegmentModel, id_col: str = "doc_id", text_co
 
 def redact(docs: DataFrame, model: SegmentModel, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows with every span masked and the length set anew; a null text stays null. Other columns pass through."""
+    bounded_batches(docs)
     names, length = docs.columns, docs.columns.index(length_col) if length_col in docs.columns else None
     at = names.index(text_col)
 

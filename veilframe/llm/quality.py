@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import bounded_sample, crc_mod
+from ._common import bounded_batches, bounded_sample, crc_mod
 from ._words import U64, as_strings, mix, slices, split
 
 ORDERS = (3, 5)
@@ -104,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held_out``, ``rows_per_class``
     of each class at most (drawn by hash). A row's n-grams are counted on the executors; the driver
     gets at most ``buckets`` counts for a row. An id labelled more than once counts by its largest label."""
+    bounded_batches(docs)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where((crc_mod(F.col("_id"), mod) != held_out) & F.col("_y").isin(0, 1))
     picked = bounded_sample(known, "_y", "_id", rows_per_class, seed).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 def score(docs: DataFrame, model, text_col: str = "text", score_as: str = "score") -> DataFrame:
     """Adds the probability of label 1; any model with score(texts) will do. Other columns pass through."""
+    bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name != score_as]
     at = next(i for i, f in enumerate(kept) if f.name == text_col)
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
 from ._words import U64, Words, as_strings, mix, ngrams, slices, split, whole
 
 SEED_WORDS = 9
@@ -102,7 +103,7 @@ def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int) ->
             known_type = [pa.field("len", pa.int32()), pa.field("ref", batch.column(0).type), pa.field("ref_start", pa.int32())]
             column = as_strings(batch.column(n_keys))
             all_keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True))
-            for lo, hi in slices(column, 1 << 22):
+            for lo, hi in slices(column, 1 << 21):
                 words = split(column.slice(lo, hi - lo))
                 _, ok, seed = _seeds(words, window)
                 place = (seed % U64(BITS)).astype(np.int64)
@@ -153,6 +154,7 @@ def factors(start: np.ndarray, length: np.ndarray, ref: list, ref_start: np.ndar
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """docs' rows as (id, text, f, g): f the windows found again, g the runs of such; null for none."""
+    bounded_batches(docs)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = ["id"]
     if not texts.groupBy("id").count().where("count > 1 or id is null").isEmpty():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_sample, crc_mod
+from ._common import bounded_batches, bounded_sample, crc_mod
 from ._words import as_strings
 
 #: Words of insult and of address.
@@ -237,6 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     """Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held_out``, at most ``rows_per_class``
     of each class (drawn by hash). The lexicon comes from one half of them, the trees from the other, so that
     lexicon features are as good in training as on new texts. An id labelled more than once counts by its largest label."""
+    bounded_batches(docs)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where((crc_mod(F.col("_id"), mod) != held_out) & F.col("_y").isin(0, 1))
     picked = bounded_sample(known, "_y", "_id", rows_per_class, seed).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_u").alias("_u"))
