@@ -312,6 +312,15 @@ def test_url_rules_against_plain(spark):
         assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow")), r
 
 
+@pytest.mark.parametrize(
+    ("url", "host", "path"),
+    [("http://A.b/c?d", "a.b", "/c"), ("a://h?x://b/c", "h", ""), ("x://h#/p", "h", ""), ("://h/p/q#f", "h", "/p/q"), ("http://É.b:80", "É.b:80", ""), ("no", "", ""), (None, "", ""), ("a://b/c://d?e", "b", "/c://d"), ("a\nb://h\n/p\nq", "h\n", "/p\nq")],
+)
+def test_url_parts(spark, url, host, path):
+    df = spark.createDataFrame([(url,)], "u string").select(urls.host_of(F.col("u")).alias("h"), urls.path_of(F.col("u")).alias("p"))
+    assert tuple(df.first()) == (host, path)
+
+
 def test_url_rules_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
