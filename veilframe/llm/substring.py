@@ -12,7 +12,8 @@ Two passes over the texts prepare the index. The first counts seeds: of the shor
 window, the one with the least hash, which two equal windows share. Seeds that occur twice go into a bit
 set of fixed size. The second hashes the windows whose seed has its bit set, to 96 bits; a bit that
 is set by chance costs a row and changes nothing. Runs repeated within a slice of texts are settled on the
-spot, so however often a passage occurs, each slice sends it once.
+spot, so however often a passage occurs, each slice sends it once; a document that repeats an earlier one as a whole
+is settled as one run, and sends no windows.
 
 Words are runs of anything but ASCII blanks, unchanged. Nulls and empty texts have no words. Ids order
 documents, null last. Rows that share an id are told apart, and ordered, by the hash of their text; rows
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches
@@ -70,20 +71,34 @@ def _count_seeds(texts: DataFrame, window: int) -> DataFrame:
 def repeated_seeds(texts: DataFrame, window: int) -> np.ndarray:
     """A set of BITS bits, those of seeds that occur more than once. It is put together in segments on the
     executors; only the set itself, of fixed size, reaches the driver."""
-    bit = _count_seeds(texts, window).where("n > 1").select(F.pmod("seed", F.lit(BITS)).alias("bit")).distinct()
+    return _bit_set(_count_seeds(texts, window).where("n > 1").select(F.pmod("seed", F.lit(BITS)).alias("bit")))
+
+
+def _bit_set(bit: DataFrame) -> np.ndarray:
+    """The set of the column bit."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(_SEGMENT, bool)
         bits[pdf["bit"].to_numpy() % _SEGMENT] = True
         return pd.DataFrame({"segment": [int(pdf["bit"].iloc[0]) // _SEGMENT], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    packed = bit.groupBy(F.floor(F.col("bit") / _SEGMENT)).applyInPandas(pack, "segment long, bits binary").collect()
+    packed = bit.distinct().groupBy(F.floor(F.col("bit") / _SEGMENT)).applyInPandas(pack, "segment long, bits binary").collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in packed:
         out[r.segment * (_SEGMENT // 8) : (r.segment + 1) * (_SEGMENT // 8)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def _mark(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BITS))
+
+
+def first_texts(texts: DataFrame) -> np.ndarray:
+    """The bits of (text, id) of the smallest id of each text. A row whose bit is missing repeats an earlier text; chance bits
+    only mean that a repetition is not told so early. texts: id, t1, t2 (hashes of the text)."""
+    return _bit_set(texts.groupBy("t1", "t2").agg(F.min("id").alias("id")).select(_mark(F.col("t1"), F.col("t2"), F.col("id")).alias("bit")))
+
+
 def _ranks(keys: list) -> np.ndarray:
     """Places of keys in order, nulls last; equal keys share a place."""
     order = sorted(set(keys), key=lambda k: tuple((x is None, x or 0) for x in k))
@@ -91,9 +106,10 @@ def _ranks(keys: list) -> np.ndarray:
     return np.array([place[k] for k in keys], np.int64)
 
 
-def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int) -> DataFrame:
+def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int, firsts: np.ndarray | None = None) -> DataFrame:
     """Windows that may repeat, one row for each and slice (known null), and runs of windows that repeat an earlier one
-    of their slice, which need no more checking (known: how many windows, and where they repeat). docs: keys, text."""
+    of their slice, which need no more checking (known: how many windows, and where they repeat). docs: keys, text, mark. A row whose mark is missing from ``firsts`` repeats a
+    whole text; all of it is one run, whose reference is null: the first row with that text."""
     fields = [docs.schema[k] for k in keys]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     n_keys = len(keys)
@@ -106,6 +122,12 @@ def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int) ->
             for lo, hi in slices(column, 1 << 21):
                 words = split(column.slice(lo, hi - lo))
                 _, ok, seed = _seeds(words, window)
+                copy = np.zeros(hi - lo, bool)
+                if firsts is not None:
+                    mark = batch.column(n_keys + 1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                    copy = ~(firsts[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
+                    ok &= ~copy[words.doc[: ok.size]]
+                whole_runs = np.flatnonzero(copy & (np.diff(words.first) >= window))
                 place = (seed % U64(BITS)).astype(np.int64)
                 at = np.flatnonzero(ok & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
                 h1, h2 = ngrams(words.hash, window, seed=21)[at], ngrams(words.hash, window, seed=22)[at]
@@ -125,18 +147,22 @@ def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int) ->
                 opens[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1) | (rd[1:] != rd[:-1]) | (rs[1:] != rs[:-1] + 1)
                 first = np.flatnonzero(opens)
                 f = np.flatnonzero(new)
-                who = np.concatenate([doc[f], d[first]])
+                who = np.concatenate([doc[f], d[first], whole_runs])
                 take = lambda i, which: batch.column(i).take(pa.array(lo + which))
-                spread = mix(o[first].astype(U64) ^ mix(h1[o[first]], 90), 91)  # settled rows go anywhere
-                runs = [pa.array(np.diff(np.append(first, o.size)).astype(np.int32)), take(0, rd[first]), pa.array(rs[first].astype(np.int32))]
+                # settled rows go anywhere
+                spread = mix(np.concatenate([h1[o[first]] ^ o[first].astype(U64), whole_runs.astype(U64) ^ U64(at.size)]), 91)
+                lengths = np.concatenate([np.diff(np.append(first, o.size)), np.diff(words.first)[whole_runs] - window + 1]).astype(np.int32)
+                refs = pa.concat_arrays([take(0, rd[first]), pa.nulls(whole_runs.size, batch.column(0).type)])
+                runs = [pa.array(lengths), refs, pa.array(np.concatenate([rs[first], np.zeros(whole_runs.size, np.int64)]).astype(np.int32))]
+                starts = np.concatenate([start[f], s[first], np.zeros(whole_runs.size, np.int64)]).astype(U64)
                 none = pa.nulls(f.size, pa.struct(known_type))
                 known = pa.concat_arrays([none, pa.StructArray.from_arrays(runs, fields=known_type)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h1[f], spread]).astype(np.int64)), pa.array((np.concatenate([h2[f], mix(spread, 1)]) << U64(32) | np.concatenate([start[f], s[first]]).astype(U64)).astype(np.int64)), *[take(i, who) for i in range(n_keys)], known],
+                    [pa.array(np.concatenate([h1[f], spread]).astype(np.int64)), pa.array((np.concatenate([h2[f], mix(spread, 1)]) << U64(32) | starts).astype(np.int64)), *[take(i, who) for i in range(n_keys)], known],
                     names=["h1", "h2_start", *keys, "known"],
                 )
 
-    return docs.select(*keys, "text").mapInArrow(run, f"h1 long, h2_start long, {ddl}, known struct<len:int,ref:{fields[0].dataType.simpleString()},ref_start:int>")
+    return docs.select(*keys, "text", *(["mark"] if firsts is not None else [])).mapInArrow(run, f"h1 long, h2_start long, {ddl}, known struct<len:int,ref:{fields[0].dataType.simpleString()},ref_start:int>")
 
 
 def factors(start: np.ndarray, length: np.ndarray, ref: list, ref_start: np.ndarray, window: int) -> list[tuple[int, int, object, int]]:
@@ -160,9 +186,14 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     if not texts.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         keys = ["id", "k2"]
         texts = texts.withColumn("k2", F.xxhash64("text"))
+    firsts = None
+    if len(keys) == 1:
+        hashed = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+        firsts = first_texts(hashed)
+        texts = hashed.withColumn("mark", _mark(F.col("t1"), F.col("t2"), F.col("id"))).drop("t1", "t2")
     bits = repeated_seeds(texts.select("text"), window)
     # the second half of the hash shares a word with the place, which keeps the rows that are dealt out short
-    found = windows(texts, keys, bits, window).repartition("h1")
+    found = windows(texts, keys, bits, window, firsts).repartition("h1")
     found = found.withColumn("h2", F.shiftright("h2_start", 32)).withColumn("start", F.col("h2_start").bitwiseAND(0xFFFFFFFF).cast("int"))
     order = Window.partitionBy("h1", "h2").orderBy(*[F.col(k).asc_nulls_last() for k in keys], "start")
     # earliest: the smallest (id, start) of the window; rows that repeat each other share its place
