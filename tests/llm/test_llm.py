@@ -443,6 +443,34 @@ def test_chains_of_near_duplicates(spark):
     assert got == plain_classes(docs)
 
 
+def test_pairs_in_a_large_family(spark):
+    # 3,000 texts with a template, 0.78 alike, and 60 pairs of them that are 0.82 alike
+    template = " ".join(f"t{i}" for i in range(179))
+    docs = []
+    for n in range(3000):
+        own = n // 2 if n < 120 else n
+        docs.append((n, " ".join([template, *(f"p{own}x{i}" if i < 5 and n < 120 else f"d{n}x{i}" for i in range(25))])))
+    got = {r.doc_id: r.class_id for r in dart.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {n: n - n % 2 if n < 120 else n for n in range(3000)}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_rarest_runs_miss_no_pair(spark, similarity):
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(60)]
+    docs = []
+    for n in range(150):
+        text = template[: rng.randint(20, 60)]
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = rng.choice("abcdef")
+        docs.append((b"%03d" % n, b"%03d" % (n // 3 if n % 2 else n), " ".join(text)))
+    sets = [set(dart.shingles(pa.array([t], pa.large_string()))[1].tolist()) for *_, t in docs]
+    want = {(a[0], b[0]) for i, a in enumerate(docs) for j, b in enumerate(docs) if i < j and a[1] != b[1] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(docs, "node binary, c binary, text string")
+    got = {(bytes(r.a), bytes(r.b)) for r in dart._rarest(df.select("node", "c"), df.select("node", "text"), similarity, deal=20).collect()}
+    assert len(want) > 50 and want <= got
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     k = 2048

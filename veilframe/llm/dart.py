@@ -10,7 +10,9 @@ Documents that share a band are candidates. Within a band nothing is paired with
 member meets one leader. Candidates are checked exactly (Jaccard similarity of the sets of runs). Where
 a band still holds members of different classes, more rounds follow with other leaders, until there is no
 untried pair left or no round joins anything (``rounds`` at most); each band chooses its own leader, so a
-member meets as many as there are bands. Classes are the connected components of the checked links.
+member meets as many as there are bands. What is mixed even then is settled exactly: all members of such
+bands enter a prefix join over their rarest runs (``_rarest``), which leaves out no pair that is similar enough.
+Classes are the connected components of the checked links.
 
 Equal texts are one node from the start, so copies cost no pairs. Null counts as empty; all empty texts are
 one class. Texts of fewer than five words have one run, all their words. Class ids are the smallest id in
@@ -159,6 +161,48 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _least(share: float, size: Column) -> Column:
+    return F.ceil(F.lit(share) * size - 1e-9).cast("int")
+
+
+def _rarest(mixed: DataFrame, texts: DataFrame, similarity: float, deal: int = 500) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that may be similar enough, none of those left out; mixed: (node, c).
+
+    Runs are ordered by the number of nodes that have them, then by hash. Of two sets x and y, no larger than x, that are
+    similar enough, the first common run lies within the first |x| - ceil(t |x|) + 1 of x and |y| - ceil(2 t / (1 + t) |y|) + 1
+    of y, and from it on both hold as many as they must share. A family with a template meets in its own words so, not in
+    the template. Of a run's holders only those outside its largest class meet the others, dealt out by salts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = as_strings(batch.column(2))
+            for lo, hi in slices(column):
+                row, h, _ = shingles(column.slice(lo, hi - lo))
+                at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                runs = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), runs], names=["node", "c", "runs"])
+
+    held = cut(texts.join(mixed, "node").select("node", "c", "text").mapInArrow(run, "node binary, c binary, runs array<long>"))
+    each = held.select("node", "c", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    # runs of one node are no use but count as the first ones
+    common = each.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    listed = each.join(common, "run").groupBy("node").agg(F.first("c").alias("c"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "run"))).alias("runs"))
+    own = F.col("size") - F.size("runs")
+    reach = F.col("size") - _least(similarity, F.col("size")) + 1 - own
+    first = listed.where(reach > 0).select("node", "c", "size", own.alias("own"), F.posexplode(F.slice("runs", 1, reach)).alias("at", "r"))
+    first = cut(first.select("node", "c", "size", (F.col("own") + F.col("at")).alias("at"), F.col("r.run").alias("run")))
+    by_class = first.groupBy("run", "c").agg(F.count("*").alias("k"))
+    spread = by_class.groupBy("run").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("n"), F.count("*").alias("classes"))
+    dealt = first.join(spread.where("classes > 1"), "run").withColumn("deals", F.ceil(F.col("n") / deal).cast("int"))
+    one = dealt.where("c <> most").select("run", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("salt"), *[F.col(x).alias(f"{x}1") for x in ("node", "c", "size", "at")])
+    two = dealt.select("run", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"), *[F.col(x).alias(f"{x}2") for x in ("node", "c", "size", "at")])
+    short, at = F.least("size1", "size2"), F.when(F.col("size1") == F.col("size2"), F.greatest("at1", "at2")).when(F.col("size1") < F.col("size2"), F.col("at1")).otherwise(F.col("at2"))
+    near = at <= short - _least(2 * similarity / (1 + similarity), short)
+    rest = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
+    fits = rest >= _least(similarity / (1 + similarity), F.col("size1") + F.col("size2"))
+    return one.join(two, ["run", "salt"]).where((F.col("c1") != F.col("c2")) & near & fits).select(*_ordered("node1", "node2")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, counts: bool = False, rounds: int = 4) -> DataFrame:
     """(node, class_id, rep_id) for every distinct text; node is what ``node_of`` gives for a text, rep_id the
     smallest id with that very text. counts: repeated runs weigh by their number in the signatures."""
@@ -190,6 +234,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             break
         tried, links = tried.unionByName(more), links.unionByName(new)
     found = connected_components(links)
+    told = members.where("n > 2").join(found.select("node", F.col("component").alias("c")), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
+    torn = told.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
+    mixed = cut(told.join(torn, "band").select("node", "c").distinct())
+    if not mixed.isEmpty():
+        last = cut(_rarest(mixed, kept, similarity).join(tried, ["a", "b"], "left_anti"))
+        new = cut(_checked(last, kept, similarity))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = connected_components(links)
     joined = nodes.join(found, "node", "left").select("node", "rep_id", F.coalesce("component", "node").alias("c"))
     smallest = joined.groupBy("c").agg(F.min("rep_id").alias("class_id"))
     return joined.join(smallest, "c").select("node", "rep_id", "class_id")
