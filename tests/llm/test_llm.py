@@ -165,6 +165,15 @@ def test_segment_model():
     assert pii.mask(text, spans) == 'password=[SECRET] and [EMAIL], "plain words" 12 and 3.5'
 
 
+@pytest.mark.parametrize("size", [40, 64, 128])
+def test_long_keys(size):
+    model, rng = pii.train(), random.Random(size)
+    for signs in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        for lead, end in (('token = "', '"'), ("api_key: ", ""), ("key=", ";" + "x" * 80)):
+            text = f"some words {lead}a{''.join(rng.choice(signs) for _ in range(size - 3))}7b{end} and more"
+            assert pii.mask(text, pii.find(text, model)[1]) == f"some words {lead}[SECRET]{end} and more"
+
+
 def test_segment_gradient():
     rng = np.random.default_rng(1)
     model = pii.SegmentModel(rng.normal(0, 0.3, (len(pii.KINDS), len(pii.FEATURES))))

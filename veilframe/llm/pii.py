@@ -4,7 +4,7 @@ Base kinds (email, ip, card, phone) are found by fixed rules and always kept. Th
 looks at the neighbourhoods of digits, ``@`` and ``=``: it scores candidate segments as wholes (digit
 grouping, checksum, shape, keyword before it, ...) for each kind, and a dynamic program over token
 positions picks the best non-overlapping set, so borders and kinds are chosen jointly. An entity is
-at most ``MAX_TOKENS`` tokens long. Weights maximise the conditional likelihood of generated
+at most ``MAX_WORDS`` words and signs long, a run of letters and digits being one whatever its length. Weights maximise the conditional likelihood of generated
 sentences (forward and backward sums over segmentations). Its spans are added where they overlap no base span.
 
 Offsets are code points, ends exclusive. Nulls and empty texts have no spans; equal texts have equal
@@ -28,7 +28,7 @@ from ._words import as_strings
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-MAX_TOKENS = 24
+MAX_WORDS = 24
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,6 +81,8 @@ def base_spans(text: str) -> list[Span]:
 # --- the semi-Markov model ---------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
+_WORD_SIGN = re.compile(r"[^\W_]")
+_WORD = re.compile(r"[^\W_]*")
 _JOIN_OK = re.compile(r"[0-9+().\-/ ]+$")
 _AT = r"(?:@|\s?[(\[](?:at|AT)[)\]]\s?)"
 _DOT = r"(?:\.|\s?[(\[](?:dot|DOT)[)\]]\s?)"
@@ -172,10 +174,14 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
         c = text[a]
         if not (c.isalnum() or c in "+(") or (a > 0 and c.isalnum() and text[a - 1].isalnum()):
             continue
-        has = False
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+        has, seen = False, 0
+        for j in range(i, len(tokens)):
             x, y = tokens[j]
             t = text[x:y]
+            # letters and digits that touch are one word
+            seen += j == i or not (t[0].isalnum() and text[x - 1].isalnum())
+            if seen > MAX_WORDS:
+                break
             if t == "\n" or t in "=,;:\"'<>{}|!?*#&$~^`\\":
                 break
             has = has or t[0].isdigit() or t == "@" or t in ("at", "AT")
@@ -194,12 +200,18 @@ def _regions(text: str, reach: int = 40, join: int = 24) -> Iterator[tuple[int,
     """Stretches around triggers, widened to blanks; outside them nothing can be an entity."""
     lo = hi = -1
     for m in _TRIGGER.finditer(text):
-        if lo >= 0 and m.start() - hi <= join + reach:
-            hi = m.end()
+        if m.start() < hi:
+            continue
+        # a word that holds a trigger belongs to the stretch as a whole
+        start, end = m.start(), _WORD.match(text, m.end()).end() if m.group().isalnum() else m.end()
+        while m.group().isalnum() and start > max(hi, 0) and _WORD_SIGN.match(text, start - 1):
+            start -= 1
+        if lo >= 0 and start - hi <= join + reach:
+            hi = end
             continue
         if lo >= 0:
             yield _widen(text, lo, hi, reach)
-        lo, hi = m.start(), m.end()
+        lo, hi = start, end
     if lo >= 0:
         yield _widen(text, lo, hi, reach)
 
