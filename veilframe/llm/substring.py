@@ -2,40 +2,39 @@
 
 Every document is a reference block for those that follow it (by id, then position). Blocks are
 indexed by their runs of ``window`` words, keyed so that only runs that can repeat are indexed at all. A document is
-parsed greedily: at a word where a run was seen before, a factor opens that points to the run's earliest
+parsed greedily (``factors``): at a word where a run was seen before, a factor opens that points to the run's earliest
 place, and it grows for as long as the next runs point to the places that follow. Where it can grow no
 more, the next run is looked up anew, so runs that straddle the border of two factors are found as well.
 Factors are at least ``window`` words long, and their words are the duplicate spans. So a word is in a
 span exactly if some run that covers it begins earlier as well.
 
-Two passes over the texts prepare the index. The first counts seeds: of the short runs within each
-window, the one with the least hash, which two equal windows share. Seeds that occur twice go into a bit
-set of fixed size. The second hashes the windows whose seed has its bit set, to 96 bits; a bit that
-is set by chance costs a row and changes nothing. Runs repeated within a slice of texts are settled on the
-spot, so however often a passage occurs, each slice sends it once; a document that repeats an earlier one as a whole
-is settled as one run, and sends no windows.
+What is indexed is chosen by anchors: of the short runs within each window, the one with the least hash, which two equal
+windows share. Every slice of texts sends each of its anchors once, to be joined with those of all other slices; only anchors
+found again there, or within their own slice, come back to their documents, and only windows above such anchors are
+indexed, by hashes of 96 bits. Nothing about the corpus is held by the driver or shipped to all tasks. Runs repeated within a slice are
+settled on the spot, so however often a passage occurs, each slice sends it once; a document that repeats an earlier one
+as a whole is settled as one run, and sends no windows.
 
 Words are runs of anything but ASCII blanks, unchanged. Nulls and empty texts have no words. Ids order
 documents, null last. Rows that share an id are told apart, and ordered, by the hash of their text; rows
-that share both are one document, and each of them gets its result. An empty table gives no rows.
+that share both are one document, and each of them gets its result. An empty table gives no rows. Columns other
+than id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches
 from ._words import U64, Words, as_strings, mix, ngrams, slices, split, whole
 
 SEED_WORDS = 9
-BITS = 1 << 27
-_SEGMENT = 1 << 19
 
 
 def _least(a: np.ndarray, width: int) -> np.ndarray:
@@ -55,48 +54,57 @@ def _seeds(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return grams, whole(words, window), _least(grams, window - short + 1)
 
 
-def _count_seeds(texts: DataFrame, window: int) -> DataFrame:
+def anchors(texts: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """(keys, starts): for each document the windows whose anchors occur again, one window for each anchor at least.
+    texts: keys, text. An anchor that occurs again within its slice is known at once and asks nothing; the others
+    are sent with their document, one row for each slice."""
+    fields = [texts.schema[k] for k in keys]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    n_keys = len(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = as_strings(batch.column(0))
+            column = as_strings(batch.column(n_keys))
             for lo, hi in slices(column):
-                grams, ok, seed = _seeds(split(column.slice(lo, hi - lo)), window)
+                words = split(column.slice(lo, hi - lo))
+                grams, ok, seed = _seeds(words, window)
+                at = np.flatnonzero(ok)
+                new = np.ones(at.size, bool)
+                new[1:] = (seed[at[1:]] != seed[at[:-1]]) | (words.doc[at[1:]] != words.doc[at[:-1]])
+                at = at[new]
+                at = at[np.lexsort((words.doc[at], seed[at]))]
+                new = np.ones(at.size, bool)
+                new[1:] = (seed[at[1:]] != seed[at[:-1]]) | (words.doc[at[1:]] != words.doc[at[:-1]])
+                at = at[new]
                 value, times = np.unique(grams, return_counts=True)
-                at = np.searchsorted(value, np.unique(seed[ok]))
-                yield pa.RecordBatch.from_arrays([pa.array(value[at].astype(np.int64)), pa.array(times[at])], names=["seed", "n"])
-
-    return texts.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
-def repeated_seeds(texts: DataFrame, window: int) -> np.ndarray:
-    """A set of BITS bits, those of seeds that occur more than once. It is put together in segments on the
-    executors; only the set itself, of fixed size, reaches the driver."""
-    return _bit_set(_count_seeds(texts, window).where("n > 1").select(F.pmod("seed", F.lit(BITS)).alias("bit")))
-
-
-def _bit_set(bit: DataFrame) -> np.ndarray:
-    """The set of the column bit."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(_SEGMENT, bool)
-        bits[pdf["bit"].to_numpy() % _SEGMENT] = True
-        return pd.DataFrame({"segment": [int(pdf["bit"].iloc[0]) // _SEGMENT], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    packed = bit.distinct().groupBy(F.floor(F.col("bit") / _SEGMENT)).applyInPandas(pack, "segment long, bits binary").collect()
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in packed:
-        out[r.segment * (_SEGMENT // 8) : (r.segment + 1) * (_SEGMENT // 8)] = np.frombuffer(r.bits, np.uint8)
-    return out
-
+                again = times[np.searchsorted(value, seed[at])] > 1 if at.size else np.zeros(0, bool)
+                first = np.ones(at.size, bool)
+                first[1:] = seed[at[1:]] != seed[at[:-1]]
+                # one row of each anchor asks, or tells the others; what is known already goes back as one list a document
+                ask, told = at[first], at[again]
+                told = told[np.argsort(words.doc[told], kind="stable")]
+                who, count = np.unique(words.doc[told], return_counts=True)
+                spread = mix(who.astype(U64) ^ (seed[told[0]] if told.size else U64(0)), 92)
+                of = pa.array(lo + np.concatenate([words.doc[ask], who]))
+                start = lambda x: (x - words.first[words.doc[x]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(start(told)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([seed[ask], spread]).astype(np.int64)), *[batch.column(i).take(of) for i in range(n_keys)],
+                        pa.array(np.concatenate([start(ask), np.full(who.size, -1, np.int32)])), pa.concat_arrays([pa.nulls(ask.size, lists.type), lists]),
+                    ],
+                    names=["anchor", *keys, "start", "told"],
+                )
 
-def _mark(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BITS))
+    asked = texts.select(*keys, "text").mapInArrow(run, f"anchor long, {ddl}, start int, told array<int>")
+    asked = asked.withColumn("n", F.count("*").over(Window.partitionBy("anchor")))
+    return asked.where("told is not null or n > 1").select(*keys, F.coalesce("told", F.array("start")).alias("starts"))
 
 
-def first_texts(texts: DataFrame) -> np.ndarray:
-    """The bits of (text, id) of the smallest id of each text. A row whose bit is missing repeats an earlier text; chance bits
-    only mean that a repetition is not told so early. texts: id, t1, t2 (hashes of the text)."""
-    return _bit_set(texts.groupBy("t1", "t2").agg(F.min("id").alias("id")).select(_mark(F.col("t1"), F.col("t2"), F.col("id")).alias("bit")))
+def first_texts(texts: DataFrame) -> DataFrame:
+    """The smallest id of each text, as hints: (id, starts = [-1]). texts: id, text."""
+    firsts = texts.groupBy(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).agg(F.min("id").alias("id"))
+    return firsts.select("id", F.array(F.lit(-1)).alias("starts"))
 
 
 def _ranks(keys: list) -> np.ndarray:
@@ -106,11 +114,12 @@ def _ranks(keys: list) -> np.ndarray:
     return np.array([place[k] for k in keys], np.int64)
 
 
-def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int, firsts: np.ndarray | None = None) -> DataFrame:
+def windows(hinted: DataFrame, keys: list[str], window: int, copies: bool) -> DataFrame:
     """Windows that may repeat, one row for each and slice (known null), and runs of windows that repeat an earlier one
-    of their slice, which need no more checking (known: how many windows, and where they repeat). docs: keys, text, mark. A row whose mark is missing from ``firsts`` repeats a
-    whole text; all of it is one run, whose reference is null: the first row with that text."""
-    fields = [docs.schema[k] for k in keys]
+    of their slice, which need no more checking (known: how many windows, and where they repeat).
+    hinted: keys, text, starts (null for none). If copies, a row whose starts lack -1 repeats a whole text; all of it is
+    one run, whose reference is null: the first row with that text."""
+    fields = [hinted.schema[k] for k in keys]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     n_keys = len(keys)
 
@@ -119,17 +128,20 @@ def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int, fir
             known_type = [pa.field("len", pa.int32()), pa.field("ref", batch.column(0).type), pa.field("ref_start", pa.int32())]
             column = as_strings(batch.column(n_keys))
             all_keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)], strict=True))
+            hints = batch.column(n_keys + 1)
+            hint = hints.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            hint_of = np.repeat(np.arange(batch.num_rows), np.nan_to_num(np.asarray(hints.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int))
             for lo, hi in slices(column, 1 << 21):
                 words = split(column.slice(lo, hi - lo))
                 _, ok, seed = _seeds(words, window)
-                copy = np.zeros(hi - lo, bool)
-                if firsts is not None:
-                    mark = batch.column(n_keys + 1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                    copy = ~(firsts[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
-                    ok &= ~copy[words.doc[: ok.size]]
+                mine = slice(*np.searchsorted(hint_of, [lo, hi]))
+                start, of = hint[mine], hint_of[mine] - lo
+                copy = np.full(hi - lo, copies)
+                copy[of[start < 0]] = False
+                ok &= ~copy[words.doc[: ok.size]]
                 whole_runs = np.flatnonzero(copy & (np.diff(words.first) >= window))
-                place = (seed % U64(BITS)).astype(np.int64)
-                at = np.flatnonzero(ok & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+                again = np.unique(seed[(words.first[of] + start)[start >= 0]])
+                at = np.flatnonzero(ok & (again[np.minimum(np.searchsorted(again, seed), again.size - 1)] == seed)) if again.size else np.zeros(0, np.int64)
                 h1, h2 = ngrams(words.hash, window, seed=21)[at], ngrams(words.hash, window, seed=22)[at]
                 doc = words.doc[at]
                 start = at - words.first[doc]
@@ -162,20 +174,32 @@ def windows(docs: DataFrame, keys: list[str], bits: np.ndarray, window: int, fir
                     names=["h1", "h2_start", *keys, "known"],
                 )
 
-    return docs.select(*keys, "text", *(["mark"] if firsts is not None else [])).mapInArrow(run, f"h1 long, h2_start long, {ddl}, known struct<len:int,ref:{fields[0].dataType.simpleString()},ref_start:int>")
+    return hinted.select(*keys, "text", "starts").mapInArrow(run, f"h1 long, h2_start long, {ddl}, known struct<len:int,ref:{fields[0].dataType.simpleString()},ref_start:int>")
+
+
+@dataclass
+class Factors:
+    """The greedy parses of several documents: words [start, end) of document ``row`` stand, from word ref_start on, in ``ref`` as well."""
 
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    ref: pa.Array
+    ref_start: np.ndarray
 
-def factors(start: np.ndarray, length: np.ndarray, ref: list, ref_start: np.ndarray, window: int) -> list[tuple[int, int, object, int]]:
-    """The greedy parse of one document: (first word, end word, reference, its first word). Windows with
-    their references in, in any order; a factor grows while references follow on."""
-    out: list[list] = []
-    for i in np.argsort(start, kind="stable"):
-        a, n = int(start[i]), int(length[i])
-        if out and out[-1][1] - window + 1 == a and out[-1][2] == ref[i] and out[-1][3] + a - out[-1][0] == int(ref_start[i]):
-            out[-1][1] = a + n - 1 + window
-        else:
-            out.append([a, a + n - 1 + window, ref[i], int(ref_start[i])])
-    return [tuple(x) for x in out]
+
+def factors(row: np.ndarray, start: np.ndarray, length: np.ndarray, ref: pa.Array, ref_start: np.ndarray, window: int) -> Factors:
+    """Parses documents greedily. In go runs of ``length`` windows with the places of their references, in any order: a factor
+    takes the next run if it follows on in the document and in the reference; else the next run opens a factor of its own."""
+    o = np.lexsort((start, row))
+    row, start, length, ref_start = row[o], start[o], length[o], ref_start[o]
+    code = ref.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)[o]
+    opens = np.ones(o.size, bool)
+    after = start[:-1] + length[:-1]
+    opens[1:] = (row[1:] != row[:-1]) | (start[1:] != after) | (code[1:] != code[:-1]) | (ref_start[1:] != ref_start[:-1] + length[:-1])
+    f = np.flatnonzero(opens)
+    last = np.append(f, o.size)[1:] - 1 if f.size else f
+    return Factors(row[f], start[f], start[last] + length[last] - 1 + window, ref.take(pa.array(o[f])), ref_start[f])
 
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -186,14 +210,15 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     if not texts.groupBy("id").count().where("count > 1 or id is null").isEmpty():
         keys = ["id", "k2"]
         texts = texts.withColumn("k2", F.xxhash64("text"))
-    firsts = None
-    if len(keys) == 1:
-        hashed = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
-        firsts = first_texts(hashed)
-        texts = hashed.withColumn("mark", _mark(F.col("t1"), F.col("t2"), F.col("id"))).drop("t1", "t2")
-    bits = repeated_seeds(texts.select("text"), window)
+    copies = len(keys) == 1
+    hints = anchors(texts, keys, window)
+    if copies:
+        hints = hints.unionByName(first_texts(texts))
+    hints = hints.groupBy(*keys).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    texts = texts.repartition(*keys)  # once, for both joins
+    hinted = _joined(texts, hints, keys).select(*keys, "text", "starts")
     # the second half of the hash shares a word with the place, which keeps the rows that are dealt out short
-    found = windows(texts, keys, bits, window, firsts).repartition("h1")
+    found = windows(hinted, keys, window, copies).repartition("h1")
     found = found.withColumn("h2", F.shiftright("h2_start", 32)).withColumn("start", F.col("h2_start").bitwiseAND(0xFFFFFFFF).cast("int"))
     order = Window.partitionBy("h1", "h2").orderBy(*[F.col(k).asc_nulls_last() for k in keys], "start")
     # earliest: the smallest (id, start) of the window; rows that repeat each other share its place
@@ -208,62 +233,69 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     run = F.col("known").isNotNull()
     dup = dup.select(*keys, F.when(~run, F.struct(F.col("_e.id").alias("ref"), place.alias("place"))).alias("f"), F.when(run, F.struct(F.col("known.ref").alias("ref"), place.alias("place"), F.col("known.len").alias("len"))).alias("g"))
     lists = dup.groupBy(*keys).agg(F.collect_list("f").alias("f"), F.collect_list("g").alias("g"))
-    lists = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], "f", "g")
-    on = F.col("id") == F.col("_id")  # keeps the partitions of the lists
+    return _joined(texts, lists, keys).select("id", "text", "f", "g")
+
+
+def _joined(texts: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """texts with the columns of more, which has one row for each of the keys at most."""
+    more = more.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in more.columns if c not in keys])
+    on = F.col("id") == F.col("_id")  # keeps the partitions of the texts
     if len(keys) > 1:
         on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("k2") == F.col("_k2"))
-    return texts.join(lists, on, "left").select("id", "text", "f", "g")
+    return texts.join(more, on, "left")
 
 
-def _covered(batch: pa.RecordBatch, at: int) -> Iterator[tuple]:
-    """For each row, its windows and runs as (start, len, ref, ref_start) arrays; columns f and g stand at ``at``."""
+def _factors_of(batch: pa.RecordBatch, at: int, window: int) -> Factors:
+    """The parses of a batch whose columns ``at`` and ``at + 1`` are f and g."""
     parts = []
     for column in (batch.column(at), batch.column(at + 1)):
         flat = column.flatten()
         place = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
         length = flat.field(2).to_numpy(zero_copy_only=False).astype(np.int64) if flat.type.num_fields > 2 else np.ones(place.size, np.int64)
         counts = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
-        parts.append((place >> 32, length, flat.field(0), place & 0xFFFFFFFF, np.concatenate([[0], np.cumsum(counts)])))
-    for i in range(batch.num_rows):
-        one, more = (tuple(x[p[4][i] : p[4][i + 1]] if isinstance(x, np.ndarray) else x.slice(p[4][i], p[4][i + 1] - p[4][i]) for x in p[:4]) for p in parts)
-        yield tuple(np.concatenate([x, y]) if isinstance(x, np.ndarray) else pa.concat_arrays([x, y]) for x, y in zip(one, more, strict=True))
+        parts.append((np.repeat(np.arange(batch.num_rows), counts), place >> 32, length, flat.field(0), place & 0xFFFFFFFF))
+    row, start, length, ref, ref_start = (pa.concat_arrays(list(x)) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*parts, strict=True))
+    return factors(row, start, length, ref, ref_start, window)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """One row for each factor: id, first word, end word, the document and word where its text was first seen."""
+    """One row for each factor: id, first word, end word, the document and word where its text was first seen (null for
+    a document that repeats an earlier one as a whole)."""
     parsed = parse(docs, id_col, text_col, window).where("f is not null").select("id", "f", "g")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
-            for i, (s, n, ref, rs) in enumerate(_covered(batch, 1)):
-                for f in factors(s, n, ref.to_pylist(), rs, window):
-                    rows.append(i)
-                    out.append(f)
-            c = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(list(c[0]), pa.int64()), pa.array(list(c[1]), pa.int64()), pa.array(list(c[2]), batch.column(0).type), pa.array(list(c[3]), pa.int64())], names=["id", "first_word", "end_word", "ref", "ref_first_word"])
+            f = _factors_of(batch, 1, window)
+            columns = [batch.column(0).take(pa.array(f.row)), pa.array(f.start), pa.array(f.end), f.ref, pa.array(f.ref_start)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "first_word", "end_word", "ref", "ref_first_word"])
 
     return parsed.mapInArrow(run, f"id {kind}, first_word long, end_word long, ref {kind}, ref_first_word long").withColumnRenamed("id", id_col)
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """One row for each row: id, text without its duplicate spans (words joined by one blank), n_words, n_removed."""
+    """One row for each row: id, text without the words of its factors (words joined by one blank), n_words, n_removed."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed = [], [], []
-            for text, (start, length, _, _) in zip(as_strings(batch.column(1)).to_pylist(), _covered(batch, 2), strict=True):
+            f = _factors_of(batch, 2, window)
+            first = np.searchsorted(f.row, np.arange(batch.num_rows + 1))
+            for i, text in enumerate(as_strings(batch.column(1)).to_pylist()):
                 words = text.encode().split()
+                total.append(len(words))
+                own = slice(first[i], first[i + 1])
+                if own.start == own.stop:
+                    removed.append(0)
+                    kept.append(b" ".join(words).decode())
+                    continue
                 depth = np.zeros(len(words) + 1, np.int64)
-                if start.size:
-                    np.add.at(depth, start, 1)
-                    np.add.at(depth, start + length - 1 + window, -1)
+                np.add.at(depth, f.start[own], 1)
+                np.add.at(depth, f.end[own], -1)
                 gone = np.cumsum(depth[:-1]) > 0
-                total.append(len(words))
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode() if removed[-1] else b" ".join(words).decode())
+                kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["id", "kept", "n_words", "n_removed"])
 
     return parse(docs, id_col, text_col, window).mapInArrow(run, f"id {kind}, kept string, n_words long, n_removed long").withColumnRenamed("id", id_col)
