@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -276,6 +277,18 @@ def test_toxicity(spark):
     assert accuracy([(got[r.doc_id].predicted, r.toxic) for r in labels if got[r.doc_id].held_out]) > 0.98
 
 
+def test_mixed_words():
+    plain = re.compile(r"\S*[^\W\d_][0-9@$!*]+[^\W\d_]\S*")
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choice("aZé1@! \n\u3000_-") for _ in range(rng.randrange(60)))
+        assert toxicity.mixed_words(text) == plain.findall(text)
+    began = time.perf_counter()
+    for text in ("ab1" * 400_000, "a1" * 500_000, "a1b" + "x" * 1_000_000, "x" * 1_000_000 + "1", "a b " * 250_000):
+        toxicity.features(text, toxicity.Lexicon())
+    assert time.perf_counter() - began < 15
+
+
 def test_language(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op7_language(spark, sf).collect()}

@@ -37,7 +37,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans("013457@$!", "oieastasi")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"\S*[^\W\d_][0-9@$!*]+[^\W\d_]\S*")
+_SIGNS_WITHIN = re.compile(r"[^\W\d_][0-9@$!*]+[^\W\d_]")
+_SPACE = re.compile(r"\s")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W\d_])")
 _NEAR = 6
 
@@ -78,6 +79,18 @@ def _look_up(word: str, lexicon: Lexicon, known: dict) -> tuple[bool, bool, floa
     return got
 
 
+def mixed_words(text: str) -> list[str]:
+    """Words between blanks in which signs or digits stand between letters; linear however long a word is."""
+    out, at = [], 0
+    while m := _SIGNS_WITHIN.search(text, at):
+        a, after = m.start(), _SPACE.search(text, m.end())
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        at = after.start() if after else len(text)
+        out.append(text[a:at])
+    return out
+
+
 def features(text: str, lexicon: Lexicon, known: dict | None = None) -> list[float]:
     known = {} if known is None else known
     low = _WORD.findall(text.lower())
@@ -94,7 +107,7 @@ def features(text: str, lexicon: Lexicon, known: dict | None = None) -> list[flo
             if a or b:
                 marked.add(w)
     letter, between, instead, capital = _LETTER[raw], _BETWEEN[raw], _FOR_LETTER[raw], _CAPITAL[raw]
-    mixed = _MIXED.findall(text) if (instead[:-1] & letter[1:]).any() else []
+    mixed = mixed_words(text) if (instead[:-1] & letter[1:]).any() else []
     spaced = []
     if raw.size > 6 and (letter[:-6] & between[1:-5] & letter[2:-4] & between[3:-3] & letter[4:-2] & between[5:-1] & letter[6:]).any():
         spaced = _SPACED.findall(text)
