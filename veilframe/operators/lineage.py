@@ -56,6 +56,19 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(right, same & (F.col("_salt") == F.col("_r_salt")), how).drop("_salt", "_r_salt", *[f"_r_{c}" for c in on])
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: str, n: str = "n", crowd: int = 1000) -> DataFrame:
+    """Inner join with a table of one row for each key, whose column ``n`` says how many rows of left have that key.
+    Keys of more than ``crowd`` rows, which are no more than left's rows / crowd, are joined apart by ``join_small``,
+    so that no key gathers in one task. Both sides are read twice: tables that were cut cost nothing more."""
+    many = right.where(F.col(n) > crowd)
+    rows = many.limit(BROADCAST_ROWS + 1).count()
+    if rows == 0:
+        return left.join(right, on)
+    told = join_small(left, many.withColumn("_many", F.lit(True)), [on], "left", rows)
+    rest = told.where("_many is null").select(*left.columns).join(right.where(F.col(n) <= crowd), on)
+    return told.where("_many").select(*rest.columns).unionByName(rest)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context: they need not have it installed."""
     import io
