@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..operators.lineage import cut
+from ..operators.lineage import cut, join_counted
 from ._common import bounded_batches
 from ._words import U64, as_strings, mix, ngrams, slices, split, unit, whole
 
@@ -135,10 +135,16 @@ def _signed(texts: DataFrame, counts: bool) -> DataFrame:
     return texts.mapInArrow(run, "node binary, bands array<long>")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) that are similar enough; texts: (node, text), one row for each node."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+def _checked(pairs: DataFrame, texts: DataFrame, similarity: float, deal: int = 200) -> DataFrame:
+    """Pairs (a, b) that are similar enough, a being the smaller node; pairs: (node, leader); texts: (node, text), one
+    row for each node. A leader's text is repeated for every ``deal`` pairs, so that no more of them meet in a task."""
+    counted = cut(pairs.groupBy("leader").agg(F.count("*").alias("n")))
+    deals = F.ceil(F.col("n") / deal).cast("int")
+    dealt = join_counted(pairs, counted, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), deals).cast("int").alias("salt"))
+    led = counted.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("t")), "leader")
+    led = led.select("leader", "t", F.explode(F.sequence(F.lit(0), deals - 1)).alias("salt"))
+    left = dealt.join(texts.select("node", F.col("text").alias("s")), "node")
+    both = left.join(led, ["leader", "salt"]).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +163,6 @@ def _checked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def _least(share: float, size: Column) -> Column:
     return F.ceil(F.lit(share) * size - 1e-9).cast("int")
 
@@ -185,83 +187,89 @@ def _rarest(mixed: DataFrame, texts: DataFrame, similarity: float, deal: int = 5
     held = cut(texts.join(mixed, "node").select("node", "c", "text").mapInArrow(run, "node binary, c binary, runs array<long>"))
     each = held.select("node", "c", F.size("runs").alias("size"), F.explode("runs").alias("run"))
     # runs of one node are no use but count as the first ones
-    common = each.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    listed = each.join(common, "run").groupBy("node").agg(F.first("c").alias("c"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "run"))).alias("runs"))
+    common = cut(each.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
+    listed = join_counted(each, common, "run").groupBy("node").agg(F.first("c").alias("c"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "run"))).alias("runs"))
     own = F.col("size") - F.size("runs")
     reach = F.col("size") - _least(similarity, F.col("size")) + 1 - own
     first = listed.where(reach > 0).select("node", "c", "size", own.alias("own"), F.posexplode(F.slice("runs", 1, reach)).alias("at", "r"))
     first = cut(first.select("node", "c", "size", (F.col("own") + F.col("at")).alias("at"), F.col("r.run").alias("run")))
     by_class = first.groupBy("run", "c").agg(F.count("*").alias("k"))
     spread = by_class.groupBy("run").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("n"), F.count("*").alias("classes"))
-    dealt = first.join(spread.where("classes > 1"), "run").withColumn("deals", F.ceil(F.col("n") / deal).cast("int"))
+    dealt = join_counted(first, cut(spread.where("classes > 1")), "run").withColumn("deals", F.ceil(F.col("n") / deal).cast("int"))
     one = dealt.where("c <> most").select("run", F.pmod(F.xxhash64("node"), "deals").cast("int").alias("salt"), *[F.col(x).alias(f"{x}1") for x in ("node", "c", "size", "at")])
     two = dealt.select("run", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"), *[F.col(x).alias(f"{x}2") for x in ("node", "c", "size", "at")])
     short, at = F.least("size1", "size2"), F.when(F.col("size1") == F.col("size2"), F.greatest("at1", "at2")).when(F.col("size1") < F.col("size2"), F.col("at1")).otherwise(F.col("at2"))
     near = at <= short - _least(2 * similarity / (1 + similarity), short)
     rest = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
     fits = rest >= _least(similarity / (1 + similarity), F.col("size1") + F.col("size2"))
-    return one.join(two, ["run", "salt"]).where((F.col("c1") != F.col("c2")) & near & fits).select(*_ordered("node1", "node2")).distinct()
+    return one.join(two, ["run", "salt"]).where((F.col("c1") != F.col("c2")) & near & fits).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, counts: bool = False, rounds: int = 4) -> DataFrame:
-    """(node, class_id, rep_id) for every distinct text; node is what ``node_of`` gives for a text, rep_id the
-    smallest id with that very text. counts: repeated runs weigh by their number in the signatures."""
+    """(node, class_id, rep_id, rows) for every distinct text; node is what ``_node`` gives for a text, rep_id the
+    smallest id with that very text, rows their number. counts: repeated runs weigh by their number in the signatures."""
     bounded_batches(docs)
+    smaller = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
     texts = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    nodes = cut(texts.groupBy("node").agg(F.min("id").alias("rep_id")))
+    nodes = cut(texts.groupBy("node").agg(F.min("id").alias("rep_id"), F.count("*").alias("n")))
     signed = _signed(texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("node", "text"), counts)
     banded = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     banded = cut(banded)
     # bands with one member are no use; leaders are chosen by hash, anew for each band
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = cut(banded.join(shared, "band").select("band", "node", "leader", "n"))
-    tried = cut(members.where("node <> leader").select(*_ordered("node", "leader")).distinct())
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"))
+    members = cut(join_counted(banded, shared, "band").select("band", "node", "leader", "n"))
+    pairs = cut(members.where("node <> leader").select("node", "leader").distinct())
+    tried = pairs.select(*smaller)
     # a text is fetched from the row that stands for it, so that thousands of copies do not meet
-    involved = members.select("node").distinct().join(nodes, "node").select("node", F.xxhash64("rep_id").alias("of"))
+    involved = members.select("node").distinct().join(nodes.drop("n"), "node").select("node", F.xxhash64("rep_id").alias("of"))
     standing = texts.select("node", F.xxhash64("id").alias("of"), "text").join(involved, ["node", "of"])
     kept = cut(standing.groupBy("node", "of").agg(F.min("text").alias("text")).select("node", "text"))
-    links = cut(_checked(tried, kept, similarity))
+    links = cut(_checked(pairs, kept, similarity))
     for turn in range(1, rounds):
         found = connected_components(links).select("node", F.col("component").alias("c"))
-        told = members.where("n > 2").join(found, "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
-        pick = told.groupBy("band").agg(F.min_by(F.struct("node", "c"), F.xxhash64(F.lit(turn), "band", "node")).alias("l"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band", F.col("l.node").alias("ln"), F.col("l.c").alias("lc"))
-        more = told.join(pick, "band").where("c <> lc").select(*_ordered("node", "ln")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = cut(more)
+        told = cut(members.where("n > 2").join(found, "node", "left").select("band", "node", F.coalesce("c", "node").alias("c")))
+        pick = told.groupBy("band").agg(
+            F.min_by(F.struct("node", "c"), F.xxhash64(F.lit(turn), "band", "node")).alias("l"), F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")
+        ).where("x <> y")
+        pick = cut(pick.select("band", "n", F.col("l.node").alias("leader"), F.col("l.c").alias("lc")))
+        more = join_counted(told, pick, "band").where("c <> lc").select("node", "leader", *smaller).distinct()
+        more = cut(more.join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        new = cut(_checked(more, kept, similarity))
+        new = cut(_checked(more.select("node", "leader"), kept, similarity))
         if new.isEmpty():
             break
-        tried, links = tried.unionByName(more), links.unionByName(new)
+        tried, links = tried.unionByName(more.select("a", "b")), links.unionByName(new)
     found = connected_components(links)
-    told = members.where("n > 2").join(found.select("node", F.col("component").alias("c")), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
-    torn = told.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
-    mixed = cut(told.join(torn, "band").select("node", "c").distinct())
+    told = cut(members.where("n > 2").join(found.select("node", F.col("component").alias("c")), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c")))
+    torn = told.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band", "n")
+    mixed = cut(join_counted(told, cut(torn), "band").select("node", "c").distinct())
     if not mixed.isEmpty():
         last = cut(_rarest(mixed, kept, similarity).join(tried, ["a", "b"], "left_anti"))
-        new = cut(_checked(last, kept, similarity))
+        new = cut(_checked(last.select(F.col("a").alias("node"), F.col("b").alias("leader")), kept, similarity))
         if not new.isEmpty():
             links = links.unionByName(new)
             found = connected_components(links)
-    joined = nodes.join(found, "node", "left").select("node", "rep_id", F.coalesce("component", "node").alias("c"))
-    smallest = joined.groupBy("c").agg(F.min("rep_id").alias("class_id"))
-    return joined.join(smallest, "c").select("node", "rep_id", "class_id")
+    joined = cut(nodes.join(found, "node", "left").select("node", "rep_id", F.col("n").alias("rows"), F.coalesce("component", "node").alias("c")))
+    smallest = cut(joined.groupBy("c").agg(F.min("rep_id").alias("class_id"), F.count("*").alias("n")))
+    return join_counted(joined, smallest, "c").select("node", "rep_id", "class_id", "rows")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of docs: its id and class id."""
     found = cut(classes(docs, id_col, text_col, **options))
-    return docs.select(F.col(id_col), _node(F.col(text_col)).alias("node")).join(found.select("node", "class_id"), "node").select(id_col, "class_id")
+    rows = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"))
+    return join_counted(rows, found.select("node", "class_id", F.col("rows").alias("n")), "node").select(F.col("id").alias(id_col), "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class: that of the smallest id. Where rows of one class share that id (or none has
     one), the row with the smallest text stays; of rows alike in all columns, one."""
     found = cut(classes(docs, id_col, text_col, **options))
-    best = found.groupBy("class_id").agg(F.min(F.when(F.col("rep_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node")).select("_node", F.col("class_id").alias("_class"))
-    names = docs.columns
-    best = best.withColumn("_of", F.xxhash64("_class"))
+    best = found.groupBy("class_id").agg(F.min(F.when(F.col("rep_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("node"))
+    best = best.select("node", F.xxhash64("class_id").alias("of"), "class_id")
     # the row is fetched by its id as well as its text: copies do not meet in one task
-    keyed = docs.withColumn("_node", _node(F.col(text_col))).withColumn("_of", F.xxhash64(F.col(id_col))).join(best, ["_node", "_of"]).where(F.col(id_col).eqNullSafe(F.col("_class")))
+    keyed = docs.select(F.struct("*").alias("r"), F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"), F.xxhash64(F.col(id_col)).alias("of"))
+    keyed = keyed.join(best, ["node", "of"]).where(F.col("id").eqNullSafe(F.col("class_id")))
     # rows left for one node: usually one, else rows that repeat an id with the same text
-    return keyed.groupBy("_node", "_of").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
+    return keyed.groupBy("node", "of").agg(F.min("r").alias("r")).select("r.*")
