@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -410,6 +411,70 @@ def test_imatch(spark, sf, rows):
     assert near > 0.3 and far < 0.05
 
 
+def murmur3(longs):
+    """Spark's hash of an array of longs."""
+    seed, m = 42, 0xFFFFFFFF
+    for v in longs:
+        for k in (v & m, v >> 32 & m):
+            k = k * 0xCC9E2D51 & m
+            k = (k << 15 | k >> 17) & m
+            seed ^= k * 0x1B873593 & m
+            seed = ((seed << 13 | seed >> 19) & m) * 5 + 0xE6546B64 & m
+        seed ^= 8
+        seed = (seed ^ seed >> 16) * 0x85EBCA6B & m
+        seed = (seed ^ seed >> 13) * 0xC2B2AE35 & m
+        seed ^= seed >> 16
+    return seed
+
+
+def plain_imatch(texts, fingerprinted, least_share=0.001, most_share=0.1):
+    """Fingerprints of texts as lists of hashes, with the band of the corpus ``texts``."""
+
+    def terms(t):
+        words = [w for w in re.split("[^0-9a-z\u00c0-\u1fff\u2c00-\u2dff\u3040-\U0010ffff]+", t.lower()) if w] or [t]
+        return sorted({(h - 2**64 if h >= 2**63 else h) for h in (xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words)})
+
+    df = collections.Counter(h for t in texts for h in terms(t))
+    least = max(2, least_share * len(texts))
+    band = {h for h, n in df.items() if least <= n <= max(least, most_share * len(texts))}
+    out = []
+    for t in fingerprinted:
+        keys = [(h % 2**64) >> 20 for h in ([h for h in terms(t) if h in band] or terms(t))]
+        out.append([murmur3(s) if (s := [k for k in keys if k % g == i]) else None for g in (32, 128, 512, 2048) for r in range(8) for i in range(r, 32, 8)])
+    return out
+
+
+def plain_likeness(a, b):
+    total = hits = 0.0
+    for g in range(4):
+        x, y = a[g * 32 : g * 32 + 32], b[g * 32 : g * 32 + 32]
+        either, agree = sum(p is not None or q is not None for p, q in zip(x, y)), sum(p is not None and p == q for p, q in zip(x, y))
+        weight = (33 - either) / 32
+        total, hits = total + weight * either, hits + weight * agree
+    return 1.0 if a == b else hits / total if total else 0.0
+
+
+def test_imatch_against_plain(spark, sf, rows):
+    order = sorted(rows.doc_id, reverse=True)
+    text = {k: t or "" for k, t in zip(rows.doc_id, rows.text, strict=True)}
+    edited = {}
+    for i, k in enumerate(order):
+        third = len(text[k]) // 3
+        edited[k] = text[k][: len(text[k]) - third] + text[order[(i + 1) % len(order)]][:third]
+    plain = dict(zip(order, plain_imatch(list(text.values()), [text[k] for k in order])))
+    after = dict(zip(order, plain_imatch(list(text.values()), [edited[k] for k in order])))
+    show = lambda f: ":".join("-" if h is None else f"{h:X}".lower() for h in f)
+    for r in queries.op8_imatch(spark, sf).collect():
+        k, follows = r.doc_id, order[(order.index(r.doc_id) + 1) % len(order)]
+        assert (r.fingerprint, r.edited_fingerprint) == (show(plain[k]), show(after[k]))
+        assert r.near_edited == pytest.approx(plain_likeness(plain[k], after[k])) and r.near_next == pytest.approx(plain_likeness(plain[k], plain[follows]))
+
+
+def test_imatch_wants_whole_numbers(spark):
+    with pytest.raises(ValueError):
+        imatch.compare(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_imatch_odd(odd):
     r = imatch.compare(odd).collect()
     assert len(r) == 11 and all(0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1 for x in r)
