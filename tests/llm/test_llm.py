@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, and on odd rows."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -176,6 +177,34 @@ def test_long_keys(size):
             assert pii.mask(text, pii.find(text, model)[1]) == f"some words {lead}[SECRET]{end} and more"
 
 
+SECRETS = {
+    "hex-40": lambda r: r.randbytes(20).hex(), "hex-64": lambda r: r.randbytes(32).hex(), "hex-128": lambda r: r.randbytes(64).hex(),
+    "letters and digits, 100": lambda r: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=100)),
+    "letters": lambda r: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(8, 24))), "letters, 90": lambda r: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=90)),
+    "urlsafe": lambda r: base64.urlsafe_b64encode(r.randbytes(33)).decode().strip("-_"), "base64": lambda r: base64.b64encode(r.randbytes(48)).decode().strip("+/"),
+}
+
+
+@pytest.mark.parametrize("kind", SECRETS)
+def test_secrets_not_of_the_generator(kind):
+    model, rng = pii.train(), random.Random(kind)
+    whole = hidden = 0
+    for i in range(120):
+        lead, end = (("token=", " and"), ("api_key=", "\n"), ('"secret": "', '",'), ("Password: ", ", then"), ("export AUTH_TOKEN=", " &&"))[i % 5]
+        value = SECRETS[kind](rng)
+        spans = pii.find(f"Please see {lead}{value}{end} more words here.", model)[1]
+        at = len("Please see ") + len(lead)
+        whole += any(a <= at and b >= at + len(value) for _, a, b in spans)
+        hidden += sum(max(0, min(b, at + len(value)) - max(a, at)) for _, a, b in spans) >= 0.9 * len(value)
+    assert whole >= 108 and hidden >= 108, (whole, hidden)
+
+
+def test_ordinary_words_are_no_secrets():
+    model = pii.train()
+    for text in ("The key: patience. A token of thanks; the password is wrong, see secret santa at 5.", "x = y and n=3, in 2019-04-05 at 10:30", "authors: Smith and 12 others", "monkey: banana, 4 keys to success", "keyboard=qwerty2"):
+        assert [x for x in pii.find(text, model)[1] if x[0] == "secret"] == [], (text, pii.find(text, model))
+
+
 def test_segment_gradient():
     rng = np.random.default_rng(1)
     model = pii.SegmentModel(rng.normal(0, 0.3, (len(pii.KINDS), len(pii.FEATURES))))

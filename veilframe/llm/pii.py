@@ -1,7 +1,7 @@
 """Personal data: exact base rules, and a semi-Markov conditional random field that adds spans.
 
 Base kinds (email, ip, card, phone) are found by fixed rules and always kept. The semi-Markov model
-looks at the neighbourhoods of digits, ``@`` and ``=``: it scores candidate segments as wholes (digit
+looks at the neighbourhoods of digits, ``@``, ``=`` and words such as "password:": it scores candidate segments as wholes (digit
 grouping, checksum, shape, keyword before it, ...) for each kind, and a dynamic program over token
 positions picks the best non-overlapping set, so borders and kinds are chosen jointly. An entity is
 at most ``MAX_WORDS`` words and signs long, a run of letters and digits being one whatever its length. Weights maximise the conditional likelihood of generated
@@ -38,7 +38,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@=]|[(\[](?:at|AT)[)\]]")
+_KEYWORD = r"(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|key|auth|bearer)"
+_TRIGGER = re.compile(rf"[0-9@=]|[(\[](?:at|AT)[)\]]|(?i:(?<![^\W_]){_KEYWORD}[\"']?\s?:)")
 
 
 def luhn(digits: str) -> bool:
@@ -90,14 +91,18 @@ _EMAIL_SHAPE = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z
 _IP_SHAPE = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
 _IP_ODD = re.compile(r"[0-9]{1,3}(?:\s?[(\[]?(?:\.|dot)[)\]]?\s?[0-9]{1,3}){3}$")
 _HEX = re.compile(r"[0-9a-f]+$|[0-9A-F]+$")
-_KEY = re.compile(r"(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|key|auth|bearer)[\"']?\s*[=:]?\s*[\"']?$", re.I)
+_KEY = re.compile(rf"(?<![^\W_]){_KEYWORD}[\"']?\s*[=:]?\s*[\"']?$", re.I)
+#: Before letters alone; "key: value" is no sign of a secret.
+_ASSIGNED = re.compile(r"(?<![^\W_])(?:pass(?:word|wd|phrase)?|pwd|token|secret|(?:api|access|secret)[_-]?key)[\"']?\s*[=:]\s*[\"']?$", re.I)
+_JOINED = re.compile(r"[A-Za-z0-9]+(?:[+/_.-]+[A-Za-z0-9]+)+$")
 _TEL = re.compile(r"(?:tel|phone|call|fax|mobile|mobil|telefon|teléfono|téléphone)\W*$", re.I)
 _PAY = re.compile(r"(?:card|visa|mastercard|amex|karte|carte|tarjeta)\W*(?:no|number|nr)?\W*$", re.I)
 _NET = re.compile(r"(?:ip|host|address|server|from)\W*$", re.I)
 
 FEATURES = (
     "bias", "email", "email_at", "ip", "ip_odd", "ip_over", "luhn", "card_len", "groups_4", "groups_many", "plus", "paren", "phone_len", "digits_only", "digits_long", "digits_short", "date", "separators", "mixed_case_key",
-    "hex_long", "alnum_long", "akia", "key_before", "tel_before", "pay_before", "net_before", "quoted", "edge_left", "edge_right", "grows_left", "grows_right", "has_space", "letters",
+    "hex_long", "alnum_long", "akia", "key_before", "tel_before", "pay_before", "net_before", "quoted", "edge_left", "edge_right", "grows_left", "grows_right", "has_space", "letters", "letters_only", "assigned", "joined", "joined_long", "joined_mixed", "dotted",
+    "opens_more", "closes_more",
 )
 _AT_FEATURE = {name: i for i, name in enumerate(FEATURES)}
 
@@ -138,15 +143,28 @@ def _segment_features(text: str, a: int, b: int) -> list[int]:
             on.append("date")
         if len(groups) > 1:
             on.append("separators")
-    elif s.isalnum() and n:
-        on.append("letters")
-        if len(s) >= 16:
+    elif s.isalnum():
+        on.append("letters" if n else "letters_only")
+        if len(s) >= 16 and n:
             on.append("hex_long" if _HEX.match(s) else "alnum_long")
             if s[:4] in ("AKIA", "ASIA") and s.isupper():
                 on.append("akia")
         if s != s.lower() and s != s.upper() and n >= 2 and len(s) >= 12:
             on.append("mixed_case_key")
-    for name, rule in (("key_before", _KEY), ("tel_before", _TEL), ("pay_before", _PAY), ("net_before", _NET)):
+    elif _JOINED.match(s):
+        on.append("joined")
+        if len(s) >= 16:
+            on.append("joined_long")
+        if n and s != s.lower() and s != s.upper():
+            on.append("joined_mixed")
+        if "." in s:
+            on.append("dotted")
+    # does the word go on beyond a sign that keys may hold?
+    if left[-1:] in ("+", "/", "_", "-", ".") and left[-2:-1].isalnum():
+        on.append("opens_more")
+    if right[:1] in ("+", "/", "_", "-", ".") and right[1:].isalnum():
+        on.append("closes_more")
+    for name, rule in (("assigned", _ASSIGNED), ("key_before", _KEY), ("tel_before", _TEL), ("pay_before", _PAY), ("net_before", _NET)):
         if left and rule.search(left):
             on.append(name)
     if left[-1:] in ("'", '"') and left[-1:] == right[:1]:
@@ -174,7 +192,8 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
         c = text[a]
         if not (c.isalnum() or c in "+(") or (a > 0 and c.isalnum() and text[a - 1].isalnum()):
             continue
-        has, seen = False, 0
+        # after a keyword and its sign letters will do; elsewhere a digit or @ is needed
+        has, seen = c.isalnum() and text[a - 1 : a] in ("=", ":", '"', "'", " ") and bool(_ASSIGNED.search(text[max(0, a - 24) : a])), 0
         for j in range(i, len(tokens)):
             x, y = tokens[j]
             t = text[x:y]
@@ -197,32 +216,36 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
 
 
 def _regions(text: str, reach: int = 40, join: int = 24) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers, widened to blanks; outside them nothing can be an entity."""
+    """Disjoint stretches around triggers, widened to the ends of words; outside them nothing can be an entity."""
+    done = 0
+    for lo, hi in _stretches(text, join + reach):
+        a, b = max(done, lo - reach), min(len(text), hi + reach)
+        while a < lo and a > 0 and not text[a - 1].isspace():
+            a += 1
+        if b < len(text) and text[b - 1].isalnum():
+            b = _WORD.match(text, b).end()
+        if b > a:
+            yield a, b
+            done = b
+
+
+def _stretches(text: str, gap: int) -> Iterator[tuple[int, int]]:
+    """Triggers, together where no more than ``gap`` signs part them; a word that holds one belongs to it as a whole."""
     lo = hi = -1
     for m in _TRIGGER.finditer(text):
         if m.start() < hi:
             continue
-        # a word that holds a trigger belongs to the stretch as a whole
         start, end = m.start(), _WORD.match(text, m.end()).end() if m.group().isalnum() else m.end()
         while m.group().isalnum() and start > max(hi, 0) and _WORD_SIGN.match(text, start - 1):
             start -= 1
-        if lo >= 0 and start - hi <= join + reach:
+        if lo >= 0 and start - hi <= gap:
             hi = end
             continue
         if lo >= 0:
-            yield _widen(text, lo, hi, reach)
+            yield lo, hi
         lo, hi = start, end
     if lo >= 0:
-        yield _widen(text, lo, hi, reach)
-
-
-def _widen(text: str, lo: int, hi: int, reach: int) -> tuple[int, int]:
-    a, b = max(0, lo - reach), min(len(text), hi + reach)
-    while a < lo and a > 0 and not text[a - 1].isspace():
-        a += 1
-    while b > hi and b < len(text) and not text[b].isspace():
-        b -= 1
-    return a, b
+        yield lo, hi
 
 
 @dataclass
@@ -302,6 +325,9 @@ def _example(rng: np.random.Generator) -> tuple[str, set[Span]]:
     word = lambda n=None: "".join(pick(*"abcdefghijklmnoprstuvwz") for _ in range(n or rng.integers(2, 10)))
     hexes = lambda n: "".join(pick(*"0123456789abcdef") for _ in range(n))
     base64 = lambda n: "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    letters = lambda n: "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    # keys that hold a few signs between letters and digits
+    signed = lambda n: "".join(base64(rng.integers(4, 24)) + pick("+", "/", "_", "-") for _ in range(max(1, n // 16))) + base64(4)
 
     def card() -> str:
         body = pick("4", "51", "37") + digits(13)
@@ -326,15 +352,20 @@ def _example(rng: np.random.Generator) -> tuple[str, set[Span]]:
             text = form.format(*n)
             lead = re.match(r"(?:tel |phone: |call )?", text).group()
             return lead, text[len(lead) :], kind
-        lead, value = pick(("password=", hexes(18)), ("token = \"", hexes(40)), ("api_key: ", base64(24)), ("secret=", base64(20) + "7"), ("", "AKIA" + "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + digits(2)), ("pwd: ", word(6) + digits(4)), ("Bearer ", base64(32)), ("key=", hexes(32)))
-        if not re.search("[0-9]", value):
-            value += "7"
+        lead = pick("password=", "password: ", "passwd = ", "pwd: ", "token = \"", "token=", "api_key: ", "api_key=\"", "secret=", "secret: \"", "key=", "Bearer ")
+        long = rng.integers(16, 129)
+        value = pick(word(rng.integers(6, 40)), letters(rng.integers(6, 40)), hexes(pick(18, 32, 40, 64, 128, long)), base64(pick(16, 20, 24, 32, 64, 100, long)), signed(long), signed(long), word(6) + digits(4))
+        if lead == "Bearer " and value.islower():
+            value = base64(32)
+        if rng.random() < 0.1:
+            lead, value = "", "AKIA" + "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + digits(2)
         return lead, value, kind
 
     def other() -> str:
         return pick(
             digits(rng.integers(1, 8)), digits(4), digits(2) + "." + digits(1), f"{digits(1)}.{digits(1)}.{digits(2)}", f"20{digits(2)}-0{rng.integers(1, 10)}-1{digits(1)}", f"1{digits(1)}/0{rng.integers(1, 10)}/20{digits(2)}", digits(rng.integers(10, 19)),
             f"{digits(2)},{digits(3)}.{digits(2)}", word() + digits(2), "x=" + word(), "n=" + digits(2), f"{rng.integers(300, 999)}.{digits(2)}.{digits(3)}.{digits(2)}", f"§{digits(2)}", f"({digits(4)})", "@" + word(), f"{digits(2)}:{digits(2)}", f"{digits(1)}-{digits(2)}", word() + " 4.0", "http://" + word() + ".com/" + digits(4), f"{digits(3)}-{digits(2)}", f"{digits(4)} {digits(4)}",
+            word() + ": " + word(), "key " + word(), "token " + word(), "the password " + word(), word() + "-" + word() + " " + digits(2), word() + "/" + word() + digits(1), f"{word()}_{word()} = {digits(1)}",
         )
 
     text, gold = "", set()
@@ -349,7 +380,7 @@ def _example(rng: np.random.Generator) -> tuple[str, set[Span]]:
     return text + word(), gold
 
 
-def train(examples: int = 700, epochs: int = 6, rate: float = 0.25, decay: float = 1e-3, seed: int = 2) -> SegmentModel:
+def train(examples: int = 900, epochs: int = 6, rate: float = 0.25, decay: float = 1e-3, seed: int = 2) -> SegmentModel:
     """Adaptive gradient ascent on the regularised conditional likelihood of generated sentences."""
     rng = np.random.default_rng(seed)
     data = [_example(rng) for _ in range(examples)]
