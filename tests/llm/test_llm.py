@@ -120,11 +120,41 @@ def test_decontamination_finds_edits(spark):
     docs += [(900, None), (901, ""), (None, " ".join(items[0]))]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(99, None), (98, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find(d, b, block_rows=5).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(d, b).collect()}
     assert got == {(i, i % 12) for i in range(24)} | {(None, 0)}
     assert sorted(r.doc_id for r in decontaminate.remove(d, b).collect()) == [*range(24, 60), 900, 901]
 
 
+def test_decontamination_odd(spark, odd):
+    b = spark.createDataFrame([(1, "same text here now"), (1, "same text here now"), (2, "w3 w4 w5 w6 w7 w8"), (3, None), (None, "no id at all")], "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(odd, b).collect()}
+    assert got == {(4, 1), (5, 2), (6, 2), (None, None)}
+    left = decontaminate.remove(odd, b)
+    assert sorted((r.doc_id, r.n_chars) for r in left.collect()) == [(1, None), (2, 0), (3, 3), (4, 19), (7, 7), (8, 16)] and left.columns == odd.columns
+    assert decontaminate.find(odd.limit(0), b).count() == decontaminate.find(odd, b.limit(0)).count() == 0
+    assert decontaminate.remove(odd, b.limit(0)).count() == odd.count() and decontaminate.remove(odd.limit(0), b).count() == 0
+    texts = decontaminate.find(odd, b.withColumn("item_id", F.col("item_id").cast("string")))
+    assert texts.schema["item_id"].dataType.simpleString() == "string" and texts.count() == 4
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.1, 0.99), (0.2, 0.97)])
+def test_decontamination_recall_by_rate_of_edits(spark, rate, least):
+    """Against every alignment of at least 0.5, with words replaced at random."""
+    rng = random.Random(int(rate * 100))
+    items = [[f"i{i}w{k}" for k in range(rng.randint(15, 59))] for i in range(300)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        copy = [f"x{i}y{k}" if rng.random() < rate else w for k, w in enumerate(item)]
+        text = [f"a{i}b{k}" for k in range(30)] + copy + [f"c{i}d{k}" for k in range(30)]
+        docs.append((i, " ".join(text)))
+        code = {w: k for k, w in enumerate({*item, *text})}
+        if decontaminate.smith_waterman(np.array([code[w] for w in item]), np.array([code[w] for w in text]))[0] >= len(item):
+            want.add((i, i))
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got <= want and len(got) >= least * len(want) and len(want) > 250
+
+
 def test_decontamination_exact_copies(spark, sf, rows):
     items = {r.item_id: re.sub(r"\s+", " ", r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in zip(rows.doc_id, rows.text, strict=True) for i, x in items.items() if x in re.sub(r"\s+", " ", t)}

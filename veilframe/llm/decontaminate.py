@@ -1,38 +1,43 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Seeds are runs of ``n`` words of the test items. Their document frequency in the training texts is counted
-over all of them. A seed is rare if few documents have it, measured against the item's own middling seed,
+Seeds are runs of ``n`` words of the test items, of ``n_short`` words for items of fewer than ``short`` words, of which an edit
+leaves fewer runs whole. One pass over the texts tells their runs that may be
+seeds by a bit table of fixed size, and keeps the passages around them as word hashes. Everything else works
+on tables of passages and items: runs are joined with the seeds they equal, and in how many passages a seed occurs is counted over
+all texts. A seed is rare if few passages have it, measured against the item's own middling seed,
 so that a test item that has leaked into very many documents keeps its seeds while turns of phrase that occur
-everywhere are left out; an item keeps its ``least`` rarest seeds in any case. A passage around
-rare seeds that lie close together is aligned with the item by words (Smith and Waterman, linear gaps);
-the score is the alignment's share of the item's best possible one.
+everywhere are left out; an item keeps its ``least`` rarest seeds in any case, and the rarest of each stretch of ``n`` words, so
+that no part of it goes without. A passage in which rare seeds of an item lie close together is aligned with it by
+words (Smith and Waterman, linear gaps); the score is the alignment's share of the item's best possible one.
 
-The texts are never shuffled: items are shipped to the tasks in blocks of bounded size, and
-each block is one pass over the texts. What a pass returns are passages found.
+The texts are read once and never shuffled, whatever the number of items; neither items nor seeds pass through the driver. What is
+shipped to the tasks is the bit table (``BITS`` bits); a bit that is set by chance costs a row, and changes nothing.
 
 Words are runs of anything but ASCII blanks, lower-cased, without punctuation at their ends; items of
-fewer words than ``n`` have one seed, the whole item. Nulls, empty texts and items without a word never
-match. Equal texts have equal results, and repeated items are scored one by one. Any empty table gives no rows.
+fewer words than a seed have one seed, the whole item. Nulls, empty texts and items without a word never
+match. Rows of documents that share an id, or have none, count as one document, rows of items likewise: the best
+alignment of any two of them counts. Ids may have any type that can be ordered. Any empty table gives no rows.
+Columns other than ids and texts are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..operators.lineage import cut, join_small
 from ._common import bounded_batches
-from ._words import U64, Words, as_strings, mix, ngrams, slices, split
+from ._words import U64, Words, as_strings, ngrams, slices, split
 
 #: Signs that are no part of a word at its ends.
 _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b""".,;:!?"'()[]{}<>*&$%#|-""")] = True
+BITS = 1 << 24
 
 
 def read(texts: pa.Array) -> Words:
@@ -40,64 +45,9 @@ def read(texts: pa.Array) -> Words:
     return split(pc.utf8_lower(texts), trim=_SIGNS)
 
 
-@dataclass
-class Items:
-    """A block of test items: word hashes by item, and sorted seeds with the items that have them."""
-
-    ids: list
-    words: list[np.ndarray]
-    seed: np.ndarray
-    owner: np.ndarray
-    n: int
-    _maybe: np.ndarray | None = None
-
-    @classmethod
-    def of(cls, ids: list, texts: list[str | None], n: int) -> Items:
-        w = read(as_strings(pa.array(texts, pa.string())))
-        words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
-        seed, owner = [], []
-        for i, h in enumerate(words):
-            if h.size:
-                own = np.unique(ngrams(h, min(n, h.size), seed=0 if h.size >= n else h.size))
-                seed.append(own)
-                owner.append(np.full(own.size, i))
-        seed, owner = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((seed, U64), (owner, np.int64)))
-        order = np.lexsort((owner, seed))
-        return cls(ids, words, seed[order], owner[order], n)
-
-    def lengths(self) -> list[int]:
-        """The lengths of seeds: n, and those of shorter items."""
-        return sorted({min(self.n, h.size) for h in self.words if h.size})
-
-    def maybe(self) -> np.ndarray:
-        """By the first 20 bits of a hash: whether a seed begins with them."""
-        if self._maybe is None:
-            self._maybe = np.zeros(1 << 20, bool)
-            self._maybe[(self.seed >> U64(44)).astype(np.int64)] = True
-        return self._maybe
-
-    def __getstate__(self):
-        return self.__dict__ | {"_maybe": None}
-
-    def keep(self, rare: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seed[rare], self.owner[rare], self.n)
-
-
-def _hits(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(word position, seed hash) of all seeds in the texts."""
-    at, found = [], []
-    for m in items.lengths():
-        grams = ngrams(words.hash, m, seed=0 if m == items.n else m)
-        if not grams.size:
-            continue
-        # few words begin a seed: most are ruled out by a look at a small table
-        hit = np.flatnonzero(items.maybe()[(grams >> U64(44)).astype(np.int64)])
-        k = np.searchsorted(items.seed, grams[hit])
-        hit = hit[items.seed[np.minimum(k, items.seed.size - 1)] == grams[hit]]
-        hit = hit[words.doc[hit] == words.doc[hit + m - 1]]
-        at.append(hit)
-        found.append(grams[hit])
-    return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, U64))
+def _grams(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Runs of m words; runs of different lengths never look alike."""
+    return ngrams(hashes, m, seed=m)
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray, match: float = 2.0, differ: float = -1.0, gap: float = -1.0) -> tuple[float, int, int]:
@@ -129,113 +79,150 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray, match: float = 2.0, di
     return best
 
 
-def passages(words: Words, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, first word, end word, seeds) of stretches where seeds of one item lie close together."""
-    at, found = _hits(words, items)
-    lo, hi = np.searchsorted(items.seed, found, "left"), np.searchsorted(items.seed, found, "right")
-    times = hi - lo
-    at = np.repeat(at, times)
-    which = items.owner[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)] if times.size else np.zeros(0, np.int64)
-    order = np.lexsort((at, which, words.doc[at])) if at.size else np.zeros(0, np.int64)
-    at, which = at[order], which[order]
-    row = words.doc[at]
-    size = np.array([h.size for h in items.words] or [0])
-    new = np.ones(at.size, bool)
-    new[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1]) | (at[1:] - at[:-1] > size[which[1:]] + items.n)
-    starts = np.flatnonzero(new)
-    for a, b in zip(starts, np.append(starts, at.size)[1:], strict=True):
-        i, r = int(which[a]), int(row[a])
-        reach = int(size[i])
-        yield r, i, max(int(words.first[r]), int(at[a]) - reach), min(int(words.first[r + 1]), int(at[b - 1]) + reach + items.n), int(b - a)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_rows: int) -> Iterator[tuple[list, list]]:
-    """The items, at most ``block_rows`` at a time on the driver."""
-    ids, texts = [], []
-    for r in benchmark.select(F.col(id_col), F.col(text_col)).toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        if len(ids) == block_rows:
-            yield ids, texts
-            ids, texts = [], []
-    if ids:
-        yield ids, texts
-
-
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 5, least: int = 8, factor: float = 8.0, floor: int = 20, min_score: float = 0.5, block_rows: int = 20_000) -> DataFrame:
-    """One row for each document and item of which it holds a copy, edited or not: ids, score (0 to 1), the
-    best passage by word positions, and its seeds. A seed is rare if it is in at most
-    max(floor, factor x the item's median) documents."""
-    bounded_batches(docs)
-    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("item_id", benchmark.schema[item_id_col].dataType), StructField("score", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType()), StructField("seeds", LongType())])
-    texts = docs.select(id_col, text_col)
-    parts = [_find_block(texts, Items.of(ids, items, n), schema, least, factor, floor, min_score) for ids, items in _blocks(benchmark, item_id_col, item_text_col, block_rows)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _find_block(texts: DataFrame, items: Items, schema: StructType, least: int, factor: float, floor: int, min_score: float) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(items.seed.size, np.int64)
+def _items(benchmark: DataFrame, id_col: str, text_col: str, n: int, n_short: int, short: int) -> DataFrame:
+    """(item_id, words, seeds, m): word hashes, runs of m words in order; a row for each item with a word."""
+    kind = benchmark.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, words_of, seeds, lengths = [], [], [], []
             column = as_strings(batch.column(1))
             for lo, hi in slices(column):
                 words = read(column.slice(lo, hi - lo))
-                at, found = _hits(words, items)
-                pair = np.unique(np.stack([words.doc[at].astype(U64), found]), axis=1) if at.size else np.zeros((2, 0), U64)
-                seed, times = np.unique(pair[1], return_counts=True)
-                a, b = np.searchsorted(items.seed, seed, "left"), np.searchsorted(items.seed, seed, "right")
-                np.add.at(total, np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]) if a.size else [], np.repeat(times, b - a))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["seed", "rows"])
-
-    counted = texts.mapInArrow(count, "seed long, rows long").groupBy("seed").agg(F.sum("rows").alias("rows")).collect()
-    frequency = np.zeros(items.seed.size, np.int64)
-    for r in counted:
-        frequency[r.seed] = r.rows
-    rare = items.keep(_rare(items, frequency, least, factor, floor))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for i in range(hi - lo):
+                    h = words.hash[words.first[i] : words.first[i + 1]]
+                    if h.size:
+                        m = min(n if h.size >= short else n_short, h.size)
+                        rows.append(lo + i)
+                        words_of.append(h.view(np.int64))
+                        seeds.append(_grams(h, m).view(np.int64))
+                        lengths.append(m)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words_of, longs), pa.array(seeds, longs), pa.array(lengths, pa.int32())], names=["item_id", "words", "seeds", "m"])
+
+    return benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, words array<long>, seeds array<long>, m int")
+
+
+def _bit_table(seeds: DataFrame) -> np.ndarray:
+    """Which of BITS places a seed falls on; at most BITS / 64 words of it reach the driver."""
+    bit = seeds.select(F.pmod("seed", F.lit(BITS)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def passages(docs: DataFrame, table: np.ndarray, lengths: list[int], reach: int) -> DataFrame:
+    """(doc_id, first, words, at, seed): stretches of documents around runs that may be seeds, with ``reach`` words on both
+    sides; at: where the runs begin, counted from the document's first word, as first is. docs: id, text."""
+    kind = docs.schema[docs.columns[0]].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             column = as_strings(batch.column(1))
             for lo, hi in slices(column):
                 words = read(column.slice(lo, hi - lo))
-                best: dict[tuple[int, int], tuple] = {}
-                for row, i, a, b, seeds in passages(words, rare):
-                    score, s, e = smith_waterman(rare.words[i], words.hash[a:b])
-                    score /= 2.0 * rare.words[i].size
-                    if score >= min_score and score > best.get((row, i), (0.0,))[0]:
-                        first = a - int(words.first[row])
-                        best[row, i] = (score, first + s, first + e, seeds)
-                out += [(lo + row, i, *found) for (row, i), found in sorted(best.items())]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(list(columns[0]), pa.int64())), pa.array([rare.ids[i] for i in columns[1]]).cast(pa.int64()) if isinstance(schema["item_id"].dataType, LongType) else pa.array([rare.ids[i] for i in columns[1]], pa.string()), pa.array(list(columns[2]), pa.float64()), *[pa.array(list(c), pa.int64()) for c in columns[3:]]], names=schema.names)
-
-    return texts.mapInArrow(align, schema)
-
-
-def _rare(items: Items, frequency: np.ndarray, least: int, factor: float, floor: int) -> np.ndarray:
-    """Which seeds are rare for their item."""
-    rare = np.zeros(items.seed.size, bool)
-    order = np.argsort(items.owner, kind="stable")
-    cuts = np.searchsorted(items.owner[order], np.arange(len(items.words) + 1))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = order[a:b]
-        if own.size:
-            f = frequency[own]
-            rare[own] = f <= max(floor, factor * float(np.median(f)))
-            rare[own[np.argsort(f, kind="stable")[:least]]] = True
-    return rare
+                at, seed = [], []
+                for m in lengths:
+                    grams = _grams(words.hash, m)
+                    place = (grams % U64(BITS)).astype(np.int64)
+                    hit = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    hit = hit[words.doc[hit] == words.doc[hit + m - 1]]
+                    at.append(hit)
+                    seed.append(grams[hit])
+                at, seed = np.concatenate(at), np.concatenate(seed)
+                order = np.argsort(at, kind="stable")
+                at, seed = at[order], seed[order]
+                doc = words.doc[at]
+                opens = np.ones(at.size, bool)
+                opens[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * reach)
+                f = np.flatnonzero(opens)
+                until = np.append(f, at.size)[1:] if f.size else f
+                a = np.maximum(words.first[doc[f]], at[f] - reach)
+                b = np.minimum(words.first[doc[f] + 1], at[until - 1] + reach + 1)
+                span = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+                inside = np.repeat(a - span[:-1], b - a) + np.arange(span[-1])
+                cuts = pa.array(np.append(f, at.size).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(lo + doc[f])), pa.array((a - words.first[doc[f]]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(span), pa.array(words.hash[inside].view(np.int64))),
+                        pa.ListArray.from_arrays(cuts, pa.array((at - words.first[doc]).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(seed.view(np.int64))),
+                    ],
+                    names=["doc_id", "first", "words", "at", "seed"],
+                )
+
+    return docs.mapInArrow(run, f"doc_id {kind}, first long, words array<long>, at array<int>, seed array<long>")
+
+
+def _rare(seeds: DataFrame, frequency: DataFrame, n: int, least: int, factor: float, floor: int) -> DataFrame:
+    """The rare ones of seeds (item, seed, pos). frequency: (seed, n), in how many passages."""
+    told = seeds.join(frequency, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    middling = told.groupBy("item").agg(F.percentile("n", 0.5).alias("middling"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("item", *by).orderBy("n", "seed"))
+    # seeds of one item are no more than its words
+    ranked = told.withColumns({"rank": rank(), "part": F.floor(F.col("pos") / n)}).withColumn("in_part", rank("part")).join(middling, "item")
+    rare = (F.col("n") <= F.greatest(F.lit(float(floor)), factor * F.col("middling"))) | (F.col("rank") <= least) | (F.col("in_part") == 1)
+    return ranked.where(rare & (F.col("n") > 0)).select("item", "seed")
+
+
+def _align(found: DataFrame, n: int, min_score: float) -> DataFrame:
+    """(doc_id, item_id, score, first_word, end_word, seeds), the best of each row that scores enough. found: doc_id,
+    item_id, first, words, at (of the item's seeds), item (the words of it)."""
+    ids = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in ("doc_id", "item_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda column: [np.asarray(x, np.int64) for x in column.to_pylist()]
+        for batch in batches:
+            out = []
+            rows = zip(batch.column(2).to_pylist(), longs(batch.column(3)), longs(batch.column(4)), longs(batch.column(5)), strict=True)
+            for i, (first, words, at, item) in enumerate(rows):
+                at, best = np.sort(at), (0.0,)
+                for part in np.split(at, np.flatnonzero(np.diff(at) > item.size + n) + 1):
+                    a, b = max(0, int(part[0]) - first - item.size), int(part[-1]) - first + item.size + n
+                    score, s, e = smith_waterman(item, words[a:b])
+                    if score > best[0]:
+                        best = (score, first + a + s, first + a + e, part.size)
+                if best[0] and best[0] / (2.0 * item.size) >= min_score:
+                    out.append((i, best[0] / (2.0 * item.size), *best[1:]))
+            c = list(zip(*out, strict=True)) or [[]] * 5
+            of = pa.array(list(c[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(list(c[1]), pa.float64()), *[pa.array(list(x), pa.int64()) for x in c[2:]]], names=["doc_id", "item_id", "score", "first_word", "end_word", "seeds"])
+
+    return found.mapInArrow(run, f"{ids}, score double, first_word long, end_word long, seeds long")
+
+
+def find(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+    n: int = 5, n_short: int = 3, short: int = 25, least: int = 8, factor: float = 8.0, floor: int = 20, min_score: float = 0.5,
+) -> DataFrame:
+    """One row for each document and item of which it holds a copy, edited or not: ids, score (0 to 1), the
+    best passage by word positions, and its seeds. A seed is rare if it is in at most
+    max(floor, factor x the item's median) passages."""
+    bounded_batches(docs)
+    items = cut(_items(benchmark, item_id_col, item_text_col, n, n_short, short).withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
+    kinds = {"doc_id": docs.schema[id_col].dataType, "item_id": benchmark.schema[item_id_col].dataType}
+    longest = items.agg(F.max(F.size("words")).alias("words"), F.collect_set("m").alias("m")).first()
+    if longest.words is None:
+        ddl = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items())
+        return docs.sparkSession.createDataFrame([], f"{ddl}, score double, first_word long, end_word long, seeds long")
+    seeds = cut(items.select("item", F.posexplode("seeds").alias("pos", "seed")).groupBy("item", "seed").agg(F.min("pos").alias("pos")))
+    held = cut(passages(docs.select(id_col, text_col), _bit_table(seeds), sorted(longest.m), longest.words + n).withColumn("passage", F.xxhash64("doc_id", "first", "words")))
+    each = held.select("passage", F.explode(F.arrays_zip("at", "seed")).alias("hit")).select("passage", "hit.*")
+    wanted = seeds.select("seed").distinct()
+    # minima and counts are combined before they are dealt out, so that a seed which is everywhere is no burden
+    frequency = cut(held.select(F.explode(F.array_distinct("seed")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).join(wanted, "seed"))
+    rare = cut(_rare(seeds, frequency, n, least, factor, floor))
+    pairs = join_small(each, rare, ["seed"]).groupBy("passage", "item").agg(F.collect_set("at").alias("near"))
+    found = held.select("passage", "doc_id", "first", "words").dropDuplicates(["passage"]).join(pairs, "passage")
+    found = join_small(found, items.select("item", "item_id", F.col("words").alias("of")), ["item"])
+    best = _align(found.select("doc_id", "item_id", "first", "words", "near", "of"), n, min_score)
+    order = F.struct("score", -F.col("first_word"), "end_word", "seeds")
+    best = best.groupBy("doc_id", "item_id").agg(F.max(order).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), "b.end_word", "b.seeds")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold a copy of a test item. Rows with a null id are judged too."""
+    """docs without the documents that hold a copy of a test item. Rows with a null id are judged too, each by its text."""
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    bad = find(keyed, benchmark, "_key", "_text", **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    bad = find(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", **options).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(F.struct("*").alias("r"), key.alias("key")).join(bad, "key", "left_anti").select("r.*")
