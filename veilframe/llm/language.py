@@ -79,13 +79,16 @@ class CompressionModel:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 5, rows_per_lang: int = 800, dictionary_bytes: int = 200 << 10, seed: int = 7) -> CompressionModel:
     """Learns from rows with a language whose crc32(id) mod ``held_out_mod`` is not 0, at most
-    ``rows_per_lang`` of each language (by hash) and ``dictionary_bytes`` of their text. The
+    ``rows_per_lang`` of each language (by hash), a piece from a place in each chosen by hash, and ``dictionary_bytes`` of their
+    text. Languages beyond the 256 most frequent are not learned, which bounds the model. The
     sample is cut on the executors, so the driver gets at most rows x bytes / rows of each."""
     bounded_batches(docs)
     each = max(256, 2 * dictionary_bytes // rows_per_lang)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where((crc_mod(F.col("id"), held_out_mod) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = bounded_sample(known.select("id", "lang", F.substring("text", 1, each).alias("text")), "lang", "id", rows_per_lang, seed).collect()
+    # a piece from anywhere in the text, so that a common opening is not all that is learned
+    start = 1 + F.pmod(F.xxhash64(F.lit(seed), "id"), F.greatest(F.length("text") - each, F.lit(0)) + 1).cast("int")
+    rows = bounded_sample(known.select("id", "lang", F.substring("text", start, F.lit(each)).alias("text")), "lang", "id", rows_per_lang, seed).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r._u, r.id, r.text)):
         by_lang.setdefault(r.lang, []).append(r.text.lower().encode())
