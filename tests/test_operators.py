@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import scores
-from veilframe.operators import chunk, index, ledger, retrieve
+from veilframe.operators import chunk, index, ledger, lineage, retrieve
 from veilframe.operators.graph import connected_components
 from veilframe.operators.lineage import join_small
 from veilframe.sources import files
@@ -127,3 +128,41 @@ def test_correlated_streams(spark):
     s = spark.readStream.schema("correlation_id string, sent timestamp").parquet(a)
     t = spark.readStream.schema("correlation_id string, replied timestamp, text string").parquet(b)
     assert {r.id for r in queue.drain(queue.correlate(s, t)).collect()} == {"x"}
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_folds_do_not_depend_on_batches(spark, rows):
+    """Breakers and chained ledgers, key by key, in batches of any size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        calls = [("a", t, t in (1, 2, 3, 70)) for t in (1, 2, 3, 4, 62, 63, 70, 71)] + [("b", t, True) for t in (1, 200, 400, 401, 402, 403)]
+        df = spark.createDataFrame([(k, t, n, bad) for n, (k, t, bad) in enumerate(calls)], "k string, s long, tie long, bad boolean").withColumn("ts", F.timestamp_seconds("s"))
+        got = {(r.k, int(r.t)): (r.state, r.allowed) for r in state.breaker_states(df, "k", "ts", F.col("bad")).collect()}
+        assert [got["a", t] for t in (1, 2, 3, 4, 62, 63, 70, 71)] == [("closed", True), ("closed", True), ("open", True), ("open", False), ("open", False), ("closed", True), ("closed", True), ("closed", True)]
+        assert [got["b", t] for t in (1, 200, 400, 401, 402, 403)] == [("closed", True)] * 4 + [("open", True), ("open", False)]
+        chained = ledger.append(spark.createDataFrame([(k, i, f"{{{k}{i}}}") for k in "xy" for i in range(7)], "ledger string, seq long, body string")).collect()
+        for k in "xy":
+            previous = ledger.GENESIS
+            for r in sorted((r for r in chained if r.ledger == k), key=lambda r: r.seq):
+                assert (r.prev_hash, r.hash) == (previous, hashlib.sha256((previous + r.body).encode()).hexdigest())
+                previous = r.hash
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_cached_tiers(spark):
+    tier = lambda *rows: spark.createDataFrame(list(rows), "k string, value string, s long").withColumn("stored", F.timestamp_seconds("s"))
+    now = 100_000
+    tiers = [tier(("a", "a0", now - 10), ("b", "b0", now - 90_000)), tier(("b", "b1", now), ("c", "c1", now - 86_400)), tier(("a", "a2", 0), ("d", "d2", 0))]
+    found, back = state.cached(tiers, spark.createDataFrame([(k,) for k in "abcdea"], "k string"), "k", F.timestamp_seconds(F.lit(now)))
+    assert {r.k: (r.tier, r.value) for r in found.collect()} == {"a": (0, "a0"), "b": (1, "b1"), "c": (1, "c1"), "d": (2, "d2"), "e": (None, None)}
+    assert sorted((r.k, r.tier, r.value) for r in back.collect()) == [("b", 0, "b1"), ("c", 0, "c1"), ("d", 0, "d2"), ("d", 1, "d2")]
+
+
+def test_joins_with_crowded_keys(spark):
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 40), ("b", 3), ("c", 1)) for i in range(n)] + [("z", 0)], "k string, i int")
+    right = spark.createDataFrame([("a", 40, "A"), ("b", 3, "B"), ("c", 1, "C"), ("q", 0, "Q")], "k string, n int, v string")
+    got = sorted((r.k, r.i, r.v) for r in lineage.join_counted(left, right, "k", crowd=10).collect())
+    assert got == sorted((k, i, v) for k, n, v in (("a", 40, "A"), ("b", 3, "B"), ("c", 1, "C")) for i in range(n))

@@ -18,6 +18,15 @@ def _number(seed: int, salt: str, digits: int) -> Column:
     return F.lpad(F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(10**digits)).cast("string"), digits, "0")
 
 
+#: Lines that name nobody; # stands for a small number.
+CLEAN = (
+    "The committee met at 10:30 in room #, and adjourned before noon.", "Chapter #: the harvest was better than in the years before.", "Add # grams of flour, stir for # minutes: the dough should be soft.",
+    "Version 2.#.1 fixes 14 faults; see section 3.#.", "The train leaves from platform # at 18:05.", "Revenue rose by #.5 % while costs fell by 2.1 %.", "Score at half time: # to 2.", "Figure #: share of renewable energy by year, 1990 to 2020.",
+    "Im Jahr 1848 wurden # neue Schulen eröffnet.", "La température moyenne était de #,4 degrés.", "El puente mide # metros de largo y 12 de ancho.", "Note: # of the 40 samples were discarded.", "Ratio 3:#, tolerance +/- 0.2 mm, see table #.",
+    "Toplantı saat 14:00'te # numaralı salonda yapıldı.", "In 2019/20 the team won # games and lost 7.",
+)
+
+
 def planted(spark: SparkSession, each: int = 150, per_document: int = 10, seed: int = 42) -> DataFrame:
     """(id, doc_id, entity_type, original): ``each`` values of every type, made from hashes; identity numbers pass their checks."""
     rows = spark.range(each * len(TYPES)).withColumn("entity_type", F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("id") % len(TYPES) + 1).cast("int")))

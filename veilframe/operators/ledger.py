@@ -42,15 +42,18 @@ def append(rows: DataFrame, last: str = GENESIS) -> DataFrame:
     are the unit of distribution, so a busy source should be split into several."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        previous, out = last, []
-        for body in pdf["body"]:
-            out.append((previous, chain_hash(previous, body)))
-            previous = out[-1][1]
-        return pdf.assign(prev_hash=[p for p, _ in out], hash=[h for _, h in out])
-
-    return rows.groupBy("ledger").applyInPandas(run, f"ledger {kinds['ledger']}, seq {kinds['seq']}, body string, prev_hash string, hash string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        previous = last
+        for pdf in batches:
+            out = []
+            for new, body in zip(pdf["n"] == 1, pdf["body"], strict=True):
+                out.append((last if new else previous, chain_hash(last if new else previous, body)))
+                previous = out[-1][1]
+            yield pdf.drop(columns="n").assign(prev_hash=[p for p, _ in out], hash=[h for _, h in out])
+
+    # the window deals rows out by ledger and leaves them in order, so a batch takes no more than the hash before it
+    ordered = rows.select("ledger", "seq", "body").withColumn("n", F.row_number().over(Window.partitionBy("ledger").orderBy("seq")))
+    return ordered.mapInPandas(run, f"ledger {kinds['ledger']}, seq {kinds['seq']}, body string, prev_hash string, hash string")
 
 
 def verify(rows: DataFrame, start: Column | None = None) -> DataFrame:

@@ -33,8 +33,8 @@ def _probe(spark, d, names: tuple[str, ...]):
     k = F.col("doc_id")
     made = F.format_string(
         "IBAN DE89370400440532013000 or DE%02d370400440532013000\nName:\n Anna \nAddress : Main ST 12 NO:%d Floor\nborn on 12.03.19%02d mac 00:1a:2b:3c:4d:%02x at 41.%04d, 2.%04d "
-        "cookie=123e4567-e89b-12d3-a456-426614174000 IMEI: 3569380356438%02d SSN 078-05-11%02d cpf 529.982.247-%02d passport P12345%02d driver's license D12345%02d tax id 12-34567%02d plate no 34 ABC %02d",
-        (k % 90 + 10), k, (k % 90 + 10), (k % 200), (k % 9000 + 1000), (k % 8000 + 1000), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10),
+        "cookie=123e4567-e89b-12d3-a456-426614174000 IMEI: 3569380356438%02d SSN 078-05-11%02d cpf 529.982.247-%02d passport P12345%02d driver's license D12345%02d tax id 12-34567%02d plate no 34 ABC %02d see https://ex.example.com/a/%02d, or not",
+        (k % 90 + 10), k, (k % 90 + 10), (k % 200), (k % 9000 + 1000), (k % 8000 + 1000), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10),
     )
     t = docs(spark, d).select("doc_id", F.concat("text", F.lit("\n"), made).alias("text"))
     found = scan.scan(t, [r for r in rules.BASELINE if r.name in names])
@@ -49,12 +49,12 @@ for _name, _rules in _BASELINE.items():
     QUERIES[_name] = _run
 
 #: Page sources hold urls; ASCII-only surroundings make borders of words alike in all engines.
-_PAGES = "SELECT page_id AS id, html || ' mac 00:1a:2b:3c:4d:' || lpad(CAST(page_id % 90 + 10 AS VARCHAR), 2, '0') || ' _ga=GA1.2.3.' || page_id || ' ' AS text FROM pages"
+_PAGES = "SELECT page_id AS id, html || ' mac 00:1a:2b:3c:4d:' || lpad(CAST(page_id % 90 + 10 AS VARCHAR), 2, '0') || ' _ga=GA1.2.3.' || page_id || ' https://shop.example.com/item/' || page_id || ' ' AS text FROM pages"
 
 
 def _pages(spark, d):
     k = F.col("page_id")
-    return table(spark, d, "pages").select(k.alias("id"), F.concat("html", F.format_string(" mac 00:1a:2b:3c:4d:%02d _ga=GA1.2.3.%d ", k % 90 + 10, k)).alias("text"))
+    return table(spark, d, "pages").select(k.alias("id"), F.concat("html", F.format_string(" mac 00:1a:2b:3c:4d:%02d _ga=GA1.2.3.%d https://shop.example.com/item/%d ", k % 90 + 10, k, k)).alias("text"))
 
 
 def _plain(spark, d, names):
@@ -187,6 +187,20 @@ for _name, (_rule, _) in _FORMATS.items():
     ORACLE_SQL[_name] = spans_sql(_CUSTOMERS, _BY_NAME[_rule].pattern)
 
 
+_N8 = "lpad(CAST((c_custkey * 104729) % 90000000 + 10000000 AS VARCHAR), 8, '0')"
+
+
+def _residents(spark, d):
+    n8 = F.lpad(((F.col("c_custkey") * 104729) % 90000000 + 10000000).cast("string"), 8, "0")
+    line = F.concat(F.lit("ID "), n8, n8, F.lit("1X, not "), n8, n8, F.lit("X or A"), n8, n8, F.lit("12"))
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("text"))
+    return scan.scan(t, [_BY_NAME["pipl_resident"]], "id", "text").select("id", "start", "end", "value")
+
+
+QUERIES["pack_12_pipl_format"] = _residents
+ORACLE_SQL["pack_12_pipl_format"] = f"SELECT c_custkey AS id, 3 AS \"start\", 21 AS \"end\", {_N8} || {_N8} || '1X' AS value FROM customer"
+
+
 @query("pack_01_gdpr_ipv4", spans_sql("SELECT event_id AS id, 'from ' || (event_id % 300) || '.' || (event_id % 256) || '.0.' || (event_id % 7) || ' end' AS text FROM events", rules.IPV4))
 def pack_01(spark, d):
     k = F.col("event_id")
@@ -241,10 +255,11 @@ def det_23(spark, d):
     return spark.createDataFrame([(t, True) for t in sorted(rules.expand_types(["CITY", "BANK_ACCOUNT_NUMBER", "IBAN"]))], "entity_type string, wanted boolean")
 
 
-@query("det_24_coverage", "SELECT 'CITY' AS entity_type WHERE false")
+@query("det_24_coverage", "SELECT * FROM (VALUES ('FAN_CLUB_NUMBER'), ('LIBRARY_CARD')) v(entity_type)")
 def det_24(spark, d):
+    """Types of a policy that no rule, model or parent type covers: of the built-in ones none, of three added ones two."""
     found = spark.createDataFrame([(r.entity_type,) for r in rules.compose(rules.PACKS).rules] + [(t,) for t in (*rules.MODEL_TYPES, *rules.CONTEXTUAL)] + [(c,) for c, p in rules.PARENTS.items()], "entity_type string")
-    wanted = spark.createDataFrame([(t,) for t in rules.compose(rules.PACKS).types], "entity_type string")
+    wanted = spark.createDataFrame([(t,) for t in (*rules.compose(rules.PACKS).types, "LIBRARY_CARD", "URL", "FAN_CLUB_NUMBER")], "entity_type string").distinct()
     return wanted.join(found, "entity_type", "left_anti")
 
 
@@ -270,13 +285,19 @@ def det_18(spark, d):
     return docs(spark, d).select("doc_id", titled("text").alias("text"))
 
 
-@query("det_20_ner_gate", "WITH n AS (SELECT doc_id, lang, string_split(text, ' ')[1] AS w, CASE doc_id % 3 WHEN 0 THEN 'PERSON_NAME' WHEN 1 THEN 'LOCATION' ELSE 'ORGANIZATION_NAME' END AS entity_type, (doc_id % 21) / 100.0 + 0.8 AS s FROM documents) SELECT doc_id, entity_type, CAST(round(s, 2) AS DOUBLE) AS score FROM n WHERE length(w) >= CASE WHEN lang IN ('zh', 'ja', 'ko', 'th') THEN 2 ELSE 3 END AND round(s, 2) >= CASE WHEN entity_type = 'PERSON_NAME' THEN 0.80 ELSE 0.95 END")
+_GATE = """WITH n AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w, (doc_id % 21) / 100.0 + 0.8 AS s,
+  CASE doc_id % 3 WHEN 0 THEN 'PERSON_NAME' WHEN 1 THEN 'LOCATION' ELSE 'ORGANIZATION_NAME' END AS entity_type FROM documents)
+SELECT doc_id, entity_type, CAST(round(s, 2) AS DOUBLE) AS score, count(*) AS n FROM n
+WHERE length(w) >= CASE WHEN lang IN ('zh', 'ja', 'ko', 'th') THEN 2 ELSE 3 END AND round(s, 2) >= CASE WHEN entity_type = 'PERSON_NAME' THEN 0.80 ELSE 0.95 END
+GROUP BY ALL"""
+
+
+@query("det_20_ner_gate", _GATE)
 def det_20(spark, d):
     k = F.col("doc_id")
-    n = docs(spark, d).select(
-        "doc_id", "lang", F.element_at(F.split("text", " ", -1), 1).alias("w"), F.when(k % 3 == 0, "PERSON_NAME").when(k % 3 == 1, "LOCATION").otherwise("ORGANIZATION_NAME").alias("entity_type"), F.round((k % 21) / 100.0 + 0.8, 2).alias("score")
-    )
-    return gate(n).select("doc_id", "entity_type", "score")
+    kind = F.when(k % 3 == 0, "PERSON_NAME").when(k % 3 == 1, "LOCATION").otherwise("ORGANIZATION_NAME").alias("entity_type")
+    n = docs(spark, d).select("doc_id", "lang", F.explode(F.split("text", " ", -1)).alias("w"), kind, F.round((k % 21) / 100.0 + 0.8, 2).alias("score"))
+    return gate(n).groupBy("doc_id", "entity_type", "score").agg(F.count("*").alias("n"))
 
 
 def gate(found):
@@ -351,7 +372,7 @@ def win_05(spark, d):
 
         return text.map(one, na_action="ignore")
 
-    return docs(spark, d).select("doc_id", expanded(F.initcap(F.substring("text", 1, 200))).alias("name"))
+    return docs(spark, d).select("doc_id", expanded(F.initcap("text")).alias("name"))
 
 
 @query("det_19_word_snap")
@@ -531,13 +552,19 @@ def fn_26(spark, d):
     return t.select("doc_id", F.posexplode(pack_paragraphs(F.col("text"))).alias("i", "p")).select("doc_id", "i", F.md5(F.col("p").cast("binary")).alias("h"))
 
 
-@query("det_21_model_ensemble", spans_sql("SELECT doc_id AS id, substring(text, 1, 40) || ' Thion and Onth.' AS text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]|THION|ONTH|Thion|Onth')", "\\b(?:Thion|Onth)\\b").replace('SELECT id, "start", "end", value FROM m WHERE true', 'SELECT id AS doc_id, "start", "end", CASE value WHEN \'Thion\' THEN \'PERSON_NAME\' ELSE \'LOCATION\' END AS entity_type, 0.96::DOUBLE AS score FROM m'))
+_ENSEMBLE = """WITH t AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(n + 1 AS INTEGER) AS "start", CAST(n + 9 AS INTEGER) AS "end", 'PERSON_NAME' AS entity_type, 0.96::DOUBLE AS score FROM t
+UNION ALL SELECT doc_id, CAST(n + 14 AS INTEGER), CAST(n + 21 AS INTEGER), 'LOCATION', 0.96 FROM t"""
+
+
+@query("det_21_model_ensemble", _ENSEMBLE)
 def det_21(spark, d):
-    """Two passes of a pluggable model, united by place and type; here a list of capitalised words stands for the model."""
+    """Two passes of two pluggable models, united by place and type; here lists of capitalised words stand for the models, and
+    each text ends in two of them."""
     from ..functions.ports import Gazetteer, run_models
 
-    plain = docs(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]|THION|ONTH|Thion|Onth"))
-    return run_models(plain.select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" Thion and Onth.")).alias("text"), "lang"), [Gazetteer({"Thion": "PERSON_NAME", "Onth": "LOCATION"}), Gazetteer({"Thion": "PERSON_NAME"})])
+    made = docs(spark, d).select("doc_id", F.concat("text", F.lit(" Zaqthion and Zaqonth.")).alias("text"), "lang")
+    return run_models(made, [Gazetteer({"Zaqthion": "PERSON_NAME", "Zaqonth": "LOCATION"}), Gazetteer({"Zaqthion": "PERSON_NAME"})])
 
 
 @query("det_25_semantic_validation", DET + ' SELECT doc_id, entity_type, "start", "end", value FROM det')
@@ -548,10 +575,20 @@ def det_25(spark, d):
     return validate(det(spark, d), NullPort())
 
 
-@query("det_26_semantic_port", "SELECT doc_id, 0 AS \"start\", 0 AS \"end\", source AS entity_type, 0.5::DOUBLE AS score FROM documents WHERE false")
+class _Alias:
+    """Names one alias, and one that occurs twice, which is no alias."""
+
+    enabled = True
+
+    def aliases(self, text: str) -> list[str]:
+        return ["Zaqthion the Elder", "Zaqonth"]
+
+
+@query("det_26_semantic_port", "SELECT doc_id, CAST(length(text) + 3 AS INTEGER) AS \"start\", CAST(length(text) + 21 AS INTEGER) AS \"end\", 'ALIAS' AS entity_type, 0.85::DOUBLE AS score FROM documents WHERE length(text) > 50")
 def det_26(spark, d):
-    from ..functions.ports import NullPort, detect_aliases
+    from ..functions.ports import detect_aliases
 
-    return detect_aliases(docs(spark, d).select("doc_id", "text"), NullPort())
+    line = F.concat("text", F.lit(" ; Zaqthion the Elder, of Zaqonth, and Zaqonth again ;"))
+    return detect_aliases(docs(spark, d).where(F.length("text") > 50).select("doc_id", line.alias("text")), _Alias())
 
 

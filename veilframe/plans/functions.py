@@ -145,17 +145,17 @@ def fn_15(spark, d):
 _PUNCT = r"[\.,;:!?/\\\-\(\)\[\]\{\}\"'`]+".replace("'", "''")
 
 
-@query("fn_16_index_value", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(trim(substring(text, 1, 200))), '{_PUNCT}', ' ', 'g'), '\\s+', ' ', 'g'))) AS v FROM documents")
+@query("fn_16_index_value", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(trim(text)), '{_PUNCT}', ' ', 'g'), '\\s+', ' ', 'g'))) AS v FROM documents")
 def fn_16(spark, d):
-    return docs(spark, d).select("doc_id", _md5(T.index_value(F.substring("text", 1, 200))).alias("v"))
+    return docs(spark, d).select("doc_id", _md5(T.index_value(F.col("text"))).alias("v"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.INDEX_STOP_WORDS) + "]"
 
 
-@query("fn_17_index_tokens", f"WITH x AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(substring(text, 1, 300)), '{T.INDEX_WORD}')) AS t FROM documents) SELECT DISTINCT doc_id, t FROM x WHERE NOT list_contains({_STOP}, t)")
+@query("fn_17_index_tokens", f"WITH x AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{T.INDEX_WORD}')) AS t FROM documents) SELECT DISTINCT doc_id, t FROM x WHERE NOT list_contains({_STOP}, t)")
 def fn_17(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(T.index_tokens(F.substring("text", 1, 300))).alias("t"))
+    return docs(spark, d).select("doc_id", F.explode(T.index_tokens(F.col("text"))).alias("t"))
 
 
 @query("fn_19_record_defaults", "SELECT event_id, coalesce(CAST(nullif(regexp_extract(props, '\"k\": *([0-9]+)', 1), '') AS BIGINT), 0) AS k, 'unknown' AS source FROM events")
