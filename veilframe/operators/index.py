@@ -38,8 +38,8 @@ def score_documents(index: DataFrame, asked: DataFrame, id_col: str = "doc_id")
     return hit.groupBy(id_col).agg(F.round(F.sum(weight(F.col("entity_type"))), 6).alias("score"))
 
 
-def pairs(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_a, doc_b, score, shared_entity_count) of documents that share entities. A value held by n documents makes
+def _met(index: DataFrame, id_col: str) -> DataFrame:
+    """(doc_a, doc_b, entity_type, value_hash) of documents that share a value. A value held by n documents makes
     n * (n - 1) / 2 rows by definition; rows of one value are dealt out by salts on one side, so no task holds them all."""
     keyed = index.select(F.col(id_col).alias("d"), "entity_type", "value_hash").distinct()
     shared = keyed.groupBy("entity_type", "value_hash").agg(F.count("*").alias("n")).where("n > 1")
@@ -47,15 +47,18 @@ def pairs(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     salts = F.ceil(F.col("n") / 1000).cast("int")
     left = kept.withColumn("s", F.pmod(F.xxhash64("d"), salts.cast("long"))).select("entity_type", "value_hash", "s", F.col("d").alias("doc_a"))
     right = kept.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).select("entity_type", "value_hash", "s", F.col("d").alias("doc_b"))
-    j = left.join(right, ["entity_type", "value_hash", "s"]).where("doc_a < doc_b")
-    return j.groupBy("doc_a", "doc_b").agg(F.round(F.sum(weight(F.col("entity_type"))), 6).alias("score"), F.count("*").alias("shared_entity_count"))
+    return left.join(right, ["entity_type", "value_hash", "s"]).where("doc_a < doc_b").drop("s")
+
+
+def pairs(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_a, doc_b, score, shared_entity_count) of documents that share entities."""
+    score = F.round(F.sum(weight(F.col("entity_type"))), 6).alias("score")
+    return _met(index, id_col).groupBy("doc_a", "doc_b").agg(score, F.count("*").alias("shared_entity_count"))
 
 
 def shared_types(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_a, doc_b, entity_type, n): the pairs by type."""
-    a = index.select(F.col(id_col).alias("doc_a"), "entity_type", "value_hash").distinct()
-    b = index.select(F.col(id_col).alias("doc_b"), "entity_type", "value_hash").distinct()
-    return a.join(b, ["entity_type", "value_hash"]).where("doc_a < doc_b").groupBy("doc_a", "doc_b", "entity_type").agg(F.count("*").alias("n"))
+    return _met(index, id_col).groupBy("doc_a", "doc_b", "entity_type").agg(F.count("*").alias("n"))
 
 
 def clusters(edges: DataFrame, least: float = MEDIUM) -> DataFrame:

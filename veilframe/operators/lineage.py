@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -15,9 +16,13 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (as in tests) a new one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session whose tasks all run in the
+    driver's process gets a new one; on a cluster, where each executor would write to its own disk, this raises."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
     own = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own

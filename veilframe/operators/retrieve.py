@@ -34,21 +34,22 @@ def top_rows(scored: DataFrame, query_col: str, score_col: str, id_col: str, k:
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text: str = "text", digits: int = 6) -> DataFrame:
     """(query, id, score, rank) of the k best chunks of each query, by Okapi BM25. Negative idf becomes EPSILON times the
-    mean idf. Only words of the queries are kept of the postings; a query's chunks without any score 0 and are left out.
-    Queries are the small side: their words are counted before they are broadcast."""
+    mean idf. A query's chunks without any of its words score 0 and are left out. Document frequencies are counted with
+    partial sums over distinct words; of the words of the chunks only those that a query asks for are shuffled. Queries
+    are the small side: their words are counted before they are broadcast. An id should stand for one chunk."""
     from .lineage import cut, join_small
 
     words = F.transform(split_words(F.col(text_col)), lambda w: w)
     base = chunks.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("len", F.size("words"))
     stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    tf = base.select("id", "len", F.explode("words").alias("w")).groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
-    tf = cut(tf)
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
+    df = cut(base.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df")))
     idf = df.withColumn("idf", F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean_idf = idf.agg(F.avg("idf")).first()[0] or 0.0
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean_idf).otherwise(F.col("idf")))
     asked = queries.select(F.col(query_col).alias("q"), F.explode(split_words(F.col(query_text))).alias("w")).groupBy("q", "w").agg(F.count("*").alias("qn"))
     asked = cut(asked.join(idf, "w").select("q", "w", "qn", "idf"))
+    wanted = asked.select("w").distinct()
+    tf = join_small(base.select("id", "len", F.explode("words").alias("w")), wanted, ["w"]).groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
     hits = join_small(tf, asked, ["w"])
     part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats.mean or 1.0)))
     scored = hits.groupBy("q", "id").agg(F.round(F.sum(part), digits).alias("score"))
