@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import scores
 from veilframe.operators import chunk, index, ledger, lineage, retrieve
 from veilframe.operators.graph import connected_components
-from veilframe.operators.lineage import join_small
+from veilframe.operators.lineage import join_small, shared_dir
 from veilframe.sources import files
 from veilframe.streaming import queue, state
 
@@ -166,3 +166,13 @@ def test_joins_with_crowded_keys(spark):
     right = spark.createDataFrame([("a", 40, "A"), ("b", 3, "B"), ("c", 1, "C"), ("q", 0, "Q")], "k string, n int, v string")
     got = sorted((r.k, r.i, r.v) for r in lineage.join_counted(left, right, "k", crowd=10).collect())
     assert got == sorted((k, i, v) for k, n, v in (("a", 40, "A"), ("b", 3, "B"), ("c", 1, "C")) for i in range(n))
+
+
+@pytest.mark.parametrize("master", ["local-cluster[3,2,3000]", "spark://host:7077", "yarn", ""])
+def test_cluster_wants_a_shared_folder(master):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: master if name == "spark.master" else default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
