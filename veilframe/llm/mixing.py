@@ -13,6 +13,7 @@ the last one left to chance is the smallest.
 
 Everything is DataFrame expressions. Decisions hash the values of the rows, so reruns agree; rows that
 repeat each other in all columns are decided one by one, but which of them is which cannot be told.
+Groups are dealt out by key, size and text, so rows whose key is null or repeated meet in one only if their texts agree too.
 Nulls: a null source is a source of its own, sorted last; a null id is like any other; texts without
 words have size 0 and never count. Empty tables give empty results.
 """
@@ -141,7 +142,7 @@ def _settle(rows: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, key_cols: list[str], weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 3, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of docs: key (a struct of ``key_cols``), source, size, source_size, target, copies."""
-    base = cut(docs.select(F.struct(*key_cols).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    base = cut(docs.select(F.struct(*key_cols).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_h")))
     grade = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size")) * STEPS)).otherwise(-1).cast("int")
     base = base.withColumn("grade", grade)
     counted = cut(base.groupBy("source", "grade").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
@@ -156,7 +157,7 @@ def mix(docs: DataFrame, key_cols: list[str], weights: tuple[float, ...] = (1, 2
     settled = (F.col("size") == 0) | (F.col("_p") < _EPS)
     out = [rows.where(settled).select("key", *given, F.col("_whole").alias("copies"))]
     carried = F.struct("key", *given, "_whole")
-    open_rows = rows.where(~settled).select("source", "grade", F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.col("_groups")).alias("_g"), F.struct(carried.alias("key"), F.col("size"), F.col("_p").alias("p")).alias("item"))
+    open_rows = rows.where(~settled).select("source", "grade", F.pmod(F.xxhash64(F.lit(seed), "key", "size", "_h"), F.col("_groups")).alias("_g"), F.struct(carried.alias("key"), F.col("size"), F.col("_p").alias("p")).alias("item"))
     decided = lambda item: (item["key"]["key"].alias("key"), *[item["key"][c].alias(c) for c in given], (item["key"]["_whole"] + (item["p"] > 0.5).cast("long")).alias("copies"))
 
     groups_left, level = -(-(spread.most or 0) // FAN), 0
