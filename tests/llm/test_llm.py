@@ -329,6 +329,16 @@ def test_quality(spark):
     assert accuracy([(got[r.doc_id].predicted, r.quality) for r in labels if got[r.doc_id].held_out]) > 0.9
 
 
+def test_quality_of_rows_with_more_ngrams_than_the_driver_takes(spark):
+    rng = random.Random(4)
+    good, bad = [f"g{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    docs = [(n, " ".join(rng.choices(good if n % 2 else bad, k=200))) for n in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(n, n % 2) for n, _ in docs], "doc_id long, quality int"), buckets_per_row=64)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert sum((got[n] > 0.5) == (n % 2 == 1) for n, _ in docs) >= 0.95 * len(docs)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}

@@ -100,10 +100,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buc
     return SubwordModel((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", mod: int = 4, held_out: int = 2, rows_per_class: int = 1500, buckets: int = 1 << 16, seed: int = 4) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", mod: int = 4, held_out: int = 2, rows_per_class: int = 1500, buckets: int = 1 << 16, seed: int = 4, buckets_per_row: int = 1 << 13) -> SubwordModel:
     """Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held_out``, ``rows_per_class``
-    of each class at most (drawn by hash). A row's n-grams are counted on the executors; the driver
-    gets at most ``buckets`` counts for a row. An id labelled more than once counts by its largest label."""
+    of each class at most (drawn by hash). A row's n-grams are counted on the executors, over its whole text; the
+    driver gets the counts of ``buckets_per_row`` buckets for a row at most, of a longer text those of least hash, which
+    differ from row to row: 8 bytes each, 0.23 GB in all if every row is that long. An id labelled more than once counts by its largest label."""
     bounded_batches(docs)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where((crc_mod(F.col("_id"), mod) != held_out) & F.col("_y").isin(0, 1))
@@ -118,8 +119,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 key, n = np.unique(row * buckets + bucket, return_counts=True)
                 cut = np.searchsorted(key, np.arange(hi - lo + 1) * buckets)
                 ids, counts = (key % buckets).astype(np.uint32), n.astype(np.float32)
-                part = lambda a, i: a[cut[i] : cut[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([part(ids, i) for i in range(hi - lo)], pa.binary()), pa.array([part(counts, i) for i in range(hi - lo)], pa.binary())], names=["id", "y", "ids", "counts"])
+                parts = []
+                for i in range(hi - lo):
+                    own = slice(cut[i], cut[i + 1])
+                    if cut[i + 1] - cut[i] > buckets_per_row:
+                        salted = mix(ids[own].astype(U64) ^ U64(ids[own].sum(dtype=np.uint64)), 105)
+                        own = np.sort(cut[i] + np.argsort(salted, kind="stable")[:buckets_per_row])
+                    parts.append((ids[own].tobytes(), counts[own].tobytes()))
+                packed = [pa.array([p[k] for p in parts], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), *packed], names=["id", "y", "ids", "counts"])
 
     got = rows.select("_id", "_y", "_text").mapInArrow(count, "id long, y int, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r.id, r.ids))
