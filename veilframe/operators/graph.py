@@ -24,7 +24,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
             break
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        to = cut(to)
         again = to.select(F.col("node").alias("to"), F.col("to").alias("then"))
         step = cut(to.join(again, "to").select("node", F.col("then").alias("to")))
         steps.append(step)
