@@ -7,12 +7,12 @@ earliest dart of each coordinate: two documents agree in a coordinate with proba
 weighted Jaccard similarity. Rows of a signature are hashed in bands.
 
 Documents that share a band are candidates. Within a band nothing is paired with everything: each
-member meets one leader. Candidates are checked exactly (Jaccard similarity of the sets of runs). Where
-a band still holds members of different classes, more rounds follow with other leaders, until there is no
-untried pair left or no round joins anything (``rounds`` at most); each band chooses its own leader, so a
-member meets as many as there are bands. What is mixed even then is settled exactly: all members of such
-bands enter a prefix join over their rarest runs (``_rarest``), which leaves out no pair that is similar enough.
-So the number of rounds decides how much work is left to that join, never which documents are joined.
+member meets one leader; each band chooses its own, so a member meets as many as there are bands. Candidates
+are checked exactly (Jaccard similarity of the sets of runs). With ``rounds`` above 1, bands that still hold members
+of different classes get other leaders, until there is no untried pair left or a round joins nothing. Bands
+that are mixed after that are settled exactly: all their members enter a prefix join over their rarest
+runs (``_rarest``), which leaves out no pair that is similar enough. So the number of rounds decides how much
+work is left to that join, never which documents are joined.
 Classes are the connected components of the checked links.
 
 Equal texts are one node from the start, so copies cost no pairs. Null counts as empty; all empty texts are
@@ -206,7 +206,7 @@ def _rarest(mixed: DataFrame, texts: DataFrame, similarity: float, deal: int = 5
     return one.join(two, ["run", "salt"]).where((F.col("c1") != F.col("c2")) & near & fits).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, counts: bool = False, rounds: int = 2) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, counts: bool = False, rounds: int = 1) -> DataFrame:
     """(node, class_id, rep_id, rows) for every distinct text; node is what ``_node`` gives for a text, rep_id the
     smallest id with that very text, rows their number. counts: repeated runs weigh by their number in the signatures."""
     bounded_batches(docs)
