@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart, decontaminate, imatch, language, mixing, pii, quality, substring, toxicity, urls
+from . import dart, decontaminate, imatch, language, merkle, mixing, pii, quality, substring, toxicity, urls
 from ._common import crc_mod, table
 
 
@@ -101,9 +101,59 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf for every document, under the root of its language and the root of all, and whether its proof holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n: merkle.hash_of(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    given = F.when(crc_mod(F.col("doc_id"), 7) == 0, leaf(F.col("n_chars") + 1)).otherwise(leaf(F.col("n_chars")))
+    hashed = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), given.alias("given"))
+    done = merkle.verify(merkle.manifest(hashed, F.col("lang"), F.col("doc_id"), F.col("leaf"), F.col("given")))
+    return done.select("row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM (
+  SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS id, n_chars,
+    (CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) END) || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS b,
+    sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || b) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
+      lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT)) % 7 = 0
+      THEN sha256(a || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || b) ELSE leaf END AS given
+  FROM documents)),
+t(lang, level, h) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM v GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, CAST(ceil(len(h) / 2.0) AS BIGINT)), lambda i: sha256(array_to_string(list_slice(h, 2 * i + 1, 2 * i + 2), ''))) FROM t WHERE len(h) > 1),
+s AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(h) = 1),
+u(level, h) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, CAST(ceil(len(h) / 2.0) AS BIGINT)), lambda i: sha256(array_to_string(list_slice(h, 2 * i + 1, 2 * i + 2), ''))) FROM u WHERE len(h) > 1),
+c AS (
+  SELECT lang, level, h, 0 AS part FROM t WHERE len(h) > 1
+  UNION ALL SELECT s.lang, u.level, u.h, 1 FROM s, u WHERE len(u.h) > 1),
+steps AS (
+  SELECT v.doc_id, v.leaf, row_number() OVER (PARTITION BY v.lang, v.pos ORDER BY c.part, c.level) AS k, v.lang, v.pos,
+    (CASE c.part WHEN 0 THEN v.pos ELSE s.pos END >> c.level) & 1 AS side, coalesce(c.h[xor(CASE c.part WHEN 0 THEN v.pos ELSE s.pos END >> c.level, 1) + 1], '') AS sibling
+  FROM v JOIN s ON v.lang IS NOT DISTINCT FROM s.lang JOIN c ON c.lang IS NOT DISTINCT FROM v.lang),
+f(lang, pos, k, acc) AS (
+  SELECT lang, pos, CAST(0 AS BIGINT), given FROM v
+  UNION ALL
+  SELECT f.lang, f.pos, f.k + 1, sha256(CASE side WHEN 1 THEN sibling || acc ELSE acc || sibling END)
+  FROM f JOIN steps ON steps.lang IS NOT DISTINCT FROM f.lang AND steps.pos = f.pos AND steps.k = f.k + 1),
+g AS (SELECT lang, pos, arg_max(acc, k) AS folded FROM f GROUP BY lang, pos),
+p AS (SELECT lang, pos, string_agg(sibling, '' ORDER BY k) AS proof FROM steps GROUP BY lang, pos)
+SELECT v.doc_id, v.leaf, s.subroot, r.root, sha256(coalesce(p.proof, '')) AS proof_sha256, g.folded AS folded_root, g.folded = r.root AS verified
+FROM v JOIN s ON v.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT h[1] AS root FROM u WHERE len(h) = 1) r
+JOIN g ON g.lang IS NOT DISTINCT FROM v.lang AND g.pos = v.pos LEFT JOIN p ON p.lang IS NOT DISTINCT FROM v.lang AND p.pos = v.pos
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity)
+    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity, op13_merkle)
 }
 #: The others draw on hashes, models or connected components and are tested against plain versions instead.
-ORACLE_SQL = {"op5_url_rules": OP5_SQL, "op6_substring": OP6_SQL}
+ORACLE_SQL = {"op5_url_rules": OP5_SQL, "op6_substring": OP6_SQL, "op13_merkle": OP13_SQL}
