@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart, decontaminate, imatch, language, merkle, mixing, pii, quality, substring, toxicity, urls
+from . import dart, decontaminate, imatch, language, merkle, mixing, pii, quality, substring, tokens, toxicity, urls
 from ._common import crc_mod, table
 
 
@@ -101,6 +101,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    """Every whole text as ids in token files, and what is read back from them. vocabulary: a file of the public tokenizers."""
+    import public_tokenizers
+
+    folder = tokens.write(table(spark, sf_dir, "documents"), tokens.new_folder(spark), public_tokenizers.path(vocabulary))
+    return tokens.read(spark, folder)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leaf for every document, under the root of its language and the root of all, and whether its proof holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -153,7 +161,7 @@ JOIN g ON g.lang IS NOT DISTINCT FROM v.lang AND g.pos = v.pos LEFT JOIN p ON p.
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity, op13_merkle)
+    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity, op11_tokens, op13_merkle)
 }
 #: The others draw on hashes, models or connected components and are tested against plain versions instead.
 ORACLE_SQL = {"op5_url_rules": OP5_SQL, "op6_substring": OP6_SQL, "op13_merkle": OP13_SQL}
