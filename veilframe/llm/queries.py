@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart, decontaminate, imatch, language, merkle, mixing, pii, quality, substring, tokens, toxicity, urls
+from . import dart, decontaminate, imatch, language, merkle, mixing, pii, quality, repair, substring, tokens, toxicity, urls
 from ._common import crc_mod, table
 
 
@@ -109,6 +109,68 @@ def op11_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49
     return tokens.read(spark, folder)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the damage did to every conversation, and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.summary(repair.repair(repair.damaged(rows), rows))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+def _crc32_sql(ascii_text: str) -> str:
+    """Unsigned crc32 of a text of ASCII signs, bit by bit."""
+    signs = f"list_transform(range(1, strlen({ascii_text}) + 1), lambda i: CAST(ascii(substr({ascii_text}, i, 1)) AS BIGINT))"
+    bits = "lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {signs}), {bits}), CAST(4294967295 AS BIGINT))"
+
+
+#: A row for each way on, states 0 to 3 as in ``repair``: from, to, edits, edit of the turn, initial it is for, cost. Audits are
+#: compared as text here, from the last turn backwards, so that what follows is known in full.
+OP12_SQL = rf"""
+WITH RECURSIVE
+h AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, {_crc32_sql("key")} % 20 AS f FROM h), range(2) AS copy(c)
+  WHERE f <> 0 AND (c = 0 OR f = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+x AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '-' END AS fault
+  FROM o),
+ins(s, k, t) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+op(op, initial, t, u, cost) AS (
+  VALUES ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+         ('R', '*', 0, 2, 2), ('R', '*', 1, 2, 2), ('R', '*', 2, 3, 2), ('R', '*', 3, 2, 2),
+         ('D', '*', 0, 0, 3), ('D', '*', 1, 1, 3), ('D', '*', 2, 2, 3), ('D', '*', 3, 3, 3)),
+way AS (SELECT ins.s, op.u, repeat('I', ins.k) || op.op AS code, op.op, op.initial, 2 * ins.k + op.cost AS cost FROM ins JOIN op ON op.t = ins.t),
+n AS (SELECT conv_id, count(*) AS n FROM x GROUP BY conv_id),
+best(conv_id, i, s, b) AS (
+  SELECT conv_id, n, s, min({{'cost': CAST(2 * k AS BIGINT), 'audit': repeat('I', k)}}) FROM n, ins WHERE t IN (0, 3) GROUP BY conv_id, n, s
+  UNION ALL
+  SELECT x.conv_id, x.i - 1, way.s, min({{'cost': CAST(best.b.cost + way.cost + CASE WHEN x.fault = 't' AND way.op <> 'D' THEN 1 ELSE 0 END AS BIGINT), 'audit': way.code || best.b.audit}})
+  FROM best JOIN x ON x.conv_id IS NOT DISTINCT FROM best.conv_id AND x.i = best.i
+  JOIN way ON way.u = best.s AND (way.op = 'D' OR (x.fault NOT IN ('b', 'd') AND way.initial IN ('*', x.initial)))
+  GROUP BY x.conv_id, x.i, way.s),
+a AS (SELECT conv_id, b.cost AS cost, b.audit AS audit FROM best WHERE i = 0 AND s = 0),
+e AS (SELECT conv_id, p, substr(audit, p, 1) AS op, strlen(replace(substr(audit, 1, p), 'I', '')) AS i FROM (SELECT conv_id, audit, unnest(range(1, strlen(audit) + 1)) AS p FROM a)),
+k AS (
+  SELECT e.conv_id, e.p, e.op, x.role, x.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.p) - 1 AS j, first(e.op = 'K' AND x.initial = 's') OVER (PARTITION BY e.conv_id ORDER BY e.p) AS s
+  FROM e LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM e.conv_id AND x.i = e.i AND e.op <> 'I' WHERE e.op <> 'D'),
+t AS (
+  SELECT conv_id, sha256(string_agg(CASE op WHEN 'K' THEN role WHEN 'R' THEN CASE WHEN (j - CAST(s AS INTEGER)) % 2 = 0 THEN 'user' ELSE 'assistant' END ELSE CASE WHEN (j - CAST(s AS INTEGER)) % 2 = 0 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE op WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha FROM k GROUP BY conv_id),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM x GROUP BY conv_id)
+SELECT q.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+       coalesce(a.cost, 0) AS cost, coalesce(a.audit, '') AS audit, coalesce(t.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM q.conv_id
+LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leaf for every document, under the root of its language and the root of all, and whether its proof holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -119,15 +181,14 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-OP13_SQL = r"""
+OP13_SQL = rf"""
 WITH RECURSIVE
 v AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM (
   SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS id, n_chars,
     (CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) END) || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
     coalesce(strlen(text) || ':' || text, '-') AS b,
     sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || b) AS leaf,
-    CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
-      lambda c, y: list_reduce([xor(c, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT)) % 7 = 0
+    CASE WHEN doc_id IS NOT NULL AND {_crc32_sql("id")} % 7 = 0
       THEN sha256(a || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || b) ELSE leaf END AS given
   FROM documents)),
 t(lang, level, h) AS (
@@ -161,7 +222,7 @@ JOIN g ON g.lang IS NOT DISTINCT FROM v.lang AND g.pos = v.pos LEFT JOIN p ON p.
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity, op11_tokens, op13_merkle)
+    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_quality, op5_url_rules, op6_substring, op7_language, op8_imatch, op9_near_duplicates, op10_toxicity, op11_tokens, op12_repair, op13_merkle)
 }
 #: The others draw on hashes, models or connected components and are tested against plain versions instead.
-ORACLE_SQL = {"op5_url_rules": OP5_SQL, "op6_substring": OP6_SQL, "op13_merkle": OP13_SQL}
+ORACLE_SQL = {"op5_url_rules": OP5_SQL, "op6_substring": OP6_SQL, "op12_repair": OP12_SQL, "op13_merkle": OP13_SQL}
