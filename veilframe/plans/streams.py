@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from ..streaming import queue, sinks, state
+from ..streaming import queue, sinks, state, timed
 from .base import query, table
 
 _SCHEMA = "event_id long, user_id long, event_type string, value double"
@@ -39,6 +39,54 @@ def src_17(spark, d):
     return good.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+#: When the entries of the group below are put in; everything else happens some seconds later.
+_T0 = 1_735_689_600
+
+_GROUP = """WITH e AS (SELECT event_id AS entry, CAST(user_id % 8 AS VARCHAR) AS shard, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS r FROM events),
+o AS (SELECT *, CASE WHEN r <= 5 THEN 'c0' WHEN r <= 12 THEN 'c1' ELSE 'c2' END AS owner FROM e),
+x AS (SELECT *, owner = 'c2' OR (owner = 'c1' AND entry % 2 = 0) AS prompt FROM o),
+y AS (SELECT *, row_number() OVER (PARTITION BY shard, prompt ORDER BY entry) AS nth FROM x)
+"""
+
+
+def _group(spark, d):
+    """A topic of eight shards and a group of three consumers. The first dies with five entries of each shard; the second acknowledges
+    only even ones; the third acknowledges all it gets. Nothing is idle after 30 seconds; after 60 a tick tells what is, and the
+    third consumer claims it, three entries first."""
+    e = cut(events(spark, d).select((F.col("user_id") % 8).cast("string").alias("shard"), F.col("event_id").alias("entry")))
+    shards = e.select("shard").distinct()
+    row = lambda df, kind, entry, consumer, at, seq: df.select("shard", F.lit(kind).alias("kind"), entry.cast("long").alias("entry"), consumer.alias("consumer"), F.timestamp_seconds(F.lit(_T0 + at)).alias("at"), seq.cast("long").alias("seq"))
+    poll = lambda consumer, most, at, seq: row(shards, "poll", F.lit(most), F.lit(consumer), at, F.lit(seq))
+    tick = lambda at: row(shards, "tick", F.lit(0), F.lit(None).cast("string"), at, F.lit(0))
+    ack = lambda df, at: row(df, "ack", F.col("entry"), F.col("consumer"), at, F.col("entry"))
+    live = (F.col("kind") == "delivered") & ((F.col("consumer") == "c2") | ((F.col("consumer") == "c1") & (F.col("entry") % 2 == 0)))
+    turns = [
+        lambda _: row(e, "add", F.col("entry"), F.lit(None).cast("string"), 0, F.col("entry")).unionByName(poll("c0", 5, 1, 1)).unionByName(poll("c1", 7, 1, 2)).unionByName(poll("c2", 1 << 40, 1, 3)),
+        lambda out: ack(out.where(live), 10).unionByName(poll("c2", 1000, 30, 0)),
+        lambda _: tick(61),
+        lambda _: poll("c2", 3, 62, 0).unionByName(poll("c2", 1 << 40, 63, 1)),
+        lambda out: ack(out.where("kind = 'reclaimed'"), 70),
+    ]
+    schema = "shard string, kind string, entry long, consumer string, at timestamp, seq long"
+    return queue.in_turns(spark, turns, schema, timed.consumer_group)
+
+
+@query("src_17_pending_entries", _GROUP + f"SELECT entry, shard, owner AS first_owner, CASE WHEN prompt THEN owner ELSE 'c2' END AS last_owner, CASE WHEN prompt THEN 1 ELSE 2 END AS deliveries, CASE WHEN NOT prompt THEN CASE WHEN nth <= 3 THEN {_T0 + 62}000000 ELSE {_T0 + 63}000000 END END AS reclaimed_us, CAST(1 AS BIGINT) AS acknowledged FROM y")
+def src_17_pending(spark, d):
+    """What became of every entry: who had it first and last, how often it was given out, when it was claimed."""
+    at = lambda kind: F.col("kind") == kind
+    return _group(spark, d).groupBy("entry", "shard").agg(
+        F.max(F.when(at("delivered"), F.col("consumer"))).alias("first_owner"), F.max_by("consumer", F.when(at("delivered") | at("reclaimed"), F.col("us"))).alias("last_owner"),
+        F.max("deliveries").alias("deliveries"), F.max(F.when(at("reclaimed"), F.col("us"))).alias("reclaimed_us"), F.count_if(at("acknowledged")).alias("acknowledged"),
+    )
+
+
+@query("str_02_idle_entries", _GROUP + f"SELECT entry, shard, owner AS consumer, {_T0 + 61}000000 AS us FROM y WHERE NOT prompt")
+def str_02_idle(spark, d):
+    """Entries of dead or forgetful consumers, told by timers before anybody polls."""
+    return _group(spark, d).where("kind = 'idle'").select("entry", "shard", "consumer", "us")
+
+
 @query("snk_12_publish", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def snk_12(spark, d):
     path = queue.publish(events(spark, d), queue.new_folder(spark, "queue"), 3)
@@ -133,7 +181,10 @@ def str_08_live(spark, d):
     return out.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
-@query("str_09_approvals", "WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), a AS (SELECT user_id, ts AS t, value >= 50 AS ok FROM events WHERE event_type = 'purchase'), f AS (SELECT q.event_id, q.user_id, arg_min(a.ok, a.t) AS ok FROM q LEFT JOIN a ON a.user_id = q.user_id AND a.t >= q.ts AND a.t <= q.ts + INTERVAL 7200 SECOND GROUP BY 1, 2) SELECT event_id AS request_id, user_id AS owner, CASE WHEN ok THEN 'approved' ELSE 'rejected' END AS decision, CASE WHEN ok IS NULL THEN 'approval-timeout' WHEN ok THEN 'approved-by-owner' ELSE 'rejected-by-owner' END AS reason FROM f")
+_APPROVED = "WITH q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), a AS (SELECT user_id, ts AS t, value >= 50 AS ok FROM events WHERE event_type = 'purchase'), f AS (SELECT q.event_id, q.user_id, arg_min(a.ok, a.t) AS ok FROM q LEFT JOIN a ON a.user_id = q.user_id AND a.t >= q.ts AND a.t <= q.ts + INTERVAL 7200 SECOND GROUP BY 1, 2) SELECT event_id AS request_id, user_id AS owner, CASE WHEN ok THEN 'approved' ELSE 'rejected' END AS decision, CASE WHEN ok IS NULL THEN 'approval-timeout' WHEN ok THEN 'approved-by-owner' ELSE 'rejected-by-owner' END AS reason FROM f"
+
+
+@query("str_09_approvals", _APPROVED)
 def str_09(spark, d):
     e = stamped(spark, d)
     q = e.where("event_type = 'view'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("owner"), F.col("ts").alias("asked"))
@@ -143,7 +194,68 @@ def str_09(spark, d):
     return state.approvals(q, asked, 7200)
 
 
-@query("str_10_breaker_states")
+_DAYS = [f"ts >= TIMESTAMP '2024-01-01' + INTERVAL {8 * i} DAY AND ts < TIMESTAMP '2024-01-01' + INTERVAL {8 * i + 8} DAY" for i in range(1, 3)]
+#: The month in four parts, whatever lies outside in the first or last.
+_PARTS = ["ts < TIMESTAMP '2024-01-09'", *_DAYS, "ts >= TIMESTAMP '2024-01-25'"]
+
+
+@query("str_09_live_approvals", _APPROVED)
+def str_09_live(spark, d):
+    """The same questions and answers as a stream in four parts; what nobody answers is rejected by timers alone."""
+    e = cut(stamped(spark, d).where("event_type IN ('view', 'purchase')"))
+    ask = F.col("event_type") == "view"
+    rows = e.select("ts", F.when(ask, "ask").otherwise("answer").alias("kind"), F.when(ask, F.col("event_id")).alias("request_id"), F.col("user_id").alias("owner"), F.col("ts").alias("at"), (F.col("value") >= 50).alias("approved"))
+    tick = rows.agg(F.lit("tick").alias("kind"), F.lit(None).cast("long").alias("request_id"), F.lit(0).cast("long").alias("owner"), (F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(False).alias("approved"))
+    turns = [lambda _, p=p: rows.where(p).drop("ts") for p in _PARTS] + [lambda _: tick]
+    schema = "kind string, request_id long, owner long, at timestamp, approved boolean"
+    return queue.in_turns(spark, turns, schema, lambda s: timed.approval_gate(s, 7200))
+
+
+def _breaker_sql(key: str, failures: int, window: int, cooldown: int) -> str:
+    """Calls of each key in order, folded one after another; window and cooldown in seconds."""
+    return f"""WITH RECURSIVE c AS (SELECT {key} AS k, event_id, epoch_us(ts) AS us, event_type = 'error' AS failed, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
+b(k, i, event_id, us, state, allowed, n, since, opened) AS (
+  SELECT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'closed', true, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT DISTINCT k FROM c)
+  UNION ALL
+  SELECT k, i, event_id, us,
+    CASE WHEN now = 'open' THEN 'open' WHEN NOT failed THEN 'closed' WHEN now = 'half_open' OR fails >= {failures} THEN 'open' ELSE 'closed' END, now <> 'open',
+    CASE WHEN now = 'open' THEN n WHEN NOT failed THEN 0 WHEN now = 'half_open' THEN n ELSE fails END,
+    CASE WHEN now = 'closed' AND failed AND fails = 1 THEN us ELSE since END,
+    CASE WHEN failed AND (now = 'half_open' OR (now = 'closed' AND fails >= {failures})) THEN us ELSE opened END
+  FROM (SELECT c.k, c.i, c.event_id, c.us, c.failed, b.n, b.since, b.opened, CASE WHEN b.state = 'open' AND c.us - b.opened >= {cooldown}000000 THEN 'half_open' ELSE b.state END AS now,
+          CASE WHEN b.n = 0 OR c.us - b.since > {window}000000 THEN 1 ELSE b.n + 1 END AS fails
+        FROM b JOIN c ON c.k = b.k AND c.i = b.i + 1))
+"""
+
+
+#: Two failures within a day open the breaker for twelve hours.
+_RARE = {"failures": 2, "window": 24 * 3600, "cooldown": 12 * 3600}
+_BREAKER = _breaker_sql("user_id", **_RARE)
+
+
+def _live_breakers(spark, d):
+    e = cut(stamped(spark, d))
+    rows = e.select("ts", F.lit("call").alias("kind"), F.col("user_id").alias("user"), F.col("ts").alias("at"), F.col("event_id").alias("tie"), (F.col("event_type") == "error").alias("failed"))
+    tick = rows.agg(F.lit("tick").alias("kind"), F.lit(0).cast("long").alias("user"), (F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).cast("long").alias("tie"), F.lit(False).alias("failed"))
+    turns = [lambda _, p=p: rows.where(p).drop("ts") for p in _PARTS] + [lambda _: tick]
+    schema = "kind string, user long, at timestamp, tie long, failed boolean"
+    return queue.in_turns(spark, turns, schema, lambda s: timed.breakers(s, "user", **_RARE))
+
+
+@query("str_10_live_breaker", _BREAKER + "SELECT k AS user_id, event_id, us, state, allowed FROM b WHERE i > 0")
+def str_10_live(spark, d):
+    """A breaker for each user, on a stream in four parts."""
+    return _live_breakers(spark, d).where("kind = 'call'").select(F.col("key").cast("long").alias("user_id"), F.col("tie").alias("event_id"), "us", "state", "allowed")
+
+
+@query("str_10_breaker_by_user", _BREAKER + "SELECT k AS user_id, event_id, state, allowed FROM b WHERE i > 0")
+def str_10_user(spark, d):
+    """The batch form on the same calls."""
+    e = stamped(spark, d).withColumn("tie", F.col("event_id"))
+    return state.breaker_states(e, "user_id", "ts", F.col("event_type") == "error", **_RARE).select("user_id", F.col("tie").alias("event_id"), "state", "allowed")
+
+
+@query("str_10_breaker_states", _breaker_sql("'p' || user_id % 5", 3, 120, 60) + "SELECT k AS provider, us / 1e6 AS t, event_id AS tie, state, allowed FROM b WHERE i > 0")
 def str_10(spark, d):
     e = stamped(spark, d).withColumn("provider", F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string"))).withColumn("tie", F.col("event_id"))
     return state.breaker_states(e, "provider", "ts", F.col("event_type") == "error")

@@ -16,8 +16,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def publish(rows: DataFrame, path: str, files: int | None = None) -> str:
-    """Each row as a line of JSON. Files appear whole: Spark's committer renames them into place."""
-    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    """Each row as a line of JSON, times to the microsecond. Files appear whole: Spark's committer renames them into place."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
     (lines.repartition(files) if files else lines).write.mode("append").text(path)
     return path
 
@@ -70,6 +70,26 @@ def drain(stream: DataFrame, mode: str = "append", idle: bool = True) -> DataFra
     return read.parquet(f"{out}/batch={max(last)}") if mode == "complete" else read.option("basePath", out).parquet(*[f"{out}/batch={i}" for i in sorted(set(last))]).select(*stream.columns)
 
 
+def in_turns(spark: SparkSession, turns: list[Callable[[DataFrame | None], DataFrame]], schema: str, operator: Callable[[DataFrame], DataFrame], files: int = 2) -> DataFrame:
+    """All output of an operator over messages that come in turns, from one checkpoint: each turn is given what has come out so far (None at
+    first), what it gives is published, and the stream runs until it has been worked off."""
+    path, out, mark = new_folder(spark, "turns"), new_folder(spark, "out"), new_folder(spark, "checkpoint")
+    kind: list = []
+
+    def each(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    def so_far() -> DataFrame | None:
+        return spark.read.schema(kind[0]).parquet(f"{out}/*") if kind else None
+
+    for turn in turns:
+        publish(turn(so_far()), path, files)
+        stream = operator(consume(spark, path, schema).where("message is not null").select("message.*"))
+        run_available(stream, each, mark)
+        kind[:] = [stream.schema]
+    return so_far()
+
+
 def settle(spark: SparkSession, path: str, schema: str, most_files: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(messages, dead letters, batches) of a queue worked off once; both are written by batch id."""
     good, dead = new_folder(spark, "good"), new_folder(spark, "dead")
