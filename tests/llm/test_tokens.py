@@ -31,15 +31,35 @@ def test_words_are_encoded_as_whole_texts(library):
     texts += ["", " ", "it's WE'LL don't 's", "a<|endoftext|>b <|startoftext|> x", "x" * 5000, "é ́e", "A  B"]
     encode = tokens.Encoder(PATH)
     for t in texts:
-        assert np.frombuffer(encode(t.encode()), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_ids_of_the_whole_table(library):
+    import pyarrow.parquet as pq
+
+    encode = tokens.Encoder(PATH)
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert np.frombuffer(encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizers_of_both_kinds(name):
+    """A tokenizer that keeps spaces gets whole texts."""
+    path = public_tokenizers.path(name)
+    library, encode = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert encode.by_word == name.startswith("word")
+    for t in ("Two  spaces, it's\n\nfine. ", " élan – 12", "a<|endoftext|>b", "x\u0301 中文"):
+        assert np.frombuffer(encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_what_is_remembered_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN", 50)
     encode = tokens.Encoder(PATH)
     for i in range(40):
-        encode(" ".join(f"w{j}" for j in range(i * 5, i * 5 + 5)).encode() + b" " + b"y" * 100)
-        assert len(encode.known) <= 50 and all(len(w) <= tokens.KNOWN_BYTES for w in encode.known)
+        encode(" ".join("w" * j for j in range(i, i + 5)) + " " + "y" * 100)
+        encode(" ".join("ж" * j for j in range(i, i + 5)) + " " + "z" * 100)
+        for known in (encode.words, encode.chunks):
+            assert len(known) <= 50 and all(len(w) <= tokens.KNOWN_SIGNS for w in known)
 
 
 def test_op11(spark, sf, library):

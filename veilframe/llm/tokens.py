@@ -15,8 +15,8 @@ drawn by hash). Everything else covers all documents. Texts are dealt out by ran
 written where they lie; only counts of files are summed up. A task that is repeated writes the same files anew: each appears
 whole, under a name that its range gives.
 
-The tokenizer drops white space and joins nothing across it, so what lies between two ASCII spaces is encoded by itself,
-and remembered by the task while it is short: the ids are those of the library's for the whole text.
+The ids are those that the library gives for the whole text. Where the tokenizer's file says that it takes words one by one, a task has
+each word encoded once and remembers it (a bounded number of them); any other tokenizer gets whole texts.
 
 Nulls: a null text is an empty one; null ids come first. Rows that repeat an id are ordered by their texts' hash. An empty
 table gives a folder without files. Names of other columns do not matter.
@@ -24,10 +24,13 @@ table gives a folder without files. Names of other columns do not matter.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import io
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -48,37 +51,94 @@ MAGIC = b"VFTOKEN1"
 _FOOTER = struct.Struct("<QQI32s8s")
 #: Frames of a file, in bytes; a document that is larger has a file of its own.
 FILE_BYTES = 16 << 20
-SAMPLE_DOCS, PIECE, DICTIONARY_BYTES, LEVEL = 2000, 4096, 112_640, 6
-#: What a task remembers of single words: so many, none longer than so many bytes.
-KNOWN, KNOWN_BYTES = 200_000, 64
+SAMPLE_DOCS, PIECE, DICTIONARY_BYTES, LEVEL = 2000, 4096, 112_640, 3
+#: What a task remembers of words and of what lies between two spaces: so many of each, none longer than so many signs.
+KNOWN, KNOWN_SIGNS = 500_000, 64
+
+#: How a tokenizer says that it drops white space, lowers case and takes words, digits and signs one by one.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+#: The same words among signs about which all libraries agree: ASCII, Latin-1 letters and common punctuation.
+_SPACE = re.compile("[\t-\r ]+")
+_PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-ÿœŒ–—‘-‟…€]*")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿœ]+")
+
+
+def _takes_words(config: dict) -> bool:
+    """Whether the tokenizer is of the kind that _WORDS describes."""
+    normal, before = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}]
+    replaced = [x for x in normal.get("normalizers") or [] if x["type"] == "Replace"]
+    return (
+        tuple(x["type"] for x in normal.get("normalizers") or ()) == _NORMALIZERS and all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in replaced)
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": _WORDS}, "Removed", True)
+        and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and not config.get("post_processor")
+    )
 
 
 class Encoder:
-    """Bytes of UTF-8 to the bytes of ids, ``width`` each."""
+    """Text to the bytes of its ids, ``width`` each: always those that the library gives for the whole text. Where the tokenizer
+    takes words one by one, each word is encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = _takes_words(json.loads(self.tokenizer.to_str()))
+        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        if new := {w for w in words if w not in known}:
-            new = list(new)
-            kind = f"<u{self.width}"
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update(zip(new, [np.array(x.ids, kind).tobytes() for x in found], strict=True))
-        ids = b"".join([known[w] for w in words])
-        if new:
-            if len(known) > KNOWN:
-                known.clear()
-            for w in new:
-                if len(w) > KNOWN_BYTES:
-                    known.pop(w, None)
-        return ids
+        self.kind = "H" if self.width == 2 else "I"
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array.array(self.kind, ids).tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text of plain signs without special tokens."""
+        words, known = _PLAIN_WORDS.findall(text.lower()), self.words
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        # all new words at once, told apart by the library's own count of words
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        parts: list[list[int]] = [[] for _ in new]
+        for word, i in zip(found.word_ids, found.ids, strict=True):
+            parts[word].append(i)
+        known.update(zip(new, map(self._bytes, parts), strict=True))
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > KNOWN_SIGNS:
+                del known[w]
+        return out
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.specials)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._library(text)
+        if self._is_plain(text):
+            return self._plain(text)
+        # what lies between two spaces is encoded by itself; only what holds other signs goes to the library as it is
+        out, known = [], self.chunks
+        for c in _SPACE.split(text):
+            if (ids := known.get(c)) is None:
+                ids = self._plain(c) if self._is_plain(c) else self._library(c)
+                if len(c) <= KNOWN_SIGNS:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[c] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -111,7 +171,7 @@ def train(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     whole = F.coalesce(F.col(text), F.lit(""))
     u = draw(seed, F.col(key), F.xxhash64(whole))
     at = (draw(seed + 1, F.col(key), F.xxhash64(whole)) * F.greatest(F.length(whole) - PIECE, F.lit(0))).cast("int") + 1
-    pieces = docs.where(u < 3.0 * SAMPLE_DOCS / max(n, 1)).select(u.alias("u"), F.substring(whole, at, F.lit(PIECE)).cast("binary").alias("piece")).distinct()
+    pieces = docs.where(u < 3.0 * SAMPLE_DOCS / max(n, 1)).select(u.alias("u"), F.substring(whole, at, F.lit(PIECE)).alias("piece")).distinct()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer)
@@ -189,7 +249,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
         if now is not None:
             yield close()
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("key"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
     found = dealt.mapInArrow(encode, f"part int, no int, name string, first {kind}, last {kind}, docs long, tokens long, bytes long")
