@@ -56,50 +56,135 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
     return top_rows(scored, "q", "score", "id", k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, digits: int = 6) -> DataFrame:
-    """(query, id, score, rank): exact best k by inner product of unit vectors. Queries are taken in blocks of bounded size;
-    a batch of vectors meets a block in one matrix product, and only its own k best leave the task."""
+#: Vectors of a packed block, queries that a task of the tile join holds at once, and vectors that it meets them with.
+BLOCK_ROWS, TILE_QUERIES, TILE_VECTORS = 1024, 4096, 131_072
+#: Of each vector the first part of so many coordinates is multiplied first; the rest is bounded by its length.
+HEAD_SHARE = 4
+
+
+def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(ids, named, unit, rows): unit vectors in blocks of BLOCK_ROWS, as 8-byte floats row by row. Null vectors are left out; a
+    zero vector stays; a null id is told apart by ``named``. Vectors are of one length."""
     kind = vectors.schema[id_col].dataType.simpleString()
-    parts = []
-    batch: list = []
-
-    def against(ids: list, matrix: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None]
-                if not own:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK_ROWS):
+                ids, rows = b.column(0).slice(i, BLOCK_ROWS), b.column(1).slice(i, BLOCK_ROWS)
+                whole = rows.is_valid()
+                ids, rows = ids.filter(whole), rows.filter(whole)
+                if not len(rows):
                     continue
-                x = np.array([b.column(1)[i].as_py() for i in own], float)
+                x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                score = np.round((x / np.where(n > 0, n, 1)) @ matrix.T, digits)
-                best = np.argsort(-score, axis=0, kind="stable")[: min(k, len(own))]
-                if len(own) > k:  # ties of the last place may have smaller ids: they all go on
-                    keep = score >= np.take_along_axis(score, best[-1:], 0)
-                    rows, cols = np.nonzero(keep)
-                else:
-                    rows, cols = np.nonzero(np.ones_like(score, bool))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in cols], b.column(0).type), b.column(0).take(pa.array([own[r] for r in rows], pa.int64())), pa.array(score[rows, cols])], names=["q", "id", "score"])
-
-        return vectors.select(id_col, vector_col).mapInArrow(run, f"q {kind}, id {kind}, score double")
-
-    def unit(rows: list) -> np.ndarray:
-        x = np.array(rows, float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(n > 0, n, 1)
-
-    for r in queries.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).toLocalIterator():
-        batch.append((r[0], r[1]))
-        if len(batch) == block:
-            parts.append(against([q for q, _ in batch], unit([v for _, v in batch])))
-            batch = []
-    if batch:
-        parts.append(against([q for q, _ in batch], unit([v for _, v in batch])))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"q {kind}, id {kind}, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_rows(out, "q", "score", "id", k)
+                x = x / np.where(n > 0, n, 1)
+                names = ids.fill_null("" if pa.types.is_string(ids.type) else 0)
+                columns = [pa.array([names.to_pylist()], pa.list_(ids.type)), pa.array([ids.is_valid().to_pylist()], pa.list_(pa.bool_())), pa.array([x.tobytes()], pa.binary()), pa.array([len(rows)], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "named", "unit", "rows"])
+
+    return vectors.select(id_col, vector_col).mapInArrow(run, f"ids array<{kind}>, named array<boolean>, unit binary, rows int")
+
+
+class _Best:
+    """The k best of each of some queries so far; ties go to smaller ids, null ids first. What comes in is kept in a buffer and
+    sorted when that is full, so memory is bounded by queries, k and the buffer."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.parts: list[tuple] = []
+        self.held, self.most = 0, max(1 << 20, 4 * queries * k)
+
+    def add(self, row: np.ndarray, score: np.ndarray, named: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((row, score, named, ids))
+        self.held += len(row)
+        if self.held > self.most:
+            self.settle()
+
+    def settle(self) -> tuple:
+        if not self.parts:
+            return None
+        row, score, named, ids = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, named, -score, row))
+        row, score, named, ids = row[order], score[order], named[order], ids[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        keep = place < self.k
+        last = place == self.k - 1
+        self.least[row[last]] = score[last]
+        self.parts = [(row[keep], score[keep], named[keep], ids[keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def _met(q: np.ndarray, x: np.ndarray, least: np.ndarray, digits: int, settled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, rounded score) of the pairs that may be among a query's best. Once every query has k, the product of the first
+    coordinates and the lengths of the rest (by Cauchy and Schwarz) tell which vectors need the rest at all."""
+    cut_at = max(1, x.shape[1] // HEAD_SHARE)
+    slack = 10.0**-digits
+    columns = np.arange(len(x))
+    if settled and cut_at < x.shape[1]:
+        bound = q[:, :cut_at] @ x[:, :cut_at].T
+        bound += np.linalg.norm(q[:, cut_at:], axis=1)[:, None] * np.linalg.norm(x[:, cut_at:], axis=1)[None, :]
+        columns = np.flatnonzero((bound >= least[:, None] - slack).any(axis=0))
+    score = np.round(q @ x[columns].T, digits)
+    row, col = np.nonzero(score >= least[:, None])
+    return row, columns[col], score[row, col]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """(query, id, score, rank): exact best k by inner product of unit vectors, scores rounded, ties to smaller ids. Both sides are packed into
+    blocks; queries are dealt into groups of about TILE_QUERIES, vectors into groups of about TILE_VECTORS, and each task meets one group
+    of each, vector block by vector block, with the best of its queries in hand. So plan and driver do not grow with either side, and a
+    task's memory not with the vectors; the work is queries x vectors, as exact search is."""
+    from .lineage import cut
+
+    spark = vectors.sparkSession
+    kind = vectors.schema[id_col].dataType.simpleString()
+    q, v = cut(packed(queries, id_col, vector_col)), cut(packed(vectors, id_col, vector_col))
+    n_q, n_v = (x.agg(F.sum("rows")).first()[0] or 0 for x in (q, v))
+    rows, columns = -(-n_q // TILE_QUERIES), max(-(-n_v // TILE_VECTORS), min(spark.sparkContext.defaultParallelism, -(-n_v // BLOCK_ROWS)))
+    if not rows or not columns:
+        return spark.createDataFrame([], f"q {kind}, id {kind}, score double, rank int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one_of = lambda n: F.pmod(F.xxhash64("ids", "unit"), F.lit(n)).cast("int")
+    left = q.withColumn("kind", F.lit(0)).withColumn("g", one_of(rows)).withColumn("c", every(columns))
+    right = v.withColumn("kind", F.lit(1)).withColumn("c", one_of(columns)).withColumn("g", every(rows))
+    tiles = left.unionByName(right.select(*left.columns)).repartition(rows * columns, "g", "c").sortWithinPartitions("g", "c", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, asked, names, best, known = None, [], [], None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            found = best.settle() if best else None
+            if found is not None:
+                row, score, named, ids = found
+                own = pa.array([names[r] for r in row], known)
+                yield pa.RecordBatch.from_arrays([own, pa.array(ids, known, mask=~named), pa.array(score)], ["q", "id", "score"])
+
+        for b in batches:
+            known = b.schema.field("ids").type.value_type
+            for i in range(b.num_rows):
+                here = (b["g"][i].as_py(), b["c"][i].as_py())
+                if here != tile:
+                    yield from told()
+                    tile, asked, names, best = here, [], [], None
+                x = np.frombuffer(b["unit"][i].as_buffer(), float).reshape(b["rows"][i].as_py(), -1)
+                ids, named = b["ids"][i].as_py(), np.array(b["named"][i].as_py(), bool)
+                if b["kind"][i].as_py() == 0:
+                    asked.append(x)
+                    names += [n if ok else None for n, ok in zip(ids, named, strict=True)]
+                elif asked:
+                    if best is None:
+                        asked, best = [np.concatenate(asked)], _Best(len(names), k)
+                    row, col, score = _met(asked[0], x, best.least, digits, bool(np.isfinite(best.least).all()))
+                    if len(row):
+                        best.add(row, score, named[col], np.array(ids)[col])
+                        if not np.isfinite(best.least).all():
+                            best.settle()
+        yield from told()
+
+    found = tiles.mapInArrow(run, f"q {kind}, id {kind}, score double")
+    return top_rows(found, "q", "score", "id", k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], query_col: str = "q", id_col: str = "id", digits: int = 9) -> DataFrame:
