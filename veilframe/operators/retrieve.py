@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,30 +33,97 @@ def top_rows(scored: DataFrame, query_col: str, score_col: str, id_col: str, k:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text: str = "text", digits: int = 6) -> DataFrame:
-    """(query, id, score, rank) of the k best chunks of each query, by Okapi BM25. Negative idf becomes EPSILON times the
-    mean idf. A query's chunks without any of its words score 0 and are left out. Document frequencies are counted with
-    partial sums over distinct words; of the words of the chunks only those that a query asks for are shuffled. Queries
-    are the small side: their words are counted before they are broadcast. An id should stand for one chunk."""
-    from .lineage import cut, join_small
+#: Chunks of a zone of the inverted index, zones of a query that are scored before any is skipped, words that are pushed to the scan.
+ZONE_CHUNKS, FIRST_ZONES, PUSHED_WORDS = 2048, 4, 1000
+
+
+@dataclass
+class WordIndex:
+    """A stored inverted index. blocks: (w, zone, df, most, ids, tfs, lens), the postings of a word in a zone of chunks, ``most`` being the
+    greatest share that the word can add to one of their scores; words: (w, df, idf); n chunks of ``mean`` words."""
+
+    blocks: DataFrame
+    words: DataFrame
+    n: int
+    mean: float
+
 
-    words = F.transform(split_words(F.col(text_col)), lambda w: w)
-    base = chunks.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("len", F.size("words"))
+def _share(tf: Column, length: Column, mean: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
+def build_words(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> WordIndex:
+    """The inverted index of chunks, written to ``folder`` or to a table that goes with the session. Chunks are dealt into zones by a hash of their id, so a
+    word that stands in every chunk is split like any other. Blocks are sorted by word, and a scan for a few words skips the pages of all others.
+    Negative idf becomes EPSILON times the mean idf. An id should stand for one chunk."""
+    from .lineage import cut
+
+    spark = chunks.sparkSession
+    base = chunks.select(F.col(id_col).alias("id"), split_words(F.col(text_col)).alias("words")).withColumn("len", F.coalesce(F.greatest(F.size("words"), F.lit(0)), F.lit(0)))
     stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    df = cut(base.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df")))
-    idf = df.withColumn("idf", F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    zone = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-stats.n // ZONE_CHUNKS))))
+    # the words of a chunk stand together, so they are counted before they are dealt out
+    tf = base.select("id", "len", zone.alias("zone"), F.explode("words").alias("w")).groupBy("w", "zone", "id", "len").agg(F.count("*").alias("tf"))
+    row = F.sort_array(F.collect_list(F.struct("id", "tf", "len")))
+    blocks = tf.groupBy("w", "zone").agg(F.count("*").alias("df"), F.max(_share(F.col("tf"), F.col("len"), stats.mean)).alias("most"), row.alias("rows"))
+    blocks = blocks.select("w", "zone", "df", "most", F.col("rows.id").alias("ids"), F.col("rows.tf").alias("tfs"), F.col("rows.len").alias("lens")).sortWithinPartitions("w", "zone")
+    if folder:
+        blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
+        blocks = spark.read.parquet(f"{folder}/blocks")
+    else:
+        blocks = cut(blocks)
+    idf = blocks.groupBy("w").agg(F.sum("df").alias("df")).withColumn("idf", F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    idf = cut(idf)
     mean_idf = idf.agg(F.avg("idf")).first()[0] or 0.0
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean_idf).otherwise(F.col("idf")))
+    words = idf.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean_idf).otherwise(F.col("idf")))
+    return WordIndex(blocks, words, stats.n, stats.mean or 1.0)
+
+
+def _scored(index: WordIndex, blocks: DataFrame, zones: DataFrame, asked: DataFrame, digits: int) -> DataFrame:
+    """(q, id, score) of all chunks of the zones (q, zone) that have a word of the query."""
+    from .lineage import join_small
+
+    wanted = join_small(zones.select("q", "zone"), asked, ["q"])
+    rows = blocks.join(wanted, ["w", "zone"]).select("q", "qn", "idf", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("r"))
+    tf, length = F.col("r.tfs"), F.col("r.lens")
+    part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(index.mean)))
+    return rows.groupBy("q", F.col("r.ids").alias("id")).agg(F.round(F.sum(part), digits).alias("score"))
+
+
+def zones_to_score(index: WordIndex, asked: DataFrame, blocks: DataFrame, k: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """(first, rest): what the chunks of a few zones of each query score, and the other zones (q, zone) that may hold one of its k best. A zone's bound is the sum over the
+    query's words of the most that each can add there; where it is below the k-th score already found, the zone is not opened."""
+    from .lineage import cut, join_small
+
+    heads = join_small(blocks.select("w", "zone", "most"), asked, ["w"])
+    bound = heads.groupBy("q", "zone").agg(F.sum(F.greatest(F.col("qn") * F.col("idf") * F.col("most"), F.lit(0.0))).alias("bound"))
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "zone"))
+    bound = cut(bound.withColumn("nth", order))
+    first = cut(_scored(index, blocks, bound.where(F.col("nth") <= FIRST_ZONES), asked, digits))
+    kth = top_rows(first, "q", "score", "id", k).where(F.col("rank") == k).select("q", F.col("score").alias("least"))
+    rest = join_small(bound.where(F.col("nth") > FIRST_ZONES), cut(kth), ["q"], "left")
+    return first, rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-digits)).select("q", "zone")
+
+
+def search_words(index: WordIndex, queries: DataFrame, k: int, id_col: str = "doc_id", query_col: str = "item_id", query_text: str = "text", digits: int = 6) -> DataFrame:
+    """(query, id, score, rank) of the k best chunks of each query, by Okapi BM25, exact: zones that cannot hold one are skipped by their
+    bounds. A query's chunks without any of its words score 0 and are left out. Of the index only blocks of words that are asked for are read."""
+    from .lineage import cut, join_small
+
     asked = queries.select(F.col(query_col).alias("q"), F.explode(split_words(F.col(query_text))).alias("w")).groupBy("q", "w").agg(F.count("*").alias("qn"))
-    asked = cut(asked.join(idf, "w").select("q", "w", "qn", "idf"))
-    wanted = asked.select("w").distinct()
-    tf = join_small(base.select("id", "len", F.explode("words").alias("w")), wanted, ["w"]).groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
-    hits = join_small(tf, asked, ["w"])
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats.mean or 1.0)))
-    scored = hits.groupBy("q", "id").agg(F.round(F.sum(part), digits).alias("score"))
+    asked = cut(join_small(asked, index.words.select("w", "idf"), ["w"]))
+    some = [r[0] for r in asked.select("w").distinct().limit(PUSHED_WORDS + 1).collect()]
+    blocks = index.blocks.where(F.col("w").isin(some)) if len(some) <= PUSHED_WORDS else index.blocks
+    first, rest = zones_to_score(index, asked, blocks, k, digits)
+    scored = first.unionByName(_scored(index, blocks, rest, asked, digits))
     return top_rows(scored, "q", "score", "id", k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text: str = "text", digits: int = 6) -> DataFrame:
+    """``search_words`` in an index built for this call; keep the index of ``build_words`` to search more than once."""
+    return search_words(build_words(chunks, id_col, text_col), queries, k, id_col, query_col, query_text, digits)
+
+
 #: Vectors of a packed block, queries that a task of the tile join holds at once, and vectors that it meets them with.
 BLOCK_ROWS, TILE_QUERIES, TILE_VECTORS = 1024, 4096, 131_072
 #: Of each vector the first part of so many coordinates is multiplied first; the rest is bounded by its length.

@@ -9,6 +9,7 @@ from ..functions import scores
 from ..operators import audit, evaluate, index, ledger, mask, retrieve, rules
 from ..operators.graph import connected_components
 from ..operators.lineage import cut
+from ..streaming.queue import new_folder
 from .base import query, table
 from .functions import _hmac_sql
 from .relational import DET, det, docs, events
@@ -40,6 +41,16 @@ def top_02(spark, d):
     return bm25(spark, d).where("rank <= 5").select("item_id", "doc_id", "score")
 
 
+@query("fn_30_stored_index", BM25 + " SELECT q AS item_id, id AS doc_id, score, rank FROM bm")
+def fn_30_stored(spark, d):
+    """One stored index, searched for two halves of the queries."""
+    found = retrieve.build_words(docs(spark, d), folder=new_folder(spark, "words"))
+    items = table(spark, d, "benchmark")
+    half = F.pmod(F.xxhash64("item_id"), F.lit(2))
+    first, second = (retrieve.search_words(found, items.where(half == i), 15, digits=4) for i in (0, 1))
+    return first.unionByName(second)
+
+
 _CORPUS = r"""WITH st AS (SELECT count(*) AS n FROM documents),
 x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS w FROM documents)
 SELECT w, count(*) AS df, round(ln((any_value(st.n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM x, st GROUP BY w"""
