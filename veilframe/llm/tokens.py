@@ -89,6 +89,9 @@ class Encoder:
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
+        before = self.tokenizer.pre_tokenizer
+        #: How the tokenizer writes each plain sign for its model, as it says itself.
+        self.signs = {ord(c): w[0][0] for c in map(chr, range(0x2100)) if self.by_word and _PLAIN.fullmatch(c) and (w := before.pre_tokenize_str(c))}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -108,12 +111,9 @@ class Encoder:
         if len(known) + len(new) > KNOWN:
             known.clear()
             new = list(dict.fromkeys(words))
-        # all new words at once, told apart by the library's own count of words
-        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        parts: list[list[int]] = [[] for _ in new]
-        for word, i in zip(found.word_ids, found.ids, strict=True):
-            parts[word].append(i)
-        known.update(zip(new, map(self._bytes, parts), strict=True))
+        # a word is what the library's own steps would hand to its model
+        model, table = self.tokenizer.model, self.signs
+        known.update((w, self._bytes([t.id for t in model.tokenize(w.translate(table))])) for w in new)
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > KNOWN_SIGNS:
