@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import MEDIUM, STRONG, weight
 from ..functions.text import hmac_sha256, index_tokens, index_value
 from .graph import connected_components
-from .lineage import join_small
+from .lineage import cut, join_counted, join_small
 
 #: Types whose tokens are indexed one by one as well.
 TOKENISED = ("LOCATION", "ORGANIZATION_NAME", "POSTAL_ADDRESS")
@@ -67,6 +69,60 @@ def clusters(edges: DataFrame, least: float = MEDIUM) -> DataFrame:
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
+#: Holders of a set of values up to which they are compared with each other.
+FEW_HOLDERS = 64
+_UNIT = 1_000_000
+
+
+def cluster_documents(index: DataFrame, id_col: str = "doc_id", least: float = MEDIUM, of_type=weight) -> DataFrame:
+    """(doc_id, cluster): components of the documents that share values of at least ``least`` in sum, named by the smallest document, without
+    listing pairs. Documents with one of their sums are drawn as a star around the set of values that reaches it:
+
+    * a value that weighs enough by itself links its holders: one row for each;
+    * documents with the same light values, if these weigh enough together, are one document from here on;
+    * else sets of light values are grown, rarest first, as long as what may still come can reach ``least``. Holders of a set that
+      weighs enough are linked, sets of one holder end, and sets of at most FEW_HOLDERS have their holders compared.
+
+    So a value held by every document adds a row for each, and each set that is grown further has more holders than are worth comparing."""
+    goal = round(least * _UNIT)
+    key = F.concat_ws(":", "entity_type", "value_hash")
+    keyed = index.select(F.col(id_col).alias("d"), key.alias("v"), F.round(of_type(F.col("entity_type")) * _UNIT).cast("long").alias("w")).distinct()
+    shared = keyed.groupBy("v").agg(F.count("*").alias("n"), F.min("d").alias("hub")).where("n > 1")
+    kept = cut(join_counted(cut(keyed), cut(shared), "v"))
+    links = [kept.where(F.col("w") >= goal).select("hub", "d")]
+    light = kept.where(F.col("w") < goal)
+    # documents alike in all their light values: one stands for all
+    alike = light.groupBy("d").agg(F.sum("w").alias("all"), F.count("*").alias("m"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(2), "v")).alias("h2"))
+    alike = cut(alike.where(F.col("all") >= goal))
+    first = alike.groupBy("all", "m", "h1", "h2").agg(F.min("d").alias("hub"), F.count("*").alias("n"))
+    same = F.struct("all", "m", "h1", "h2")
+    links.append(join_counted(alike.select(same.alias("s"), "d"), cut(first.select(same.alias("s"), "hub", "n").where("n > 1")), "s").select("hub", "d"))
+    one = cut(light.join(cut(first.select(F.col("hub").alias("d"))), "d", "left_semi"))
+    # values of a document from the rarest on, each with the weight of itself and of all that follow
+    along = Window.partitionBy("d").orderBy("n", "v")
+    values = one.select("d", "v", "w", F.row_number().over(along).alias("at"), F.sum("w").over(along.rowsBetween(0, Window.unboundedFollowing)).alias("left"))
+    values = cut(values)
+    sets = values.where(F.col("left") >= goal).select("d", F.col("v").alias("s"), "w", "at")
+    pairs_of: list[DataFrame] = []
+    while True:
+        held = cut(sets.groupBy("s").agg(F.count("*").alias("n"), F.min("d").alias("hub"), F.min("w").alias("weight")).where("n > 1"))
+        here = cut(join_counted(cut(sets), held, "s"))
+        links.append(here.where(F.col("w") >= goal).select("hub", "d"))
+        few = here.where((F.col("w") < goal) & (F.col("n") <= FEW_HOLDERS)).select("s", "d")
+        pairs_of.append(few.join(few.withColumnRenamed("d", "e"), "s").where("d < e").select("d", "e"))
+        more = here.where((F.col("w") < goal) & (F.col("n") > FEW_HOLDERS)).select("d", "s", F.col("w").alias("so_far"), F.col("at").alias("last"))
+        if more.isEmpty():
+            break
+        grown = more.join(values, "d").where((F.col("at") > F.col("last")) & (F.col("so_far") + F.col("left") >= goal))
+        sets = grown.select("d", F.concat_ws(" ", "s", "v").alias("s"), (F.col("so_far") + F.col("w")).alias("w"), "at")
+    candidates = cut(reduce(DataFrame.unionByName, pairs_of).distinct())
+    theirs = candidates.join(values.select("d", "v", "w"), "d").join(values.select(F.col("d").alias("e"), "v"), ["e", "v"])
+    links.append(theirs.groupBy("d", "e").agg(F.sum("w").alias("w")).where(F.col("w") >= goal).select(F.col("d").alias("hub"), F.col("e").alias("d")))
+    edges = reduce(DataFrame.unionByName, links).where("hub <> d").distinct()
+    found = connected_components(edges, "hub", "d")
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
 def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with both ends among the nodes, and their strength."""
     from ..functions.scores import strength

@@ -194,7 +194,27 @@ def _recursive(sql: str) -> str:
 
 @query("grf_02_document_clusters", _recursive(_PAIRS + _COMPONENTS + " SELECT doc_id, cluster FROM cl"))
 def grf_02(spark, d):
-    return index.clusters(index.pairs(built(spark, d)))
+    return index.cluster_documents(built(spark, d))
+
+
+#: Every document holds a common place and one of a few names; values of little weight reach the threshold in sum only.
+_LIGHT_SQL = """WITH RECURSIVE ix AS (
+  SELECT doc_id, 'LOCATION' AS t, 'l' || doc_id % 3 AS v FROM documents UNION ALL SELECT doc_id, 'PERSON_NAME', 'p' || doc_id % 7 FROM documents
+  UNION ALL SELECT doc_id, 'LOCATION', 'all' FROM documents UNION ALL SELECT doc_id, 'DATE_TIME', 'd' || doc_id % 50 FROM documents WHERE doc_id % 2 = 0),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM ix a JOIN ix b ON a.t = b.t AND a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING round(sum(CASE a.t WHEN 'PERSON_NAME' THEN 0.3 WHEN 'LOCATION' THEN 0.1 ELSE 0.05 END), 6) >= 0.4),
+e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
+m AS (SELECT a, least(a, min(b)) AS c FROM e GROUP BY a), m2 AS (SELECT m.a, min(n.c) AS c FROM m JOIN e ON e.a = m.a JOIN m n ON n.a = e.b GROUP BY m.a)
+"""
+
+
+@query("grf_02_light_values", _LIGHT_SQL + ", w AS (SELECT a AS doc_id, a AS c FROM m2 WHERE a = c UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.doc_id) SELECT doc_id, min(c) AS cluster FROM w GROUP BY 1")
+def grf_02_light(spark, d):
+    """Clusters where no single value weighs enough and some are held by every document."""
+    i = docs(spark, d).select("doc_id")
+    row = lambda df, t, v: df.select("doc_id", F.lit(t).alias("entity_type"), v.alias("value_hash"))
+    of = lambda p, m: F.concat(F.lit(p), (F.col("doc_id") % m).cast("string"))
+    ix = row(i, "LOCATION", of("l", 3)).unionByName(row(i, "PERSON_NAME", of("p", 7))).unionByName(row(i, "LOCATION", F.lit("all"))).unionByName(row(i.where("doc_id % 2 = 0"), "DATE_TIME", of("d", 50)))
+    return index.cluster_documents(ix)
 
 
 @query("grf_01_components", _recursive(_PAIRS + ", e AS (SELECT doc_a AS a, doc_b AS b FROM pr UNION SELECT doc_b, doc_a FROM pr), walk AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, walk.c FROM walk JOIN e ON e.a = walk.node) SELECT node, min(c) AS component FROM walk GROUP BY 1"))
