@@ -53,3 +53,19 @@ def test_a_value_held_by_all_links_in_a_star(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("IBAN").alias("entity_type"), F.lit("x").alias("value_hash"))
     got = index.cluster_documents(df)
     assert got.count() == 3000 and got.select("cluster").distinct().count() == 1
+
+
+def test_relations_by_differences(spark):
+    """Documents replaced, emptied and new; a value held by more documents than one salt takes."""
+    rng = random.Random(8)
+    types = ["IBAN", "PERSON_NAME", "LOCATION", "EMAIL_ADDRESS"]
+    made = lambda ids: [(d, rng.choice(types), str(rng.randrange(12)), 1) for d in ids for _ in range(rng.randrange(4))]
+    schema = "doc_id long, entity_type string, value_hash string, occurrences long"
+    old = made(range(60)) + [(d, "IBAN", "all", 1) for d in range(60)]
+    new = made([3, 5, 70, 71])
+    ix, fresh = spark.createDataFrame(old, schema).distinct(), spark.createDataFrame(new, schema).distinct()
+    ids = spark.createDataFrame([(i,) for i in (3, 5, 9, 70, 71)], "doc_id long")
+    got, after = index.maintain(index.pairs(ix), ix, fresh, ids=ids)
+    want = index.pairs(spark.createDataFrame([r for r in old if r[0] not in (3, 5, 9)] + new, schema).distinct())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in old if r[0] not in (3, 5, 9)} | {r[0] for r in new}

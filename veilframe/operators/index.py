@@ -58,6 +58,34 @@ def pairs(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return _met(index, id_col).groupBy("doc_a", "doc_b").agg(score, F.count("*").alias("shared_entity_count"))
 
 
+def touched(index: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_a, doc_b, units, n): the pairs with at least one document among ids, weights in millionths. Only values of those documents are looked at; one
+    held by many documents is dealt out by salts."""
+    keyed = index.select(F.col(id_col).alias("d"), "entity_type", "value_hash").distinct()
+    mine = cut(keyed.join(ids.select(F.col(id_col).alias("d")).distinct(), "d", "left_semi").withColumnRenamed("d", "m"))
+    values = mine.groupBy("entity_type", "value_hash").agg(F.count("*").alias("n"))
+    held = keyed.join(values, ["entity_type", "value_hash"])
+    salts = F.ceil(F.col("n") / 1000).cast("long")
+    right = mine.join(values, ["entity_type", "value_hash"]).withColumn("s", F.pmod(F.xxhash64("m"), salts)).drop("n")
+    left = held.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("n")
+    met = left.join(right, ["entity_type", "value_hash", "s"]).where("d <> m")
+    # a pair with both documents among ids is met twice
+    once = met.select(F.least("d", "m").alias("doc_a"), F.greatest("d", "m").alias("doc_b"), "entity_type", "value_hash").distinct()
+    return once.groupBy("doc_a", "doc_b").agg(F.sum(F.round(weight(F.col("entity_type")) * _UNIT).cast("long")).alias("units"), F.count("*").alias("n"))
+
+
+def maintain(relations: DataFrame, index: DataFrame, fresh: DataFrame, id_col: str = "doc_id", ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(relations, index) after all rows of some documents (those of ``fresh``, or ``ids``) are replaced by ``fresh``, relations being those of ``pairs``: what the documents had
+    added to any pair is taken away, what they add now is put in. Equal to a rebuild, at the cost of the values that these documents hold or held."""
+    ids = (fresh if ids is None else ids).select(id_col).distinct()
+    after = index.join(ids, id_col, "left_anti").unionByName(fresh)
+    sign = lambda df, by: df.select("doc_a", "doc_b", (F.col("units") * by).alias("units"), (F.col("n") * by).alias("n"))
+    stored = relations.select("doc_a", "doc_b", F.round(F.col("score") * _UNIT).cast("long").alias("units"), F.col("shared_entity_count").alias("n"))
+    deltas = sign(touched(index, ids, id_col), -1).unionByName(sign(touched(after, ids, id_col), 1))
+    summed = stored.unionByName(deltas).groupBy("doc_a", "doc_b").agg(F.sum("units").alias("units"), F.sum("n").alias("n")).where("n > 0")
+    return summed.select("doc_a", "doc_b", F.round(F.col("units") / _UNIT, 6).alias("score"), F.col("n").alias("shared_entity_count")), after
+
+
 def shared_types(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_a, doc_b, entity_type, n): the pairs by type."""
     return _met(index, id_col).groupBy("doc_a", "doc_b", "entity_type").agg(F.count("*").alias("n"))

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,23 +36,39 @@ def bodies(records: DataFrame, seq_col: str = "seq") -> DataFrame:
     return records.select(*both).mapInArrow(run, f"ledger {types['ledger']}, seq {types[seq_col]}, body string")
 
 
-def append(rows: DataFrame, last: str = GENESIS) -> DataFrame:
-    """(ledger, seq, body, prev_hash, hash): every ledger chained in order of seq. A chain is sequential by nature; ledgers
-    are the unit of distribution, so a busy source should be split into several."""
+def append(rows: DataFrame, last: str = GENESIS, heads: DataFrame | None = None) -> DataFrame:
+    """(ledger, seq, body, prev_hash, hash): every ledger chained in order of seq, from its hash in ``heads`` (ledger, hash; one row each) or from ``last``. A chain is
+    sequential by nature; ledgers are the unit of distribution, so a busy source should be split into several. Rows are dealt out by ledger and
+    sorted, and a batch takes no more than the hash before it."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    begun = rows.select("ledger", "seq", "body")
+    if heads is not None:
+        known = heads.select(F.col("ledger").alias("_of"), F.col("hash").alias("head"))
+        begun = begun.join(known, F.col("ledger").eqNullSafe(F.col("_of")), "left").drop("_of")
+    else:
+        begun = begun.withColumn("head", F.lit(None).cast("string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        previous = last
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, previous, started = None, last, False
+        for b in batches:
             out = []
-            for new, body in zip(pdf["n"] == 1, pdf["body"], strict=True):
-                out.append((last if new else previous, chain_hash(last if new else previous, body)))
+            for key, head, body in zip(b["ledger"].to_pylist(), b["head"].to_pylist(), b["body"].to_pylist(), strict=True):
+                if not started or key != now:
+                    now, previous, started = key, head or last, True
+                out.append((previous, chain_hash(previous, body)))
                 previous = out[-1][1]
-            yield pdf.drop(columns="n").assign(prev_hash=[p for p, _ in out], hash=[h for _, h in out])
+            before, after = (list(x) for x in zip(*out, strict=True)) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([b["ledger"], b["seq"], b["body"], pa.array(before, pa.string()), pa.array(after, pa.string())], ["ledger", "seq", "body", "prev_hash", "hash"])
+
+    ordered = begun.repartition("ledger").sortWithinPartitions("ledger", "seq")
+    return ordered.mapInArrow(run, f"ledger {kinds['ledger']}, seq {kinds['seq']}, body string, prev_hash string, hash string")
+
 
-    # the window deals rows out by ledger and leaves them in order, so a batch takes no more than the hash before it
-    ordered = rows.select("ledger", "seq", "body").withColumn("n", F.row_number().over(Window.partitionBy("ledger").orderBy("seq")))
-    return ordered.mapInPandas(run, f"ledger {kinds['ledger']}, seq {kinds['seq']}, body string, prev_hash string, hash string")
+def heads_after(chained: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(ledger, seq, hash): the last of each ledger, from what was chained and from the heads before it."""
+    every = chained.select("ledger", "seq", "hash")
+    every = every.unionByName(before) if before is not None else every
+    return every.groupBy("ledger").agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq")).select("ledger", "seq", "hash")
 
 
 def verify(rows: DataFrame, start: Column | None = None) -> DataFrame:

@@ -265,6 +265,18 @@ def snk_02(spark, d):
     return p.where(~touched).unionByName(fresh)
 
 
+#: Every fifth document gets the contents of the one after it.
+_MOVED = ", ix2 AS (SELECT * FROM ix WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id - 1, entity_type, value_hash, occurrences FROM ix WHERE doc_id % 5 = 1)"
+
+
+@query("snk_02_signed_deltas", _IDX + _MOVED + f" SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(sum({scores.weight_sql('a.entity_type')}), 6) AS score, count(*) AS shared_entity_count FROM ix2 a JOIN ix2 b ON a.entity_type = b.entity_type AND a.value_hash = b.value_hash AND a.doc_id < b.doc_id GROUP BY 1, 2")
+def snk_02_deltas(spark, d):
+    """Relations kept up by differences, where the SQL rebuilds them."""
+    ix = cut(built(spark, d))
+    fresh = ix.where("doc_id % 5 = 1").withColumn("doc_id", F.col("doc_id") - 1)
+    return index.maintain(cut(index.pairs(ix)), ix, fresh, ids=docs(spark, d).where("doc_id % 5 = 0"))[0]
+
+
 # --- ledger and exports ----------------------------------------------------------------------------
 
 

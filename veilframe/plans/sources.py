@@ -188,7 +188,14 @@ def snk_03(spark, d):
     return cut(det(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-@query("snk_04_chained_sink")
+#: Chains by a recursive walk along each ledger.
+_APPENDED = """WITH RECURSIVE b AS (SELECT user_id AS ledger, event_id AS seq, '{"event_type":"' || event_type || '"}' AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+c AS (SELECT ledger, seq, i, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS hash FROM b WHERE i = 1
+UNION ALL SELECT b.ledger, b.seq, b.i, c.hash, sha256(c.hash || b.body) FROM c JOIN b ON b.ledger = c.ledger AND b.i = c.i + 1)
+SELECT ledger, seq, prev_hash, hash FROM c"""
+
+
+@query("snk_04_chained_sink", _APPENDED)
 def snk_04(spark, d):
     """Batches of events appended to a chained ledger as they come, each chained to the last hash of its user's ledger."""
     from ..streaming.sinks import append_batches

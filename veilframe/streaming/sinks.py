@@ -11,41 +11,24 @@ from .queue import new_folder, run_available
 
 
 def append_chained(batch: DataFrame, store: str, number: int) -> None:
-    """Appends rows (ledger, seq, ...) of a batch to a chained ledger at ``store``. The last hash of each ledger is read from the
-    store, so only the batch is chained; a batch given again replaces itself."""
+    """Appends rows (ledger, seq, ...) of a batch to a chained ledger at ``store``. Beside the rows of each batch stands a table of heads, the last hash of every
+    ledger after it: a batch reads the heads of the one before, never its rows. A batch given again starts from the same heads and replaces itself."""
     spark = batch.sparkSession
-    bodies = ledger.bodies(batch)
-    if number == 0:
-        chained = ledger.append(bodies)
-    else:
-        before = spark.read.parquet(*[f"{store}/batch={i}" for i in range(number)])
-        last = before.groupBy("ledger").agg(F.max_by("hash", "seq").alias("last"))
-        # a row that carries the last hash stands before the batch's rows and is dropped afterwards
-        keyed = bodies.join(last, "ledger", "left")
-        kinds = {f.name: f.dataType.simpleString() for f in bodies.schema.fields}
-
-        def run(pdf):
-            pdf = pdf.sort_values("seq")
-            previous = pdf["last"].iloc[0] if isinstance(pdf["last"].iloc[0], str) else ledger.GENESIS
-            out = []
-            for body in pdf["body"]:
-                out.append((previous, ledger.chain_hash(previous, body)))
-                previous = out[-1][1]
-            return pdf[["ledger", "seq", "body"]].assign(prev_hash=[p for p, _ in out], hash=[h for _, h in out])
-
-        chained = keyed.groupBy("ledger").applyInPandas(run, f"ledger {kinds['ledger']}, seq {kinds['seq']}, body string, prev_hash string, hash string")
-    chained.write.mode("overwrite").parquet(f"{store}/batch={number}")
+    before = spark.read.parquet(f"{store}/heads/batch={number - 1}") if number else None
+    spark_rows = f"{store}/rows/batch={number}"
+    ledger.append(ledger.bodies(batch), heads=before).write.mode("overwrite").parquet(spark_rows)
+    ledger.heads_after(spark.read.parquet(spark_rows), before).write.mode("overwrite").parquet(f"{store}/heads/batch={number}")
 
 
 def append_batches(rows: DataFrame, batches: int) -> DataFrame:
-    """rows worked off as a stream in ``batches`` files by order of seq; the resulting ledger."""
+    """rows worked off as a stream in ``batches`` parts by order of seq; the resulting ledger."""
     spark = rows.sparkSession
-    source, store = new_folder(spark, "source"), new_folder(spark, "ledger")
+    source, store, mark = (new_folder(spark, n) for n in ("source", "ledger", "checkpoint"))
     most = rows.agg(F.max("seq")).first()[0] or 0
     kept = cut(rows)
     for i in range(batches):
         lo, hi = i * (most + 1) // batches, (i + 1) * (most + 1) // batches
-        kept.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run_available(stream, lambda df, i: append_chained(df, store, i), new_folder(spark, "checkpoint"))
-    return spark.read.parquet(f"{store}/*").select("ledger", "seq", "prev_hash", "hash")
+        kept.where((F.col("seq") >= lo) & (F.col("seq") < hi)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        run_available(stream, lambda df, n: append_chained(df, store, n), mark)
+    return spark.read.parquet(f"{store}/rows/*").select("ledger", "seq", "prev_hash", "hash")
