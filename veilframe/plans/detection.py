@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import mask, resolve, rules, scan
+from ..operators import keywords, mask, resolve, rules, scan
 from .base import ORACLE_SQL, QUERIES, query, table
 from .relational import DET, det, docs
 
@@ -228,6 +228,20 @@ def pack_18(spark, d):
     return scan.scan(t, rules.from_custom(CUSTOM), "id", "text").select("id", "start", "value", "entity_type")
 
 
+#: Every customer's name stands in a document, some in capitals, some with a sign that makes another word of it.
+_NAMED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'For ' || upper(c_name) || '.' WHEN 1 THEN c_name || '1 and ' || c_name || ', x' ELSE text || ' ' || c_name END AS text, c_name, c_custkey FROM documents JOIN customer ON c_custkey = doc_id + 1"
+
+
+@query("pack_18_keyword_list", "WITH t AS (" + _NAMED + ") SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 4 WHEN 1 THEN length(c_name) + 6 ELSE length(text) - length(c_name) END AS INTEGER) AS \"start\", CASE doc_id % 4 WHEN 0 THEN upper(c_name) ELSE c_name END AS value FROM t WHERE c_custkey % 3 <> 0 AND text IS NOT NULL")
+def pack_18_list(spark, d):
+    """The names of two thirds of the customers as one list."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    named = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("For "), F.upper("c_name"), F.lit("."))).when(F.col("doc_id") % 4 == 1, F.concat("c_name", F.lit("1 and "), "c_name", F.lit(", x")))
+    t = docs(spark, d).join(c, F.col("c_custkey") == F.col("doc_id") + 1).select("doc_id", named.otherwise(F.concat("text", F.lit(" "), "c_name")).alias("text"))
+    found = keywords.keyword_spans(t, c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("keyword")))
+    return found.select(F.col("id").alias("doc_id"), "start", "value")
+
+
 @query("pack_19_rule_dedup", "SELECT CAST(32 AS BIGINT) AS n, CAST(1 AS BIGINT) AS emails")
 def pack_19(spark, d):
     kept = rules.distinct([r for p in rules.PACKS.values() for r in p])
@@ -509,10 +523,17 @@ def fn_31(spark, d):
 @query("fn_32_longest_first")
 def fn_32(spark, d):
     """Known values replaced, longest first, in chunks of the documents."""
-    done = mask.mask_documents(docs(spark, d), _ALL).where("n_masked > 0")
-    longest = F.array_sort(F.transform("map", lambda m: F.struct((-F.length(m["original"])).alias("n"), m["original"].alias("o"), m["placeholder"].alias("p"))))
-    replaced = F.aggregate(longest, F.col("text"), lambda t, m: F.replace(t, m["o"], m["p"]))
-    return done.select("doc_id", F.md5(replaced.cast("binary")).alias("h"))
+    done = mask.mask_documents(docs(spark, d), _ALL).where("n_masked > 0").select("doc_id", "text", "map")
+    return keywords.replace_known(done).select("doc_id", F.md5(F.col("replaced").cast("binary")).alias("h"))
+
+
+@query("fn_32_known_values", "SELECT doc_id, md5(replace(replace(replace(source || ' ' || lang || ' ' || source || '-x ' || text, source || '-x', '[A_1]'), source, '[B_1]'), lang, '[C_1]')) AS h FROM documents")
+def fn_32_known(spark, d):
+    """Three known values in each document, one the beginning of another, one within many words."""
+    known = lambda value, name: F.struct(value.alias("original"), F.lit(name).alias("placeholder"))
+    values = F.array(known(F.col("lang"), "[C_1]"), known(F.col("source"), "[B_1]"), known(F.concat("source", F.lit("-x")), "[A_1]"))
+    rows = docs(spark, d).select("doc_id", F.concat_ws(" ", "source", "lang", F.concat("source", F.lit("-x")), "text").alias("text"), values.alias("map"))
+    return keywords.replace_known(rows).select("doc_id", F.md5(F.col("replaced").cast("binary")).alias("h"))
 
 
 @query("fn_39_highlights")
