@@ -565,6 +565,42 @@ def fn_25(spark, d):
     return structured(docs(spark, d).select("doc_id", "text"))
 
 
+#: Sentences, each with its neighbours, as counts of letters; distances, their gradient, and parts between those above the percentile.
+_BY_MEANING = """WITH s0 AS (SELECT doc_id, text, string_split_regex(regexp_replace(text, '([.?!])[ \\n\\t\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE trim(text) <> ''),
+s1 AS (SELECT doc_id, text, len(s) AS m, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM s0),
+a AS (SELECT doc_id, text, m, i, x, concat_ws(' ', lag(x) OVER w, x, lead(x) OVER w) AS y FROM s1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT *, list_transform(range(97, 123), lambda c: CAST(strlen(lower(y)) - strlen(replace(lower(y), chr(CAST(c AS INTEGER)), '')) AS DOUBLE)) AS e FROM a),
+d AS (SELECT doc_id, m, i, 1 - coalesce(list_inner_product(e, n) / nullif(sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(n, n)), 0), 0) AS d
+  FROM (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM v) WHERE n IS NOT NULL AND m > 2),
+g AS (SELECT doc_id, i, CASE WHEN i = 1 THEN n - d WHEN i = m - 1 THEN d - p ELSE (n - p) / 2 END AS g
+  FROM (SELECT *, lag(d) OVER (PARTITION BY doc_id ORDER BY i) AS p, lead(d) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM d)),
+b AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT doc_id, quantile_cont(g, 0.95) AS q FROM g GROUP BY 1) q USING (doc_id) WHERE g.g > q.q + 1e-12),
+t AS (SELECT s1.doc_id, s1.text, s1.i, s1.x, coalesce(sum(CASE WHEN b.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s1.doc_id ORDER BY s1.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN m = 2 THEN s1.i ELSE 0 END AS part
+  FROM s1 LEFT JOIN b ON b.doc_id = s1.doc_id AND b.i = s1.i),
+p AS (SELECT doc_id, text, part, string_agg(x, ' ' ORDER BY i) AS x FROM t GROUP BY 1, 2, 3),
+k AS (SELECT doc_id, part, x FROM p WHERE length(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 100)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS i, md5(x) AS h FROM (SELECT * FROM k UNION ALL SELECT DISTINCT doc_id, 0, text FROM p WHERE doc_id NOT IN (SELECT doc_id FROM k))
+"""
+
+
+@query("fn_26_split_by_meaning", _BY_MEANING)
+def fn_26_meaning(spark, d):
+    """Every text split where the letters of its sentences change most, counts of letters standing for a model."""
+    from ..operators import semantic
+
+    found = semantic.split_by_meaning(docs(spark, d), semantic.letter_counts)
+    return found.select("doc_id", F.col("index").alias("i"), F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("fn_26_packed_paragraphs")
+def fn_26_packed(spark, d):
+    """Paragraphs of every text packed, as without a model; lines count as paragraphs here."""
+    from ..operators import semantic
+
+    t = docs(spark, d).select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return semantic.split_by_meaning(t, None).select("doc_id", F.col("index").alias("i"), F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @query("fn_26_paragraph_fallback", "WITH p AS (SELECT doc_id, text FROM documents WHERE length(text) <= 1200 AND NOT regexp_matches(text, '\\n\\s*\\n') AND trim(text) <> '') SELECT doc_id, 0 AS i, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS h FROM p")
 def fn_26(spark, d):
     from ..operators.chunk import pack_paragraphs

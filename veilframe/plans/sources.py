@@ -169,6 +169,27 @@ def src_18(spark, d):
     return t.select("doc_id", F.when((best == 0) | (F.col("en") == best), "en").when(F.col("de") == best, "de").when(F.col("fr") == best, "fr").otherwise("es").alias("lang"))
 
 
+#: Sequences of three letters, weighed by language, from a quarter of the documents.
+_PROFILES = r"""WITH t AS (SELECT doc_id, lang, ' ' || regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, lang, substr(t, i, 3) AS gram FROM (SELECT doc_id, lang, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM t)),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 4 = 0 AND lang IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS nth FROM c) WHERE nth <= 2000),
+l AS (SELECT lang, sum(n) AS total FROM c GROUP BY 1),
+p AS (SELECT k.gram, l.lang, CAST(round(ln((coalesce(c.n, 0) + 0.5) / (l.total + 0.5)) * 1000000) AS BIGINT) AS weight FROM k CROSS JOIN l LEFT JOIN c ON c.gram = k.gram AND c.lang = l.lang),
+s AS (SELECT g.doc_id, p.lang, sum(p.weight) AS w FROM g JOIN p USING (gram) GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(b.lang, 'en') AS lang FROM documents d LEFT JOIN (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, lang) = 1) b USING (doc_id)
+"""
+
+
+@query("src_18_ngram_profiles", _PROFILES)
+def src_18_profiles(spark, d):
+    """The language of every document by profiles learned from a quarter of them."""
+    from ..operators import semantic
+
+    t = docs(spark, d)
+    return semantic.guess_language(t, semantic.profiles(t.where("doc_id % 4 = 0")))
+
+
 def _among(words):
     return lambda w: w.isin(*words)
 
