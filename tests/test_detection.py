@@ -143,6 +143,7 @@ def test_policy():
 
 
 def test_planted_recall(spark):
-    values = evaluate.planted(spark, each=20)
-    counts = evaluate.hits(values, mask.mask_documents(evaluate.documents(values), rules.compose(rules.PACKS))).collect()
-    assert sum(r.fn for r in counts) == 0
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("A text of its own.").alias("text"))
+    values = evaluate.planted(docs)
+    counts = evaluate.hits(values, mask.mask_documents(evaluate.documents(values, docs), rules.compose(rules.PACKS))).collect()
+    assert len(counts) == 20 and [(r["entity_type"], r.fn) for r in counts if r.fn] == []

@@ -16,8 +16,6 @@ STRONG, MEDIUM = 1.0, 0.4
 LATENCY_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
 TOP_K_MOST = 25
 RRF_K = 60
-#: Example arguments of the size functions.
-K_CASES = [(5, 0), (5, 10), (5, 11), (5, 15), (5, 30), (5, 100), (20, 50), (10, 40)]
 
 
 def weight(entity_type: Column) -> Column:

@@ -1,21 +1,27 @@
-"""Detection quality: generated documents with planted values, and precision and recall against them."""
+"""Detection quality: values planted in documents, and precision and recall against them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
 
-#: Sentences around planted values; {} takes the value.
-_FRAMES = (
-    "Please contact us at {} for details.", "The record lists {} as the main entry.", "Our files show {} since last spring.", "Send the form to {} before Friday.", "Reference {} was confirmed by the clerk.",
-)
-TYPES = ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "CREDIT_CARD_NUMBER", "IBAN", "NATIONAL_ID", "MEDICAL_RECORD_NUMBER", "MAC_ADDRESS")
+#: What is planted by turns, one value in each document, and the words around it; {} takes the value.
+FRAMES = {
+    "EMAIL_ADDRESS": "Please contact us at {} for details.", "PHONE_NUMBER": "Send the form to {} before Friday.", "IP_ADDRESS": "Our files show {} since last spring.", "CREDIT_CARD_NUMBER": "The record lists {} as the main entry.",
+    "IBAN": "Reference {} was confirmed by the clerk.", "NATIONAL_ID": "The record lists {} as the main entry.", "MEDICAL_RECORD_NUMBER": "Reference {} was confirmed by the clerk.", "MAC_ADDRESS": "Our files show {} since last spring.",
+    "URL": "see {} for more.", "COORDINATES": "It lies at {} in the hills.", "COOKIE_ID": "Sent with {} today.", "DEVICE_ID": "IMEI: {} of the phone.", "SOCIAL_SECURITY_NUMBER": "SSN {} on file.", "CPF": "cpf {} on file.",
+    "PASSPORT_NUMBER": "passport {} on file.", "DRIVERS_LICENSE": "driver's license {} on file.", "TAX_ID": "tax id {} on file.", "LICENSE_PLATE": "plate no {} on file.", "DATE_OF_BIRTH": "born on {} in town.", "POSTAL_ADDRESS": "Address : {}",
+}
+TYPES = tuple(FRAMES)
+#: What stands between a document's own text and what is planted.
+MARK = "\n\u2016 "
 
 
-def _number(seed: int, salt: str, digits: int) -> Column:
-    return F.lpad(F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(10**digits)).cast("string"), digits, "0")
+def _number(factor: int, plus: int, digits: int) -> Column:
+    """Digits that follow from the document's number."""
+    return F.lpad(F.pmod(F.col("id") * factor + plus, F.lit(10**digits)).cast("string"), digits, "0")
 
 
 #: Lines that name nobody; # stands for a small number.
@@ -27,41 +33,58 @@ CLEAN = (
 )
 
 
-def planted(spark: SparkSession, each: int = 150, per_document: int = 10, seed: int = 42) -> DataFrame:
-    """(id, doc_id, entity_type, original): ``each`` values of every type, made from hashes; identity numbers pass their checks."""
-    rows = spark.range(each * len(TYPES)).withColumn("entity_type", F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("id") % len(TYPES) + 1).cast("int")))
-    n = lambda salt, k: _number(seed, salt, k)
-    card = F.concat(F.lit("4"), n("card", 14))
-    tckn9 = F.concat(F.lit("1"), n("id", 8))
+def _check_digit(digits: Column, n: int) -> Column:
+    """The digit that modulo 11 adds to n digits, weights falling to 2."""
+    total = sum((F.substring(digits, i + 1, 1).cast("int") * (n + 1 - i) for i in range(n)), F.lit(0))
+    return F.concat(digits, F.pmod(F.pmod(total * 10, F.lit(11)), F.lit(10)).cast("string"))
+
+
+def planted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, entity_type, original): a value for each document, of its types by turns, made from its number; numbers pass their checks."""
+    rows = docs.select(F.col(id_col).alias("id")).withColumn("entity_type", F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.pmod("id", F.lit(len(TYPES))) + 1).cast("int")))
+    card = F.concat(F.lit("4"), _number(90_071_992_547, 3, 14))
+    tckn9 = F.concat(F.lit("1"), _number(48_271_331, 5, 8))
     digit = lambda i: F.substring(tckn9, i, 1).cast("int")
     d10 = F.pmod((digit(1) + digit(3) + digit(5) + digit(7) + digit(9)) * 7 - (digit(2) + digit(4) + digit(6) + digit(8)), F.lit(10))
     d11 = (sum((digit(i) for i in range(2, 10)), digit(1)) + d10) % 10
-    account = n("iban", 18)
+    account = _number(61_803_398_874_989, 11, 18)
     check = F.lpad((98 - ids.iban_remainder(F.concat(F.lit("DE00"), account))).cast("string"), 2, "0")
-    byte = lambda i: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(F.lit(seed), F.lit(f"mac{i}"), F.col("id")), F.lit(256)))), 2, "0")
-    part = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), F.col("id")), F.lit(256)).cast("string")
+    byte = lambda i: F.pmod(F.col("id") * (7919 + 2 * i) + 31 * i, F.lit(256))
+    two = (F.pmod("id", F.lit(90)) + 10).cast("string")
     value = {
-        "EMAIL_ADDRESS": F.concat(F.lit("user"), n("mail", 6), F.lit("@host"), n("host", 3), F.lit(".example.com")),
-        "PHONE_NUMBER": F.concat(F.lit("+1 ("), n("area", 3), F.lit(") "), n("ex", 3), F.lit("-"), n("line", 4)),
-        "IP_ADDRESS": F.concat_ws(".", part("a"), part("b"), part("c"), part("d")),
+        "EMAIL_ADDRESS": F.concat(F.lit("user"), _number(7919, 1, 6), F.lit("@host"), _number(7927, 2, 3), F.lit(".example.com")),
+        "PHONE_NUMBER": F.concat(F.lit("+1 ("), _number(7879, 4, 3), F.lit(") "), _number(7883, 6, 3), F.lit("-"), _number(7901, 8, 4)),
+        "IP_ADDRESS": F.concat_ws(".", *[byte(i).cast("string") for i in range(4)]),
         "CREDIT_CARD_NUMBER": F.concat(card, ids.luhn_digit(card).cast("string")),
         "IBAN": F.concat(F.lit("DE"), check, account),
         "NATIONAL_ID": F.concat(tckn9, d10.cast("string"), d11.cast("string")),
-        "MEDICAL_RECORD_NUMBER": F.concat(F.lit("MRN-"), n("mrn", 8)),
-        "MAC_ADDRESS": F.concat_ws(":", *[byte(i) for i in range(6)]),
+        "MEDICAL_RECORD_NUMBER": F.concat(F.lit("MRN-"), _number(7933, 7, 8)),
+        "MAC_ADDRESS": F.concat_ws(":", *[F.lpad(F.lower(F.hex(byte(i))), 2, "0") for i in range(6)]),
+        "URL": F.concat(F.lit("https://shop.example.com/item/"), _number(7937, 9, 6)),
+        "COORDINATES": F.concat(F.lit("41."), _number(7949, 1, 4), F.lit(", 2."), _number(7951, 2, 4)),
+        "COOKIE_ID": F.concat(F.lit("_ga=GA1.2.3."), F.col("id").cast("string")),
+        "DEVICE_ID": F.concat(F.lit("3569380356438"), two),
+        "SOCIAL_SECURITY_NUMBER": F.concat(F.lit("078-05-"), (F.pmod("id", F.lit(9000)) + 1000).cast("string")),
+        "CPF": _check_digit(_check_digit(_number(5_550_003, 123_456_789, 9), 9), 10),
+        "PASSPORT_NUMBER": F.concat(F.lit("P"), _number(7963, 3, 7)),
+        "DRIVERS_LICENSE": F.concat(F.lit("D"), _number(7993, 4, 7)),
+        "TAX_ID": F.concat(F.lit("12-"), _number(8009, 5, 7)),
+        "LICENSE_PLATE": F.concat(F.lit("34 ABC "), two),
+        "DATE_OF_BIRTH": F.concat(F.lit("12.03.19"), two),
+        "POSTAL_ADDRESS": F.concat(F.lit("Main ST 12 NO:"), two, F.lit(" Floor")),
     }
     original = F.lit(None).cast("string")
     for kind, v in value.items():
         original = F.when(F.col("entity_type") == kind, v).otherwise(original)
-    return rows.withColumn("original", original).withColumn("doc_id", F.floor(F.pmod(F.col("id") * 7919, F.lit(each * len(TYPES))) / per_document)).select("id", "doc_id", "entity_type", "original")
+    return rows.select(F.col("id").alias("doc_id"), "entity_type", original.alias("original"))
 
 
-def documents(values: DataFrame) -> DataFrame:
-    """(doc_id, text, lang): the planted values of each document in sentences."""
-    frame = F.element_at(F.array(*[F.lit(f) for f in _FRAMES]), (F.col("id") % len(_FRAMES) + 1).cast("int"))
-    lines = values.withColumn("line", F.replace(frame, F.lit("{}"), F.col("original")))
-    joined = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return joined.withColumn("lang", F.lit("en"))
+def documents(values: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, lang): the documents, each with its planted value in a sentence at the end."""
+    frames = F.create_map(*[F.lit(x) for kv in FRAMES.items() for x in kv])
+    line = F.replace(F.element_at(frames, F.col("entity_type")), F.lit("{}"), F.col("original"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_own"))
+    return own.join(values, "doc_id").select("doc_id", F.concat("_own", F.lit(MARK), line).alias("text"), F.lit("en").alias("lang"))
 
 
 def hits(values: DataFrame, masked: DataFrame) -> DataFrame:

@@ -381,49 +381,52 @@ def agg_13(spark, d):
     return evaluate.rates(c)
 
 
-def _masked_corpus(spark):
-    values = cut(evaluate.planted(spark))
-    return values, cut(mask.mask_documents(evaluate.documents(values), rules.compose(rules.PACKS)))
+def _masked_corpus(spark, d, policy=None, values=None):
+    values = cut(evaluate.planted(docs(spark, d)) if values is None else values)
+    return values, cut(mask.mask_documents(evaluate.documents(values, docs(spark, d)), policy or rules.compose(rules.PACKS)))
 
 
-@query("eval_01_planted_recall")
+_TYPE_NAMES = "t(i, entity_type) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(evaluate.TYPES)) + ")"
+
+
+@query("eval_01_planted_recall", f"WITH {_TYPE_NAMES} SELECT entity_type, count(*) AS tp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS recall FROM documents JOIN t ON t.i = doc_id % 20 GROUP BY 1")
 def eval_01(spark, d):
-    values, masked = _masked_corpus(spark)
-    return evaluate.rates(evaluate.hits(values, masked))
+    """Of values of twenty types, one planted in each document, all are gone from the masked text."""
+    return evaluate.rates(evaluate.hits(*_masked_corpus(spark, d))).select("entity_type", "tp", "fn", "recall")
 
 
 @query("eval_01_strict_spans")
 def eval_01_strict(spark, d):
-    values, masked = _masked_corpus(spark)
-    spans = masked.select("doc_id", F.explode("entities").alias("e"), "text").select("doc_id", "e.entity_type", F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value"))
+    """By exact value and type; only what stands behind a document's own text counts."""
+    values, masked = _masked_corpus(spark, d)
+    spans = masked.select("doc_id", F.explode("entities").alias("e"), "text", F.instr("text", evaluate.MARK).alias("at")).where(F.col("e.start") >= F.col("at"))
+    spans = spans.select("doc_id", "e.entity_type", F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value"))
     return evaluate.rates(evaluate.strict_hits(values, spans))
 
 
-@query("eval_02_clean_false_positives")
+@query("eval_02_clean_false_positives", "SELECT doc_id, 0 AS spans FROM documents")
 def eval_02(spark, d):
-    """Masked spans of clean lines with numbers, colons and signs in them, by thousand words; each with a running number."""
-    n = F.array(*[F.lit(i) for i in range(20)])
-    clean = spark.createDataFrame(list(enumerate(evaluate.CLEAN)), "line long, pattern string").withColumn("k", F.explode(n))
-    clean = clean.select((F.col("line") * 100 + F.col("k")).alias("doc_id"), F.replace("pattern", F.lit("#"), (F.col("k") + 3).cast("string")).alias("text"))
-    done = mask.mask_documents(clean, rules.compose(rules.PACKS))
-    return done.agg(F.sum("n_masked").cast("long").alias("spans"), F.sum(F.size(F.split("text", r"\s+"))).cast("long").alias("words")).withColumn("per_thousand", F.col("spans") * 1000.0 / F.col("words"))
+    """Masked spans of clean lines with numbers, colons and signs in them, one for each document, with a number of its own."""
+    lines = F.array(*[F.lit(c) for c in evaluate.CLEAN])
+    number = (F.col("doc_id") % 20 + 3).cast("string")
+    clean = docs(spark, d).select("doc_id", F.replace(F.element_at(lines, (F.col("doc_id") % len(evaluate.CLEAN) + 1).cast("int")), F.lit("#"), number).alias("text"))
+    return mask.mask_documents(clean, rules.compose(rules.PACKS)).select("doc_id", F.col("n_masked").alias("spans"))
 
 
-@query("eval_03_adversarial")
+@query("eval_03_adversarial", f"WITH {_TYPE_NAMES} SELECT entity_type, count(*) AS tp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS recall FROM documents JOIN t ON t.i = doc_id % 20 WHERE entity_type IN ('CREDIT_CARD_NUMBER', 'IBAN') GROUP BY 1")
 def eval_03(spark, d):
-    """Spaced, dotted and dashed forms of card numbers and account numbers."""
-    values = evaluate.planted(spark, each=20, seed=43).where(F.col("entity_type").isin("CREDIT_CARD_NUMBER", "IBAN"))
-    form = F.when(F.col("id") % 3 == 0, F.regexp_replace("original", "(....)(?=.)", "$1 ")).when((F.col("id") % 3 == 1) & (F.col("entity_type") == "CREDIT_CARD_NUMBER"), F.regexp_replace("original", "(....)(?=.)", "$1-")).otherwise(F.col("original"))
-    values = cut(values.withColumn("original", form))
-    return evaluate.rates(evaluate.hits(values, cut(mask.mask_documents(evaluate.documents(values), rules.compose(rules.PACKS)))))
+    """Spaced and dashed forms of card numbers and spaced ones of account numbers."""
+    values = evaluate.planted(docs(spark, d)).where(F.col("entity_type").isin("CREDIT_CARD_NUMBER", "IBAN"))
+    turn = F.floor(F.col("doc_id") / 20) % 3
+    form = F.when(turn == 0, F.regexp_replace("original", "(....)(?=.)", "$1 ")).when((turn == 1) & (F.col("entity_type") == "CREDIT_CARD_NUMBER"), F.regexp_replace("original", "(....)(?=.)", "$1-")).otherwise(F.col("original"))
+    return evaluate.rates(evaluate.hits(*_masked_corpus(spark, d, values=values.withColumn("original", form)))).select("entity_type", "tp", "fn", "recall")
 
 
 @query("eval_04_layer_ablation")
 def eval_04(spark, d):
     """Recall with packs only and with the baseline rules as well."""
-    values = cut(evaluate.planted(spark))
     out = None
     for name, policy in (("packs", rules.compose(rules.PACKS, baseline=False)), ("packs_and_baseline", rules.compose(rules.PACKS))):
-        total = evaluate.hits(values, mask.mask_documents(evaluate.documents(values), policy)).agg(F.lit(name).alias("layers"), F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp"))
+        total = evaluate.hits(*_masked_corpus(spark, d, policy)).agg(F.lit(name).alias("layers"), F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp"))
         out = total if out is None else out.unionByName(total)
     return evaluate.rates(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -145,13 +147,14 @@ def det_04_made(spark, d):
     return scan.scan(t, [r for r in rules.BASELINE if r.name == "address"], "id", "text").select("id", "value", "score")
 
 
-@query("udf_04_prompt_rules", "SELECT 'ask' AS name, 'SECRET_PROJECT' AS entity_type, 0.8::DOUBLE AS score")
+@query("udf_04_prompt_rules", "SELECT doc_id AS id, CAST(length(text) + 4 AS INTEGER) AS \"start\", 'SECRET_PROJECT' AS entity_type, 0.8::DOUBLE AS score FROM documents")
 def udf_04(spark, d):
     """Custom rules by prompt need a factory that turns them into rules; without one they are left out."""
     ask = rules.Custom("ask", "SECRET_PROJECT", "llm_prompt")
-    made = rules.from_custom([ask], lambda c: rules.Rule(c.name, "custom", c.entity_type, "project x", 0.8))
+    made = rules.from_custom([ask], lambda c: rules.Rule(c.name, "custom", c.entity_type, "zq project [0-9]+", 0.8))
     assert rules.from_custom([ask]) == []
-    return spark.createDataFrame([(r.name, r.entity_type, r.score) for r in made], "name string, entity_type string, score double")
+    t = docs(spark, d).select("doc_id", F.concat("text", F.lit(" ## zq project "), F.col("doc_id").cast("string")).alias("text"))
+    return scan.scan(t, made).select(F.col("doc_id").alias("id"), "start", "entity_type", "score")
 
 
 # --- packs: each pack's own rules over documents with a made line, and one query for pure formats with SQL --
@@ -242,39 +245,67 @@ def pack_18_list(spark, d):
     return found.select(F.col("id").alias("doc_id"), "start", "value")
 
 
-@query("pack_19_rule_dedup", "SELECT CAST(32 AS BIGINT) AS n, CAST(1 AS BIGINT) AS emails")
+#: Rules of all packs as rows, for the SQL.
+_RULE_ROWS = "rule_rows(pack, t, p) AS (VALUES " + ", ".join(f"('{r.pack}', '{r.entity_type}', '{hashlib.md5(r.pattern.encode()).hexdigest()}')" for p in rules.PACKS.values() for r in p) + ")"
+_PACK_NAMES = tuple(rules.PACKS)
+_CHOICE = "choice AS (SELECT user_id, unnest([user_id % 17, (user_id * 5 + 3) % 17, (user_id // 17) % 17]) AS i FROM (SELECT DISTINCT user_id FROM events)), names(i, pack) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PACK_NAMES)) + ")"
+
+
+def _choices(spark, d):
+    """Three packs for every user, some of them twice."""
+    u = F.col("user_id")
+    every = F.array(*[F.lit(p) for p in _PACK_NAMES])
+    users = table(spark, d, "events").select("user_id").distinct()
+    return users.select("user_id", F.array_distinct(F.transform(F.array(u % 17, (u * 5 + 3) % 17, F.floor(u / 17) % 17), lambda i: F.element_at(every, (i + 1).cast("int")))).alias("packs"))
+
+
+@query("pack_19_rule_dedup", f"WITH {_RULE_ROWS}, {_CHOICE} SELECT user_id, count(DISTINCT t || p) AS n, count(DISTINCT p) FILTER (t = 'EMAIL_ADDRESS') AS emails FROM choice JOIN names USING (i) JOIN rule_rows USING (pack) GROUP BY 1")
 def pack_19(spark, d):
-    kept = rules.distinct([r for p in rules.PACKS.values() for r in p])
-    return spark.createDataFrame([(r.name, r.entity_type) for r in kept], "name string, t string").agg(F.count("*").alias("n"), F.count_if(F.col("t") == "EMAIL_ADDRESS").alias("emails"))
+    """Rules that remain of the packs that each user has chosen; the choices are few, and each is composed once."""
+    chosen = _choices(spark, d)
+    composed = [(list(c), len(kept), sum(r.entity_type == "EMAIL_ADDRESS" for r in kept)) for (c,) in chosen.select("packs").distinct().toLocalIterator() for kept in [rules.distinct([r for p in c for r in rules.PACKS[p]])]]
+    return chosen.join(spark.createDataFrame(composed, "packs array<string>, n long, emails long"), "packs").select("user_id", "n", "emails")
 
 
-@query("pack_20_catalogue", "SELECT * FROM (VALUES ('gdpr', 30::BIGINT), ('kvkk', 33), ('hipaa', 17), ('lgpd', 19), ('ccpa', 25), ('cpra', 28), ('uk_gdpr', 30), ('pipeda', 24), ('pdpa_th', 29), ('pdpa_sg', 15), ('appi', 20), ('pipl', 20), ('popia', 21), ('dpdp', 17), ('pdpl_sa', 20), ('nzpa', 20), ('australia_pa', 20)) t(pack, n)")
+@query("pack_20_catalogue", "WITH t(i, pack, n) AS (VALUES (0, 'gdpr', 30::BIGINT), (1, 'kvkk', 33), (2, 'hipaa', 17), (3, 'lgpd', 19), (4, 'ccpa', 25), (5, 'cpra', 28), (6, 'uk_gdpr', 30), (7, 'pipeda', 24), (8, 'pdpa_th', 29), (9, 'pdpa_sg', 15), (10, 'appi', 20), (11, 'pipl', 20), (12, 'popia', 21), (13, 'dpdp', 17), (14, 'pdpl_sa', 20), (15, 'nzpa', 20), (16, 'australia_pa', 20)) SELECT n_nationkey, pack, n FROM nation JOIN t ON t.i = n_nationkey % 17")
 def pack_20(spark, d):
-    return spark.createDataFrame([(p, len(set(rules.PACK_TYPES[p]))) for p in rules.catalogue("")], "pack string, n long")
+    """The pack of each nation and how many types it names."""
+    listed = spark.createDataFrame([(i, p, len(set(rules.PACK_TYPES[p]))) for i, p in enumerate(rules.catalogue(""))], "i int, pack string, n long")
+    return table(spark, d, "nation").join(listed, F.col("i") == F.col("n_nationkey") % 17).select("n_nationkey", "pack", "n")
 
 
-@query("pack_21_policy_types", "SELECT t AS entity_type FROM (VALUES " + ", ".join(f"('{t}')" for t in sorted({*rules.PACK_TYPES["hipaa"], *rules.PACK_TYPES["dpdp"], "PROJECT_CODE", "TEAM_NAME"})) + ") x(t)")
+@query("pack_21_policy_types", "WITH t(pack, t) AS (VALUES " + ", ".join(f"('{p}', '{t}')" for p in ("gdpr", "kvkk", "hipaa", "lgpd", "dpdp") for t in rules.PACK_TYPES[p]) + ") SELECT n_nationkey, count(DISTINCT t) + 2 AS n, count(DISTINCT t) FILTER (t LIKE '%NUMBER') AS numbers FROM nation JOIN t ON t.pack = CASE n_regionkey WHEN 0 THEN 'gdpr' WHEN 1 THEN 'kvkk' WHEN 2 THEN 'lgpd' WHEN 3 THEN 'gdpr' ELSE 'hipaa' END OR (t.pack = 'dpdp' AND n_nationkey % 2 = 0) GROUP BY 1")
 def pack_21(spark, d):
-    return spark.createDataFrame([(t,) for t in rules.compose(["hipaa", "dpdp"], CUSTOM).types], "entity_type string")
+    """The types of each nation's policy: the pack of its region, another for every second nation, and rules of its own."""
+    packs = ("gdpr", "kvkk", "lgpd", "gdpr", "hipaa")
+    made = [(r, even, t) for r in range(5) for even in (0, 1) for t in rules.compose([packs[r], *(["dpdp"] if even == 0 else [])], CUSTOM).types]
+    types = spark.createDataFrame(made, "r int, odd int, t string")
+    n = table(spark, d, "nation").join(types, (F.col("r") == F.col("n_regionkey")) & (F.col("odd") == F.col("n_nationkey") % 2))
+    return n.groupBy("n_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("t").endswith("NUMBER")).alias("numbers"))
 
 
-@query("pack_22_try_rule", "SELECT CAST(8 AS INTEGER) AS \"start\", CAST(14 AS INTEGER) AS \"end\", 'AB-123' AS value")
+@query("pack_22_try_rule", "SELECT doc_id, CAST(length(text) + 9 AS INTEGER) AS \"start\", CAST(length(text) + 15 AS INTEGER) AS \"end\", 'ZQ-' || (100 + doc_id % 900) AS value FROM documents")
 def pack_22(spark, d):
-    sample = spark.createDataFrame([(1, "Ticket: AB-123, open")], "id long, text string")
-    return scan.scan(sample, rules.from_custom([rules.Custom("try", "TICKET", "regex", pattern="[A-Z]{2}-[0-9]{3}")]), "id", "text").select("start", "end", "value")
+    """A rule tried on every document, each with a ticket at its end."""
+    sample = docs(spark, d).select("doc_id", F.concat("text", F.lit(" Ticket: ZQ-"), (F.col("doc_id") % 900 + 100).cast("string"), F.lit(", open")).alias("text"))
+    return scan.scan(sample, rules.from_custom([rules.Custom("try", "TICKET", "regex", pattern=r"\bZQ-[0-9]{3}\b")])).select("doc_id", "start", "end", "value")
 
 
-@query("det_23_type_aliases", "SELECT * FROM (VALUES ('IBAN', true), ('IBAN_CODE', true), ('BANK_ACCOUNT_NUMBER', true), ('LOCATION', true), ('CITY', true)) t(entity_type, wanted)")
+@query("det_23_type_aliases", "WITH t(i, entity_type) AS (VALUES (0, 'IBAN'), (0, 'IBAN_CODE'), (1, 'CITY'), (1, 'LOCATION'), (2, 'BANK_ACCOUNT_NUMBER'), (2, 'IBAN'), (3, 'CREDIT_CARD_NUMBER'), (3, 'CREDIT_CARD'), (4, 'URL')) SELECT user_id, t.entity_type, count(*) AS n FROM events JOIN t ON t.i = event_id % 5 GROUP BY ALL")
 def det_23(spark, d):
-    return spark.createDataFrame([(t, True) for t in sorted(rules.expand_types(["CITY", "BANK_ACCOUNT_NUMBER", "IBAN"]))], "entity_type string, wanted boolean")
+    """What the types asked for by each user's events are found as."""
+    asked = ("IBAN", "CITY", "BANK_ACCOUNT_NUMBER", "CREDIT_CARD_NUMBER", "URL")
+    meant = spark.createDataFrame([(i, t) for i, a in enumerate(asked) for t in rules.expand_types([a])], "i int, entity_type string")
+    return table(spark, d, "events").join(meant, F.col("i") == F.col("event_id") % 5).groupBy("user_id", "entity_type").agg(F.count("*").alias("n"))
 
 
-@query("det_24_coverage", "SELECT * FROM (VALUES ('FAN_CLUB_NUMBER'), ('LIBRARY_CARD')) v(entity_type)")
+@query("det_24_coverage", "SELECT c_custkey, CASE c_custkey % 7 WHEN 1 THEN 'LIBRARY_CARD' ELSE 'FAN_CLUB_NUMBER' END AS entity_type FROM customer WHERE c_custkey % 7 IN (1, 4)")
 def det_24(spark, d):
-    """Types of a policy that no rule, model or parent type covers: of the built-in ones none, of three added ones two."""
-    found = spark.createDataFrame([(r.entity_type,) for r in rules.compose(rules.PACKS).rules] + [(t,) for t in (*rules.MODEL_TYPES, *rules.CONTEXTUAL)] + [(c,) for c, p in rules.PARENTS.items()], "entity_type string")
-    wanted = spark.createDataFrame([(t,) for t in (*rules.compose(rules.PACKS).types, "LIBRARY_CARD", "URL", "FAN_CLUB_NUMBER")], "entity_type string").distinct()
-    return wanted.join(found, "entity_type", "left_anti")
+    """Types wanted by customers that no rule, model or parent type covers."""
+    found = spark.createDataFrame([(r.entity_type,) for r in rules.compose(rules.PACKS).rules] + [(t,) for t in (*rules.MODEL_TYPES, *rules.CONTEXTUAL, *rules.PARENTS)], "entity_type string").distinct()
+    kinds = ("URL", "LIBRARY_CARD", "CITY", "DIAGNOSIS", "FAN_CLUB_NUMBER", "IBAN", "PERSON_NAME")
+    wanted = table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("c_custkey") % 7 + 1).cast("int")).alias("entity_type"))
+    return wanted.join(found, "entity_type", "left_anti").select("c_custkey", "entity_type")
 
 
 @query("det_27_numeric_gate", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) SELECT doc_id, count(*) FILTER (regexp_matches(l, '^[0-9 .,:/%-]+$')) >= 0.4 * count(*) FILTER (trim(l) <> '') AS numeric FROM l GROUP BY doc_id")
@@ -284,9 +315,14 @@ def det_27(spark, d):
     return docs(spark, d).select("doc_id", (numeric >= 0.4 * F.size(F.filter(lines, lambda x: F.trim(x) != ""))).alias("numeric"))
 
 
-@query("det_28_baseline_rules", "SELECT CAST(17 AS BIGINT) AS n_types, CAST(21 AS BIGINT) AS n_rules")
+@query("det_28_baseline_rules", """WITH t(i, t) AS (VALUES (0, 'PHONE_NUMBER'), (1, 'IBAN'), (2, 'PERSON_NAME'), (3, 'POSTAL_ADDRESS'), (4, 'CREDIT_CARD_NUMBER'), (5, 'DATE_OF_BIRTH'), (6, 'MAC_ADDRESS'), (7, 'URL'), (8, 'COORDINATES'), (9, 'COORDINATES'), (10, 'COOKIE_ID'), (11, 'COOKIE_ID'),
+(12, 'DEVICE_ID'), (13, 'DEVICE_ID'), (14, 'DEVICE_ID'), (15, 'SOCIAL_SECURITY_NUMBER'), (16, 'CPF'), (17, 'PASSPORT_NUMBER'), (18, 'DRIVERS_LICENSE'), (19, 'TAX_ID'), (20, 'LICENSE_PLATE'))
+SELECT t AS entity_type, count(*) AS n, count(DISTINCT i) AS n_rules FROM customer JOIN t ON t.i = c_custkey % 21 GROUP BY 1""")
 def det_28(spark, d):
-    return spark.createDataFrame([(r.entity_type,) for r in rules.BASELINE], "t string").agg(F.count_distinct("t").alias("n_types"), F.count("*").alias("n_rules"))
+    """Customers dealt out over the built-in rules, by the type that each finds."""
+    listed = spark.createDataFrame([(i, r.entity_type) for i, r in enumerate(rules.BASELINE)], "i int, entity_type string")
+    c = table(spark, d, "customer").join(listed, F.col("i") == F.col("c_custkey") % len(rules.BASELINE))
+    return c.groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("i").alias("n_rules"))
 
 
 @query("det_18_title_case")
@@ -463,18 +499,21 @@ def msk_02(spark, d):
 _PEOPLE = [(1, 0, "Ahmet Yilmaz met Ahmet and Sarah Connor."), (1, 1, "sarah called Connor's office."), (2, 0, "Jane Doe wrote to Jane.")]
 
 
-@query("msk_03_coreference", "SELECT * FROM (VALUES (1, 'Ahmet Yilmaz', '[PERSON_NAME_1]'), (1, 'Ahmet', '[PERSON_NAME_1]'), (1, 'Sarah Connor', '[PERSON_NAME_2]'), (2, 'Jane Doe', '[PERSON_NAME_1]'), (2, 'Jane', '[PERSON_NAME_1]')) t(doc_id, original, placeholder)")
+@query("msk_03_coreference", "SELECT doc_id, unnest(['Ahmet Yilmaz', 'Ahmet', 'Sarah Connor', 'Connor']) AS original, unnest(['[PERSON_NAME_1]', '[PERSON_NAME_1]', '[PERSON_NAME_2]', '[PERSON_NAME_2]']) AS placeholder FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, unnest(['Jane Doe', 'Jane']), unnest(['[PERSON_NAME_1]', '[PERSON_NAME_1]']) FROM documents WHERE doc_id % 2 = 1")
 def msk_03(spark, d):
-    """Values as they are met, in order; the map is built document by document."""
+    """Values as they are met, in order; each document's map is built in its own row."""
+    met = F.when(F.col("doc_id") % 2 == 0, F.array(*[F.lit(v) for v in ("Ahmet Yilmaz", "Ahmet", "Sarah Connor", "Connor")])).otherwise(F.array(F.lit("Jane Doe"), F.lit("Jane")))
 
-    met = spark.createDataFrame([(1, 0, "Ahmet Yilmaz"), (1, 1, "Ahmet"), (1, 2, "Sarah Connor"), (2, 0, "Jane Doe"), (2, 1, "Jane")], "doc_id int, i int, original string")
+    @F.pandas_udf("array<string>")
+    def assign(values: pd.Series) -> pd.Series:
+        def one(row):
+            known = mask.Placeholders("en")
+            return [known.add(o, "PERSON_NAME") for o in row]
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = mask.Placeholders("en")
-        pdf = pdf.sort_values("i")
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "original": pdf["original"], "placeholder": [known.add(o, "PERSON_NAME") for o in pdf["original"]]})
+        return values.map(one)
 
-    return met.groupBy("doc_id").applyInPandas(assign, "doc_id int, original string, placeholder string")
+    rows = docs(spark, d).select("doc_id", met.alias("o")).withColumn("p", assign("o"))
+    return rows.select("doc_id", F.explode(F.arrays_zip("o", "p")).alias("x")).select("doc_id", F.col("x.o").alias("original"), F.col("x.p").alias("placeholder"))
 
 
 @query("msk_04_token_blocklist", "WITH w AS (SELECT c_nationkey AS doc_id, c_custkey AS ord, unnest(string_split(lower(c_name), '#')) AS token FROM customer) SELECT doc_id, token, max(ord) AS last FROM w WHERE length(token) > 2 GROUP BY ALL")
@@ -483,7 +522,7 @@ def msk_04(spark, d):
     return w.where("length(token) > 2").groupBy("doc_id", "token").agg(F.max_by("ord", "ord").alias("last"))
 
 
-@query("msk_05_apply_blocklist", "SELECT 1 AS id, '[PERSON_NAME_1] called [ALIAS_1] and the [PERSON_NAME_1].' AS masked")
+@query("msk_05_apply_blocklist", "SELECT doc_id, '[PERSON_NAME_1] called [ALIAS_1] and the [PERSON_NAME_1] of ' || source || '.' AS masked FROM documents")
 def msk_05(spark, d):
 
     @F.pandas_udf("string")
@@ -492,7 +531,7 @@ def msk_05(spark, d):
         known.add("Sarah Connor", "PERSON_NAME")
         return s.map(known.mask_words)
 
-    return spark.createDataFrame([(1, "SARAH called [ALIAS_1] and the Connor.")], "id int, text string").select("id", apply("text").alias("masked"))
+    return docs(spark, d).select("doc_id", apply(F.concat(F.lit("SARAH called [ALIAS_1] and the Connor of "), "source", F.lit("."))).alias("masked"))
 
 
 @query("msk_10_session_maps")
@@ -502,22 +541,24 @@ def msk_10(spark, d):
     return mask.mask_chunks(c, _ALL)
 
 
-@query("msk_11_tools", "SELECT 'mask_text' AS tool, true AS ok, '[EMAIL_ADDRESS_1] wrote' AS data UNION ALL SELECT 'unmask_response', true, 'a.b@example.com wrote' UNION ALL SELECT 'list_regulations', true, '17'")
+@query("msk_11_tools", "SELECT c_custkey AS id, unnest(['mask_text', 'unmask_response', 'list_regulations']) AS tool, true AS ok, unnest(['[EMAIL_ADDRESS_1] wrote', 'user' || c_custkey || '@example.com wrote', '17']) AS data FROM customer")
 def msk_11(spark, d):
+    """A request of every customer to each of three tools."""
     from ..functions.tools import answer
 
-    request = spark.createDataFrame([(1, "a.b@example.com wrote", "en")], "id long, text string, lang string")
+    request = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com wrote")).alias("text"), F.lit("en").alias("lang"))
     done = mask.mask_documents(request, _ALL)
-    rows = [done.select(F.lit("mask_text").alias("tool"), answer(F.col("masked"))), done.select(F.lit("unmask_response").alias("tool"), answer(mask.unmask(F.col("masked"), F.col("map")))), request.select(F.lit("list_regulations").alias("tool"), answer(F.lit(str(len(rules.PACKS)))))]
+    rows = [done.select("id", F.lit("mask_text").alias("tool"), answer(F.col("masked"))), done.select("id", F.lit("unmask_response").alias("tool"), answer(mask.unmask(F.col("masked"), F.col("map")))), request.select("id", F.lit("list_regulations").alias("tool"), answer(F.lit(str(len(rules.PACKS)))))]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.select("tool", "r.ok", "r.data")
+    return out.select("id", "tool", "r.ok", "r.data")
 
 
-@query("fn_31_rename_placeholders", "SELECT 1 AS id, '[P_2] met [P_1] and [P_10]' AS text")
+@query("fn_31_rename_placeholders", "SELECT doc_id, source || ' [P_2] met [P_1], [P_2' || doc_id || '] and [P_1]' AS text FROM documents")
 def fn_31(spark, d):
     """Placeholders swapped in one pass, so that none is renamed twice."""
     names = F.array(*[F.struct(F.lit(b).alias("original"), F.lit(a).alias("placeholder")) for a, b in (("[P_1]", "[P_2]"), ("[P_2]", "[P_1]"))])
-    return spark.createDataFrame([(1, "[P_1] met [P_2] and [P_10]")], "id int, text string").select("id", mask.unmask(F.col("text"), names).alias("text"))
+    text = F.concat(F.col("source"), F.lit(" [P_1] met [P_2], [P_2"), F.col("doc_id").cast("string"), F.lit("] and [P_2]"))
+    return docs(spark, d).select("doc_id", mask.unmask(text, names).alias("text"))
 
 
 @query("fn_32_longest_first")
@@ -550,12 +591,14 @@ def fn_39(spark, d):
     return done.select("doc_id", F.posexplode(F.flatten(F.transform(e, pieces))).alias("i", "p")).select("doc_id", "i", "p.*")
 
 
-@query("win_11_title_merge", "SELECT * FROM (VALUES (1, 0, 'T1', 'Title' || chr(10) || 'body text one'), (1, 1, CAST(NULL AS VARCHAR), 'tail')) t(doc_id, i, title, text)")
+@query("win_11_title_merge", "SELECT doc_id, CAST(unnest([0, 1]) AS INTEGER) AS i, unnest(['T' || doc_id, NULL]) AS title, unnest(['Title' || chr(10) || source || ' body', lang || ' tail']) AS text FROM documents")
 def win_11(spark, d):
     from ..operators.chunk import merge_titles
 
-    rows = spark.createDataFrame([(1, [("T1", "Title"), (None, "body text one"), (None, "tail")])], "doc_id int, c array<struct<title:string,text:string>>")
-    return rows.select("doc_id", F.posexplode(merge_titles(F.col("c"))).alias("i", "m")).select("doc_id", "i", "m.title", "m.text")
+    chunk = lambda title, text: F.struct(title.cast("string").alias("title"), text.alias("text"))
+    none = F.lit(None)
+    c = F.array(chunk(F.concat(F.lit("T"), F.col("doc_id").cast("string")), F.lit("Title")), chunk(none, F.concat("source", F.lit(" body"))), chunk(none, F.concat("lang", F.lit(" tail"))))
+    return docs(spark, d).select("doc_id", F.posexplode(merge_titles(c)).alias("i", "m")).select("doc_id", "i", "m.title", "m.text")
 
 
 @query("fn_25_structured_chunks")

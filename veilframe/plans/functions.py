@@ -188,11 +188,17 @@ def fn_22(spark, d):
     return table(spark, d, "events").select("event_id", strength(F.col("value") / 100).alias("s"))
 
 
-@query("fn_23_weights", "SELECT t AS entity_type, w AS weight FROM (VALUES ('IBAN', 1.0::DOUBLE), ('EMAIL_ADDRESS', 0.85::DOUBLE), ('LOCATION', 0.1::DOUBLE), ('URL', 0.3::DOUBLE)) x(t, w)")
+@query("fn_23_weights", """WITH t(i, t, w) AS (VALUES (0, 'NATIONAL_ID', 1.0), (1, 'PASSPORT_NUMBER', 1.0), (2, 'IBAN', 1.0), (3, 'TAX_ID', 1.0), (4, 'CREDIT_CARD_NUMBER', 1.0), (5, 'SOCIAL_SECURITY_NUMBER', 1.0),
+(6, 'DRIVERS_LICENSE', 1.0), (7, 'MEDICAL_RECORD_NUMBER', 0.95), (8, 'HEALTH_INSURANCE_ID', 0.95), (9, 'EMAIL_ADDRESS', 0.85), (10, 'PHONE_NUMBER', 0.8), (11, 'POSTAL_ADDRESS', 0.75), (12, 'DATE_OF_BIRTH', 0.4),
+(13, 'ORGANIZATION_NAME', 0.4), (14, 'PERSON_NAME', 0.3), (15, 'LOCATION', 0.1), (16, 'DATE_TIME', 0.05), (17, 'URL', 0.3), (18, NULL, 0.3))
+SELECT user_id, round(sum(CAST(w AS DOUBLE)), 6) AS weight FROM events JOIN t ON t.i = event_id % 19 GROUP BY 1""")
 def fn_23(spark, d):
-    from ..functions.scores import weight
+    """Weights of the types that each user's events stand for, types without a weight of their own and null among them."""
+    from ..functions.scores import WEIGHTS, weight
 
-    return spark.createDataFrame([(t,) for t in ("IBAN", "EMAIL_ADDRESS", "LOCATION", "URL")], "entity_type string").withColumn("weight", weight(F.col("entity_type")))
+    kinds = F.array(*[F.lit(t) for t in (*WEIGHTS, "URL")])
+    e = table(spark, d, "events").withColumn("t", F.try_element_at(kinds, (F.col("event_id") % 19 + 1).cast("int")))
+    return e.groupBy("user_id").agg(F.round(F.sum(weight(F.col("t"))), 6).alias("weight"))
 
 
 _LINES = "SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents"

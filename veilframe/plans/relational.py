@@ -397,16 +397,15 @@ def top_09(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
 
 
-_KS = ", ".join(f"({k}, {n})" for k, n in scores.K_CASES)
-
-
-@query("top_04_effective_k", f"SELECT k, n, CAST(CASE WHEN n <= 0 THEN k ELSE least(25, greatest(k, k + CASE WHEN n <= 10 THEN 0 ELSE least(10, n // 3) END)) END AS INTEGER) AS effective FROM (VALUES {_KS}) t(k, n)")
+@query("top_04_effective_k", "WITH t AS (SELECT doc_id, CAST(doc_id % 30 AS INTEGER) AS k, CAST(length(text) // 200 AS INTEGER) AS n FROM documents) SELECT doc_id, CAST(CASE WHEN n <= 0 THEN k ELSE least(25, greatest(k, k + CASE WHEN n <= 10 THEN 0 ELSE least(10, n // 3) END)) END AS INTEGER) AS effective FROM t")
 def top_04(spark, d):
-    t = spark.createDataFrame(scores.K_CASES, "k int, n int")
-    return t.select("k", "n", scores.effective_k(F.col("k"), F.col("n")).alias("effective"))
+    """How many results are wanted of each document, by the number of its pieces of 200 signs."""
+    n = F.floor(F.length("text") / 200).cast("int")
+    return docs(spark, d).select("doc_id", scores.effective_k((F.col("doc_id") % 30).cast("int"), n).alias("effective"))
 
 
-@query("top_05_document_k", f"SELECT k, n, CAST(greatest(5, least(50 // greatest(n, 1), k)) AS INTEGER) AS auto, CAST(greatest(10, least(50 // greatest(n, 1), k // greatest(n, 1))) AS INTEGER) AS manual FROM (VALUES {_KS}) t(k, n)")
+@query("top_05_document_k", "WITH t AS (SELECT event_id, CAST(event_id % 60 AS INTEGER) AS k, CAST(user_id % 14 AS INTEGER) AS n FROM events) SELECT event_id, CAST(greatest(5, least(50 // greatest(n, 1), k)) AS INTEGER) AS auto, CAST(greatest(10, least(50 // greatest(n, 1), k // greatest(n, 1))) AS INTEGER) AS manual FROM t")
 def top_05(spark, d):
-    t = spark.createDataFrame(scores.K_CASES, "k int, n int")
-    return t.select("k", "n", scores.document_k(F.col("k"), F.col("n")).alias("auto"), scores.document_k(F.col("k"), F.col("n"), manual=True).alias("manual"))
+    """Results of each of several documents, for questions of all sizes."""
+    k, n = (F.col("event_id") % 60).cast("int"), (F.col("user_id") % 14).cast("int")
+    return events(spark, d).select("event_id", scores.document_k(k, n).alias("auto"), scores.document_k(k, n, manual=True).alias("manual"))
\ No newline at end of file

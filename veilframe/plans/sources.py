@@ -33,16 +33,24 @@ def _read_back(spark, d, write, fmt):
     return files.ingest(made.where(F.col("format") == fmt), keep="doc_id")
 
 
-@query("src_01_mime_sniffing", "SELECT * FROM (VALUES (1, 'application/pdf'), (2, 'image/png'), (3, 'image/jpeg'), (4, 'audio/wav'), (5, 'audio/ogg'), (6, 'audio/flac'), (7, 'audio/mpeg'), (8, 'audio/mp4'), (9, 'text/plain'), (10, 'audio/mpeg')) t(id, mime)")
+@query("src_01_mime_sniffing", "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'audio/wav' WHEN 4 THEN 'audio/ogg' WHEN 5 THEN 'audio/flac' WHEN 6 THEN 'audio/mpeg' WHEN 7 THEN 'audio/mp4' WHEN 8 THEN 'text/plain' ELSE 'audio/mpeg' END AS mime FROM documents")
 def src_01(spark, d):
-    heads = [b"%PDF-1.4", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"RIFF0000WAVEfmt ", b"OggS", b"fLaC", b"ID3\x03", b"0000ftypM4A 0000", b"hello", b"\xff\xfb\x90"]
-    return spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate(heads, 1)], "id int, content binary").select("id", files.mime_of(F.col("content"), F.lit(" text/plain ")).alias("mime"))
+    """Contents that begin with the signs of ten kinds, followed by the document's text."""
+    heads = (b"%PDF-1.4", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"RIFF0000WAVEfmt ", b"OggS", b"fLaC", b"ID3\x03", b"0000ftypM4A 0000", b"hello ", b"\xff\xfb\x90")
+    head = F.element_at(F.array(*[F.lit(bytearray(h)) for h in heads]), (F.col("doc_id") % 10 + 1).cast("int"))
+    made = docs(spark, d).select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+    return made.select("doc_id", files.mime_of(F.col("content"), F.lit(" text/plain ")).alias("mime"))
 
 
-@query("src_02_format_of_mime", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in {**files.FORMATS, "audio/aac": "audio", "image/webp": "image", "application/octet-stream": "audio"}.items()) + ", ('text/html', CAST(NULL AS VARCHAR))) t(mime, format)")
+@query("src_02_format_of_mime", """WITH t(i, mime, format) AS (VALUES (0, 'application/pdf', 'pdf'), (1, 'image/png', 'image'), (2, 'image/jpeg', 'image'), (3, 'audio/mpeg', 'audio'), (4, 'audio/wav', 'audio'), (5, 'text/plain', NULL), (6, 'audio/aac', 'audio'),
+(7, 'image/webp', 'image'), (8, 'application/octet-stream', 'audio'), (9, 'text/html', NULL), (10, 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'docx'), (11, 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'xlsx'), (12, 'application/vnd.oasis.opendocument.spreadsheet', 'ods'))
+SELECT page_id, mime, format FROM pages JOIN t ON t.i = page_id % 13""")
 def src_02(spark, d):
-    names = [*files.FORMATS, "audio/aac", "image/webp", "application/octet-stream", "text/html"]
-    return spark.createDataFrame([(m,) for m in names], "mime string").select("mime", files.format_of(F.col("mime")).alias("format"))
+    """The format of every page under a type that goes with it."""
+    office = "application/vnd.openxmlformats-officedocument."
+    names = ("application/pdf", "image/png", "image/jpeg", "audio/mpeg", "audio/wav", "text/plain", "audio/aac", "image/webp", "application/octet-stream", "text/html", office + "wordprocessingml.document", office + "spreadsheetml.sheet", "application/vnd.oasis.opendocument.spreadsheet")
+    mime = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % 13 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", mime.alias("mime")).withColumn("format", files.format_of(F.col("mime")))
 
 
 @query("src_03_dispatch", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'xlsx' END AS format FROM nation")
@@ -91,26 +99,32 @@ def src_07(spark, d):
     return _sheets(spark, d, files.write_ods, "ods")
 
 
-@query("src_08_image_port", "SELECT 1 AS id, 'seen 8 bytes' AS text, 0.5::DOUBLE AS confidence")
+@query("src_08_image_port", "SELECT doc_id, 'seen ' || (8 + strlen(text)) || ' bytes' AS text, 0.5::DOUBLE AS confidence FROM documents")
 def src_08(spark, d):
-    png = spark.createDataFrame([(1, bytearray(b"\x89PNG\r\n\x1a\n"), "image")], "id int, content binary, format string")
-    return files.ingest(png, recognise=lambda b: (f"seen {len(b)} bytes", 0.5), keep="id").select("id", "text", "confidence")
+    """Images that hold the documents' bytes, given to a recogniser that counts them."""
+    content = F.concat(F.lit(bytearray(b"\x89PNG\r\n\x1a\n")), F.encode("text", "UTF-8"))
+    png = docs(spark, d).select("doc_id", content.alias("content")).withColumn("format", files.format_of(files.mime_of(F.col("content"))))
+    return files.ingest(png, recognise=lambda b: (f"seen {len(b)} bytes", 0.5), keep="doc_id").select("doc_id", "text", "confidence")
 
 
-@query("src_09_audio_port", "SELECT 1 AS id, 'heard 4 bytes' AS text, CAST(NULL AS VARCHAR) AS warning UNION ALL SELECT 2, '', 'no reader for image'")
+@query("src_09_audio_port", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'heard ' || (4 + strlen(text)) || ' bytes' ELSE '' END AS text, CASE WHEN doc_id % 2 = 1 THEN 'no reader for image' END AS warning FROM documents")
 def src_09(spark, d):
-    f = spark.createDataFrame([(1, bytearray(b"OggS"), "audio"), (2, bytearray(b"\x89PNG"), "image")], "id int, content binary, format string")
-    return files.ingest(f, transcribe=lambda b: (f"heard {len(b)} bytes", 0.9), keep="id").select("id", "text", "warning")
+    """Sounds that hold the documents' bytes, and images, for which there is no reader here."""
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit(bytearray(b"OggS"))).otherwise(F.lit(bytearray(b"\x89PNG\r\n\x1a\n")))
+    f = docs(spark, d).select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content")).withColumn("format", files.format_of(files.mime_of(F.col("content"))))
+    return files.ingest(f, transcribe=lambda b: (f"heard {len(b)} bytes", 0.9), keep="doc_id").select("doc_id", "text", "warning")
 
 
-@query("src_10_ocr_layout", "SELECT 1 AS id, 'left one  left two|below|right side text|second right text|third right text' AS lines UNION ALL SELECT 2, 'b  c|a'")
+@query("src_10_ocr_layout", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || ' one  ' || source || ' two|below|right ' || lang || ' text|second right text|third right text' ELSE 'b  ' || lang || '|' || source END AS lines FROM documents")
 def src_10(spark, d):
-    boxes = [
-        (1, 1000, [(10.0, 10.0, 90.0, 10.0, "left one"), (12.0, 100.0, 190.0, 10.0, "left two"), (40.0, 10.0, 90.0, 10.0, "below"), (10.0, 600.0, 700.0, 10.0, "right side text"), (30.0, 600.0, 700.0, 10.0, "second right text"), (50.0, 600.0, 700.0, 10.0, "third right text")]),
-        (2, 300, [(50.0, 5.0, 20.0, 10.0, "a"), (10.0, 5.0, 20.0, 10.0, "b"), (11.0, 200.0, 220.0, 10.0, "c")]),
-    ]
-    df = spark.createDataFrame(boxes, "id int, width int, boxes array<struct<y:double,left:double,right:double,height:double,text:string>>")
-    return df.select("id", F.array_join(files.layout_lines(F.col("boxes"), F.col("width")), "|").alias("lines"))
+    """Boxes of words on pages of two widths: two columns with a gap, or lines close to each other; all moved down by a document's own number."""
+    b = lambda y, left, right, text: F.struct((F.lit(y) + F.col("doc_id") % 50).cast("double").alias("y"), F.lit(left).alias("left"), F.lit(right).alias("right"), F.lit(10.0).alias("height"), text.alias("text"))
+    say = lambda *parts: F.concat(*[F.col(p) if p in ("source", "lang") else F.lit(p) for p in parts])
+    wide = F.array(b(10.0, 10.0, 90.0, say("source", " one")), b(12.0, 100.0, 190.0, say("source", " two")), b(40.0, 10.0, 90.0, say("below")), b(10.0, 600.0, 700.0, say("right ", "lang", " text")), b(30.0, 600.0, 700.0, say("second right text")), b(50.0, 600.0, 700.0, say("third right text")))
+    close = F.array(b(50.0, 5.0, 20.0, say("source")), b(10.0, 5.0, 20.0, say("b")), b(11.0, 200.0, 220.0, say("lang")))
+    even = F.col("doc_id") % 2 == 0
+    pages = docs(spark, d).select("doc_id", F.when(even, 1000).otherwise(300).alias("width"), F.when(even, wide).otherwise(close).alias("boxes"))
+    return pages.select("doc_id", F.array_join(files.layout_lines(F.col("boxes"), F.col("width")), "|").alias("lines"))
 
 
 def _folder(spark) -> str:
@@ -194,11 +208,17 @@ def _among(words):
     return lambda w: w.isin(*words)
 
 
-@query("src_19_corpus_generator")
+@query("src_19_corpus_generator", """SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN 'user' || lpad(CAST((doc_id * 7919 + 1) % 1000000 AS VARCHAR), 6, '0') || '@host' || lpad(CAST((doc_id * 7927 + 2) % 1000 AS VARCHAR), 3, '0') || '.example.com'
+WHEN 6 THEN 'MRN-' || lpad(CAST((doc_id * 7933 + 7) % 100000000 AS VARCHAR), 8, '0') WHEN 8 THEN 'https://shop.example.com/item/' || lpad(CAST((doc_id * 7937 + 9) % 1000000 AS VARCHAR), 6, '0') END AS original,
+length(text) AS before FROM documents""")
 def src_19(spark, d):
+    """Where values are planted, and those of three types."""
     from ..operators import evaluate
 
-    return evaluate.documents(evaluate.planted(spark))
+    values = evaluate.planted(docs(spark, d))
+    made = evaluate.documents(values, docs(spark, d)).select("doc_id", F.instr("text", evaluate.MARK).alias("at"))
+    some = F.when(F.col("entity_type").isin("EMAIL_ADDRESS", "MEDICAL_RECORD_NUMBER", "URL"), F.col("original"))
+    return values.join(made, "doc_id").select("doc_id", some.alias("original"), (F.col("at") - 1).alias("before"))
 
 
 # --- sinks -----------------------------------------------------------------------------------------
@@ -282,21 +302,27 @@ def udf_03(spark, d):
     return docs(spark, d).select("doc_id", measured("text").alias("n"))
 
 
-@query("udf_05_data_source", "SELECT range AS id, 'row ' || range AS text FROM range(100)")
+@query("udf_05_data_source", "SELECT c_custkey AS id, 'row ' || c_custkey || ' ' || c_name AS text FROM customer")
 def udf_05(spark, d):
-    """A source of one's own through the Python data source interface."""
+    """A source of one's own through the Python data source interface: a numbered line for every customer."""
     from ..sources.python_source import NumberedLines
 
     spark.dataSource.register(NumberedLines)
-    return spark.read.format("numbered_lines").option("rows", 100).load()
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    lines = spark.read.format("numbered_lines").option("rows", customers.count()).load()
+    return lines.join(customers, F.col("id") == F.col("c_custkey")).select("id", F.concat_ws(" ", "text", "c_name").alias("text"))
 
 
-@query("udf_06_config_tables", "SELECT 'gdpr' AS pack, 10::BIGINT AS n UNION ALL SELECT 'kvkk', 6")
+@query("udf_06_config_tables", "SELECT n_nationkey, CAST(CASE n_regionkey WHEN 0 THEN 10 WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS n FROM nation")
 def udf_06(spark, d):
+    """Rules as a table, and the nations' choice of them as another."""
     from ..operators import rules
 
-    rows = [(r.pack, r.name, r.entity_type, r.pattern, r.score) for p in ("gdpr", "kvkk") for r in rules.PACKS[p]]
-    return spark.createDataFrame(rows, "pack string, name string, entity_type string, pattern string, score double").groupBy("pack").agg(F.count("*").alias("n"))
+    chosen = ("gdpr", "kvkk", "hipaa", "lgpd", "ccpa")
+    rows = [(r.pack, r.name, r.entity_type, r.pattern, r.score) for p in chosen for r in rules.PACKS[p]]
+    table_of = spark.createDataFrame(rows, "pack string, name string, entity_type string, pattern string, score double")
+    wanted = table(spark, d, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(p) for p in chosen]), (F.col("n_regionkey") + 1).cast("int")).alias("pack"))
+    return wanted.join(table_of, "pack").groupBy("n_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("udf_07_third_party_pack", "SELECT doc_id FROM documents WHERE source = 'src3'")
