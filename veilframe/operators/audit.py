@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import find_all
+from .scan import plain_spans
 
 #: Plain patterns that Java and other engines read alike, by entity type.
 PLAIN = {
@@ -17,13 +17,8 @@ PLAIN = {
 
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, entity_type, start, end, value) of the plain patterns, in one pass of JVM expressions."""
-    typed = F.concat(*[F.transform(find_all(F.col(text_col), p), _typed(kind)) for kind, p in PLAIN.items()])
-    return docs.select(id_col, F.explode(typed).alias("s")).select(id_col, "s.*")
-
-
-def _typed(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    """(id, entity_type, start, end, value) of the plain patterns, in one pass."""
+    return plain_spans(docs, PLAIN, id_col, text_col)
 
 
 def filtered(events: DataFrame, event_type: str | None = None, user: int | None = None, since=None, until=None) -> DataFrame:
