@@ -347,3 +347,67 @@ def test_structured_chunks(spark, sf, docs):
         want += [(i, n, title, p) for n, (title, p) in enumerate(parts)]
     got = QUERIES["fn_25_structured_chunks"](spark, sf).select("doc_id", "index", "title", "text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", [f"det_{i:02d}" for i in range(1, 18)])
+def test_built_in_rules(spark, sf, name):
+    """Each built-in rule over the documents and a line that it is to find something in."""
+    from veilframe.plans import detection
+
+    (query, wanted), *_ = [(q, n) for q, n in detection._BASELINE.items() if q.startswith(name)]
+    policy = rules.Policy((), (), tuple(r for r in rules.BASELINE if r.name in wanted))
+    got = QUERIES[query](spark, sf).select("id", "start", "end", "entity_type", "score").collect()
+    texts = {r["doc_id"]: unicodedata.normalize("NFC", r["text"]) for r in detection._probed(spark, sf).collect()}
+    assert sorted(map(tuple, got)) == sorted((i, *f) for i, t in texts.items() for f in plain_find(t, policy)) and len(got) >= len(texts)
+
+
+def test_context_rules(spark, sf):
+    got = QUERIES["pack_01_gdpr_context_rules"](spark, sf).collect()
+    policy = rules.Policy((), (), tuple(r for r in rules.PACKS["gdpr"] if r.group))
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["entity_type"], r["score"]))
+    for k, spans in of.items():
+        n = k % 90 + 10
+        line = f"Personalausweis Nr. T220001{n}; Steuer-ID 77 523 164 8{n}; RV-Nr 65 170839 J 0{n}; DNI 123456{n}Z; NIE X12345{n}L; Seguridad Social 28 12 345678 {n}; NIR 1 85 05 78 006 084 {n}; SIREN 834 291 0{n}"
+        assert sorted(spans) == sorted(plain_find(line, policy)) and len(spans) == 8
+    assert len(of) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_known_values_in_documents(spark, sf, docs, sanitised):
+    import hashlib
+
+    want = {}
+    for i, t, _ in docs:
+        known = sanitised[i][2].entries
+        if sanitised[i][1]:
+            for original, _, _, p in sorted(known, key=lambda e: -len(e[0])):
+                t = t.replace(original, p)
+            want[i] = hashlib.md5(t.encode()).hexdigest()
+    assert {r["doc_id"]: r["h"] for r in QUERIES["fn_32_longest_first"](spark, sf).collect()} == want
+
+
+def test_packed_paragraphs(spark, sf, docs):
+    import hashlib
+
+    want = []
+    for i, t, _ in docs:
+        out = []
+        for p in (p.strip() for p in re.split(r"\n\s*\n", t.replace("\n", "\n\n"))):
+            if p and out and len(out[-1]) + len(p) + 2 <= 1200:
+                out[-1] += "\n\n" + p
+            elif p:
+                out.append(p)
+        want += [(i, n, hashlib.md5(p.encode()).hexdigest()) for n, p in enumerate(out)]
+    got = QUERIES["fn_26_packed_paragraphs"](spark, sf).select("doc_id", "i", "h").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_layers(spark, sf):
+    """With the built-in rules every planted value goes; packs alone miss the types that only those know."""
+    got = {r["layers"]: r for r in QUERIES["eval_04_layer_ablation"](spark, sf).collect()}
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert (got["packs_and_baseline"]["tp"], got["packs_and_baseline"]["fn"]) == (n, 0)
+    assert got["packs"]["tp"] + got["packs"]["fn"] == n and got["packs"]["fn"] > 0
+    strict = {r["entity_type"]: r["recall"] for r in QUERIES["eval_01_strict_spans"](spark, sf).collect()}
+    assert len(strict) >= 20 and sum(v == 1.0 for v in strict.values()) >= 13, strict

@@ -30,7 +30,7 @@ def spans_sql(source: str, pattern: str, where: str = "true") -> str:
     SELECT id, "start", "end", value FROM m WHERE {where}"""
 
 
-def _probe(spark, d, names: tuple[str, ...]):
+def _probed(spark, d):
     """documents beside a line made from the row, which gives every rule something to find."""
     k = F.col("doc_id")
     made = F.format_string(
@@ -38,7 +38,11 @@ def _probe(spark, d, names: tuple[str, ...]):
         "cookie=123e4567-e89b-12d3-a456-426614174000 IMEI: 3569380356438%02d SSN 078-05-11%02d cpf 529.982.247-%02d passport P12345%02d driver's license D12345%02d tax id 12-34567%02d plate no 34 ABC %02d see https://ex.example.com/a/%02d, or not",
         (k % 90 + 10), k, (k % 90 + 10), (k % 200), (k % 9000 + 1000), (k % 8000 + 1000), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10), (k % 90 + 10),
     )
-    t = docs(spark, d).select("doc_id", F.concat("text", F.lit("\n"), made).alias("text"))
+    return docs(spark, d).select("doc_id", F.concat("text", F.lit("\n"), made).alias("text"))
+
+
+def _probe(spark, d, names: tuple[str, ...]):
+    t = _probed(spark, d)
     found = scan.scan(t, [r for r in rules.BASELINE if r.name in names])
     return found.select(F.col("doc_id").alias("id"), "start", "end", "value", "entity_type", "score")
 
@@ -220,6 +224,37 @@ def pack_01_context(spark, d):
     return scan.scan(t, [r for r in rules.PACKS["gdpr"] if r.group]).select("doc_id", "start", "end", "entity_type", "score", "value")
 
 
+#: What stands before a value, the value, and what each rule of the pack is to make of it: type and score. Near misses give nothing.
+_CASES = {
+    "pack_01_gdpr": [
+        ("", "a.b@host.example.org", [("EMAIL_ADDRESS", 0.8)]), ("", "10.20.30.40", [("IP_ADDRESS", 0.8)]), ("", "10.20.30.400", []), ("Personalausweis Nr. ", "T22000129", [("NATIONAL_ID", 0.75)]), ("Personal ", "T22000129", []),
+        ("Steuer-ID ", "77 523 164 817", [("TAX_ID", 0.8)]), ("RV-Nr ", "65 170839 J 012", [("NATIONAL_ID", 0.8)]), ("DNI ", "12345678Z", [("NATIONAL_ID", 0.8)]), ("DNI ", "1234567Z", []), ("NIE ", "X1234567L", [("NATIONAL_ID", 0.8)]),
+        ("NIE ", "A1234567L", []), ("Seguridad Social ", "28 12 345678 40", [("SOCIAL_SECURITY_NUMBER", 0.8)]), ("NIR ", "1 85 05 78 006 084 36", [("SOCIAL_SECURITY_NUMBER", 0.85)]), ("SIREN ", "834 291 012", [("TAX_ID", 0.75)]), ("SIRE ", "834 291 012", []),
+    ],
+    "pack_02_kvkk": [
+        ("", "10000000146", [("NATIONAL_ID", 1.0)]), ("", "10000000147", [("NATIONAL_ID", 0.55)]), ("", "00000000146", []), ("TCKN ", "10000000146", [("NATIONAL_ID", 1.0), ("NATIONAL_ID", 1.0)]), ("Kimlik No ", "10000000146", [("NATIONAL_ID", 1.0)] * 3),
+        ("passport ", "123456789", [("NATIONAL_ID", 0.5)]), ("passing ", "123456789", []), ("VKN ", "1234567890", [("TAX_ID", 0.6)]), ("VK ", "1234567890", []), ("Müşteri No: ", "AB-2024-00123", [("CUSTOMER_REFERENCE_ID", 0.75)]), ("Müşteri No: ", "AB-1", []), ("", "a@b.example.org", [("EMAIL_ADDRESS", 0.8)]),
+    ],
+    "pack_03_hipaa": [("", "MRN-12345678", [("MEDICAL_RECORD_NUMBER", 0.8)]), ("", "MRN-12345", []), ("", "AB123456", [("HEALTH_INSURANCE_ID", 0.75)]), ("", "AB12345", []), ("", "ABC123456", []), ("", "a@b.example.org", [("EMAIL_ADDRESS", 0.8)])],
+    "pack_04_lgpd": [("", "11.222.333/0001-81", [("TAX_ID", 0.6)]), ("", "11.222.333/0001-8", []), ("RG ", "12.345.678-9", [("NATIONAL_ID", 0.8)]), ("RH ", "12.345.678-9", []), ("", "a@b.example.org", [("EMAIL_ADDRESS", 0.8)])],
+    "pack_14_dpdp": [("", "2341 2341 2346", [("NATIONAL_ID", 1.0)]), ("", "2341 2341 2347", [("NATIONAL_ID", 0.55)]), ("", "1341 2341 2346", []), ("", "a@b.example.org", [("EMAIL_ADDRESS", 0.8)])],
+    "pack_17_australia_pa": [("", "123 456 782", [("TAX_ID", 0.55)]), ("", "123 456 7", []), ("", "2123 45670 1", [("HEALTH_INSURANCE_ID", 0.6)]), ("", "2123 4567 1", []), ("", "a@b.example.org", [("EMAIL_ADDRESS", 0.8)])],
+}
+
+for _name, _cases in _CASES.items():
+
+    def _run_cases(spark, d, _pack=_name[8:], _cases=_cases):
+        said = F.element_at(F.array(*[F.lit(a + v) for a, v, _ in _cases]), (F.col("doc_id") % len(_cases) + 1).cast("int"))
+        t = docs(spark, d).select("doc_id", F.concat("source", F.lit(" "), said, F.lit(" .")).alias("text"))
+        return scan.scan(t, rules.PACKS[_pack]).select("doc_id", "start", "end", "entity_type", "score", "value")
+
+    QUERIES[f"{_name}_every_rule"] = _run_cases
+    _found = ", ".join(f"({i}, '{a}', '{v}', '{t}', {x}::DOUBLE)" for i, (a, v, hits) in enumerate(_cases) for t, x in hits)
+    ORACLE_SQL[f"{_name}_every_rule"] = (
+        f"SELECT doc_id, CAST(length(source) + 1 + length(a) AS INTEGER) AS \"start\", CAST(length(source) + 1 + length(a) + length(v) AS INTEGER) AS \"end\", t AS entity_type, x AS score, v AS value FROM documents JOIN (VALUES {_found}) c(i, a, v, t, x) ON c.i = doc_id % {len(_cases)}"
+    )
+
+
 CUSTOM = (
     rules.Custom("codes", "PROJECT_CODE", "regex", pattern=r"src[0-9]+"), rules.Custom("words", "TEAM_NAME", "keyword_list", keywords=("src3", "src7")), rules.Custom("broken", "X", "regex", pattern="([a"), rules.Custom("off", "Y", "regex", pattern="src", active=False),
 )
