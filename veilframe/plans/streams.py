@@ -255,6 +255,25 @@ def str_10_user(spark, d):
     return state.breaker_states(e, "user_id", "ts", F.col("event_type") == "error", **_RARE).select("user_id", F.col("tie").alias("event_id"), "state", "allowed")
 
 
+@query("jn_13_live_replies", "SELECT event_id AS id, CASE WHEN event_id % 3 <> 0 AND event_id % 100 <= 60 THEN event_id % 100 END AS seconds, CASE WHEN event_id % 3 <> 0 AND event_id % 100 <= 60 THEN 'answer ' || user_id END AS text FROM events WHERE event_type = 'click'")
+def jn_13_live(spark, d):
+    """Requests and replies on one stream, in four parts: a reply within 60 seconds, or none once the watermark has passed. A third are never answered, others too late."""
+    e = cut(stamped(spark, d).where("event_type = 'click'"))
+    ask = e.select("ts", F.lit("request").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.lit(None).cast("string").alias("text"))
+    answer = e.where("event_id % 3 <> 0").select("ts", F.lit("reply").alias("kind"), F.col("event_id").alias("id"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 100)).alias("at"), F.concat(F.lit("answer "), F.col("user_id").cast("string")).alias("text"))
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("at")).select(F.explode(F.array(F.lit("request"), F.lit("reply"))).alias("kind"), F.lit(-1).cast("long").alias("id"), "at", F.lit(None).cast("string").alias("text"))
+    rows = ask.unionByName(answer)
+    turns = [lambda _, p=p: rows.where(p).drop("ts") for p in _PARTS] + [lambda _: last]
+
+    def joined(s):
+        asked = s.where("kind = 'request'").select(F.col("id").alias("correlation_id"), F.col("at").alias("sent"))
+        replied = s.where("kind = 'reply'").select(F.col("id").alias("correlation_id"), F.col("at").alias("replied"), "text")
+        return queue.correlate(asked, replied)
+
+    found = queue.in_turns(spark, turns, "kind string, id long, at timestamp, text string", joined).where("id >= 0")
+    return found.select("id", F.floor((F.unix_micros("replied") - F.unix_micros("sent")) / 1_000_000).alias("seconds"), "text")
+
+
 @query("str_10_breaker_states", _breaker_sql("'p' || user_id % 5", 3, 120, 60) + "SELECT k AS provider, us / 1e6 AS t, event_id AS tie, state, allowed FROM b WHERE i > 0")
 def str_10(spark, d):
     e = stamped(spark, d).withColumn("provider", F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string"))).withColumn("tie", F.col("event_id"))
