@@ -59,7 +59,8 @@ def pairs(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def touched(index: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_a, doc_b, units, n): the pairs with at least one document among ids, weights in millionths. Only values of those documents are looked at; one
+    """(doc_a, doc_b, units, n): the pairs with at least one document among ids, weights in millionths. Only values of those documents are
+    looked at; one
     held by many documents is dealt out by salts."""
     keyed = index.select(F.col(id_col).alias("d"), "entity_type", "value_hash").distinct()
     mine = cut(keyed.join(ids.select(F.col(id_col).alias("d")).distinct(), "d", "left_semi").withColumnRenamed("d", "m"))
@@ -75,7 +76,8 @@ def touched(index: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def maintain(relations: DataFrame, index: DataFrame, fresh: DataFrame, id_col: str = "doc_id", ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(relations, index) after all rows of some documents (those of ``fresh``, or ``ids``) are replaced by ``fresh``, relations being those of ``pairs``: what the documents had
+    """(relations, index) after all rows of some documents (those of ``fresh``, or ``ids``) are replaced by ``fresh``, relations being
+    those of ``pairs``: what the documents had
     added to any pair is taken away, what they add now is put in. Equal to a rebuild, at the cost of the values that these documents hold or held."""
     ids = (fresh if ids is None else ids).select(id_col).distinct()
     after = index.join(ids, id_col, "left_anti").unionByName(fresh)

@@ -64,8 +64,10 @@ def _apart(hits: Iterator[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def keyword_spans(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyword_col: str = "keyword") -> DataFrame:
-    """(id, start, end, value) of the keywords in each text: whole words, whatever their case, from left to right without overlap; of several at one place the first of
-    the sorted list. Keywords are distinct rows of a table, dealt into automata of at most LIST_MOST; with one the result needs no exchange, with more what they
+    """(id, start, end, value) of the keywords in each text: whole words, whatever their case, from left to right without overlap; of
+    several at one place the first of
+    the sorted list. Keywords are distinct rows of a table, dealt into automata of at most LIST_MOST; with one the result needs no
+    exchange, with more what they
     found is settled document by document in order, so that no document gathers in memory. Null texts and empty keywords give nothing."""
     kind = docs.schema[id_col].dataType.simpleString()
     listed = keywords.select(F.lower(keyword_col).alias("w")).where("w <> ''").distinct()

@@ -37,7 +37,8 @@ def bodies(records: DataFrame, seq_col: str = "seq") -> DataFrame:
 
 
 def append(rows: DataFrame, last: str = GENESIS, heads: DataFrame | None = None) -> DataFrame:
-    """(ledger, seq, body, prev_hash, hash): every ledger chained in order of seq, from its hash in ``heads`` (ledger, hash; one row each) or from ``last``. A chain is
+    """(ledger, seq, body, prev_hash, hash): every ledger chained in order of seq, from its hash in ``heads`` (ledger, hash; one row each)
+    or from ``last``. A chain is
     sequential by nature; ledgers are the unit of distribution, so a busy source should be split into several. Rows are dealt out by ledger and
     sorted, and a batch takes no more than the hash before it."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

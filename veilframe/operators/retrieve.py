@@ -53,7 +53,8 @@ def _share(tf: Column, length: Column, mean: float) -> Column:
 
 
 def build_words(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> WordIndex:
-    """The inverted index of chunks, written to ``folder`` or to a table that goes with the session. Chunks are dealt into zones by a hash of their id, so a
+    """The inverted index of chunks, written to ``folder`` or to a table that goes with the session. Chunks are dealt into zones by a hash
+    of their id, so a
     word that stands in every chunk is split like any other. Blocks are sorted by word, and a scan for a few words skips the pages of all others.
     Negative idf becomes EPSILON times the mean idf. An id should stand for one chunk."""
     from .lineage import cut
@@ -91,7 +92,8 @@ def _scored(index: WordIndex, blocks: DataFrame, zones: DataFrame, asked: DataFr
 
 
 def zones_to_score(index: WordIndex, asked: DataFrame, blocks: DataFrame, k: int, digits: int) -> tuple[DataFrame, DataFrame]:
-    """(first, rest): what the chunks of a few zones of each query score, and the other zones (q, zone) that may hold one of its k best. A zone's bound is the sum over the
+    """(first, rest): what the chunks of a few zones of each query score, and the other zones (q, zone) that may hold one of its k best. A
+    zone's bound is the sum over the
     query's words of the most that each can add there; where it is below the k-th score already found, the zone is not opened."""
     from .lineage import cut, join_small
 

@@ -156,7 +156,8 @@ def find_all(text: Column, pattern: str) -> Column:
 
 
 def plain_spans(docs: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, entity_type, start, end, value): all matches of a few plain patterns by type, in code points, in time linear in the matches. Only texts that may match
+    """(id, entity_type, start, end, value): all matches of a few plain patterns by type, in code points, in time linear in the matches.
+    Only texts that may match
     one reach Python, and there only the patterns that may. Null texts have none."""
     kind = docs.schema[id_col].dataType.simpleString()
     marks = F.lit(False)

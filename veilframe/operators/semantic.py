@@ -66,7 +66,8 @@ def split_text(text: str, embed: Embed, percentile: float = PERCENTILE) -> list[
 
 
 def split_by_meaning(docs: DataFrame, embed: Embed | None, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, percentile: float = PERCENTILE) -> DataFrame:
-    """(id, index, text): parts of at least ``least`` signs without white space around them, the text itself where none is left. Without a model, and for texts on
+    """(id, index, text): parts of at least ``least`` signs without white space around them, the text itself where none is left. Without a
+    model, and for texts on
     which it fails, paragraphs are packed instead. Each text is split by itself, so nothing is exchanged. Null and blank texts give nothing."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
@@ -125,7 +126,8 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
 
 def guess_language(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "en") -> DataFrame:
-    """(id, lang): the language under which a text's sequences are likeliest, ties to the first by name; ``fallback`` where none of them is known. Sequences meet the profile
+    """(id, lang): the language under which a text's sequences are likeliest, ties to the first by name; ``fallback`` where none of them is
+    known. Sequences meet the profile
     where they are made and are summed before anything is dealt out: a row for each text and language."""
     from .lineage import cut, join_small
 

@@ -257,7 +257,8 @@ def str_10_user(spark, d):
 
 @query("jn_13_live_replies", "SELECT event_id AS id, CASE WHEN event_id % 3 <> 0 AND event_id % 100 <= 60 THEN event_id % 100 END AS seconds, CASE WHEN event_id % 3 <> 0 AND event_id % 100 <= 60 THEN 'answer ' || user_id END AS text FROM events WHERE event_type = 'click'")
 def jn_13_live(spark, d):
-    """Requests and replies on one stream, in four parts: a reply within 60 seconds, or none once the watermark has passed. A third are never answered, others too late."""
+    """Requests and replies on one stream, in four parts: a reply within 60 seconds, or none once the watermark has passed. A third are
+    never answered, others too late."""
     e = cut(stamped(spark, d).where("event_type = 'click'"))
     ask = e.select("ts", F.lit("request").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.lit(None).cast("string").alias("text"))
     answer = e.where("event_id % 3 <> 0").select("ts", F.lit("reply").alias("kind"), F.col("event_id").alias("id"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 100)).alias("at"), F.concat(F.lit("answer "), F.col("user_id").cast("string")).alias("text"))

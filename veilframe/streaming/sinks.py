@@ -11,7 +11,8 @@ from .queue import new_folder, run_available
 
 
 def append_chained(batch: DataFrame, store: str, number: int) -> None:
-    """Appends rows (ledger, seq, ...) of a batch to a chained ledger at ``store``. Beside the rows of each batch stands a table of heads, the last hash of every
+    """Appends rows (ledger, seq, ...) of a batch to a chained ledger at ``store``. Beside the rows of each batch stands a table of heads,
+    the last hash of every
     ledger after it: a batch reads the heads of the one before, never its rows. A batch given again starts from the same heads and replaces itself."""
     spark = batch.sparkSession
     before = spark.read.parquet(f"{store}/heads/batch={number - 1}") if number else None

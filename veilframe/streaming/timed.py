@@ -157,8 +157,10 @@ def _timed(stream: DataFrame, time: str, key: Column, names: list[str], late: st
 
 
 def consumer_group(operations: DataFrame, shard: str = "shard", idle_ms: int = IDLE_MS, late: str = "0 seconds") -> DataFrame:
-    """A stream of (shard, kind, entry, consumer, us, deliveries) from a stream of (shard, kind, entry, consumer, at, seq): kind ``add`` puts an entry in, ``poll``
-    asks for up to ``entry`` new and as many idle ones, ``ack`` ends one. seq orders rows of one time. What comes out is ``delivered``, ``reclaimed``, ``acknowledged``
+    """A stream of (shard, kind, entry, consumer, us, deliveries) from a stream of (shard, kind, entry, consumer, at, seq): kind ``add``
+    puts an entry in, ``poll``
+    asks for up to ``entry`` new and as many idle ones, ``ack`` ends one. seq orders rows of one time. What comes out is ``delivered``,
+    ``reclaimed``, ``acknowledged``
     or, without any row coming in, ``idle``. Shards are the unit of distribution."""
     use_store(operations.sparkSession)
     keyed = _timed(operations, "at", F.col(shard), ["kind", "entry", "consumer", "seq"], late)
@@ -218,7 +220,8 @@ class ApprovalGate(StatefulProcessor):
 
 
 def approval_gate(stream: DataFrame, seconds: int = APPROVAL_SECONDS, late: str = "0 seconds") -> DataFrame:
-    """A stream of (request_id, owner, decision, reason) from a stream of (kind, request_id, owner, at, approved): kind ``ask`` opens a request, ``answer`` decides it;
+    """A stream of (request_id, owner, decision, reason) from a stream of (kind, request_id, owner, at, approved): kind ``ask`` opens a
+    request, ``answer`` decides it;
     an answer without request_id decides all that its owner has open. Owners are the unit of distribution. The batch form is ``state.approvals``."""
     use_store(stream.sparkSession)
     order = F.when(F.col("kind") == "ask", 0).otherwise(1).alias("kind_order")
@@ -281,8 +284,10 @@ class Breaker(StatefulProcessor):
 
 
 def breakers(calls: DataFrame, key: str, failures: int = FAILURES, window: int = FAILURE_WINDOW, cooldown: int = COOLDOWN, late: str = "0 seconds") -> DataFrame:
-    """A stream of (key, us, tie, state, allowed, kind) from a stream of (kind, key, at, tie, failed): each call with the state it leaves behind, as in
-    ``state.breaker_states``, and a row of kind ``cooled`` when an open breaker would let a probe through, though no call has come. Providers are the unit of distribution."""
+    """A stream of (key, us, tie, state, allowed, kind) from a stream of (kind, key, at, tie, failed): each call with the state it leaves
+    behind, as in
+    ``state.breaker_states``, and a row of kind ``cooled`` when an open breaker would let a probe through, though no call has come.
+    Providers are the unit of distribution."""
     use_store(calls.sparkSession)
     keyed = _timed(calls, "at", F.col(key), ["tie", "failed"], late)
     return keyed.transformWithStateInPandas(Breaker(failures, window, cooldown), _CALL, "append", "EventTime")
