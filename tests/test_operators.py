@@ -39,11 +39,12 @@ def test_join_small_both_ways(spark, monkeypatch):
         assert sorted((r.id, r.v) for r in join_small(left, right, ["k"]).collect()) == [(1, 10), (2, 20)]
 
 
-def test_nearest_is_exact_with_ties(spark):
+def test_nearest_is_exact_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "TILE_QUERIES", 3)
     rng = random.Random(1)
     rows = [(i, [rng.choice((-1.0, 0.0, 1.0)) for _ in range(3)]) for i in range(200)] + [(900, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = retrieve.nearest(df, df.where("vec_id % 20 = 0"), 7, block=3).collect()
+    got = retrieve.nearest(df, df.where("vec_id % 20 = 0"), 7).collect()
 
     def unit(v):
         n = sum(x * x for x in v) ** 0.5

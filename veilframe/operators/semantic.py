@@ -100,9 +100,11 @@ _MICRO = 1_000_000
 
 
 def grams(text: F.Column) -> F.Column:
-    """Sequences of three among letters in lower case and single spaces."""
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+    """Sequences of three among letters in lower case and single spaces. The text is cut into letters once."""
+    letters = F.split(F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" ")), "")
+    n = F.greatest(F.size(letters) - 2, F.lit(1))
+    two = F.zip_with(F.slice(letters, 1, n), F.slice(letters, 2, n), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.slice(F.zip_with(two, F.slice(letters, 3, n), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), 1, n)
 
 
 def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", keep: int = PROFILE_GRAMS) -> DataFrame:
