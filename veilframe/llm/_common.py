@@ -31,6 +31,14 @@ def bounded_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, seed
     return df.withColumn("_u", draw(seed, F.col(key))).where(F.col("_u") < rate)
 
 
+def one_text_each(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The picked ids with one text each, that of least hash: what is learned from is bounded by the ids, however often the
+    table repeats them. picked, a bounded sample: _id and more. Repeats are combined before they are dealt out."""
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    more = [c for c in picked.columns if c != "_id"]
+    return found.groupBy("_id", *more).agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+
+
 #: Rows that cross to Python at once; long texts make large batches.
 BATCH_ROWS = 1000
 

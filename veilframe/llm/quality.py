@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from ._common import bounded_batches, bounded_sample, crc_mod
+from ._common import bounded_batches, bounded_sample, crc_mod, one_text_each
 from ._words import U64, as_strings, mix, slices, split
 
 ORDERS = (3, 5)
@@ -104,12 +104,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held_out``, ``rows_per_class``
     of each class at most (drawn by hash). A row's n-grams are counted on the executors, over its whole text; the
     driver gets the counts of ``buckets_per_row`` buckets for a row at most, of a longer text those of least hash, which
-    differ from row to row: 8 bytes each, 0.23 GB in all if every row is that long. An id labelled more than once counts by its largest label."""
+    differ from row to row: 8 bytes each, 0.23 GB in all if every row is that long. An id labelled more than once counts by its
+    largest label, and of rows that repeat an id the text of least hash is learned. Ids may be of any type that can be joined."""
     bounded_batches(docs)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where((crc_mod(F.col("_id"), mod) != held_out) & F.col("_y").isin(0, 1))
     picked = bounded_sample(known, "_y", "_id", rows_per_class, seed).groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = one_text_each(docs, picked, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 packed = [pa.array([p[k] for p in parts], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), *packed], names=["id", "y", "ids", "counts"])
 
-    got = rows.select("_id", "_y", "_text").mapInArrow(count, "id long, y int, ids binary, counts binary").collect()
+    rows = rows.select("_id", "_y", "_text")
+    schema = StructType([StructField("id", rows.schema["_id"].dataType), StructField("y", IntegerType()), StructField("ids", BinaryType()), StructField("counts", BinaryType())])
+    got = rows.mapInArrow(count, schema).collect()
     got.sort(key=lambda r: (r.id, r.ids))
     examples = []
     for r in got:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ._common import bounded_batches, bounded_sample, crc_mod
+from ._common import bounded_batches, bounded_sample, crc_mod, one_text_each
 from ._words import as_strings
 
 #: Words of insult and of address.
@@ -249,12 +250,13 @@ def terms(text: str) -> set[tuple[str, str]]:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", mod: int = 5, held_out: int = 0, rows_per_class: int = 3000, seed: int = 10) -> ToxicityModel:
     """Learns from labelled rows whose crc32(id) mod ``mod`` is not ``held_out``, at most ``rows_per_class``
     of each class (drawn by hash). The lexicon comes from one half of them, the trees from the other, so that
-    lexicon features are as good in training as on new texts. An id labelled more than once counts by its largest label."""
+    lexicon features are as good in training as on new texts. An id labelled more than once counts by its
+    largest label, and of rows that repeat an id the text of least hash is learned. Ids may be of any type that can be joined."""
     bounded_batches(docs)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where((crc_mod(F.col("_id"), mod) != held_out) & F.col("_y").isin(0, 1))
     picked = bounded_sample(known, "_y", "_id", rows_per_class, seed).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_u").alias("_u"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = one_text_each(docs, picked, id_col, text_col)
     rows = rows.withColumn("_half", F.pmod(F.xxhash64(F.lit(seed + 1), "_id"), F.lit(2))).select("_id", "_y", "_half", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             x = [features(t, lexicon, known) for t in as_strings(batch.column(3)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    got = rows.where("_half = 1").mapInArrow(dense, "id long, y int, x array<double>").collect()
+    schema = StructType([StructField("id", rows.schema["_id"].dataType), StructField("y", IntegerType()), StructField("x", ArrayType(DoubleType()))])
+    got = rows.where("_half = 1").mapInArrow(dense, schema).collect()
     got.sort(key=lambda r: (r.id, r.x))
     return ToxicityModel(lexicon, boost(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got])))
