@@ -179,14 +179,17 @@ def mix(docs: DataFrame, key_cols: list[str], weights: tuple[float, ...] = (1, 2
     return result
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: every row of docs as many times as it is taken, with ``copy_no`` from 1."""
     names = [c for c in docs.columns if c != "copy_no"]
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\x00"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
-    keyed = docs.select(*names, key.alias("_k"))
-    taken = mix(keyed, ["_k"], text_col=text_col, **options)
-    # rows alike in id and text share a key: the n-th of them gets the n-th decision
-    lists = taken.groupBy(F.col("key._k").alias("_k")).agg(F.sort_array(F.collect_list("copies")).alias("_copies")).where(F.array_max("_copies") > 0)
-    nth = F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0)))
-    joined = keyed.join(lists, "_k").withColumn("_n", nth).withColumn("_c", F.element_at("_copies", F.col("_n")))
-    return joined.where("_c > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("copy_no"))
+    parts = [part for c in (id_col, source_col, text_col) for part in (F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    key = F.md5(F.concat_ws("\x00", *parts).cast("binary"))
+    tie = F.xxhash64(*[c for c in names if "map<" not in docs.schema[c].dataType.simpleString()])
+    # the row travels as a whole, so that no name of its own can clash
+    keyed = docs.select(key.alias("k"), tie.alias("tie"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.struct(*names).alias("row"))
+    taken = mix(keyed, ["k"], text_col="text", source_col="source", **options)
+    # rows alike in id, source and text share a key: the n-th of them, by all columns, gets the n-th decision
+    lists = taken.groupBy(F.col("key.k").alias("k")).agg(F.sort_array(F.collect_list("copies")).alias("copies")).where(F.array_max("copies") > 0)
+    nth = F.row_number().over(Window.partitionBy("k").orderBy("tie"))
+    joined = keyed.select("k", "tie", "row").join(lists, "k").withColumn("n", nth).select("row", F.element_at("copies", F.col("n")).alias("c"))
+    return joined.where("c > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("copy_no"))
