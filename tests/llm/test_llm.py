@@ -314,6 +314,19 @@ def test_mixture_odd(odd):
     assert set(odd.columns) < set(out.columns) and out.where("copy_no > 3").count() == 0
 
 
+def test_mixture_keeps_rows_apart(spark):
+    # alike in id and text, of two sources; names that the operator itself might use
+    docs = [(1, "a b c", "s", i) for i in range(4)] + [(1, "a b c", "t", i) for i in range(4)] + [(None, "a b c", None, 9), (1, None, "s", 9), (1, "", "s", 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, _k int").withColumns({"k": F.lit("x"), "tie": F.lit(2), "row": F.col("_k"), "n": F.lit(1), "c": F.lit(7), "_n": F.lit(1), "_c": F.lit(9), "copies": F.lit(0)})
+    out = mixing.apply(df).collect()
+    taken = {s: sum(1 for r in out if r.source == s) * 3 for s in ("s", "t", None)}
+    want = {r.key.i: r for r in mixing.mix(df.withColumn("i", F.col("_k")), ["i"]).collect()}
+    assert sum(taken.values()) > 0 and all(r.copy_no <= 3 and (r.k, r.tie, r.n, r.c, r.copies) == ("x", 2, 1, 7, 0) for r in out) and want
+    targets = {r.source: r.target for r in mixing.mix(df, ["doc_id"]).select("source", "target").distinct().collect()}
+    assert all(abs(taken[s] - targets[s]) <= 3 for s in taken)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.apply(df.repartition(3)).collect()))
+
+
 # --- 4, 7, 10 --------------------------------------------------------------------------------------
 
 
@@ -366,6 +379,45 @@ def test_language(spark):
     assert accuracy([(got[i].lang_pred, lang[i]) for i in got if got[i].held_out]) > 0.95
 
 
+def test_language_rejects_what_has_none(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = documents(spark, sf)
+    model = language.fit(docs)
+    rng = random.Random(7)
+    for size in (100, 150, 300, 600, 1000):
+        noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz" + " " * (k % 2 * 5), k=size)) for k in range(100)]
+        margins = [model.classify(t.encode())[1] for t in noise]
+        assert sum(m < model.narrow_below(size) for m in margins) >= 95, size
+    found = language.identify(docs, model).where("text is not null").collect()
+    right = [r for r in found if r.lang == r.lang_pred and r.lang is not None]
+    assert sum(r.rejected for r in right) <= 0.01 * len(right)
+
+
+def test_language_ties(spark):
+    # two languages with the same texts: the one with more rows wins, the margin is 0 and the row is rejected
+    docs = [(i, f"the same words stand here {i // 3}", "xa" if i % 3 else "xb") for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.fit(df, held_out_mod=10**6)
+    assert model.langs == ["xa", "xb"]
+    model.dictionaries[1] = model.dictionaries[0]
+    got = language.identify(df, model).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in got} == {("xa", 0.0, True)}
+    empty = language.fit(df.limit(0))
+    assert empty.langs == [] and {(r.lang_pred, r.rejected) for r in language.identify(df, empty).collect()} == {("und", True)}
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_models_take_ids_of_any_type(spark, kind):
+    docs = [(n, ("good fine kind " if n % 2 else "bad vile cruel ") * 5 + str(n)) for n in range(200)]
+    df = spark.createDataFrame(docs + docs[:20] * 3, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    labels = spark.createDataFrame([(n, n % 2, 1 - n % 2) for n, _ in docs], "doc_id long, quality int, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    for fit in (quality.fit, toxicity.fit):
+        got = quality.score(df, fit(df, labels)).collect()
+        assert len(got) == 260 and all(0 <= r.score <= 1 for r in got)
+    good = {int(r.doc_id) % 2: r.score for r in quality.score(df, quality.fit(df, labels)).collect()}
+    assert good[1] > 0.5 > good[0]
+
+
 def test_models_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (8, 1, 0), (None, 0, 0), (6, None, None)], "doc_id long, quality int, toxic int")
     for fit in (quality.fit, toxicity.fit):
@@ -461,6 +513,13 @@ def test_substring_odd(odd):
     assert substring.strip(odd.limit(0)).count() == 0
 
 
+def test_substring_text_ids(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([("", words), ("b", words), (None, words), ("a", "x " + words)], "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in substring.strip(df).collect()}
+    assert got == {"": 0, "a": 40, "b": 40, None: 40}
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 

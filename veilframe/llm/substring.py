@@ -109,7 +109,7 @@ def first_texts(texts: DataFrame) -> DataFrame:
 
 def _ranks(keys: list) -> np.ndarray:
     """Places of keys in order, nulls last; equal keys share a place."""
-    order = sorted(set(keys), key=lambda k: tuple((x is None, x or 0) for x in k))
+    order = sorted(set(keys), key=lambda k: tuple((x is None, 0 if x is None else x) for x in k))
     place = {k: i for i, k in enumerate(order)}
     return np.array([place[k] for k in keys], np.int64)
 
