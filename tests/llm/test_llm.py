@@ -155,6 +155,38 @@ def test_decontamination_recall_by_rate_of_edits(spark, rate, least):
     assert got <= want and len(got) >= least * len(want) and len(want) > 250
 
 
+def test_decontamination_keeps_little_of_a_clean_corpus(spark):
+    rng = random.Random(5)
+    text = lambda lead, n: " ".join(f"{lead}{rng.randrange(10**9)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, text("d", 400)) for i in range(400)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, text("i", 45)) for i in range(5000)] + [(5000, text("j", 5000))], "item_id long, text string")
+    items = decontaminate._items(b, "item_id", "text", 5, 3, 25)
+    seeds = items.select(F.col("item_id").alias("item"), "m", F.when(F.size("words") > 59, 16384).otherwise(64).alias("reach"), F.explode("seeds").alias("seed"))
+    filters = decontaminate._filters(seeds)
+    assert [(f.reach, f.table.size * 8) for f in filters] == [(64, 1 << 24), (16384, 1 << 19)]
+    kept = decontaminate.passages(docs, filters).groupBy("reach").agg(F.sum(F.size("words")).alias("n")).collect()
+    assert {r.reach: r.n for r in kept}.get(64, 0) <= 0.03 * 160_000
+
+
+def test_decontamination_with_seeds_that_stand_everywhere(spark):
+    """Copies with a fifth of the words replaced, of items made half of a phrase that every document holds; and a very long item."""
+    rng = random.Random(9)
+    phrase = [f"p{k}" for k in range(20)]
+    items = [phrase + [f"i{i}w{k}" for k in range(20)] for i in range(60)] + [[f"long{k}" for k in range(3000)]]
+    docs, want = [], set()
+    for i in range(300):
+        body = [f"a{i}b{k}" for k in range(40)] + phrase + [f"c{i}d{k}" for k in range(40)]
+        if i < 61:
+            copy = [f"x{i}y{k}" if rng.random() < 0.1 and k >= 20 else w for k, w in enumerate(items[i])]
+            body[10:10] = copy
+            want.add((i, i))
+        docs.append((i, " ".join(body)))
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    # the phrase alone is half of an item and may score 0.5; what scores more is a copy
+    assert {k for k, s in got.items() if s > 0.55} == want
+
+
 def test_decontamination_exact_copies(spark, sf, rows):
     items = {r.item_id: re.sub(r"\s+", " ", r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in zip(rows.doc_id, rows.text, strict=True) for i, x in items.items() if x in re.sub(r"\s+", " ", t)}

@@ -2,7 +2,9 @@
 
 Seeds are runs of ``n`` words of the test items, of ``n_short`` words for items of fewer than ``short`` words, of which an edit
 leaves fewer runs whole. One pass over the texts tells their runs that may be
-seeds by a bit table of fixed size, and keeps the passages around them as word hashes. Everything else works
+seeds by bit tables sized by the number of seeds, and keeps the passages around them as word hashes. Items are classed by
+length, and a class has a table of its own: passages reach as far as its items may, so a long item does not widen those of the
+others. Everything else works
 on tables of passages and items: runs are joined with the seeds they equal, and in how many passages a seed occurs is counted over
 all texts. A seed is rare if few passages have it, measured against the item's own middling seed,
 so that a test item that has leaked into very many documents keeps its seeds while turns of phrase that occur
@@ -11,7 +13,9 @@ that no part of it goes without. A passage in which rare seeds of an item lie cl
 words (Smith and Waterman, linear gaps); the score is the alignment's share of the item's best possible one.
 
 The texts are read once and never shuffled, whatever the number of items; neither items nor seeds pass through the driver. What is
-shipped to the tasks is the bit table (``BITS`` bits); a bit that is set by chance costs a row, and changes nothing.
+shipped to the tasks are the bit tables: ``SEED_BITS`` bits for each seed, to the next power of two, ``MOST_BITS`` for a class of
+lengths at most (64 MB, reached at 8 million seeds; beyond that more runs pass). A run passes by chance if ``PROBES`` bits happen to be set, about 2 in 100,000;
+that costs a passage, and changes nothing.
 
 Words are runs of anything but ASCII blanks, lower-cased, without punctuation at their ends; items of
 fewer words than a seed have one seed, the whole item. Nulls, empty texts and items without a word never
@@ -23,6 +27,7 @@ Columns other than ids and texts are not read, so their names cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,16 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, join_small
 from ._common import bounded_batches
-from ._words import U64, Words, as_strings, ngrams, slices, split
+from ._words import U64, Words, as_strings, mix, ngrams, slices, split
 
 #: Signs that are no part of a word at its ends.
 _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b""".,;:!?"'()[]{}<>*&$%#|-""")] = True
-BITS = 1 << 24
+SEED_BITS = 64
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
+PROBES = 4
+#: Reach in words of the passages of the shortest class of items; each further class reaches four times as far.
+LEAST_REACH = 64
 
 
 def read(texts: pa.Array) -> Words:
@@ -103,18 +112,54 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, n: int, n_short: in
     return benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, words array<long>, seeds array<long>, m int")
 
 
-def _bit_table(seeds: DataFrame) -> np.ndarray:
-    """Which of BITS places a seed falls on; at most BITS / 64 words of it reach the driver."""
-    bit = seeds.select(F.pmod("seed", F.lit(BITS)).alias("bit"))
-    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
+def _place(seeds: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Where in a table of ``bits`` places, a power of two, a seed sets its bit number ``probe``."""
+    with np.errstate(over="ignore"):
+        return ((mix(seeds, 31) + U64(probe) * (mix(seeds, 32) | U64(1))) & U64(bits - 1)).astype(np.int64)
+
+
+@dataclass
+class Filter:
+    """Which runs may be seeds of the items of one class: of how many words, and how far the passages reach."""
+
+    table: np.ndarray
+    lengths: list[int]
+    reach: int
+
+    def passed(self, runs: np.ndarray) -> np.ndarray:
+        """Places of the runs all of whose bits are set; the first bit settles most."""
+        found, bits = np.arange(runs.size), self.table.size * 8
+        for probe in range(PROBES):
+            place = _place(runs[found], probe, bits)
+            found = found[(self.table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+        return found
+
+
+def _bit_table(seeds: DataFrame, n: int) -> np.ndarray:
+    """The bits of n seeds; at most MOST_BITS / 64 words of the table reach the driver."""
+    bits = min(max(LEAST_BITS, 1 << (SEED_BITS * n - 1).bit_length()), MOST_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_place(own, k, bits) for k in range(PROBES)]))], names=["bit"])
+
+    places = seeds.select("seed").mapInArrow(run, "bit long")
+    words = places.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-def passages(docs: DataFrame, table: np.ndarray, lengths: list[int], reach: int) -> DataFrame:
-    """(doc_id, first, words, at, seed): stretches of documents around runs that may be seeds, with ``reach`` words on both
-    sides; at: where the runs begin, counted from the document's first word, as first is. docs: id, text."""
+def _filters(seeds: DataFrame) -> list[Filter]:
+    """One for each class of items. seeds: item, seed, m, reach."""
+    classes = seeds.groupBy("reach").agg(F.count("*").alias("n"), F.collect_set("m").alias("m")).orderBy("reach").collect()
+    return [Filter(_bit_table(seeds.where(F.col("reach") == c.reach), c.n), sorted(c.m), c.reach) for c in classes]
+
+
+def passages(docs: DataFrame, filters: list[Filter]) -> DataFrame:
+    """(doc_id, first, words, at, seed, reach): for each filter, stretches of documents around runs that may be seeds, with ``reach`` words
+    on both sides; at: where the runs begin, counted from the document's first word, as first is. docs: id, text."""
     kind = docs.schema[docs.columns[0]].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,47 +167,53 @@ def passages(docs: DataFrame, table: np.ndarray, lengths: list[int], reach: int)
             column = as_strings(batch.column(1))
             for lo, hi in slices(column):
                 words = read(column.slice(lo, hi - lo))
-                at, seed = [], []
-                for m in lengths:
-                    grams = _grams(words.hash, m)
-                    place = (grams % U64(BITS)).astype(np.int64)
-                    hit = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                    hit = hit[words.doc[hit] == words.doc[hit + m - 1]]
-                    at.append(hit)
-                    seed.append(grams[hit])
-                at, seed = np.concatenate(at), np.concatenate(seed)
-                order = np.argsort(at, kind="stable")
-                at, seed = at[order], seed[order]
-                doc = words.doc[at]
-                opens = np.ones(at.size, bool)
-                opens[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * reach)
-                f = np.flatnonzero(opens)
-                until = np.append(f, at.size)[1:] if f.size else f
-                a = np.maximum(words.first[doc[f]], at[f] - reach)
-                b = np.minimum(words.first[doc[f] + 1], at[until - 1] + reach + 1)
-                span = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
-                inside = np.repeat(a - span[:-1], b - a) + np.arange(span[-1])
-                cuts = pa.array(np.append(f, at.size).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(lo + doc[f])), pa.array((a - words.first[doc[f]]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(span), pa.array(words.hash[inside].view(np.int64))),
-                        pa.ListArray.from_arrays(cuts, pa.array((at - words.first[doc]).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(seed.view(np.int64))),
-                    ],
-                    names=["doc_id", "first", "words", "at", "seed"],
-                )
-
-    return docs.mapInArrow(run, f"doc_id {kind}, first long, words array<long>, at array<int>, seed array<long>")
+                runs = {m: _grams(words.hash, m) for m in {m for f in filters for m in f.lengths}}
+                for one in filters:
+                    yield _cut_out(batch.column(0), lo, words, runs, one)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, first long, words array<long>, at array<int>, seed array<long>, reach int")
+
+
+def _cut_out(ids: pa.Array, lo: int, words: Words, runs: dict[int, np.ndarray], one: Filter) -> pa.RecordBatch:
+    """The passages that one filter finds in the words of a slice of texts, whose ids begin at ``lo``."""
+    at, seed = [], []
+    for m in one.lengths:
+        hit = one.passed(runs[m])
+        hit = hit[words.doc[hit] == words.doc[hit + m - 1]]
+        at.append(hit)
+        seed.append(runs[m][hit])
+    at, seed = np.concatenate(at), np.concatenate(seed)
+    order = np.argsort(at, kind="stable")
+    at, seed = at[order], seed[order]
+    doc = words.doc[at]
+    opens = np.ones(at.size, bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * one.reach)
+    f = np.flatnonzero(opens)
+    until = np.append(f, at.size)[1:] if f.size else f
+    a = np.maximum(words.first[doc[f]], at[f] - one.reach)
+    b = np.minimum(words.first[doc[f] + 1], at[until - 1] + one.reach + 1)
+    span = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+    inside = np.repeat(a - span[:-1], b - a) + np.arange(span[-1])
+    cuts = pa.array(np.append(f, at.size).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(lo + doc[f])), pa.array((a - words.first[doc[f]]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(span), pa.array(words.hash[inside].view(np.int64))),
+            pa.ListArray.from_arrays(cuts, pa.array((at - words.first[doc]).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(seed.view(np.int64))),
+            pa.array(np.full(f.size, one.reach, np.int32)),
+        ],
+        names=["doc_id", "first", "words", "at", "seed", "reach"],
+    )
 
 
 def _rare(seeds: DataFrame, frequency: DataFrame, n: int, least: int, factor: float, floor: int) -> DataFrame:
-    """The rare ones of seeds (item, seed, pos). frequency: (seed, n), in how many passages."""
-    told = seeds.join(frequency, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """The rare ones of seeds (item, seed, pos, reach). frequency: (seed, reach, n), in how many passages."""
+    told = seeds.join(frequency, ["seed", "reach"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     middling = told.groupBy("item").agg(F.percentile("n", 0.5).alias("middling"))
     rank = lambda *by: F.row_number().over(Window.partitionBy("item", *by).orderBy("n", "seed"))
     # seeds of one item are no more than its words
     ranked = told.withColumns({"rank": rank(), "part": F.floor(F.col("pos") / n)}).withColumn("in_part", rank("part")).join(middling, "item")
     rare = (F.col("n") <= F.greatest(F.lit(float(floor)), factor * F.col("middling"))) | (F.col("rank") <= least) | (F.col("in_part") == 1)
-    return ranked.where(rare & (F.col("n") > 0)).select("item", "seed")
+    return ranked.where(rare & (F.col("n") > 0)).select("item", "seed", "reach")
 
 
 def _align(found: DataFrame, n: int, min_score: float) -> DataFrame:
@@ -201,18 +252,20 @@ def find(
     bounded_batches(docs)
     items = cut(_items(benchmark, item_id_col, item_text_col, n, n_short, short).withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
     kinds = {"doc_id": docs.schema[id_col].dataType, "item_id": benchmark.schema[item_id_col].dataType}
-    longest = items.agg(F.max(F.size("words")).alias("words"), F.collect_set("m").alias("m")).first()
-    if longest.words is None:
+    if items.isEmpty():
         ddl = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items())
         return docs.sparkSession.createDataFrame([], f"{ddl}, score double, first_word long, end_word long, seeds long")
-    seeds = cut(items.select("item", F.posexplode("seeds").alias("pos", "seed")).groupBy("item", "seed").agg(F.min("pos").alias("pos")))
-    held = cut(passages(docs.select(id_col, text_col), _bit_table(seeds), sorted(longest.m), longest.words + n).withColumn("passage", F.xxhash64("doc_id", "first", "words")))
-    each = held.select("passage", F.explode(F.arrays_zip("at", "seed")).alias("hit")).select("passage", "hit.*")
-    wanted = seeds.select("seed").distinct()
+    times = F.greatest(F.ceil(F.log((F.size("words") + n) / LEAST_REACH) / F.log(F.lit(4.0))), F.lit(0))
+    reach = (LEAST_REACH * F.pow(F.lit(4.0), times)).cast("int")
+    seeds = items.select("item", "m", reach.alias("reach"), F.posexplode("seeds").alias("pos", "seed"))
+    seeds = cut(seeds.groupBy("item", "seed", "m", "reach").agg(F.min("pos").alias("pos")))
+    held = cut(passages(docs.select(id_col, text_col), _filters(seeds)).withColumn("passage", F.xxhash64("doc_id", "first", "words", "reach")))
+    each = held.select("passage", "reach", F.explode(F.arrays_zip("at", "seed")).alias("hit")).select("passage", "reach", "hit.*")
+    wanted = seeds.select("seed", "reach").distinct()
     # minima and counts are combined before they are dealt out, so that a seed which is everywhere is no burden
-    frequency = cut(held.select(F.explode(F.array_distinct("seed")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).join(wanted, "seed"))
+    frequency = cut(held.select("reach", F.explode(F.array_distinct("seed")).alias("seed")).groupBy("seed", "reach").agg(F.count("*").alias("n")).join(wanted, ["seed", "reach"]))
     rare = cut(_rare(seeds, frequency, n, least, factor, floor))
-    pairs = join_small(each, rare, ["seed"]).groupBy("passage", "item").agg(F.collect_set("at").alias("near"))
+    pairs = join_small(each, rare, ["seed", "reach"]).groupBy("passage", "item").agg(F.collect_set("at").alias("near"))
     found = held.select("passage", "doc_id", "first", "words").dropDuplicates(["passage"]).join(pairs, "passage")
     found = join_small(found, items.select("item", "item_id", F.col("words").alias("of")), ["item"])
     best = _align(found.select("doc_id", "item_id", "first", "words", "near", "of"), n, min_score)
