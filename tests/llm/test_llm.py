@@ -261,6 +261,41 @@ def test_secrets_not_of_the_generator(kind):
     assert whole >= 108 and hidden >= 108, (whole, hidden)
 
 
+def test_passwords_with_signs():
+    model, rng = pii.train(), random.Random(8)
+    part = lambda: "".join(rng.choices("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789", k=rng.randint(3, 6)))
+    done = 0
+    for n in range(200):
+        value = rng.choice("!#$&*~^%") .join(part() for _ in range(rng.randint(2, 3)))
+        lead, tail = rng.choice([("password=", " "), ("password: ", ", "), ('secret: "', '" '), ("passwd = ", ". "), ("token=", "\n")])
+        text = f"we set the {lead}{value}{tail}and went home {n % 7}"
+        at = text.index(value)
+        done += ("secret", at, at + len(value)) in pii.find(text, model)[1]
+    assert done >= 180, done
+    for text in ("see http://a.org/x?lang=en&page=2 for it", "the password is to be changed, all of it!", "ratio = a/b, sum: c+d"):
+        assert not [s for s in pii.find(text, model)[1] if s[0] == "secret"], text
+
+
+def test_long_base64_and_tokens_of_three_parts():
+    model, rng = pii.train(), random.Random(9)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    done = 0
+    for n in range(60):
+        value = "".join(rng.choices(signs + "+/", k=1024)) + "=" if n % 2 else ".".join("".join(rng.choices(signs + "-_", k=k)) + "x" for k in (36, 120, 42))
+        value = "q" + value
+        text = f"here is token={value} for you"
+        done += any(a <= 14 and b >= 14 + len(value) - 1 for k, a, b in pii.find(text, model)[1] if k == "secret")
+    assert done >= 54, done
+
+
+def test_values_in_linear_time():
+    import time
+
+    model, began = pii.train(examples=50, epochs=1), time.time()
+    pii.find("token=" * 20_000 + "password:x!y " * 2_000, model)
+    assert time.time() - began < 60
+
+
 def test_ordinary_words_are_no_secrets():
     model = pii.train()
     for text in ("The key: patience. A token of thanks; the password is wrong, see secret santa at 5.", "x = y and n=3, in 2019-04-05 at 10:30", "authors: Smith and 12 others", "monkey: banana, 4 keys to success", "keyboard=qwerty2"):

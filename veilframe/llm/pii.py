@@ -4,7 +4,8 @@ Base kinds (email, ip, card, phone) are found by fixed rules and always kept. Th
 looks at the neighbourhoods of digits, ``@``, ``=`` and words such as "password:": it scores candidate segments as wholes (digit
 grouping, checksum, shape, keyword before it, ...) for each kind, and a dynamic program over token
 positions picks the best non-overlapping set, so borders and kinds are chosen jointly. An entity is
-at most ``MAX_WORDS`` words and signs long, a run of letters and digits being one whatever its length. Weights maximise the conditional likelihood of generated
+at most ``MAX_WORDS`` words and signs long, a run of letters and digits being one whatever its length, and so is a value after a keyword
+and its sign (``password=``), up to a blank, quote, bracket or further ``=`` or ``:``. Weights maximise the conditional likelihood of generated
 sentences (forward and backward sums over segmentations). Its spans are added where they overlap no base span.
 
 Offsets are code points, ends exclusive. Nulls and empty texts have no spans; equal texts have equal
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,6 +96,8 @@ _HEX = re.compile(r"[0-9a-f]+$|[0-9A-F]+$")
 _KEY = re.compile(rf"(?<![^\W_]){_KEYWORD}[\"']?\s*[=:]?\s*[\"']?$", re.I)
 #: Before letters alone; "key: value" is no sign of a secret.
 _ASSIGNED = re.compile(r"(?<![^\W_])(?:pass(?:word|wd|phrase)?|pwd|token|secret|(?:api|access|secret)[_-]?key)[\"']?\s*[=:]\s*[\"']?$", re.I)
+#: What a keyword may be given, whatever signs it holds; none of it can hold a further keyword and sign.
+_VALUE = re.compile(r"[^\s\"'<>=:\\]+={0,2}")
 _JOINED = re.compile(r"[A-Za-z0-9]+(?:[+/_.-]+[A-Za-z0-9]+)+$")
 _TEL = re.compile(r"(?:tel|phone|call|fax|mobile|mobil|telefon|teléfono|téléphone)\W*$", re.I)
 _PAY = re.compile(r"(?:card|visa|mastercard|amex|karte|carte|tarjeta)\W*(?:no|number|nr)?\W*$", re.I)
@@ -102,7 +106,7 @@ _NET = re.compile(r"(?:ip|host|address|server|from)\W*$", re.I)
 FEATURES = (
     "bias", "email", "email_at", "ip", "ip_odd", "ip_over", "luhn", "card_len", "groups_4", "groups_many", "plus", "paren", "phone_len", "digits_only", "digits_long", "digits_short", "date", "separators", "mixed_case_key",
     "hex_long", "alnum_long", "akia", "key_before", "tel_before", "pay_before", "net_before", "quoted", "edge_left", "edge_right", "grows_left", "grows_right", "has_space", "letters", "letters_only", "assigned", "joined", "joined_long", "joined_mixed", "dotted",
-    "opens_more", "closes_more",
+    "opens_more", "closes_more", "value", "value_part", "signs", "signs_mixed",
 )
 _AT_FEATURE = {name: i for i, name in enumerate(FEATURES)}
 
@@ -159,6 +163,10 @@ def _segment_features(text: str, a: int, b: int) -> list[int]:
             on.append("joined_mixed")
         if "." in s:
             on.append("dotted")
+    elif " " not in s:
+        on.append("signs")
+        if sum((n > 0, s != s.lower(), s != s.upper())) >= 2:
+            on.append("signs_mixed")
     # does the word go on beyond a sign that keys may hold?
     if left[-1:] in ("+", "/", "_", "-", ".") and left[-2:-1].isalnum():
         on.append("opens_more")
@@ -167,6 +175,8 @@ def _segment_features(text: str, a: int, b: int) -> list[int]:
     for name, rule in (("assigned", _ASSIGNED), ("key_before", _KEY), ("tel_before", _TEL), ("pay_before", _PAY), ("net_before", _NET)):
         if left and rule.search(left):
             on.append(name)
+            if name == "assigned":
+                on.append("value" if b == _value_end(text, a) else "value_part")
     if left[-1:] in ("'", '"') and left[-1:] == right[:1]:
         on.append("quoted")
     if not left or not left[-1].isalnum():
@@ -183,6 +193,12 @@ def _segment_features(text: str, a: int, b: int) -> list[int]:
     return [_AT_FEATURE[x] for x in on]
 
 
+def _value_end(text: str, a: int) -> int:
+    """Where a value that begins at a ends, without the signs that close a sentence or a bracket."""
+    m = _VALUE.match(text, a)
+    return a + len(m.group().rstrip(".,;)]}")) if m else a
+
+
 def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
     """Token borders of text[lo:hi], and (first token, end token, features) of candidate segments."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
@@ -190,10 +206,16 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
     out = []
     for i, (a, _) in enumerate(tokens):
         c = text[a]
+        given = not c.isspace() and text[a - 1 : a] in ("=", ":", '"', "'", " ") and bool(_ASSIGNED.search(text[max(0, a - 24) : a]))
+        value = _value_end(text, a) if given else a
+        if a < value <= hi and not text[a:value].isalnum():
+            j = bisect_left(cuts, value, i + 1)
+            if cuts[j] == value:
+                out.append((i, j, _segment_features(text, a, value)))
         if not (c.isalnum() or c in "+(") or (a > 0 and c.isalnum() and text[a - 1].isalnum()):
             continue
         # after a keyword and its sign letters will do; elsewhere a digit or @ is needed
-        has, seen = c.isalnum() and text[a - 1 : a] in ("=", ":", '"', "'", " ") and bool(_ASSIGNED.search(text[max(0, a - 24) : a])), 0
+        has, seen = c.isalnum() and given, 0
         for j in range(i, len(tokens)):
             x, y = tokens[j]
             t = text[x:y]
@@ -209,7 +231,7 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
                 if not (text[x - 1] in "0123456789)]" or text[y : y + 1] in "([") or not (text[y : y + 1].isdigit() or text[y : y + 1] in "([" or text[x - 1] in ")]"):
                     break
                 continue
-            if not has or not (t[-1].isalnum() or t in ")]") or text[y : y + 1].isalnum() and t[-1].isalnum():
+            if not has or not (t[-1].isalnum() or t in ")]") or text[y : y + 1].isalnum() and t[-1].isalnum() or y == value and not text[a:y].isalnum():
                 continue
             out.append((i, j + 1, _segment_features(text, a, y)))
     return cuts, out
@@ -329,6 +351,9 @@ def _example(rng: np.random.Generator) -> tuple[str, set[Span]]:
     # keys that hold a few signs between letters and digits
     signed = lambda n: "".join(base64(rng.integers(4, 24)) + pick("+", "/", "_", "-") for _ in range(max(1, n // 16))) + base64(4)
 
+    # passwords as people make them: words and digits with signs among them
+    password = lambda: "".join(pick(word(), letters(rng.integers(2, 8)), digits(rng.integers(1, 5))) + pick(*"!#$%&*~^@?+-_.!#$") for _ in range(rng.integers(1, 4))) + pick(digits(2), word(3), letters(4), "")
+
     def card() -> str:
         body = pick("4", "51", "37") + digits(13)
         body = body[: pick(14, 15)]
@@ -355,6 +380,9 @@ def _example(rng: np.random.Generator) -> tuple[str, set[Span]]:
         lead = pick("password=", "password: ", "passwd = ", "pwd: ", "token = \"", "token=", "api_key: ", "api_key=\"", "secret=", "secret: \"", "key=", "Bearer ")
         long = rng.integers(16, 129)
         value = pick(word(rng.integers(6, 40)), letters(rng.integers(6, 40)), hexes(pick(18, 32, 40, 64, 128, long)), base64(pick(16, 20, 24, 32, 64, 100, long)), signed(long), signed(long), word(6) + digits(4))
+        if rng.random() < 0.3 and lead[0] in "pts":
+            value = password().rstrip(".")
+            value += "" if len(value) >= 6 else "!" + word(5)
         if lead == "Bearer " and value.islower():
             value = base64(32)
         if rng.random() < 0.1:
