@@ -147,3 +147,19 @@ def test_planted_recall(spark):
     values = evaluate.planted(docs)
     counts = evaluate.hits(values, mask.mask_documents(evaluate.documents(values, docs), rules.compose(rules.PACKS))).collect()
     assert len(counts) == 20 and [(r["entity_type"], r.fn) for r in counts if r.fn] == []
+
+
+def test_planted_in_documents_of_large_numbers(spark):
+    """Products of a document's number run beyond 64 bits; the values stay those of whole numbers."""
+    ids = [149_244, 149_243, 102_400_003, 10**12 + 4, 10**15 + 18, 2**63 - 4, 4, 3]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("text", F.lit("A text of its own."))
+    got = {r.doc_id: (r.entity_type, r.original) for r in evaluate.planted(docs).collect()}
+    for i in ids:
+        kind, value = got[i]
+        assert kind == evaluate.TYPES[i % 20] and value is not None
+        if kind == "IBAN":
+            assert value[4:] == str((i * 61_803_398_874_989 + 11) % 10**18).zfill(18) and int(value[4:] + "1314" + value[2:4]) % 97 == 1
+        elif kind == "CREDIT_CARD_NUMBER":
+            assert value[1:15] == str((i * 90_071_992_547 + 3) % 10**14).zfill(14)
+    counts = evaluate.hits(evaluate.planted(docs), mask.mask_documents(evaluate.documents(evaluate.planted(docs), docs), rules.compose(rules.PACKS))).collect()
+    assert sum(r.tp for r in counts) == len(ids) and sum(r.fn for r in counts) == 0

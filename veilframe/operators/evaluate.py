@@ -20,8 +20,11 @@ MARK = "\n\u2016 "
 
 
 def _number(factor: int, plus: int, digits: int) -> Column:
-    """Digits that follow from the document's number."""
-    return F.lpad(F.pmod(F.col("id") * factor + plus, F.lit(10**digits)).cast("string"), digits, "0")
+    """Digits that follow from the document's number, whatever its size: the number is reduced first, and what the product may
+    need beyond 64 bits is decimal."""
+    i = F.pmod(F.col("id"), F.lit(10**digits))
+    i = i.cast("decimal(19,0)") if factor * 10**digits + plus >= 2**63 else i.cast("long")
+    return F.lpad(F.pmod(i * F.lit(factor) + F.lit(plus), F.lit(10**digits)).cast("string"), digits, "0")
 
 
 #: Lines that name nobody; # stands for a small number.
@@ -49,7 +52,7 @@ def planted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     d11 = (sum((digit(i) for i in range(2, 10)), digit(1)) + d10) % 10
     account = _number(61_803_398_874_989, 11, 18)
     check = F.lpad((98 - ids.iban_remainder(F.concat(F.lit("DE00"), account))).cast("string"), 2, "0")
-    byte = lambda i: F.pmod(F.col("id") * (7919 + 2 * i) + 31 * i, F.lit(256))
+    byte = lambda i: F.pmod(F.pmod("id", F.lit(256)) * (7919 + 2 * i) + 31 * i, F.lit(256))
     two = (F.pmod("id", F.lit(90)) + 10).cast("string")
     value = {
         "EMAIL_ADDRESS": F.concat(F.lit("user"), _number(7919, 1, 6), F.lit("@host"), _number(7927, 2, 3), F.lit(".example.com")),
