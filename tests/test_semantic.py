@@ -57,3 +57,12 @@ def test_guesses(spark, sf):
     found = semantic.guess_language(docs, semantic.profiles(docs.where("doc_id % 2 = 0"))).withColumnRenamed("lang", "guess").join(docs, "doc_id").where("doc_id % 2 = 1")
     right = found.agg(F.avg((F.col("guess") == F.col("lang")).cast("int"))).first()[0]
     assert right > 0.95, right
+
+
+def test_equal_gradients_break_nothing():
+    """Gradients that are equal but for rounding: only one above the percentile by more than that breaks a text."""
+    found = np.array([0.1, 0.3, 0.1 + 0.2 + 0.2, 0.7, 0.1 + 0.8, 1.1, 1.3])
+    slope = np.gradient(found)
+    assert len(set(slope)) > 1 and np.ptp(slope) < 1e-12
+    assert semantic.breaks(found) == []
+    assert semantic.breaks(np.array([0.1, 0.1, 0.1, 0.9, 0.5])) == [2]

@@ -15,6 +15,8 @@ from .chunk import LEAST, MOST, pack_paragraphs
 #: Where a sentence ends, how many neighbours are read with it, and the percentile of gradients above which a text is broken.
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
 NEIGHBOURS, PERCENTILE = 1, 95.0
+#: Fixed value: gradients that differ by no more are equal, so that how sums round breaks no text.
+SAME = 1e-12
 
 #: Texts to a matrix of a row each: a model behind a port.
 Embed = Callable[[list[str]], np.ndarray]
@@ -45,11 +47,11 @@ def distances(vectors: np.ndarray) -> np.ndarray:
 
 
 def breaks(found: np.ndarray, percentile: float = PERCENTILE) -> list[int]:
-    """Places behind which a text is broken: where the gradient of the distances lies above its percentile."""
+    """Places behind which a text is broken: where the gradient of the distances lies above its percentile by more than SAME."""
     if len(found) < 2:
         return []
     slope = np.gradient(found)
-    return [int(i) for i in np.flatnonzero(slope > np.percentile(slope, percentile))]
+    return [int(i) for i in np.flatnonzero(slope > np.percentile(slope, percentile) + SAME)]
 
 
 def split_text(text: str, embed: Embed, percentile: float = PERCENTILE) -> list[str]:
