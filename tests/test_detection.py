@@ -199,3 +199,8 @@ def test_edits_one_after_another():
         assert mask.rewritten(text, edits) == shown
         back = [(c["start"], c["start"] + len(c["shown"]), c["original"]) for c in mask.changes_of(text, edits)]
         assert mask.rewritten(shown, back) == text
+
+
+def test_rules_of_chunks_are_compiled_once():
+    policy = tuple(rules.compose(["gdpr"]).rules)
+    assert mask._scanner(policy) is mask._scanner(tuple(rules.compose(["gdpr"]).rules))

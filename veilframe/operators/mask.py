@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -264,14 +265,20 @@ def mask_documents(docs: DataFrame, policy: Policy, text_col: str = "text", lang
     return docs.mapInArrow(run, f"{ddl}, {_RESULT}" + f", {_CHANGES}" * changes)
 
 
+@lru_cache(maxsize=8)
+def _scanner(rules: tuple[Rule, ...]) -> tuple[Scanner, dict]:
+    """The compiled rules and those with checks, made once for each Python worker and set of rules."""
+    return Scanner(rules), {r.name: r for r in rules if r.check}
+
+
 def mask_chunks(chunks: DataFrame, policy: Policy, doc_col: str = "doc_id", index_col: str = "index", text_col: str = "text", lang: str = "en") -> DataFrame:
     """Masks chunks with one map for each document, in chunk order: (doc, index, masked, n_masked). A document's
     chunks meet in one task, as its map is built in order; documents are the unit of distribution."""
-    rules = list(policy.rules)
+    rules = tuple(policy.rules)
     kind, order = chunks.schema[doc_col].dataType.simpleString(), chunks.schema[index_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        scanner, checks, known = Scanner(rules), {r.name: r for r in rules if r.check}, Placeholders(lang)
+        (scanner, checks), known = _scanner(rules), Placeholders(lang)
         out = []
         for doc, i, text in pdf.sort_values("i").itertuples(index=False):
             masked, done, _ = _sanitise(text or "", lang, scanner, checks, None, [], known)
