@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import each
+
 #: Words that are never masked on their own.
 STOP_WORDS = ("the", "a", "an", "of", "in", "at")
 #: Suffixes of possession by language, then for all languages, in order of trial.
@@ -19,13 +23,15 @@ INDEX_STOP_WORDS = tuple("and ile için the cad cd sok sk sokak mah mh mahalle b
 
 
 def nfc(value: Column) -> Column:
-    """Composed Unicode form; texts of plain ASCII never cross to Python's normaliser."""
+    """Composed Unicode form; texts of plain ASCII never cross to Python's normaliser, others a few at a time."""
 
-    @F.pandas_udf("string")
-    def composed(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
+    @F.arrow_udf("string")
+    def composed(s: pa.Array) -> pa.Array:
+        return each(s, lambda t: unicodedata.normalize("NFC", t), pa.string())
 
-    return F.when(value.rlike(r"^\p{ASCII}*$"), value).otherwise(composed(value))
+    # Spark runs the function on all rows, whatever the condition: a null is what it gets for a text that needs nothing
+    plain = value.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, value).otherwise(composed(F.when(~plain, value)))
 
 
 def strip_controls(value: Column) -> Column:
