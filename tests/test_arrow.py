@@ -31,3 +31,16 @@ def test_composed_form(spark):
     data = [(0, "e\u0301 and E\u0301"), (1, "plain"), (2, None), (3, ""), (4, "\u1100\u1161 A\u030a")]
     got = spark.createDataFrame(data, "i int, t string").select("i", T.nfc(F.col("t")).alias("t")).collect()
     assert sorted((r.i, r.t) for r in got) == [(0, "\u00e9 and \u00c9"), (1, "plain"), (2, None), (3, ""), (4, "\uac00 \u00c5")]
+
+
+def test_files_are_read_a_few_at_a_time(spark):
+    """A reader meets pieces of a batch, whatever the number of files in it."""
+    import sys
+
+    from veilframe.sources import files
+
+    content = F.concat(F.lit(bytearray(b"\x89PNG")), F.repeat(F.lit("x"), 100_000).cast("binary"))
+    made = spark.range(0, 200, 1, 1).select(F.col("id").alias("path"), content.alias("content"), F.lit("image").alias("format"))
+    seen = files.ingest(made, recognise=lambda _: (str(sys._getframe(1).f_locals["b"].num_rows), 0.5)).collect()
+    assert sorted(r["path"] for r in seen) == list(range(200))
+    assert max(int(r["text"]) for r in seen) <= 20

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrow import pieces
 from ..operators.lineage import cut, shared_dir
 from ..sources import files
 from .base import query, table
@@ -19,7 +20,7 @@ def _made(df, write, key, schema_key):
     """(key, content) of files written by ``write`` from (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([write(t or "") for t in b.column(1).to_pylist()], pa.binary())], names=[key, "content"])
 
     return df.mapInArrow(run, f"{key} {schema_key}, content binary")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import pieces
+
 #: Formats by type.
 FORMATS = {
     "application/pdf": "pdf",
@@ -180,7 +182,7 @@ def ingest(files: DataFrame, recognise: Callable[[bytes], tuple[str, float]] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ports = {"image": recognise, "audio": transcribe}
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for content, fmt in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
