@@ -66,3 +66,37 @@ def test_equal_gradients_break_nothing():
     assert len(set(slope)) > 1 and np.ptp(slope) < 1e-12
     assert semantic.breaks(found) == []
     assert semantic.breaks(np.array([0.1, 0.1, 0.1, 0.9, 0.5])) == [2]
+
+
+def test_profiles_against_plain(spark, monkeypatch):
+    """Short texts, repeated ids, letters beyond the first plane, null languages; languages one at a time. No row is made for a sequence."""
+    import collections
+    import math
+    import re
+
+    from pyspark.sql import functions as F
+
+    from veilframe.operators import semantic
+
+    monkeypatch.setattr(semantic, "PROFILE_LANGS", 1)
+    data = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "", "de"), (4, "x", None), (5, None, "en"), (6, "𐐀𐐨 the 12", "en"), (6, "und der", "de"), (7, "!?", "en"), (8, "qqqq", None)]
+    docs = spark.createDataFrame(data, "doc_id int, text string, lang string")
+    cut = lambda t: (lambda x: [x[i : i + 3] for i in range(max(len(x) - 2, 1))])(" " + re.sub(r"[\W\d_]+", " ", t.lower()) + " ")
+    n = collections.defaultdict(collections.Counter)
+    for _, t, lang in data:
+        if t is not None and lang:
+            n[lang].update(cut(t))
+    found = semantic.gram_counts(docs)
+    assert {(r.lang, r.gram): r.n for r in found.collect()} == {(k, g): c for k, v in n.items() for g, c in v.items()}
+    kept = {g for v in n.values() for g in v}
+    weight = {k: {g: round(math.log((v[g] + 0.5) / (sum(v.values()) + 0.5)) * 1_000_000) for g in kept} for k, v in n.items()}
+    sums = collections.defaultdict(collections.Counter)
+    for i, t, _ in data:
+        for k in weight if t is not None else ():
+            if known := [weight[k][g] for g in cut(t) if g in kept]:
+                sums[i][k] += sum(known)
+    want = sorted((i, min(sums[i], key=lambda k: (-sums[i][k], k)) if sums[i] else "en") for i, _, _ in data)
+    guess = semantic.guess_language(docs, semantic.profiles(docs))
+    assert sorted((r.doc_id, r.lang) for r in guess.collect()) == want
+    assert "Generate" not in guess._jdf.queryExecution().toString()
+    assert [r.lang for r in semantic.guess_language(docs.limit(1), semantic.profiles(docs.limit(0))).select(F.col("lang")).collect()] == ["en"]
