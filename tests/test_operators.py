@@ -177,3 +177,18 @@ def test_cluster_wants_a_shared_folder(master):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_customers_are_dealt_over_tasks(spark, tmp_path):
+    """A small file of many customers was scanned by one task, and requests were masked once for each tool."""
+    from veilframe.operators.lineage import spread
+    from veilframe.plans import registry
+
+    spark.range(25_000).selectExpr("id as c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    few = spread(spark.range(0, 25_000, 1, 1), "id")
+    assert few.rdd.getNumPartitions() == 3 and few.distinct().count() == 25_000 and spread(spark.range(0), "id").count() == 0
+    for name in ("det_06_birth_date_made", "msk_11_tools"):
+        assert registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    tools = registry.QUERIES["msk_11_tools"](spark, str(tmp_path))
+    assert tools._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.tool, r["count"]) for r in tools.where("ok").groupBy("tool").count().collect()} == {(t, 25_000) for t in ("mask_text", "unmask_response", "list_regulations")}

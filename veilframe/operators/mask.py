@@ -240,11 +240,11 @@ def mask_documents(docs: DataFrame, policy: Policy, text_col: str = "text", lang
     by the map a placeholder leads to one spelling, though it may stand for several."""
     names = docs.columns
     at, lang_at = names.index(text_col), names.index(lang_col) if lang_col in names else None
-    rules, harmless = list(policy.rules), list(harmless)
+    rules, harmless = tuple(policy.rules), list(harmless)
     allowed = set(policy.types) if only_policy_types else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, checks = Scanner(rules), {r.name: r for r in rules if r.check}
+        scanner, checks = _scanner(rules)
         for batch in batches:
             langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * batch.num_rows
             rows = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import keywords, mask, resolve, rules, scan
+from ..operators.lineage import spread
 from .base import ORACLE_SQL, QUERIES, query, table
 from .relational import DET, det, docs
 
@@ -101,9 +102,14 @@ def _rule_sql(rule: rules.Rule) -> str:
     return sql.replace("SELECT id, regexp_extract_all", "SELECT id, text, regexp_extract_all").replace("m AS (SELECT id,", "m AS (SELECT id, text,")
 
 
+def _dealt(spark, d):
+    """Their keys, dealt over tasks: the file is small and one task's, what is done for each of them is not."""
+    return spread(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+
+
 def _made_lines(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k.alias("id"), F.format_string(_FORMAT, *[k % n for n in _DIVISORS]).alias("text"))
+    return _dealt(spark, d).select(k.alias("id"), F.format_string(_FORMAT, *[k % n for n in _DIVISORS]).alias("text"))
 
 
 for _name, _rule in {
@@ -126,13 +132,13 @@ def det_12_made(spark, d):
 @query("det_13_cpf_made", "WITH x AS (SELECT c_custkey AS id, '529.982.247-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS value FROM customer) SELECT id, value, CASE WHEN value = '529.982.247-25' THEN 0.95::DOUBLE ELSE 0.55 END AS score FROM x WHERE id % 2 = 0 OR value = '529.982.247-25'")
 def det_13_made(spark, d):
     k = F.col("c_custkey")
-    t = table(spark, d, "customer").select(k.alias("id"), F.concat(F.when(k % 2 == 0, "CPF ").otherwise("no. "), F.format_string("529.982.247-%02d", k % 100)).alias("text"))
+    t = _dealt(spark, d).select(k.alias("id"), F.concat(F.when(k % 2 == 0, "CPF ").otherwise("no. "), F.format_string("529.982.247-%02d", k % 100)).alias("text"))
     return scan.scan(t, [r for r in rules.BASELINE if r.name == "cpf"], "id", "text").select("id", "value", "score")
 
 
 @query("det_02_iban_made", "WITH x AS (SELECT c_custkey AS id, 'DE' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '370400440532013000' AS v FROM customer) SELECT id, substring(v, 1, coalesce(n, 22)) AS value, CASE WHEN n IS NULL THEN 0.65::DOUBLE ELSE 0.96 END AS score FROM (SELECT id, v, list_max(list_filter(range(15, 23), lambda n: CAST(substring(v, 5, n - 4) || '1314' || substring(v, 3, 2) AS HUGEINT) % 97 = 1)) AS n FROM x)")
 def det_02_made(spark, d):
-    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.format_string("IBAN DE%02d370400440532013000.", F.col("c_custkey") % 100).alias("text"))
+    t = _dealt(spark, d).select(F.col("c_custkey").alias("id"), F.format_string("IBAN DE%02d370400440532013000.", F.col("c_custkey") % 100).alias("text"))
     return scan.scan(t, [r for r in rules.BASELINE if r.name == "iban"], "id", "text").select("id", "value", "score")
 
 
@@ -140,14 +146,14 @@ def det_02_made(spark, d):
 def det_03_made(spark, d):
     k = F.col("c_custkey")
     name = F.concat(F.when(k % 2 == 0, "Ann").otherwise("ann"), F.char(97 + k % 26))
-    t = table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("Name:\n"), name, F.lit("\nrest")).alias("text"))
+    t = _dealt(spark, d).select(k.alias("id"), F.concat(F.lit("Name:\n"), name, F.lit("\nrest")).alias("text"))
     return scan.scan(t, [r for r in rules.BASELINE if r.name == "name_after_label"], "id", "text").select("id", "start", "value")
 
 
 @query("det_04_address_made", "SELECT c_custkey AS id, 'Main ST ' || c_custkey || ' NO:5' AS value, 0.82::DOUBLE AS score FROM customer UNION ALL SELECT c_custkey, 'CAD 7 KAT ' || c_custkey, 0.78 FROM customer UNION ALL SELECT c_custkey, 'Address: Main ST ' || c_custkey || ' NO:5', 0.78 FROM customer")
 def det_04_made(spark, d):
     k = F.col("c_custkey").cast("string")
-    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Address: Main ST "), k, F.lit(" NO:5\nnothing here\nCAD 7 KAT "), k).alias("text"))
+    t = _dealt(spark, d).select(F.col("c_custkey").alias("id"), F.concat(F.lit("Address: Main ST "), k, F.lit(" NO:5\nnothing here\nCAD 7 KAT "), k).alias("text"))
     return scan.scan(t, [r for r in rules.BASELINE if r.name == "address"], "id", "text").select("id", "value", "score")
 
 
@@ -181,7 +187,7 @@ def _customers(spark, d):
         F.lit("A1234567 AB123456C MRN-"), n8, F.lit(" CA"), n8, F.lit(" "), n8, F.lit("1234 "), n8, F.lit("999 1-"), s(1, 4), F.lit("-56789-01-2 S1234567D "), s(1, 4), F.lit("-5678-9012 "), n8, F.lit("12345678X 80"), s(1, 4),
         F.lit("-5009-087 2"), s(1, 3), F.lit(" 5678 9012 1"), n8, F.lit("1 12.345.678/0001-"), s(1, 2), F.lit(" 123-456-7"), s(1, 2), F.lit(" 4123 45678 9"),
     )
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"))
+    return _dealt(spark, d).select(F.col("c_custkey").alias("id"), text.alias("text"))
 
 
 _BY_NAME = {r.name: r for p in rules.PACKS.values() for r in p}
@@ -200,7 +206,7 @@ _N8 = "lpad(CAST((c_custkey * 104729) % 90000000 + 10000000 AS VARCHAR), 8, '0')
 def _residents(spark, d):
     n8 = F.lpad(((F.col("c_custkey") * 104729) % 90000000 + 10000000).cast("string"), 8, "0")
     line = F.concat(F.lit("ID "), n8, n8, F.lit("1X, not "), n8, n8, F.lit("X or A"), n8, n8, F.lit("12"))
-    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), line.alias("text"))
+    t = _dealt(spark, d).select(F.col("c_custkey").alias("id"), line.alias("text"))
     return scan.scan(t, [_BY_NAME["pipl_resident"]], "id", "text").select("id", "start", "end", "value")
 
 
@@ -580,10 +586,10 @@ def msk_11(spark, d):
     """A request of every customer to each of three tools."""
     from ..functions.tools import answer
 
-    request = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com wrote")).alias("text"), F.lit("en").alias("lang"))
+    request = _dealt(spark, d).select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com wrote")).alias("text"), F.lit("en").alias("lang"))
     done = mask.mask_documents(request, _ALL)
-    rows = [done.select("id", F.lit("mask_text").alias("tool"), answer(F.col("masked"))), done.select("id", F.lit("unmask_response").alias("tool"), answer(mask.unmask(F.col("masked"), F.col("map")))), request.select("id", F.lit("list_regulations").alias("tool"), answer(F.lit(str(len(rules.PACKS)))))]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    data = {"mask_text": F.col("masked"), "unmask_response": mask.unmask(F.col("masked"), F.col("map")), "list_regulations": F.lit(str(len(rules.PACKS)))}
+    out = done.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("tool"), answer(x)) for t, x in data.items()])).alias("a")).select("id", "a.tool", "a.r")
     return out.select("id", "tool", "r.ok", "r.data")
 
 
