@@ -78,3 +78,42 @@ def test_answers_to_named_requests_and_too_late(spark):
     ]
     got = run(spark, turns, schema, lambda s: timed.approval_gate(s, late="10 seconds")).collect()
     assert sorted((r["request_id"], r["owner"], r["reason"]) for r in got) == [(1, 7, "approved-by-owner"), (2, 7, "rejected-by-owner"), (3, 8, "approval-timeout"), (4, 9, "approval-timeout")]
+
+
+class _State:
+    """A value, list or map state in memory."""
+
+    def __init__(self):
+        self.v, self.rows, self.map = None, [], {}
+
+    exists = lambda self: self.v is not None or bool(self.rows) or bool(self.map)
+    get = lambda self: iter(self.rows) if self.v is None else self.v
+    appendList = lambda self, rows: self.rows.extend(rows)  # noqa: E731, N815
+    updateValue = lambda self, k, v: self.map.__setitem__(k, v)  # noqa: E731, N815
+    getValue = lambda self, k: self.map[k]  # noqa: E731, N815
+    iterator = lambda self: iter(self.map.items())
+
+    def update(self, v):
+        self.v = v
+
+    def clear(self):
+        self.v, self.rows = None, []
+
+
+def test_large_shards_are_worked_off_in_blocks():
+    """Deliveries of a shard were one frame, and its rows of a micro-batch one list of Python objects."""
+    import pandas as pd
+
+    class Handle:
+        getListState = getValueState = getMapState = lambda self, *a: _State()  # noqa: N815, E731
+        registerTimer = deleteTimer = lambda self, *a: None  # noqa: N815, E731
+
+    n = 25_000
+    rows = pd.DataFrame({"kind": ["poll"] + ["add"] * n, "entry": [n + 5, *range(n, 0, -1)], "consumer": ["a"] + [None] * n, "us": [9] + [1] * n, "seq": [0, *range(n, 0, -1)]})
+    assert [len(b) for b in timed._blocks(iter([rows[:70], rows[70:]]))] == [10_000, 10_000, 5_001]
+    group = timed.ConsumerGroup(60_000)
+    group.init(Handle())
+    out = list(group.handleInputRows(("s",), iter([rows[:70], rows[70:]]), None))
+    assert max(map(len, out)) <= 10_000
+    assert [e for f in out for e in f["entry"]] == list(range(1, n + 1)) and {c for f in out for c in f["consumer"]} == {"a"}
+    assert timed._in_order(iter([rows[:2], rows[2:4]]), "seq")[-1].kind == "poll"

@@ -70,7 +70,7 @@ def drain(stream: DataFrame, mode: str = "append", idle: bool = True) -> DataFra
     return read.parquet(f"{out}/batch={max(last)}") if mode == "complete" else read.option("basePath", out).parquet(*[f"{out}/batch={i}" for i in sorted(set(last))]).select(*stream.columns)
 
 
-def in_turns(spark: SparkSession, turns: list[Callable[[DataFrame | None], DataFrame]], schema: str, operator: Callable[[DataFrame], DataFrame], files: int = 2) -> DataFrame:
+def in_turns(spark: SparkSession, turns: list[Callable[[DataFrame | None], DataFrame]], schema: str, operator: Callable[[DataFrame], DataFrame], files: int | None = None) -> DataFrame:
     """All output of an operator over messages that come in turns, from one checkpoint: each turn is given what has come out so far (None at
     first), what it gives is published, and the stream runs until it has been worked off."""
     path, out, mark = new_folder(spark, "turns"), new_folder(spark, "out"), new_folder(spark, "checkpoint")

@@ -10,8 +10,11 @@ Rows that come behind the watermark are dropped by Spark; ``late`` says how far
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +40,45 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_fields(schema)).astype(object)
 
 
+@lru_cache(maxsize=16)
+def _row(columns: tuple[str, ...]) -> type:
+    """Making a class of rows takes longer than working off a key of few rows."""
+    return namedtuple("Row", columns)
+
+
 def _in_order(rows: Iterator[pd.DataFrame], *more: str) -> list:
-    """Rows of a key in this micro-batch, by time."""
-    every = pd.concat(list(rows))
-    return list(every.sort_values(["us", *more], kind="stable").itertuples(index=False))
+    """Rows of a key in this micro-batch, by time; nulls last."""
+    every: list = []
+    for part in rows:
+        every += map(_row(tuple(part.columns)), *[part[c].tolist() for c in part.columns])
+    if len(every) > 1:
+        every.sort(key=lambda r: [(v is None or v != v, v) for v in (r.us, *(getattr(r, c) for c in more))])
+    return every
+
+
+#: Rows of a shard that are Python objects at once.
+AT_ONCE = 10_000
+_KINDS = ("add", "ack", "poll")
+
+
+def _blocks(rows: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """(kind, entry, consumer, us) of a shard's rows in this micro-batch, by time and seq, in blocks of AT_ONCE. Held are numbers, 28 bytes a row
+    and the order, and each consumer's name once."""
+    names: dict = {}
+    parts = []
+    for p in rows:
+        p = p[p["kind"].isin(_KINDS)]
+        kind = p["kind"].map({k: i for i, k in enumerate(_KINDS)}).to_numpy(np.int8)
+        who = np.array([names.setdefault(c, len(names)) for c in p["consumer"].tolist()], np.int32)
+        parts.append((kind, who, *(p[c].to_numpy(np.int64) for c in ("entry", "us", "seq"))))
+    if not parts:
+        return
+    kind, who, entry, us, seq = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
+    order, consumers = np.lexsort((seq, us)), list(names)
+    for i in range(0, len(order), AT_ONCE):
+        at = order[i : i + AT_ONCE]
+        yield [(_KINDS[k], e, consumers[w], t) for k, e, w, t in zip(kind[at].tolist(), entry[at].tolist(), who[at].tolist(), us[at].tolist(), strict=True)]
 
 
 # --- consumer group --------------------------------------------------------------------------------
@@ -69,53 +107,65 @@ class ConsumerGroup(StatefulProcessor):
 
     def _claim(self, out: list, key: str, consumer: str, us: int, most: int) -> int:
         """Claims up to ``most`` idle entries; gives when the next one will be idle."""
-        held = sorted((v[1], k[0], v[2]) for k, v in self.pending.iterator())
-        idle = [h for h in held if h[0] + self.idle_us <= us][:most]
-        for _, entry, times in idle:
+        held = self._held()
+        n = min(int(np.searchsorted(held["us"], us - self.idle_us, "right")), most)
+        for _, entry, times in map(np.void.item, held[:n]):
             self._deliver(out, key, "reclaimed", entry, consumer, us, times + 1)
-        rest = [h[0] for h in held[len(idle) :]] + [us] * bool(idle)
+        rest = [*held["us"][n : n + 1].tolist(), *[us] * bool(n)]
         return min(rest) + self.idle_us if rest else 0
 
+    def _held(self) -> np.ndarray:
+        """What is out, oldest delivery first, then by entry."""
+        held = np.fromiter(((v[1], k[0], v[2]) for k, v in self.pending.iterator()), [("us", "i8"), ("entry", "i8"), ("times", "i4")])
+        return held[np.lexsort((held["entry"], held["us"]))]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        shard, out, added = key[0], [], []
+        shard, out, added, put = key[0], [], [], False
         if shard == _TICK:
             return
         soonest = self.soonest.get()[0] if self.soonest.exists() else 0
         before = soonest
         waiting = start = None
-        for r in _in_order(rows, "seq"):
-            if r.kind == "add":
-                added.append((int(r.entry),))
-            elif r.kind == "ack":
-                if self.pending.containsKey((int(r.entry),)):
-                    self.pending.removeKey((int(r.entry),))
-                    out.append((shard, "acknowledged", int(r.entry), r.consumer, int(r.us), 0))
-            elif r.kind == "poll":
-                most = int(r.entry)
-                if soonest and soonest <= r.us:
-                    soonest = self._claim(out, shard, r.consumer, int(r.us), most)
-                if added:
-                    self.backlog.appendList(added)
-                    waiting, added = None, []
-                if waiting is None:
-                    waiting = [e[0] for e in self.backlog.get()] if self.backlog.exists() else []
-                    start = self.taken.get()[0] if start is None and self.taken.exists() else start or 0
-                new = waiting[start : start + most]
-                for entry in new:
-                    self._deliver(out, shard, "delivered", entry, r.consumer, int(r.us), 1)
-                start += len(new)
-                if new and not soonest:
-                    soonest = int(r.us) + self.idle_us
-        if added:
-            self.backlog.appendList(added)
+        for block in _blocks(rows):
+            for kind, number, consumer, us in block:
+                if kind == "add":
+                    added.append((number,))
+                elif kind == "ack":
+                    if self.pending.containsKey((number,)):
+                        self.pending.removeKey((number,))
+                        out.append((shard, "acknowledged", number, consumer, us, 0))
+                else:
+                    if soonest and soonest <= us:
+                        soonest = self._claim(out, shard, consumer, us, number)
+                    if added:
+                        self.backlog.appendList(added)
+                        added, put = [], True
+                    if waiting is None or put:
+                        waiting = np.fromiter((e[0] for e in self.backlog.get()), np.int64) if self.backlog.exists() else np.empty(0, np.int64)
+                        start, put = (self.taken.get()[0] if start is None and self.taken.exists() else start or 0), False
+                    new = waiting[start : start + number]
+                    for i in range(0, len(new), AT_ONCE):
+                        for entry in new[i : i + AT_ONCE].tolist():
+                            self._deliver(out, shard, "delivered", entry, consumer, us, 1)
+                        yield _frame(out, _DELIVERY)
+                        out = []
+                    start += len(new)
+                    if len(new) and not soonest:
+                        soonest = us + self.idle_us
+            if added:
+                self.backlog.appendList(added)
+                added, put = [], True
+            if out:
+                yield _frame(out, _DELIVERY)
+                out = []
         if waiting is not None:
-            if start > len(waiting) // 2 and not added:  # what has been taken goes once it is the greater part
-                self.backlog.put([(e,) for e in waiting[start:]]) if waiting[start:] else self.backlog.clear()
+            if start > len(waiting) // 2 and not put:  # what has been taken goes once it is the greater part
+                self.backlog.clear()
+                for i in range(start, len(waiting), AT_ONCE):
+                    self.backlog.appendList([(e,) for e in waiting[i : i + AT_ONCE].tolist()])
                 start = 0
             self.taken.update((start,))
         self._watch(before, soonest)
-        if out:
-            yield _frame(out, _DELIVERY)
 
     def _watch(self, before: int, soonest: int) -> None:
         if soonest == before:
@@ -131,20 +181,18 @@ class ConsumerGroup(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Entries that have become idle are told once, so that somebody polls; they stay pending."""
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
-        held = sorted((v[1], k[0], v[0], v[2]) for k, v in self.pending.iterator())
-        idle = [(key[0], "idle", entry, consumer, us + self.idle_us, times) for us, entry, consumer, times in held if us + self.idle_us <= now]
-        later = [us + self.idle_us for us, _, _, _ in held if us + self.idle_us > now]
+        held = self._held()
+        n = int(np.searchsorted(held["us"], now - self.idle_us, "right"))
         # idle ones stay claimable at once; the timer goes to the next that will be
-        if idle:
-            self.soonest.update((min(i[4] for i in idle),))
-        elif later:
-            self.soonest.update((min(later),))
+        if len(held):
+            self.soonest.update((int(held["us"][0]) + self.idle_us,))
         else:
             self.soonest.clear()
-        if later:
-            self.handle.registerTimer(min(later) // 1000)
-        if idle:
-            yield _frame(idle, _DELIVERY)
+        if n < len(held):
+            self.handle.registerTimer((int(held["us"][n]) + self.idle_us) // 1000)
+        for i in range(0, n, AT_ONCE):
+            part = map(np.void.item, held[i : min(i + AT_ONCE, n)])
+            yield _frame([(key[0], "idle", entry, self.pending.getValue((entry,))[0], us + self.idle_us, times) for us, entry, times in part], _DELIVERY)
 
     def close(self) -> None:
         pass
