@@ -42,3 +42,32 @@ def test_scans_are_the_same_without_cues(sf):
     for i, t in enumerate(pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()):
         t = (t or "") + (line[: 20 * (i % 20)] if i % 2 else "")
         assert fast.find(t) == slow.find(t)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "need"),
+    [
+        (r"\b\d{17}[\dXx]\b", (17, 32, False)), (r"2[0-4]\d|[A-Z]\d{3,5}", (3, 8, False)), (r"\d{1,3}(?:\.\d{4})+", None), (r"\d{1,2}\s*\d{4}", (5, 32, True)), (r"[A-Z0-9]{5}", None), (r"(?<!x)\d{4}", None), (r"(?:ab)?\d{2}", (2, 4, False)), (r"\d{0,3}x", None),
+    ],
+)
+def test_digits(pattern, need):
+    assert cues.digits_of(pattern) == (need if need is None or not need[2] else (4, *need[1:]))
+
+
+def test_zones_lose_and_add_nothing():
+    """Rules that need digits searched whole texts, however few digits those had."""
+    rng = random.Random(5)
+    every = rules.compose(rules.PACKS).rules
+    fast, slow = scan.Scanner(every), scan.Scanner(every)
+    assert sum(n is not None for n in fast.needs) > 35
+    slow.needs = [None] * len(every)
+    parts = ["born on", "TC Kimlik No", "national", "passport", "tax id", "SSN", "cpf", "plate no", "+1", "(", ")", "-", ".", "/", ":", ",", "\n", " ", "  ", " " * 15, " " * 40, "." * 18, "DE", "MRN", "A", "x", "word und mehr text " * 9, "march", "de", "41.", "IMEI=", "٣٤٥٦٧٨٩٠"]
+    found = 0
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices("0123456789", k=rng.choice([1, 2, 2, 3, 3, 4, 5, 7, 8, 10, 11, 18]))) for _ in range(rng.randrange(1, 30)))
+        got = fast.find(t)
+        assert got == slow.find(t), t
+        found += len(got)
+    assert found > 1000
+    spread = "word " * 2000 + "on 12.03.1970 " + "word " * 2000
+    assert sum(b - a for a, b in cues.Zones(spread).of(cues.digits_of(rules.BIRTH_DATE))) < 600

@@ -204,3 +204,21 @@ def test_edits_one_after_another():
 def test_rules_of_chunks_are_compiled_once():
     policy = tuple(rules.compose(["gdpr"]).rules)
     assert mask._scanner(policy) is mask._scanner(tuple(rules.compose(["gdpr"]).rules))
+
+
+def test_layers_are_what_each_policy_finds_alone(spark, sf):
+    """Each policy masked a table of its own, texts and all."""
+    docs = evaluate.planted_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    policies = {"packs": rules.compose(rules.PACKS, baseline=False), "all": rules.compose(rules.PACKS)}
+    layers = mask.mask_layers(docs, policies)
+    assert layers.columns == ["doc_id", "entity_type", "original", "lang", *policies]
+    got = {r["doc_id"]: r for r in layers.collect()}
+    for name, policy in policies.items():
+        alone = mask.mask_documents(docs, policy).select("doc_id", "masked", "entities").collect()
+        assert len(alone) == len(got) and all((r["masked"], r["entities"]) == (got[r["doc_id"]][name]["masked"], got[r["doc_id"]][name]["entities"]) for r in alone)
+    values = evaluate.planted(spark.read.parquet(f"{sf}/documents.parquet"))
+    apart = evaluate.hits(values, mask.mask_documents(docs, policies["packs"])).groupBy().sum("tp", "fn", "fp").collect()[0]
+    assert tuple(evaluate.layer_hits(layers, ["packs"]).collect()[0])[1:] == tuple(apart)
+    assert [r["layers"] for r in evaluate.layer_hits(layers.where("false"), ["packs", "all"]).collect()] == ["packs", "all"]
+    nothing = spark.createDataFrame([(1, None, "en"), (2, "", None)], "doc_id long, text string, lang string")
+    assert [(r["doc_id"], r["all"]["masked"], r["all"]["entities"]) for r in mask.mask_layers(nothing, policies).sort("doc_id").collect()] == [(1, None, []), (2, "", [])]

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import pieces
 from ..functions.text import POSSESSIVE, POSSESSIVE_ALL, STOP_WORDS
 from .resolve import Span, resolve
-from .rules import PERSON_TYPES, Policy, Rule
-from .scan import Scanner
+from .rules import PERSON_TYPES, Policy, Rule, alike, distinct
+from .scan import Found, Scanner
 
 
 def without_possessive(text: str, lang: str) -> str:
@@ -192,10 +193,15 @@ _RESULT = "masked string, n_masked int, entities array<struct<start:int,end:int,
 
 def _sanitise(text: str, lang: str, scanner: Scanner, checks: dict, allowed: set[str] | None, harmless: list[dict], known: Placeholders) -> tuple:
     """The masked text, what replaced its spans, and a call that gives all edits that lead from the text to the masked one."""
-    own, composed = text, composing_edits(text)
-    text = rewritten(text, composed)
+    composed = composing_edits(text)
+    whole = rewritten(text, composed)
+    return _resolved(text, composed, whole, scanner.find(whole), lang, checks, allowed, harmless, known)
+
+
+def _resolved(own: str, composed: list[Edit], text: str, found: list[Found], lang: str, checks: dict, allowed: set[str] | None, harmless: list[dict], known: Placeholders) -> tuple:
+    """``_sanitise`` for what was found in the composed text."""
     spans: list[Span] = []
-    for a, b, kind, score, rule, check in scanner.find(text):
+    for a, b, kind, score, rule, check in found:
         if check:
             r: Rule = checks[rule]
             ok = _passes(check, text[a:b])
@@ -265,6 +271,40 @@ def mask_documents(docs: DataFrame, policy: Policy, text_col: str = "text", lang
     return docs.mapInArrow(run, f"{ddl}, {_RESULT}" + f", {_CHANGES}" * changes)
 
 
+def mask_layers(docs: DataFrame, policies: dict[str, Policy], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """What ``mask_documents`` finds by each of several policies, as a column (masked, entities) named for each; the text is not kept. Rules that
+    policies share run once. A null text stays null, with nothing found."""
+    names = docs.columns
+    at, lang_at, rest = names.index(text_col), names.index(lang_col) if lang_col in names else None, [i for i, n in enumerate(names) if n != text_col]
+    rules = tuple(distinct(r for p in policies.values() for r in p.rules))
+    if len({r.name for r in rules if r.check}) < sum(r.check is not None for r in rules):
+        raise ValueError("rules with checks share a name")
+    number = {alike(r): i for i, r in enumerate(rules)}
+    orders = {name: [number[alike(r)] for r in distinct(p.rules)] for name, p in policies.items()}
+    entity = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("score", pa.float64()), ("placeholder", pa.string())])
+    layer, keys = pa.struct([("masked", pa.string()), ("entities", pa.list_(entity))]), tuple(f.name for f in entity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, checks = _scanner(rules)
+        for batch in pieces(batches):
+            langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * batch.num_rows
+            out: dict[str, list] = {name: [] for name in orders}
+            for text, lang in zip(batch.column(at).to_pylist(), langs, strict=True):
+                composed = composing_edits(text or "")
+                whole = rewritten(text or "", composed)
+                every = scanner.find_each(whole) if text is not None else {}
+                for name, order in orders.items():
+                    masked, done = text, []
+                    if text is not None:
+                        masked, done, _ = _resolved(text, composed, whole, [f for i in order for f in every.get(i, ())], lang or "en", checks, None, [], Placeholders(lang or "en"))
+                    out[name].append({"masked": masked, "entities": [dict(zip(keys, d, strict=True)) for d in done]})
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *(pa.array(v, layer) for v in out.values())], names=[*(names[i] for i in rest), *out])
+
+    ddl = [f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in rest]
+    kind = "struct<masked:string,entities:array<struct<start:int,end:int,entity_type:string,score:double,placeholder:string>>>"
+    return docs.mapInArrow(run, ", ".join([*ddl, *(f"`{name}` {kind}" for name in orders)]))
+
+
 @lru_cache(maxsize=8)
 def _scanner(rules: tuple[Rule, ...]) -> tuple[Scanner, dict]:
     """The compiled rules and those with checks, made once for each Python worker and set of rules."""

@@ -230,11 +230,16 @@ def types_of(packs: Iterable[str]) -> list[str]:
     return sorted({t for p in packs for t in PACK_TYPES[p]})
 
 
+def alike(rule: Rule) -> Rule:
+    """The rule without its names: equal for rules that find the same."""
+    return replace(rule, name="", pack="")
+
+
 def distinct(rules: Iterable[Rule]) -> list[Rule]:
     """Rules without those that find just what an earlier one finds, whatever their names."""
     seen, out = set(), []
     for r in rules:
-        key = replace(r, name="", pack="")
+        key = alike(r)
         if key not in seen:
             seen.add(key)
             out.append(r)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .cues import Cues, words_of
+from .cues import Cues, Zones, digits_of, words_of
 from .rules import ADDRESS_CUE, IBAN_LENGTHS, Rule
 
 #: (start, end, entity type, score, rule, check)
@@ -21,7 +21,6 @@ Found = tuple[int, int, str, float, str, str | None]
 _HAS_DIGIT = re.compile(r"\d")
 _CUE = re.compile(ADDRESS_CUE, re.IGNORECASE)
 _NUMBER = re.compile(r"\d+")
-_LINE = re.compile(r"[^\n]+")
 
 
 def _iban_rest(value: str) -> int:
@@ -44,18 +43,24 @@ def _cut_iban(value: str) -> tuple[int, bool] | None:
     return (places[n - 1] + 1, False) if 15 <= n <= 34 else None
 
 
-def _addresses(text: str, rule: Rule, pattern: re.Pattern) -> Iterator[Found]:
+def _addresses(text: str, rule: Rule, pattern: re.Pattern, runs: list[tuple[int, int]]) -> Iterator[Found]:
+    """runs: where digits stand; lines without any are not looked at."""
     taken = []
-    for m in pattern.finditer(text):
+    for m in pattern.finditer(text) if ":" in text else ():
         value = m.group(2).strip()
         cues = len(_CUE.findall(value))
         if len(value) >= 10 and cues and (cues >= 2 or len(_NUMBER.findall(value)) >= 2):
             taken.append(m.span(2))
             yield (*m.span(2), rule.entity_type, rule.score, rule.name, None)
-    for m in _LINE.finditer(text):
-        if _NUMBER.search(m.group()) and len(_CUE.findall(m.group())) >= 2 and not any(a <= m.start() and b >= m.end() for a, b in taken):
-            taken.append(m.span())
-            yield (*m.span(), rule.entity_type, rule.fallback, rule.name, None)
+    end = -1
+    for run, _ in runs:
+        if run < end:
+            continue
+        start, end = text.rfind("\n", 0, run) + 1, text.find("\n", run)
+        end = len(text) if end < 0 else end
+        if len(_CUE.findall(text, start, end)) >= 2 and not any(a <= start and b >= end for a, b in taken):
+            taken.append((start, end))
+            yield start, end, rule.entity_type, rule.fallback, rule.name, None
 
 
 class Scanner:
@@ -66,6 +71,7 @@ class Scanner:
         # a rule runs on a text that may match its pattern and, where it needs one, what stands before
         self.cues = Cues([x for r in rules for x in (None if r.shape == "address" else r.pattern, r.before if r.before and not r.before_on_fail else None)])
         self.rules = [(r, re.compile(r.pattern, re.IGNORECASE if r.ignore_case else 0), re.compile(r.before, re.IGNORECASE) if r.before else None, self._sign(r)) for r in rules]
+        self.needs = [digits_of(r.pattern) for r in rules]
 
     @staticmethod
     def _sign(rule: Rule) -> str:
@@ -79,16 +85,24 @@ class Scanner:
         return "" if rule.pack == "custom" else "0"
 
     def find(self, text: str) -> list[Found]:
-        out: list[Found] = []
-        numbers = _HAS_DIGIT.search(text) is not None
+        return [f for found in self.find_each(text).values() for f in found]
+
+    def find_each(self, text: str) -> dict[int, list[Found]]:
+        """What each rule finds, by its number, in order of the rules; those that find nothing are left out."""
+        every: dict[int, list[Found]] = {}
+        zones = Zones(text)
         cues = self.cues.of(text)
         for i, (rule, pattern, before, sign) in enumerate(self.rules):
-            if cues >> 2 * i & 3 != 3 or (sign == "0" and not numbers) or (sign not in ("", "0") and sign not in text):
-                continue
-            if rule.shape == "address":
-                out += _addresses(text, rule, pattern)
+            if cues >> 2 * i & 3 != 3 or (sign == "0" and not zones.runs) or (sign not in ("", "0") and sign not in text):
                 continue
-            for m in pattern.finditer(text):
+            if found := list(_addresses(text, rule, pattern, zones.runs) if rule.shape == "address" else self._matches(text, rule, pattern, before, zones.of(self.needs[i]))):
+                every[i] = found
+        return every
+
+    @staticmethod
+    def _matches(text: str, rule: Rule, pattern: re.Pattern, before: re.Pattern | None, zones: list[tuple[int, int]]) -> Iterator[Found]:
+        for zone in zones:
+            for m in pattern.finditer(text, *zone):
                 a, b = m.span(rule.group)
                 value, score = text[a:b], rule.score
                 if rule.digits and not rule.digits[0] <= sum(c.isdigit() for c in value) <= rule.digits[1]:
@@ -101,8 +115,7 @@ class Scanner:
                     if (cut := _cut_iban(value)) is None:
                         continue
                     b, score = a + cut[0], rule.score if cut[1] else rule.fallback
-                out.append((a, b, rule.entity_type, score, rule.name, rule.check))
-        return out
+                yield a, b, rule.entity_type, score, rule.name, rule.check
 
 
 def scan(docs: DataFrame, rules: Iterable[Rule], id_col: str = "doc_id", text_col: str = "text", types: set[str] | None = None) -> DataFrame:
