@@ -117,3 +117,73 @@ def test_large_shards_are_worked_off_in_blocks():
     assert max(map(len, out)) <= 10_000
     assert [e for f in out for e in f["entry"]] == list(range(1, n + 1)) and {c for f in out for c in f["consumer"]} == {"a"}
     assert timed._in_order(iter([rows[:2], rows[2:4]]), "seq")[-1].kind == "poll"
+
+
+class _Counted:
+    """A handle that keeps timers and counts what is asked of the store."""
+
+    def __init__(self):
+        self.calls, self.timers, outer = 0, set(), self
+
+        class Value(_State):
+            def update(self, v):
+                outer.calls += 1
+                self.v = v
+
+        self.getValueState = self.getMapState = self.getListState = lambda *a: Value()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_owners_of_a_bucket_share_state_and_timer():
+    """Each owner was a group of its own, and each request three calls of the store."""
+    import pandas as pd
+
+    rng, handle = random.Random(4), _Counted()
+    gate = timed.ApprovalGate(60)
+    gate.init(handle)
+    got, want, open_, clock = [], [], {}, 0
+    for turn in range(6):
+        rows = []
+        for n in range(3000):
+            clock += rng.randrange(60_000)
+            owner = rng.choice([None, *range(400)])
+            ask = rng.random() < 0.5
+            rows.append((clock, 0 if ask else 1, owner or 0, owner is not None, rng.randrange(2**60, 2**60 + 50) if ask or rng.random() < 0.3 else 0, None, rng.random() < 0.5))
+            rows[-1] = (*rows[-1][:5], ask or rows[-1][4] > 0, rows[-1][6])
+            us, answer, _, _, request, named, approved = rows[-1]
+            held = open_.setdefault(owner, {})
+            if not answer:
+                held[request] = us
+            elif owner is not None:
+                for r in [request] if named else list(held):
+                    if r in held and held[r] <= us <= held[r] + 60_000_000:
+                        del held[r]
+                        want.append((r, owner, "approved-by-owner" if approved else "rejected-by-owner"))
+        rng.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["us", "kind_order", "owner", "known", "request_id", "named", "approved"])
+        before = handle.calls
+        got += [f for f in gate.handleInputRows(("b",), iter([frame[:1000], frame[1000:]]), None)]
+        assert handle.calls <= before + 2 and len(handle.timers) <= 1
+        now = clock // 1000 - (30_000 if turn < 5 else -100_000)
+        for at in [t for t in handle.timers if t <= now]:
+            handle.timers.remove(at)
+            got += [f for f in gate.handleExpiredTimer(("b",), _At(now), _At(at))]
+        for owner, held in open_.items():
+            for r in [r for r, us in held.items() if (us + 60_000_000) // 1000 + 1 <= now]:
+                del held[r]
+                want.append((r, owner, "approval-timeout"))
+    rows = [(int(r), None if pd.isna(o) else int(o), why) for f in got for r, o, why in zip(f["request_id"], f["owner"], f["reason"], strict=True)]
+    order = lambda x: sorted(x, key=str)
+    assert order(rows) == order(want) and {w for *_, w in want} == {"approved-by-owner", "rejected-by-owner", "approval-timeout"}
+    assert not handle.timers and not any(open_.values())

@@ -220,60 +220,95 @@ def consumer_group(operations: DataFrame, shard: str = "shard", idle_ms: int = I
 _DECISION = "request_id long, owner long, decision string, reason string"
 
 
+#: Owners share so many groups of state: calling the store for each owner and request takes longer than deciding them.
+BUCKETS = 512
+_ASKED = np.dtype([("owner", "i8"), ("known", "?"), ("request", "i8"), ("us", "i8")])
+
+
 class ApprovalGate(StatefulProcessor):
-    """The open requests of one owner. An answer decides the request that it names, or all open ones, if it comes in time; what is
-    open at its deadline is rejected by a timer."""
+    """The open requests of the owners of a bucket, as one packed value. An answer decides the request that it names, or all open ones of its owner, if
+    it comes in time; what is open at its deadline is rejected by a timer, of which a bucket has one, for its earliest deadline. Requests
+    without an owner are never answered."""
 
     def __init__(self, seconds: int):
         self.us = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "request_id long", "us long")
+        self.open = handle.getValueState("open", "asked binary")
+
+    def _held(self) -> np.ndarray:
+        return np.frombuffer(self.open.get()[0], _ASKED) if self.open.exists() else np.empty(0, _ASKED)
+
+    def _hold(self, held: np.ndarray, timer: int) -> None:
+        """Keeps what is open; timer: the one that stands, 0 for none."""
+        if len(held):
+            self.open.update((held.tobytes(),))
+        else:
+            self.open.clear()
+        now = self._deadline(held)
+        if now != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if now:
+                self.handle.registerTimer(now)
+
+    def _deadline(self, held: np.ndarray) -> int:
+        """The first millisecond at which the earliest of them is overdue."""
+        return (int(held["us"].min()) + self.us) // 1000 + 1 if len(held) else 0
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if key[0] == _TICK:
             return
-        owner, out = int(key[0]), []
-        held = {k[0]: v[0] for k, v in self.open.iterator()} if self.open.exists() else {}
-        known = dict(held)
-        for r in _in_order(rows, "kind_order"):
-            if r.kind == "ask":
-                held[int(r.request_id)] = int(r.us)
-                continue
-            named = list(held) if pd.isna(r.request_id) else [int(r.request_id)]
-            for i in named:
-                if i in held and held[i] <= r.us <= held[i] + self.us:
-                    del held[i]
-                    out.append((i, owner, "approved" if r.approved else "rejected", "approved-by-owner" if r.approved else "rejected-by-owner"))
-        for i in known.keys() - held.keys():
-            self.open.removeKey((i,))
-        for i, us in held.items():
-            if known.get(i) != us:
-                self.open.updateValue((i,), (us,))
-                self.handle.registerTimer((us + self.us) // 1000 + 1)
-        if out:
-            yield _frame(out, _DECISION)
+        kinds = {"us": np.int64, "kind_order": np.int8, "owner": np.int64, "known": bool, "request_id": np.int64, "named": bool, "approved": bool}
+        parts = [[p[c].to_numpy(t) for c, t in kinds.items()] for p in rows]
+        every = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        order, held = np.lexsort((every[1], every[0])), self._held()
+        timer, mine = self._deadline(held), np.isin(held["owner"], every[2])
+        asked: dict = {}
+        for owner, known, request, us in held[mine].tolist():
+            asked.setdefault(owner if known else None, {})[request] = us
+        out = []
+        for i in range(0, len(order), AT_ONCE):
+            for us, answer, owner, known, request, named, approved in zip(*(c[order[i : i + AT_ONCE]].tolist() for c in every), strict=True):
+                waiting = asked.setdefault(owner if known else None, {})
+                if not answer:
+                    waiting[request] = us
+                elif known:
+                    for r in [request] if named else list(waiting):
+                        if r in waiting and waiting[r] <= us <= waiting[r] + self.us:
+                            del waiting[r]
+                            out.append((r, owner, "approved" if approved else "rejected", "approved-by-owner" if approved else "rejected-by-owner"))
+            if out:
+                yield _frame(out, _DECISION)
+                out = []
+        left = [(owner or 0, owner is not None, request, us) for owner, waiting in asked.items() for request, us in waiting.items()]
+        self._hold(np.concatenate([held[~mine], np.array(left, _ASKED)]), timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        over = [k[0] for k, v in self.open.iterator() if v[0] + self.us < now] if self.open.exists() else []
-        for i in over:
-            self.open.removeKey((i,))
-        if over:
-            yield _frame([(i, int(key[0]), "rejected", "approval-timeout") for i in over], _DECISION)
+        """Rejects all that the watermark has passed: no answer in time can come any more."""
+        now, held = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._held()
+        over = (held["us"] + self.us) // 1000 + 1 <= now
+        self._hold(held[~over], 0)
+        late = held[over]
+        for i in range(0, len(late), AT_ONCE):
+            yield _frame([(r, owner if known else None, "rejected", "approval-timeout") for owner, known, r, _ in late[i : i + AT_ONCE].tolist()], _DECISION)
 
     def close(self) -> None:
         pass
 
 
-def approval_gate(stream: DataFrame, seconds: int = APPROVAL_SECONDS, late: str = "0 seconds") -> DataFrame:
+def approval_gate(stream: DataFrame, seconds: int = APPROVAL_SECONDS, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """A stream of (request_id, owner, decision, reason) from a stream of (kind, request_id, owner, at, approved): kind ``ask`` opens a
     request, ``answer`` decides it;
-    an answer without request_id decides all that its owner has open. Owners are the unit of distribution. The batch form is ``state.approvals``."""
+    an answer without request_id decides all that its owner has open. Owners are dealt over buckets, the unit of distribution, whose
+    number stays what it was when a checkpoint was begun. The batch form is ``state.approvals``."""
     use_store(stream.sparkSession)
     order = F.when(F.col("kind") == "ask", 0).otherwise(1).alias("kind_order")
-    keyed = _timed(stream, "at", F.col("owner"), ["kind", order, "request_id", "approved"], late)
+    number = lambda c, there: (F.coalesce(c, F.lit(0)).cast("long").alias(c), F.col(c).isNotNull().alias(there))
+    columns = ["kind", order, *number("owner", "known"), *number("request_id", "named"), F.coalesce("approved", F.lit(False)).alias("approved")]
+    keyed = _timed(stream, "at", F.pmod(F.hash("owner"), F.lit(buckets)), columns, late)
     return keyed.transformWithStateInPandas(ApprovalGate(seconds), _DECISION, "append", "EventTime")
 
 
