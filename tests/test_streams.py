@@ -187,3 +187,83 @@ def test_owners_of_a_bucket_share_state_and_timer():
     order = lambda x: sorted(x, key=str)
     assert order(rows) == order(want) and {w for *_, w in want} == {"approved-by-owner", "rejected-by-owner", "approval-timeout"}
     assert not handle.timers and not any(open_.values())
+
+
+def _stores():
+    """A handle whose map states are counted, and its states by name."""
+    kept: dict = {}
+
+    class Map(_State):
+        calls = 0
+
+        def updateValue(self, k, v):  # noqa: N802
+            Map.calls += 1
+            self.map[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            Map.calls += 1
+            del self.map[k]
+
+        def getValue(self, k):  # noqa: N802
+            Map.calls += 1
+            return self.map[k]
+
+    class Handle:
+        getValueState = getMapState = getListState = lambda self, name, *a: kept.setdefault(name, Map())  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, *a: None  # noqa: E731, N815
+
+    return Handle(), Map, kept
+
+
+def _frame_of(rows):
+    import pandas as pd
+
+    return pd.DataFrame([(kind, entry, consumer, US + s * 1_000_000, seq) for _, kind, entry, consumer, s, seq in rows], columns=["kind", "entry", "consumer", "us", "seq"])
+
+
+def test_pending_entries_in_pages(monkeypatch):
+    """Pages and pieces of a few entries, written out whenever more than a few are in memory, against the plain group."""
+    monkeypatch.setattr(timed, "PAGE_BITS", 3)
+    monkeypatch.setattr(timed, "IN_MEMORY", 20)
+    monkeypatch.setattr(timed, "AT_ONCE", 7)
+    rng = random.Random(11)
+    rows, entry = [], 0
+    for n in range(4000):
+        kind = rng.choices(["add", "poll", "ack"], [5, 2, 4])[0]
+        entry += rng.randrange(1, 4) if kind == "add" else 0
+        what = entry - rng.randrange(3) if kind == "add" else rng.choice([1, 2, 4, 40]) if kind == "poll" else rng.randrange(-2, entry + 1)
+        rows.append(("s", kind, what, rng.choice("xyz"), n // 3, n))
+    handle, _, kept = _stores()
+    got, i = [], 0
+    while i < len(rows):
+        j = i + rng.choice([1, 50, 700])
+        group = timed.ConsumerGroup(60_000)
+        group.init(handle)
+        part = rows[i:j]
+        rng.shuffle(part)
+        frames = list(group.handleInputRows(("s",), iter([_frame_of(part)]), None))
+        assert all(len(f) <= 7 for f in frames)
+        got += [t for f in frames for t in f.itertuples(index=False)]
+        i = j
+    want = plain_group(rows)
+    assert sorted((t.shard, t.kind, t.entry, t.consumer, (t.us - US) // 1_000_000, t.deliveries) for t in got) == sorted(want)
+    assert {r[1] for r in want} == {"delivered", "reclaimed", "acknowledged"} and len(kept["pending"].map) > 5
+
+
+def test_pending_entries_cost_few_calls_of_the_store():
+    """Each delivery and each acknowledgement called the store; 36 million entries in eight shards did not end in time."""
+    handle, store, kept = _stores()
+    group = timed.ConsumerGroup(60_000)
+    group.init(handle)
+    n = 150_000
+    first = [("s", "add", 8 * i, None, 0, i) for i in range(n)] + [("s", "poll", n - 50, "a", 1, 0), ("s", "poll", 20, "b", 1, 1)]
+    out = list(group.handleInputRows(("s",), iter([_frame_of(first)]), None))
+    assert sum(map(len, out)) == n - 30 and store.calls < 60
+    acks = [("s", "ack", 8 * i, "a", 2, i) for i in range(n - 60)]
+    assert sum(map(len, group.handleInputRows(("s",), iter([_frame_of(acks)]), None))) == n - 60
+    assert store.calls < 120 and len(kept["pending"].map) == 1
+
+    told = [t for f in group.handleExpiredTimer(("s",), None, _At(US // 1000 + 61_000)) for t in f.itertuples(index=False)]
+    assert [(t.kind, t.entry, t.consumer, t.us) for t in told] == [("idle", 8 * i, "a" if i < n - 50 else "b", US + 61_000_000) for i in range(n - 60, n - 30)]
+    assert [e for f in group.handleInputRows(("s",), iter([_frame_of([("s", "poll", 100, "c", 3, 0)])]), None) for e in f["entry"]] == [8 * i for i in range(n - 30, n)]
+    assert not kept["backlog"].map

@@ -10,6 +10,7 @@ Rows that come behind the watermark are dropped by Spark; ``late`` says how far
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Iterator
 from functools import lru_cache
@@ -61,10 +62,13 @@ AT_ONCE = 10_000
 _KINDS = ("add", "ack", "poll")
 
 
-def _blocks(rows: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """(kind, entry, consumer, us) of a shard's rows in this micro-batch, by time and seq, in blocks of AT_ONCE. Held are numbers, 28 bytes a row
-    and the order, and each consumer's name once."""
-    names: dict = {}
+_ROW = np.dtype([("kind", "i1"), ("entry", "i8"), ("who", "i4"), ("us", "i8")])
+
+
+def _blocks(rows: Iterator[pd.DataFrame], names: dict | None = None) -> Iterator[np.ndarray]:
+    """(kind, entry, who, us) of a shard's rows in this micro-batch, by time and seq, in blocks of AT_ONCE. Held are numbers, 28 bytes a row
+    and the order; names takes each consumer's name and number, before the first block is given."""
+    names = {} if names is None else names
     parts = []
     for p in rows:
         p = p[p["kind"].isin(_KINDS)]
@@ -75,96 +79,241 @@ def _blocks(rows: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         return
     kind, who, entry, us, seq = (np.concatenate(c) for c in zip(*parts, strict=True))
     parts.clear()
-    order, consumers = np.lexsort((seq, us)), list(names)
+    order = np.lexsort((seq, us))
+    del seq
     for i in range(0, len(order), AT_ONCE):
         at = order[i : i + AT_ONCE]
-        yield [(_KINDS[k], e, consumers[w], t) for k, e, w, t in zip(kind[at].tolist(), entry[at].tolist(), who[at].tolist(), us[at].tolist(), strict=True)]
+        block = np.empty(len(at), _ROW)
+        block["kind"], block["entry"], block["who"], block["us"] = kind[at], entry[at], who[at], us[at]
+        yield block
 
 
 # --- consumer group --------------------------------------------------------------------------------
 
 _DELIVERY = "shard string, kind string, entry long, consumer string, us long, deliveries int"
+_TELLS = ("delivered", "reclaimed", "acknowledged", "idle")
+_TOLD = np.dtype([("kind", "i1"), ("entry", "i8"), ("us", "i8"), ("times", "i4"), ("who", "i4")])
+_OUT = np.dtype([("entry", "i8"), ("us", "i8"), ("times", "i4"), ("who", "i4")])
+_PAGE = np.dtype([("page", "i8"), ("oldest", "i8")])
+#: Entries of a page have numbers alike but for so many bits; a piece of a backlog has at most as many entries; so many pending ones are in memory at once.
+PAGE_BITS = 16
+IN_MEMORY = 1_000_000
+
+
+class _Pages:
+    """What is out in a shard, by entry, in packed pages of neighbouring numbers: a call of the state store moves a page. The index knows the
+    oldest delivery of each page."""
+
+    def __init__(self, store, index):
+        self.store, self.index = store, index
+        self.oldest: dict[int, int] = dict(np.frombuffer(index.get()[0], _PAGE).tolist()) if index.exists() else {}
+        self.pages: dict[int, np.ndarray] = {}
+        self.changed: set[int] = set()
+        self.stored, self.n, self.dirty = set(self.oldest), 0, False
+
+    def page(self, page: int) -> np.ndarray:
+        """Rows of a page, by entry."""
+        if page not in self.pages:
+            if self.n > IN_MEMORY:
+                self._write()
+            rows = np.frombuffer(self.store.getValue((page,))[0], _OUT) if page in self.oldest else np.empty(0, _OUT)
+            self.pages[page], self.n = rows, self.n + len(rows)
+        return self.pages[page]
+
+    def _put(self, page: int, rows: np.ndarray) -> None:
+        self.n += len(rows) - len(self.pages[page])
+        self.pages[page], self.dirty = rows, True
+        self.changed.add(page)
+        if len(rows):
+            self.oldest[page] = int(rows["us"].min())
+        else:
+            self.oldest.pop(page, None)
+
+    def _write(self) -> None:
+        for page in sorted(self.changed):
+            if len(self.pages[page]):
+                self.store.updateValue((page,), (self.pages[page].tobytes(),))
+                self.stored.add(page)
+            elif page in self.stored:
+                self.store.removeKey((page,))
+                self.stored.discard(page)
+        self.changed.clear()
+        self.pages.clear()
+        self.n = 0
+
+    def save(self) -> None:
+        self._write()
+        if self.dirty:
+            self.index.update((np.array(sorted(self.oldest.items()), _PAGE).tobytes(),))
+
+    def _places(self, entries: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice, np.ndarray, np.ndarray]]:
+        """For sorted entries without repeats, page by page: its number, its rows, which of the entries, where they belong, whether they are there."""
+        pages = entries >> PAGE_BITS
+        cuts = [0, *(np.flatnonzero(np.diff(pages)) + 1).tolist(), len(pages)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                rows = self.page(page := int(pages[i]))
+                at = np.searchsorted(rows["entry"], entries[i:j])
+                there = at < len(rows)
+                there[there] = rows["entry"][at[there]] == entries[i:j][there]
+                yield page, rows, slice(i, j), at, there
+
+    def give(self, told: np.ndarray) -> None:
+        """Puts deliveries in, in place of earlier ones of the same entries."""
+        entries, first = np.unique(told["entry"], return_index=True)
+        new = told[first][list(_OUT.names)].astype(_OUT)
+        for page, rows, part, at, there in self._places(entries):
+            rows = rows.copy()
+            rows[at[there]] = new[part][there]
+            self._put(page, np.insert(rows, at[~there], new[part][~there]))
+
+    def end(self, entries: np.ndarray) -> np.ndarray:
+        """Takes entries off; gives where among them those stand, by their first place, that were out."""
+        entries, first = np.unique(entries, return_index=True)
+        out = []
+        for page, rows, part, at, there in self._places(entries):
+            if there.any():
+                self._put(page, np.delete(rows, at[there]))
+                out.append(first[part][there])
+        return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+
+    def idle(self, limit: int) -> Iterator[np.ndarray]:
+        """What was delivered at ``limit`` or before, page by page."""
+        for page in sorted(p for p, us in self.oldest.items() if us <= limit):
+            rows = self.page(page)
+            yield rows[rows["us"] <= limit]
+
+    def first(self, after: int | None = None) -> int | None:
+        """The time of the oldest delivery, or of the oldest later than that."""
+        times = (us if after is None or us > after else min(self.page(p)["us"][self.page(p)["us"] > after].tolist(), default=None) for p, us in sorted(self.oldest.items()))
+        return min((us for us in times if us is not None), default=None)
+
+
+class _Backlog:
+    """Entries that wait, in order: packed pieces in the store, of which one is read at a time, and behind them what has come in this micro-batch."""
+
+    def __init__(self, store, ends):
+        self.store, self.ends = store, ends
+        self.first, self.taken, self.next = self.before = tuple(ends.get()) if ends.exists() else (0, 0, 0)
+        self.piece: np.ndarray | None = None
+        self.tail: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, entries: np.ndarray) -> None:
+        self.tail.append(entries)
+        self.n += len(entries)
+        if self.n >= 1 << PAGE_BITS:
+            self._store()
+
+    def _store(self) -> None:
+        rest, self.tail, self.n = np.concatenate(self.tail), [], 0
+        for i in range(0, len(rest), 1 << PAGE_BITS):
+            self.store.updateValue((self.next,), (rest[i : i + (1 << PAGE_BITS)].tobytes(),))
+            self.next += 1
+
+    def take(self, most: int) -> Iterator[np.ndarray]:
+        while most > 0 and self.first < self.next:
+            if self.piece is None:
+                self.piece = np.frombuffer(self.store.getValue((self.first,))[0], np.int64)
+            new = self.piece[self.taken : self.taken + most]
+            most, self.taken = most - len(new), self.taken + len(new)
+            if self.taken == len(self.piece):
+                self.store.removeKey((self.first,))
+                self.first, self.taken, self.piece = self.first + 1, 0, None
+            yield new
+        if most > 0 and self.n:
+            every = np.concatenate(self.tail) if len(self.tail) > 1 else self.tail[0]
+            self.tail, self.n = [every[most:]], max(0, len(every) - most)
+            yield every[:most]
+
+    def save(self) -> None:
+        if self.n:
+            self._store()
+        if (self.first, self.taken, self.next) != self.before:
+            self.ends.update((self.first, self.taken, self.next))
+
+
+class _Told:
+    """What is to be told of a shard, as numbers until it is given in frames of at most AT_ONCE rows."""
+
+    def __init__(self, shard: str):
+        self.shard, self.parts, self.n = shard, [], 0
+
+    def add(self, kind: str, entries, us, times, who) -> np.ndarray:
+        told = np.empty(len(entries), _TOLD)
+        told["kind"], told["entry"], told["us"], told["times"], told["who"] = _TELLS.index(kind), entries, us, times, who
+        self.parts.append(told)
+        self.n += len(told)
+        return told
+
+    def frames(self, names: dict, least: int = 1) -> Iterator[pd.DataFrame]:
+        if self.n < least:
+            return
+        every, self.parts, self.n = np.concatenate(self.parts), [], 0
+        kinds, consumers = np.array(_TELLS, object), np.array([*names, None], object)
+        for i in range(0, len(every), AT_ONCE):
+            t = every[i : i + AT_ONCE]
+            yield pd.DataFrame({"shard": np.full(len(t), self.shard, object), "kind": kinds[t["kind"]], "entry": t["entry"], "consumer": consumers[t["who"]], "us": t["us"], "deliveries": t["times"]})
 
 
 class ConsumerGroup(StatefulProcessor):
     """One shard of a topic for one group: entries wait in ``backlog``; a poll first claims entries that another delivery has left
     without acknowledgement for ``idle_ms``, oldest delivery first, then takes new ones; ``pending`` holds what is out, by entry,
-    with its owner. An acknowledgement, whoever sends it, takes the entry off the list."""
+    with its owner. An acknowledgement, whoever sends it, takes the entry off the list. Calling the store for each entry takes longer than
+    all else, so both are kept in packed pieces."""
 
     def __init__(self, idle_ms: int):
         self.idle_us = idle_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.backlog = handle.getListState("backlog", "entry long")
-        self.taken = handle.getValueState("taken", "n long")
-        self.pending = handle.getMapState("pending", "entry long", "consumer string, us long, deliveries int")
+        self.backlog = handle.getMapState("backlog", "piece long", "entries binary")
+        self.ends = handle.getValueState("ends", "first long, taken long, next long")
+        self.pending = handle.getMapState("pending", "page long", "held binary")
+        self.index = handle.getValueState("index", "pages binary")
+        self.names = handle.getValueState("names", "names string")
         self.soonest = handle.getValueState("soonest", "us long")
 
-    def _deliver(self, out: list, key: str, kind: str, entry: int, consumer: str, us: int, times: int) -> None:
-        self.pending.updateValue((entry,), (consumer, us, times))
-        out.append((key, kind, entry, consumer, us, times))
+    def _known(self) -> dict:
+        """Consumers and their numbers."""
+        return {name: i for i, name in enumerate(json.loads(self.names.get()[0]))} if self.names.exists() else {}
 
-    def _claim(self, out: list, key: str, consumer: str, us: int, most: int) -> int:
+    def _claim(self, told: _Told, pages: _Pages, who: int, us: int, most: int) -> int:
         """Claims up to ``most`` idle entries; gives when the next one will be idle."""
-        held = self._held()
-        n = min(int(np.searchsorted(held["us"], us - self.idle_us, "right")), most)
-        for _, entry, times in map(np.void.item, held[:n]):
-            self._deliver(out, key, "reclaimed", entry, consumer, us, times + 1)
-        rest = [*held["us"][n : n + 1].tolist(), *[us] * bool(n)]
-        return min(rest) + self.idle_us if rest else 0
-
-    def _held(self) -> np.ndarray:
-        """What is out, oldest delivery first, then by entry."""
-        held = np.fromiter(((v[1], k[0], v[2]) for k, v in self.pending.iterator()), [("us", "i8"), ("entry", "i8"), ("times", "i4")])
-        return held[np.lexsort((held["entry"], held["us"]))]
+        held = np.concatenate([np.empty(0, _OUT), *pages.idle(us - self.idle_us)])
+        held = held[np.lexsort((held["entry"], held["us"]))[:most]]
+        pages.give(told.add("reclaimed", held["entry"], us, held["times"] + 1, who))
+        first = pages.first()
+        return 0 if first is None else first + self.idle_us
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        shard, out, added, put = key[0], [], [], False
-        if shard == _TICK:
+        if key[0] == _TICK:
             return
-        soonest = self.soonest.get()[0] if self.soonest.exists() else 0
-        before = soonest
-        waiting = start = None
-        for block in _blocks(rows):
-            for kind, number, consumer, us in block:
+        before = soonest = self.soonest.get()[0] if self.soonest.exists() else 0
+        pages, backlog, told, names = _Pages(self.pending, self.index), _Backlog(self.backlog, self.ends), _Told(key[0]), self._known()
+        known = len(names)
+        for block in _blocks(rows, names):
+            for run in np.split(block, np.flatnonzero(np.diff(block["kind"])) + 1):
+                kind = _KINDS[run["kind"][0]]
                 if kind == "add":
-                    added.append((number,))
+                    backlog.add(run["entry"])
                 elif kind == "ack":
-                    if self.pending.containsKey((number,)):
-                        self.pending.removeKey((number,))
-                        out.append((shard, "acknowledged", number, consumer, us, 0))
+                    ended = run[pages.end(run["entry"])]
+                    told.add("acknowledged", ended["entry"], ended["us"], 0, ended["who"])
                 else:
-                    if soonest and soonest <= us:
-                        soonest = self._claim(out, shard, consumer, us, number)
-                    if added:
-                        self.backlog.appendList(added)
-                        added, put = [], True
-                    if waiting is None or put:
-                        waiting = np.fromiter((e[0] for e in self.backlog.get()), np.int64) if self.backlog.exists() else np.empty(0, np.int64)
-                        start, put = (self.taken.get()[0] if start is None and self.taken.exists() else start or 0), False
-                    new = waiting[start : start + number]
-                    for i in range(0, len(new), AT_ONCE):
-                        for entry in new[i : i + AT_ONCE].tolist():
-                            self._deliver(out, shard, "delivered", entry, consumer, us, 1)
-                        yield _frame(out, _DELIVERY)
-                        out = []
-                    start += len(new)
-                    if len(new) and not soonest:
-                        soonest = us + self.idle_us
-            if added:
-                self.backlog.appendList(added)
-                added, put = [], True
-            if out:
-                yield _frame(out, _DELIVERY)
-                out = []
-        if waiting is not None:
-            if start > len(waiting) // 2 and not put:  # what has been taken goes once it is the greater part
-                self.backlog.clear()
-                for i in range(start, len(waiting), AT_ONCE):
-                    self.backlog.appendList([(e,) for e in waiting[i : i + AT_ONCE].tolist()])
-                start = 0
-            self.taken.update((start,))
+                    for _, most, who, us in run.tolist():
+                        if soonest and soonest <= us:
+                            soonest = self._claim(told, pages, who, us, most)
+                        for new in backlog.take(most):
+                            pages.give(told.add("delivered", new, us, 1, who))
+                            soonest = soonest or (us + self.idle_us if len(new) else 0)
+                            yield from told.frames(names, AT_ONCE)
+                yield from told.frames(names, AT_ONCE)
+        yield from told.frames(names)
+        pages.save()
+        backlog.save()
+        if len(names) != known:
+            self.names.update((json.dumps(list(names)),))
         self._watch(before, soonest)
 
     def _watch(self, before: int, soonest: int) -> None:
@@ -180,19 +329,19 @@ class ConsumerGroup(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Entries that have become idle are told once, so that somebody polls; they stay pending."""
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
-        held = self._held()
-        n = int(np.searchsorted(held["us"], now - self.idle_us, "right"))
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999 - self.idle_us
+        pages, told, names = _Pages(self.pending, self.index), _Told(key[0]), self._known()
         # idle ones stay claimable at once; the timer goes to the next that will be
-        if len(held):
-            self.soonest.update((int(held["us"][0]) + self.idle_us,))
+        if (first := pages.first()) is not None:
+            self.soonest.update((first + self.idle_us,))
         else:
             self.soonest.clear()
-        if n < len(held):
-            self.handle.registerTimer((int(held["us"][n]) + self.idle_us) // 1000)
-        for i in range(0, n, AT_ONCE):
-            part = map(np.void.item, held[i : min(i + AT_ONCE, n)])
-            yield _frame([(key[0], "idle", entry, self.pending.getValue((entry,))[0], us + self.idle_us, times) for us, entry, times in part], _DELIVERY)
+        if (later := pages.first(limit)) is not None:
+            self.handle.registerTimer((later + self.idle_us) // 1000)
+        for held in pages.idle(limit):
+            told.add("idle", held["entry"], held["us"] + self.idle_us, held["times"], held["who"])
+            yield from told.frames(names, AT_ONCE)
+        yield from told.frames(names)
 
     def close(self) -> None:
         pass
