@@ -267,3 +267,23 @@ def test_pending_entries_cost_few_calls_of_the_store():
     assert [(t.kind, t.entry, t.consumer, t.us) for t in told] == [("idle", 8 * i, "a" if i < n - 50 else "b", US + 61_000_000) for i in range(n - 60, n - 30)]
     assert [e for f in group.handleInputRows(("s",), iter([_frame_of([("s", "poll", 100, "c", 3, 0)])]), None) for e in f["entry"]] == [8 * i for i in range(n - 30, n)]
     assert not kept["backlog"].map
+
+
+def test_idle_entries_of_many_pages(monkeypatch):
+    """The timer's call went through the store entry by entry, and asked it once more for each idle one."""
+    monkeypatch.setattr(timed, "PAGE_BITS", 10)
+    monkeypatch.setattr(timed, "IN_MEMORY", 5_000)
+    handle, store, _ = _stores()
+    n = 30_000
+    rows = [("s", "add", i, None, 0, i) for i in range(n)] + [("s", "poll", n // 2, "a", 1, 0), ("s", "poll", n // 2, "b", 30, 0)]
+    timers: set = set()
+    handle.registerTimer, handle.deleteTimer = timers.add, timers.remove
+    group = timed.ConsumerGroup(60_000)
+    group.init(handle)
+    list(group.handleInputRows(("s",), iter([_frame_of(rows)]), None))
+    assert timers == {US // 1000 + 61_000}
+    before = store.calls
+    frames = list(group.handleExpiredTimer(("s",), None, _At(US // 1000 + 61_000)))
+    assert store.calls - before < 3 * n / 1024 + 10 and max(map(len, frames)) <= timed.AT_ONCE
+    assert sorted(e for f in frames for e in f["entry"]) == list(range(n // 2)) and {(k, c, us) for f in frames for k, c, us in zip(f["kind"], f["consumer"], f["us"], strict=True)} == {("idle", "a", US + 61_000_000)}
+    assert US // 1000 + 90_000 in timers
